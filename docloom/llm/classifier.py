@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, recall: float, seed: int, sample: in
     return ratio, keys[int((1 - recall) * len(keys))] if keys else float("-inf")
 
 
-def classify(docs: DataFrame, labels: DataFrame, recall: float = 0.995, seed: int = 17, sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, recall: float = 0.999, seed: int = 17, sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, log_weight, sample_key, kept."""
     ratio, least = fit(docs, labels, recall, seed, sample)
     scored = _scored(docs.select("doc_id", "text"), ratio, seed)
@@ -137,7 +137,7 @@ def classify(docs: DataFrame, labels: DataFrame, recall: float = 0.995, seed: in
     )
 
 
-def keep_sampled(docs: DataFrame, labels: DataFrame, recall: float = 0.995, seed: int = 17, sample: int = SAMPLE) -> DataFrame:
+def keep_sampled(docs: DataFrame, labels: DataFrame, recall: float = 0.999, seed: int = 17, sample: int = SAMPLE) -> DataFrame:
     """The documents that stay, with all their columns."""
     ratio, least = fit(docs, labels, recall, seed, sample)
     scored = _scored(docs, ratio, seed)
