@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -91,26 +93,38 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again; removed when the session's Python ends."""
-    import uuid
+def _shared_path(spark: SparkSession, name: str) -> str:
+    if spark.sparkContext.getCheckpointDir() is None:
+        checkpoint(spark.range(1))  # sets the folder where none is named
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    sc = df.sparkSession.sparkContext
-    checkpoint(df.sparkSession.range(0))  # sets the folder where none is named
-    path = f"{sc.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(df: DataFrame, name: str):
+    """df as a Parquet table in the shared folder while the block runs."""
+    spark = df.sparkSession
+    path = _shared_path(spark, name)
     df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        _delete(spark, path)
 
-    def remove(jvm=sc._jvm, conf=sc._jsc.hadoopConfiguration()):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
 
-    atexit.register(_quietly, remove)
-    return df.sparkSession.read.parquet(path)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again; removed when Python ends, if the session still runs."""
+    spark = df.sparkSession
+    path = _shared_path(spark, name)
+    df.write.parquet(path)
 
+    def remove() -> None:
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
 
-def _quietly(act) -> None:
-    """At exit the session may be gone already; the folder then goes with its owner."""
-    try:
-        act()
-    except Exception:  # noqa: BLE001
-        return
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(path)
