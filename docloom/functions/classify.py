@@ -68,7 +68,22 @@ IGNORED_DIRS = (
     "npm|pip|conda|steam|steamapps|origin|epicgames|epic games|steam library|nvidia|amd|logs|temp|tmp|game|games|gamecache|game cache|shadercache|"
     "cache|caches|code|codes|flutter|android|sdk|system|system32"
 ).split("|")  # names with a leading dot are ignored anyway
-TRANSIENT_SUFFIXES = (".tmp", ".part", ".crdownload", ".download")
+TRANSIENT = (
+    r"\.crdownload$", r"\.tmp$", r"\.partial$", r"^~\$", r"^~.*", r"^desktop\.ini$", r"^thumbs\.db$", r"^\._", r"\.ds_store$",
+    r"\.download$", r"\.aria2$", r":Zone\.Identifier$", r"\.lnk$",
+)
+TEMP_SUFFIXES = (".tmp", ".part", ".crdownload", ".download")
+PROTECTED = (
+    r"^[A-Z]:\\Windows", r"^[A-Z]:\\Program Files", r"^[A-Z]:\\Program Files \(x86\)", r"^[A-Z]:\\ProgramData",
+    r"^[A-Z]:\\System Volume Information", r"^[A-Z]:\\Recovery", r"^[A-Z]:\\Config\.Msi",
+)
+HIDDEN_FILES = (
+    "config.msi dumpstack.log dumpstack.log.tmp hiberfil.sys pagefile.sys swapfile.sys bootmgr bootsect.bak boot.ini ntldr "
+    "ntdetect.com io.sys msdos.sys autoexec.bat config.sys desktop.ini thumbs.db"
+).split()
+HIDDEN_FOLDERS = ("recovery", "system volume information", "$recycle.bin", "perflogs", "$windows.~bt", "$windows.~ws")
+HIDDEN_EXTENSIONS = (".dll", ".sys", ".ini", ".tmp", ".log", ".bak", ".old", ".cache", ".dat", ".db", ".ldf", ".mdf")
+SHOWN_DOTFILES = (".env", ".gitignore", ".antigravityignore", ".editorconfig")
 KIB = 1024
 
 
@@ -169,3 +184,23 @@ def diff_intent(diff: Column) -> Column:
         .when(F.regexp_count(diff, F.lit("\n-")) > 20, "Deletion Heavy")
         .otherwise("Refactor")
     )
+
+
+def transient(name: Column) -> Column:
+    return name.rlike("(?i)" + "|".join(TRANSIENT))
+
+
+def temporary(path: Column) -> Column:
+    low = F.lower(path)
+    return reduce(lambda a, e: a | low.endswith(e), TEMP_SUFFIXES, F.lit(False))
+
+
+def protected(path: Column) -> Column:
+    return path.rlike("(?i)" + "|".join(PROTECTED))
+
+
+def hidden(name: Column) -> Column:
+    """Files and folders that a listing leaves out."""
+    low = F.lower(name)
+    out = low.isin(*HIDDEN_FILES, *HIDDEN_FOLDERS) | suffix(low).isin(*HIDDEN_EXTENSIONS) | name.startswith(".")
+    return ~low.isin(*SHOWN_DOTFILES) & out

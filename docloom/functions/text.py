@@ -129,17 +129,20 @@ def log_prefix(message: Column) -> Column:
     return F.regexp_extract(message, r"^\[(.*?)\]", 1)
 
 
+# Words that set the level of a message.
+WARNING_WORDS = ("warning", "warn", "deprecated", "timeout", "retrying", "skipping")
+SUCCESS_WORDS = ("✅", "done", "success", "complete", "[ok]", "healthy", "ready", "loaded", "downloaded")
+
+
+def _any_of(value: Column, words: tuple[str, ...]) -> Column:
+    return value.rlike("|".join(re.escape(w) for w in words))
+
+
 def log_level(message: Column, is_error: Column | None = None) -> Column:
-    """error, warn, success, debug or info, from the message."""
+    """error (flagged), warning, success or info, from the message."""
     low = F.lower(message)
     flagged = is_error if is_error is not None else F.lit(False)
-    return (
-        F.when(flagged | low.rlike("error|fail|exception"), "error")
-        .when(low.rlike("warn"), "warn")
-        .when(low.rlike("success|complete|ready|done"), "success")
-        .when(low.rlike("debug|trace"), "debug")
-        .otherwise("info")
-    )
+    return F.when(flagged, "error").when(_any_of(low, WARNING_WORDS), "warning").when(_any_of(low, SUCCESS_WORDS), "success").otherwise("info")
 
 
 def csv_list(tags: Column) -> Column:

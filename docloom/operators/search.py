@@ -167,7 +167,7 @@ def first_chunks(chunks: DataFrame, n: int) -> DataFrame:
 def wants_summary(query: Column) -> Column:
     """Whether a chat question asks for the document as a whole."""
     low = F.lower(query)
-    return low.rlike("summar") | low.rlike("overview") | (low.contains("what") & low.rlike("about|document"))
+    return low.rlike("summar|overview") | (low.contains("what") & low.rlike("file|document"))
 
 
 def history(turns: DataFrame, n: int = 6) -> DataFrame:

@@ -118,23 +118,23 @@ def c14_sensitivity(spark, d):
     return view(spark, d, "documents").select("doc_id", C.sensitive(F.col("text")).alias("sensitive"))
 
 
-_LEVEL = "CASE WHEN regexp_matches(lower(message), 'error|fail|exception') THEN 'error' WHEN regexp_matches(lower(message), 'warn') THEN 'warn' WHEN regexp_matches(lower(message), 'success|complete|ready|done') THEN 'success' WHEN regexp_matches(lower(message), 'debug|trace') THEN 'debug' ELSE 'info' END"
+_LEVEL = "CASE WHEN contains(message, '[error]') THEN 'error' WHEN regexp_matches(lower(message), 'warn|deprecated|timeout|retrying|skipping') THEN 'warning' WHEN regexp_matches(lower(message), '✅|done|success|complete|\\[ok\\]|healthy|ready|loaded') THEN 'success' ELSE 'info' END"
 
 
 @query(cte("fx_logs") + f"SELECT {_LEVEL} AS level, count(*) AS n FROM fx_logs GROUP BY 1")
 def e20_level_counts(spark, d):
-    return view(spark, d, "fx_logs").groupBy(T.log_level(F.col("message")).alias("level")).agg(F.count("*").alias("n"))
+    return view(spark, d, "fx_logs").groupBy(T.log_level(F.col("message"), F.col("message").contains("[error]")).alias("level")).agg(F.count("*").alias("n"))
 
 
 @query(cte("fx_logs") + f"SELECT log_id, regexp_extract(message, '^\\[(.*?)\\]', 1) AS category, {_LEVEL} AS level FROM fx_logs")
 def i13_log_levels(spark, d):
-    return view(spark, d, "fx_logs").select("log_id", T.log_prefix(F.col("message")).alias("category"), T.log_level(F.col("message")).alias("level"))
+    return view(spark, d, "fx_logs").select("log_id", T.log_prefix(F.col("message")).alias("category"), T.log_level(F.col("message"), F.col("message").contains("[error]")).alias("level"))
 
 
-@query(cte("fx_logs") + f"SELECT log_id, message FROM fx_logs WHERE {_LEVEL} = 'warn' AND regexp_extract(message, '^\\[(.*?)\\]', 1) IN ('purchase', 'view') AND contains(lower(message), 'user 1')")
+@query(cte("fx_logs") + f"SELECT log_id, message FROM fx_logs WHERE {_LEVEL} = 'warning' AND regexp_extract(message, '^\\[(.*?)\\]', 1) IN ('purchase', 'view') AND contains(lower(message), 'user 1')")
 def c9_log_filter(spark, d):
     m = F.col("message")
-    rows = view(spark, d, "fx_logs").where((T.log_level(m) == "warn") & T.log_prefix(m).isin("purchase", "view") & F.lower(m).contains("user 1"))
+    rows = view(spark, d, "fx_logs").where((T.log_level(m, m.contains("[error]")) == "warning") & T.log_prefix(m).isin("purchase", "view") & F.lower(m).contains("user 1"))
     return rows.select("log_id", "message")
 
 

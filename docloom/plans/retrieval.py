@@ -217,7 +217,7 @@ def i18_followup_hint(spark, d):
 
 
 @query(
-    "SELECT conv_id, turn, (lower(text) LIKE '%summar%' OR lower(text) LIKE '%overview%' OR (lower(text) LIKE '%what%' AND (lower(text) LIKE '%about%' OR lower(text) LIKE '%document%'))) AS summary FROM conversations WHERE role = 'user'"
+    "SELECT conv_id, turn, (lower(text) LIKE '%summar%' OR lower(text) LIKE '%overview%' OR (lower(text) LIKE '%what%' AND (lower(text) LIKE '%file%' OR lower(text) LIKE '%document%'))) AS summary FROM conversations WHERE role = 'user'"
 )
 def j10_summary_intent(spark, d):
     return view(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", S.wants_summary(F.col("text")).alias("summary"))
