@@ -15,7 +15,10 @@ result; only the id and the text are read.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,42 +34,78 @@ from docloom.llm.common import checkpoint
 
 CAPACITY, END = 4096, 1
 CACHE_WORDS = 200_000
+LATIN_END = 0x300  # below it nothing composes, so NFC changes nothing
 
 
-class WordEncoder:
-    """Token ids of texts, each distinct run between spaces or line ends encoded once.
+def _class(kind: str) -> str:
+    """A regex class of the code points below LATIN_END whose category begins with a letter."""
+    return "".join(re.escape(chr(c)) for c in range(LATIN_END) if unicodedata.category(chr(c))[0] == kind)
+
 
-    The tokenizer drops white space and never joins text across it, so a text's
-    ids are those of its runs, one after the other.
+class WordEncoder:
+    """Token ids of texts; each distinct word is encoded once and remembered.
+
+    The tokenizer lower-cases, drops white space and encodes each pretoken by
+    itself, so a text's ids are those of its pretokens, one after the other. For
+    texts of Latin script, which normalisation leaves alone, the pretokens are
+    cut here; other texts, and those where a special token may stand, go to the
+    tokenizer whole. Two generations of words are held, so memory is bounded and
+    frequent words stay.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self._last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
-
-    def _learn(self, runs: list[str]) -> None:
+        letter, number, space = _class("L"), _class("N"), "\t-\r \x85\xa0"
+        self._pretoken = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
+        self._ascii = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\t-\\r a-z0-9]+")
+        self._other = re.compile(f"[^\\x00-{chr(LATIN_END - 1)}]")
+
+    def _whole(self, text: str) -> list[str] | None:
+        """The pretokens of a text of Latin script; None for others."""
+        if "<|" in text:
+            return None
+        if text.isascii():
+            return self._ascii.findall(text.lower())
+        return None if self._other.search(text) else self._pretoken.findall(text.lower())
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encodes new pretokens side by side; each one's last id carries the mark of a word's end."""
         new = []
-        for r in runs:
-            if r in self._old:
-                self._young[r] = self._old[r]
+        for w in fresh:
+            if w in self._old:
+                self._young[w] = self._old[w]
             else:
-                new.append(r)
-        for r, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self._young[r] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        for text in texts:
-            runs = text.replace("\n", " ").split(" ")
+                new.append(w)
+        if not new:
+            return
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self._last[ids]) + 1
+        if len(ends) != len(new):
+            raise ValueError("the tokenizer joins or splits words")
+        data, at = ids.tobytes(), 0
+        for w, end in zip(new, (4 * ends).tolist(), strict=True):
+            self._young[w] = data[at:end]
+            at = end
+
+    def encode(self, texts: list[str], group: int = 64) -> Iterator[bytes]:
+        """Unsigned 32-bit ids of each text, in the machine's byte order; `group` texts are looked up at once."""
+        for at in range(0, len(texts), group):
+            own = texts[at : at + group]
+            cut = [self._whole(t) for t in own]
+            words = set().union(*(c for c in cut if c))
             if len(self._young) > CACHE_WORDS:
                 self._old, self._young = self._young, {}
-            fresh = [r for r in dict.fromkeys(runs) if r not in self._young]
-            if fresh:
-                self._learn(fresh)
-            yield b"".join([self._young[r] for r in runs])
+            self._learn(list(words.difference(self._young)))
+            get = self._young.__getitem__
+            for text, c in zip(own, cut, strict=True):
+                yield b"".join(map(get, c)) if c is not None else array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -76,7 +115,7 @@ def encoder(path: str) -> WordEncoder:
 
 def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
     """Pieces: doc_id, piece, start, length, ids_crc32, part and place (rank among the part's pieces of that length), and ids."""
-    tail = np.array([end], "<u4").tobytes()
+    tail = array("I", [end]).tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"] + ["ids"] * keep_ids
 
     def run(batches):
@@ -93,12 +132,12 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
                 ids += tail
                 n = len(ids) // 4
                 for k, start in enumerate(range(0, n, capacity)):
-                    data = ids[4 * start : 4 * (start + capacity)]
-                    size = len(data) // 4
-                    rows.append((doc_id, k, start, size, zlib.crc32(data), part, int(seen[size])))
+                    data = np.frombuffer(ids, np.uint32)[start : start + capacity]
+                    size = len(data)
+                    rows.append((doc_id, k, start, size, zlib.crc32(data.astype("<u4").tobytes()), part, int(seen[size])))
                     seen[size] += 1
                     if keep_ids:
-                        kept.append(np.frombuffer(data, "<i4"))
+                        kept.append(data.astype(np.int32))
             cells = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             arrays = [pa.array(c, t) for c, t in zip(cells, kinds, strict=True)]
@@ -140,8 +179,18 @@ class Plan:
         for x in a[ok]:
             yield int(x), int(total - x)
 
+    def _index_sums(self) -> None:
+        """Which sums two available lengths have; lengths only run out, so it errs on the side of trying."""
+        held = (self.left > 0).astype(np.float32)
+        n = 1 << (2 * self.capacity + 2).bit_length()
+        counts = np.fft.irfft(np.fft.rfft(held, n) ** 2, n)
+        self.sums = counts[: self.capacity + 1] > 0.5
+
     def _exact(self) -> None:
+        self._index_sums()
         for size in range(self.capacity, 0, -1):
+            if size % 64 == 0:
+                self._index_sums()
             if not self.left[size]:
                 continue
             gap = self.capacity - size
@@ -158,17 +207,19 @@ class Plan:
                 self._triples(size, gap)
 
     def _triples(self, size: int, gap: int) -> None:
-        for a in np.flatnonzero(self.left[: gap - 1])[::-1]:
-            if not self.left[size]:
-                return
-            if not self.left[a]:
+        """Longest first, the lengths whose complement may be a pair sum are tried."""
+        third = np.flatnonzero(self.left[: gap - 1])[::-1]
+        for x in third[self.sums[gap - third]]:
+            if not self.left[x]:
                 continue
             held = self.left > 0
-            held[a + 1 :] = False
-            for pair in self._pairs(gap - int(a), held):
-                self._take((size, int(a), *pair))
-                if not self.left[size] or not self.left[a]:
+            held[x + 1 :] = False
+            for pair in self._pairs(gap - int(x), held):
+                self._take((size, int(x), *pair))
+                if not self.left[size] or not self.left[x]:
                     break
+            if not self.left[size]:
+                return
 
     def _best_fit(self) -> None:
         """Longest first into the smallest gap that holds them, whole runs of equal sequences at once."""
