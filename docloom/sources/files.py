@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -22,13 +24,15 @@ def listing(spark: SparkSession, roots: list[str]) -> DataFrame:
     return found.select(path.alias("path"), filename(path).alias("filename"), F.unix_timestamp("modificationTime").alias("modified_time"), F.col("length").alias("size"))
 
 
-def indexable(files: DataFrame) -> DataFrame:
-    """Documents of a supported kind and size outside hidden and ignored folders."""
-    return files.where(supported_file(F.col("filename")) & ~ignored_dir(F.col("path")) & valid_size(F.col("filename"), F.col("size")))
+def indexable(files: DataFrame, roots: list[str]) -> DataFrame:
+    """Documents of a supported kind and size; below the roots no folder may be hidden or ignored."""
+    longest = sorted((r.rstrip("/") for r in roots), key=len, reverse=True)
+    below = F.regexp_replace("path", f"^(?:{'|'.join(map(re.escape, longest))})/", "")
+    return files.where(supported_file(F.col("filename")) & ~ignored_dir(below) & valid_size(F.col("filename"), F.col("size")))
 
 
 def scan(spark: SparkSession, roots: list[str]) -> DataFrame:
-    return indexable(listing(spark, roots))
+    return indexable(listing(spark, roots), roots)
 
 
 def explorer(files: DataFrame, show_hidden: bool = False) -> DataFrame:
@@ -60,7 +64,7 @@ def read_texts(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFr
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
     path = F.regexp_replace("path", "^file:/+", "/")
     rows = found.select(path.alias("path"), "content", F.col("length").alias("size")).withColumn("filename", filename(F.col("path")))
-    read = indexable(rows).select("path", extracted(F.col("filename"), F.col("content")).alias("x")).select("path", "x.text", "x.reason")
+    read = indexable(rows, roots).select("path", extracted(F.col("filename"), F.col("content")).alias("x")).select("path", "x.text", "x.reason")
     return read.where("reason is null").select("path", "text"), read.where("reason is not null").select("path", "reason")
 
 
