@@ -23,14 +23,63 @@ NAME_RULES = (
     ("install|setup|installer|msi|pkg", "Installers"),
 )
 EXTENSIONS = {
-    "Documents/General": ".pdf .doc .docx .rtf .odt .txt .md",
-    "Documents/Reports": ".csv .xls .xlsx .ppt .pptx",
-    "Media/Images": ".png .jpg .jpeg .gif .webp .bmp .tif .tiff",
-    "Media/Videos": ".mp4 .mov .mkv .avi",
-    "Media/Audio": ".mp3 .wav .flac",
-    "Archives": ".zip .rar .7z .tar .gz .bz2 .xz",
-    "Installers": ".exe .msi .appx .msix",
-    "Code": ".ps1 .py .js .ts .jsx .tsx .json .yaml .yml .html .css .cs .java .go .rs .c .cpp .h .sh",
+    ".pdf": "Documents/General",
+    ".doc": "Documents/General",
+    ".docx": "Documents/General",
+    ".rtf": "Documents/General",
+    ".odt": "Documents/General",
+    ".txt": "Documents/General",
+    ".md": "Documents/General",
+    ".csv": "Documents/Reports",
+    ".xls": "Documents/Reports",
+    ".xlsx": "Documents/Reports",
+    ".ppt": "Documents/Reports",
+    ".pptx": "Documents/Reports",
+    ".png": "Media/Images",
+    ".jpg": "Media/Images",
+    ".jpeg": "Media/Images",
+    ".gif": "Media/Images",
+    ".webp": "Media/Images",
+    ".bmp": "Media/Images",
+    ".tif": "Media/Images",
+    ".tiff": "Media/Images",
+    ".mp4": "Media/Videos",
+    ".mov": "Media/Videos",
+    ".mkv": "Media/Videos",
+    ".avi": "Media/Videos",
+    ".mp3": "Media/Audio",
+    ".wav": "Media/Audio",
+    ".flac": "Media/Audio",
+    ".zip": "Archives",
+    ".rar": "Archives",
+    ".7z": "Archives",
+    ".tar": "Archives",
+    ".gz": "Archives",
+    ".bz2": "Archives",
+    ".xz": "Archives",
+    ".exe": "Installers",
+    ".msi": "Installers",
+    ".appx": "Installers",
+    ".msix": "Installers",
+    ".ps1": "Code",
+    ".py": "Code",
+    ".js": "Code",
+    ".ts": "Code",
+    ".jsx": "Code",
+    ".tsx": "Code",
+    ".json": "Code",
+    ".yaml": "Code",
+    ".yml": "Code",
+    ".html": "Code",
+    ".css": "Code",
+    ".cs": "Code",
+    ".java": "Code",
+    ".go": "Code",
+    ".rs": "Code",
+    ".c": "Code",
+    ".cpp": "Code",
+    ".h": "Code",
+    ".sh": "Code",
 }
 MIME_RULES = (
     ("image/", "Media/Images"), ("video/", "Media/Videos"), ("audio/", "Media/Audio"), ("application/zip", "Archives"),
@@ -63,11 +112,16 @@ IMAGES = ("png", "jpg", "jpeg")
 SKIPPED = ("log", "tmp", "bak", "old", "cache", "dmp", "swp", "swo", "part", "crdownload", "download", "lnk", "url")
 SKIPPED_NAMES = ("thumbs.db", "desktop.ini", ".ds_store")
 IGNORED_DIRS = (
-    "windows|program files|program files (x86)|programdata|$recycle.bin|system volume information|recovery|msocache|intel|perflogs|boot|"
-    "appdata|google|mozilla|edge|chrome|firefox|node_modules|venv|__pycache__|build|dist|out|target|bin|obj|packages|site-packages|"
-    "npm|pip|conda|steam|steamapps|origin|epicgames|epic games|steam library|nvidia|amd|logs|temp|tmp|game|games|gamecache|game cache|shadercache|"
-    "cache|caches|code|codes|flutter|android|sdk|system|system32"
-).split("|")  # names with a leading dot are ignored anyway
+    "windows", "program files", "program files (x86)", "programdata", "$recycle.bin", "system volume information", "recovery", "msocache",
+    "intel", "perflogs", "boot", "appdata", ".cache", ".local", ".config", "google",
+    "mozilla", "edge", "chrome", "firefox", "node_modules", ".git", ".venv", "venv",
+    "__pycache__", "build", "dist", "out", "target", "bin", "obj", ".vs",
+    ".idea", ".vscode", ".antigravity", "packages", "site-packages", "npm", "pip", "conda",
+    ".nuget", ".cargo", ".rustup", ".gradle", ".m2", ".npm", ".yarn", "steam",
+    "steamapps", "origin", "epicgames", "epic games", "steam library", "nvidia", "amd", "logs",
+    "temp", "tmp", "game", "games", "gamecache", "game cache", "shadercache", "cache",
+    "caches", "code", "codes", "flutter", "android", "sdk", "system", "system32",
+)
 TRANSIENT = (
     r"\.crdownload$", r"\.tmp$", r"\.partial$", r"^~\$", r"^~.*", r"^desktop\.ini$", r"^thumbs\.db$", r"^\._", r"\.ds_store$",
     r"\.download$", r"\.aria2$", r":Zone\.Identifier$", r"\.lnk$",
@@ -78,9 +132,10 @@ PROTECTED = (
     r"^[A-Z]:\\System Volume Information", r"^[A-Z]:\\Recovery", r"^[A-Z]:\\Config\.Msi",
 )
 HIDDEN_FILES = (
-    "config.msi dumpstack.log dumpstack.log.tmp hiberfil.sys pagefile.sys swapfile.sys bootmgr bootsect.bak boot.ini ntldr "
-    "ntdetect.com io.sys msdos.sys autoexec.bat config.sys desktop.ini thumbs.db"
-).split()
+    "config.msi", "dumpstack.log", "dumpstack.log.tmp", "hiberfil.sys", "pagefile.sys", "swapfile.sys",
+    "bootmgr", "bootsect.bak", "boot.ini", "ntldr", "ntdetect.com", "io.sys",
+    "msdos.sys", "autoexec.bat", "config.sys", "desktop.ini", "thumbs.db",
+)
 HIDDEN_FOLDERS = ("recovery", "system volume information", "$recycle.bin", "perflogs", "$windows.~bt", "$windows.~ws")
 HIDDEN_EXTENSIONS = (".dll", ".sys", ".ini", ".tmp", ".log", ".bak", ".old", ".cache", ".dat", ".db", ".ldf", ".mdf")
 SHOWN_DOTFILES = (".env", ".gitignore", ".antigravityignore", ".editorconfig")
@@ -98,7 +153,7 @@ def by_filename(path: Column) -> Column:
 
 
 def by_extension(path: Column) -> Column:
-    pairs = [F.lit(x) for label, all_ in EXTENSIONS.items() for e in all_.split() for x in (e, label)]
+    pairs = [F.lit(x) for pair in EXTENSIONS.items() for x in pair]
     return F.try_element_at(F.create_map(*pairs), suffix(path))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -154,28 +155,34 @@ def csv_list(tags: Column) -> Column:
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n{2,}")
 
 
+def chunk_spans(ends: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Word spans of the chunks of a text whose sentences end at the given words.
+
+    A chunk closes before the sentence that would overfill it; the next one opens
+    `overlap` words earlier. Sentences too long for a chunk are cut in windows.
+    """
+    spans, first, begin = [], 0, 0
+    for end in ends:
+        if begin > first and end - first > size:
+            spans.append((first, begin))
+            first = max(first, begin - overlap)
+        while end - first > size:
+            spans.append((first, first + size))
+            first += max(size - overlap, 1)
+        begin = end
+    return [*spans, (first, begin)] if first < begin else spans
+
+
 def sentence_chunks(text: str | None, size: int = 1000, overlap: int = 150, most: int = MOST_CHUNKS) -> list[str]:
-    """Chunks of at most `size` words that end with sentences where they can; neighbours share `overlap` words."""
-    held: list[str] = []
-    out: list[str] = []
-    for sentence in _SENTENCE.split((text or "").strip()):
-        new = sentence.split()
-        if not new:
-            continue
-        if held and len(held) + len(new) > size:
-            out.append(" ".join(held))
-            held = held[max(0, len(held) - overlap) :] if overlap else []
-        held += new
-        while len(held) > size:
-            out.append(" ".join(held[:size]))
-            del held[: max(size - overlap, 1)]
-    last = " ".join(held)
-    if held and last not in out[-1:]:
-        out.append(last)
-    if len(out) > most:
-        share = len(out) / most
-        out = [out[int(k * share)] for k in range(most)]
-    return out
+    """Chunks of at most `size` words that end with sentences where they can; at most `most`, evenly spaced."""
+    sentences = [s.split() for s in _SENTENCE.split((text or "").strip())]
+    every = [w for s in sentences for w in s]
+    spans = chunk_spans(list(accumulate(len(s) for s in sentences if s)), size, overlap)
+    out = [" ".join(every[a:b]) for a, b in spans]
+    if len(out) > 1 and out[-1] == out[-2]:
+        out.pop()
+    share = len(out) / most
+    return out if share <= 1 else [out[int(k * share)] for k in range(most)]
 
 
 @arrow_udf(ArrayType(StringType()))

@@ -27,7 +27,7 @@ def _rules(value: str, rules, flags: str = "(?i)") -> str:
 
 
 _WORDS = "regexp_replace(path, '[_\\-.]+', ' ', 'g')"
-_EXT = "CASE lower(regexp_extract(path, '[^.](\\.[^.]+)$', 1)) " + " ".join(f"WHEN '{e}' THEN '{c}'" for c, es in C.EXTENSIONS.items() for e in es.split()) + " END"
+_EXT = "CASE lower(regexp_extract(path, '[^.](\\.[^.]+)$', 1)) " + " ".join(f"WHEN '{e}' THEN '{c}'" for e, c in C.EXTENSIONS.items()) + " END"
 
 
 @query(f"SELECT p_partkey, {_rules(_WORDS, C.NAME_RULES)} AS category FROM (SELECT p_partkey, {_PART} AS path FROM part)")
@@ -40,7 +40,7 @@ def i22_classify_extension(spark, d):
     return _names(spark, d).select("p_partkey", C.by_extension(F.col("path")).alias("category"))
 
 
-_MIMES = sorted({t for e in " ".join(C.EXTENSIONS.values()).split() if (t := mimetypes.guess_type("x" + e)[0])})
+_MIMES = sorted({t for e in C.EXTENSIONS if (t := mimetypes.guess_type("x" + e)[0])})
 
 
 @query(
