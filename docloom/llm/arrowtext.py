@@ -35,7 +35,7 @@ def column(batch: pa.RecordBatch, name: str, lower: bool = False) -> pa.Array:
     return pc.ascii_lower(a) if lower else a
 
 
-def parts(texts: pa.Array, most: int = 4 << 20):
+def parts(texts: pa.Array, most: int = 2 << 20):
     """(first row, row past the last) of runs of rows with at most `most` bytes, or one row."""
     size = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))))
     at, n = 0, len(texts)

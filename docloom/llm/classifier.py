@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import map_arrow
 from docloom.llm.arrowtext import WORD_OR_SIGN, Words, column, grams, parts, raw
 
 BUCKETS = 10_000
@@ -89,7 +90,7 @@ def target_ids(labels: DataFrame, sample: int = SAMPLE) -> list[int]:
 
 def log_ratio(docs: DataFrame, target: set[int], buckets: int = BUCKETS) -> np.ndarray:
     """log p_target - log p_raw per bucket, each smoothed with one count a bucket."""
-    sums = docs.select("doc_id", "text").mapInArrow(_count(target, buckets), "bucket long, raw long, target long")
+    sums = map_arrow(docs.select("doc_id", "text"), _count(target, buckets), "bucket long, raw long, target long")
     rows = sums.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()  # at most `buckets` rows
     counts = np.ones((2, buckets))
     for bucket, *both in rows:
@@ -105,7 +106,7 @@ def _scored(docs: DataFrame, ratio: np.ndarray | None, seed: int) -> DataFrame:
     if ratio is None:
         return plain.withColumns({"_log": F.lit(0.0), "_key": F.lit(0.0)})
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema] + ["_log double", "_key double"])
-    return plain.mapInArrow(_score(ratio, seed, docs.columns.index("doc_id"), docs.columns.index("text")), schema)
+    return map_arrow(plain, _score(ratio, seed, docs.columns.index("doc_id"), docs.columns.index("text")), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, recall: float, seed: int, sample: int) -> tuple[np.ndarray | None, float]:

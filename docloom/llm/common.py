@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of an Arrow batch at most: texts may be long, and a batch is held several times over.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -128,3 +132,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     atexit.register(remove)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow in batches of at most BATCH_ROWS rows; a task's Python memory goes back to the system at its end."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+    def bounded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def _give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

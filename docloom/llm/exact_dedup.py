@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.arrowtext import column
-from docloom.llm.common import checkpoint
+from docloom.llm.common import checkpoint, map_arrow
 
 _LOCAL = "sha string, content binary, n long, top long, n_top long"
 _GROUP = "sha string, keep_id long, group_size long, n_top long"
@@ -194,9 +194,9 @@ def content_groups(docs: DataFrame, budget: int = 48 << 20) -> DataFrame:
 
     budget: bytes of distinct contents that a task holds at once.
     """
-    local = docs.select("doc_id", "text").mapInArrow(_fold(budget // 2), _LOCAL)
+    local = map_arrow(docs.select("doc_id", "text"), _fold(budget // 2), _LOCAL)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return local.repartition(parts, "sha").mapInArrow(_bucket(budget), _GROUP)
+    return map_arrow(local.repartition(parts, "sha"), _bucket(budget), _GROUP)
 
 
 def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 def exact_groups(docs: DataFrame, budget: int = 48 << 20) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_top (see the module)."""
-    rows = docs.select("doc_id", "text").mapInArrow(_row_digests, "doc_id long, sha string")
+    rows = map_arrow(docs.select("doc_id", "text"), _row_digests, "doc_id long, sha string")
     out = _with_groups(rows, content_groups(docs, budget))
     return out.select(
         "doc_id",

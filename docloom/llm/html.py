@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.arrowtext import column
-from docloom.llm.common import checkpoint
+from docloom.llm.common import checkpoint, map_arrow
 
 BROADCAST_PATHS = 20_000
 
@@ -212,7 +212,7 @@ def _vote(batches):
 
 def host_paths(pages: DataFrame, most: int = 3, share: float = 0.1) -> DataFrame:
     """host, paths: up to `most` leading paths that at least `share` of a host's voting pages chose."""
-    votes = pages.select("url", F.col("html").alias("_html")).mapInArrow(_vote, "host string, path string, score double")
+    votes = map_arrow(pages.select("url", F.col("html").alias("_html")), _vote, "host string, path string, score double")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.log1p("score")).alias("weight"))
     order = Window.partitionBy("host").orderBy(F.desc("n"), F.desc("weight"), "path")
     total = Window.partitionBy("host")
@@ -247,4 +247,4 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = pages.select("page_id", "url", F.col("html").alias("_html"), host.alias("_own"))
     joined = rows.join(side, F.col("_own") == F.col("_host"), "left").select("page_id", "url", "_html", "paths")
-    return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return map_arrow(joined, _extract, "page_id long, url string, text string, n_chars long")

@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docloom.llm.common import map_arrow
 from docloom.llm.arrowtext import column
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -241,4 +242,4 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
             columns = [pa.array([f[c] for f in found] if c != "spans" else cells, types.get(c, pa.int64())) for c in names]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select("doc_id", "text"), run, SCHEMA)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.arrowtext import SPACE, Words, column, grams, parts, raw
-from docloom.llm.common import checkpoint
+from docloom.llm.common import checkpoint, map_arrow
 
 BROADCAST_HOSTS = 50_000
 SYMBOLS = b"#*$%&|<>"
@@ -89,7 +89,7 @@ def _measure(batches):
 
 def measure(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """One row of counts per document."""
-    return docs.select("doc_id", F.col(host).alias("host"), F.col(text).alias("_text")).mapInArrow(_measure, _STATS)
+    return map_arrow(docs.select("doc_id", F.col(host).alias("host"), F.col(text).alias("_text")), _measure, _STATS)
 
 
 def judge(docs: DataFrame, host: str = "source", suspect: float = 0.3, rejected: float = 0.8) -> DataFrame:

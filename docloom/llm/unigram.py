@@ -25,10 +25,11 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docloom.llm.common import map_arrow
 from docloom.llm.arrowtext import column
 
 MARK = "▁"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -114,4 +115,4 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "n_tokens", "score"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, score double")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, score double")
