@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,13 +59,28 @@ def with_rank(df: DataFrame, column: str, name: str, parts: int = 32) -> DataFra
     return ranged.withColumn(name, (start[F.col("_part")] + F.row_number().over(window) - 1).cast("long")).drop("_part")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Rows that a part of a table between two steps has at least, and edges that one task joins up.
+PART_ROWS, TASK_EDGES = 20_000, 300_000
+
+
+def sized(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpoint of df in no more parts than its rows call for, and their number."""
+    held = checkpoint(df)
+    n = held.count()
+    return held.coalesce(max(1, -(-n // PART_ROWS))), n
+
+
+def components(edges: DataFrame, rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
     """Connected components of undirected edges (`a`, `b`) as (node, root); root is the smallest node.
 
-    Alternating large-star and small-star rounds: each is a grouped minimum,
+    Up to `task_edges` edges are joined up by one task. Beyond that come
+    alternating large-star and small-star rounds: each is a grouped minimum,
     combined before the shuffle, and a join whose large keys AQE can split.
     Every round ends in a checkpoint; it stops when no edge changes.
     """
+    if edges.limit(task_edges + 1).count() <= task_edges:
+        kind = edges.schema["a"].dataType.simpleString()
+        return map_arrow(edges.select("a", "b").coalesce(1), _join_up, f"node {kind}, root {kind}")
     now = checkpoint(
         edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
     )
@@ -89,7 +105,30 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
+    found = now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
+    return found.union(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _join_up(batches):
+    """Union-find over all edges of the task; the smaller root stays."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    if schema is not None:
+        nodes = list(parent)
+        kind = schema.field(0).type
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], ["node", "root"])
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -152,8 +191,6 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
 def _give_back() -> None:
     import ctypes
 
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)
