@@ -28,12 +28,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docloom.llm.arrowtext import column
-from docloom.llm.common import checkpoint
+from docloom.llm.common import checkpoint, map_arrow
 
 CAPACITY, END = 4096, 1
-CACHE_WORDS = 200_000
+BROADCAST_COUNTS = 500_000  # rows of piece counts by length and part
+CACHE_WORDS = 160_000
 LATIN_END = 0x300  # below it nothing composes, so NFC changes nothing
 
 
@@ -53,10 +56,10 @@ class WordEncoder:
     frequent words stay.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
         vocabulary = self.tokenizer.get_vocab()
         self._last = np.zeros(max(vocabulary.values()) + 1, bool)
         self._last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -100,7 +103,7 @@ class WordEncoder:
             own = texts[at : at + group]
             cut = [self._whole(t) for t in own]
             words = set().union(*(c for c in cut if c))
-            if len(self._young) > CACHE_WORDS:
+            if len(self._young) > self.cache:
                 self._old, self._young = self._young, {}
             self._learn(list(words.difference(self._young)))
             get = self._young.__getitem__
@@ -109,20 +112,21 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, cache: int = CACHE_WORDS) -> WordEncoder:
+    return WordEncoder(path, cache)
 
 
 def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
     """Pieces: doc_id, piece, start, length, ids_crc32, part and place (rank among the part's pieces of that length), and ids."""
     tail = array("I", [end]).tobytes()
+    cache = CACHE_WORDS // 4 if keep_ids else CACHE_WORDS  # the ids of the batches take the room
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"] + ["ids"] * keep_ids
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        own, part = encoder(path), TaskContext.get().partitionId()
+        own, part = encoder(path, cache), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
@@ -148,14 +152,18 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long" + ", ids array<int>" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 class Plan:
-    """Runs of equal sequences: how many, and the lengths in each."""
+    """Runs of equal sequences: how many, and the lengths in each.
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY):
-        self.capacity, self.left = capacity, np.zeros(capacity + 1, np.int64)
+    least: shortest length whose gap is looked up among the sums; shorter ones
+    only fill gaps.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, least: int = 1):
+        self.capacity, self.least, self.left = capacity, least, np.zeros(capacity + 1, np.int64)
         for size, n in counts.items():
             self.left[size] += n
         self.runs: list[tuple[int, tuple[int, ...]]] = []
@@ -188,7 +196,7 @@ class Plan:
 
     def _exact(self) -> None:
         self._index_sums()
-        for size in range(self.capacity, 0, -1):
+        for size in range(self.capacity, self.least - 1, -1):
             if size % 64 == 0:
                 self._index_sums()
             if not self.left[size]:
@@ -277,6 +285,12 @@ class Plan:
         return {size: tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) for size, rows in out.items()}
 
 
+def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """The plan with the fewest sequences: short lengths used up among themselves can leave long ones alone."""
+    plans = [Plan(counts, capacity, least) for least in (1, capacity // 3, capacity // 2, capacity + 1)]
+    return min(plans, key=lambda p: sum(n for n, _ in p.runs))
+
+
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
     """The pieces with sequence_id and offset; with keep_ids their token ids too.
 
@@ -285,32 +299,37 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, k
     pieces of one length.
     """
     pieces = checkpoint(tokenize(docs, path, capacity, end, keep_ids))
-    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    counts = checkpoint(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
-    places = Plan(histogram, capacity).places()
+    places = best_plan(histogram, capacity).places()
     order = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(
         F.col("length").alias("_length"), F.col("part").alias("_part"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("_base")
     )
+    if counts.count() <= BROADCAST_COUNTS:
+        base = F.broadcast(base)
     ranked = pieces.join(base, (F.col("length") == F.col("_length")) & (F.col("part") == F.col("_part")))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-    ranked = ranked.select(*columns, (F.col("_base") + F.col("place")).alias("_rank"))
-
-    def run(batches):
-        for batch in batches:
-            length = batch.column(3).to_numpy()
-            rank = batch.column(batch.num_columns - 1).to_numpy()
-            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            for size in np.unique(length):
-                own = length == size
-                ranks, firsts, offsets = places[int(size)]
-                at = np.searchsorted(ranks, rank[own], "right") - 1
-                sequence[own] = firsts[at] + rank[own] - ranks[at]
-                offset[own] = offsets[at]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
-
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids + ", sequence_id long, offset long"
-    return ranked.mapInArrow(run, schema)
+    placed = ranked.select(*columns, _placer(places)("length", F.col("_base") + F.col("place")).alias("_at"))
+    return placed.select(*columns, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
+
+
+def _placer(places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    """An Arrow function of length and rank: struct of sequence_id and offset. Token ids stay in the JVM meanwhile."""
+
+    @arrow_udf(StructType([StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+    def place(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
+        length, rank = lengths.to_numpy(zero_copy_only=False), ranks.to_numpy(zero_copy_only=False)
+        sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        for size in np.unique(length):
+            own = length == size
+            first_ranks, firsts, offsets = places[int(size)]
+            at = np.searchsorted(first_ranks, rank[own], "right") - 1
+            sequence[own] = firsts[at] + rank[own] - first_ranks[at]
+            offset[own] = offsets[at]
+        return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], ["sequence_id", "offset"])
+
+    return place
 
 
 def sequences(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
