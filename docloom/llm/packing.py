@@ -36,7 +36,7 @@ from docloom.llm.common import checkpoint, map_arrow
 
 CAPACITY, END = 4096, 1
 BROADCAST_COUNTS = 500_000  # rows of piece counts by length and part
-CACHE_WORDS = 160_000
+CACHE_WORDS = 200_000
 LATIN_END = 0x300  # below it nothing composes, so NFC changes nothing
 
 
@@ -310,8 +310,30 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, k
         base = F.broadcast(base)
     ranked = pieces.join(base, (F.col("length") == F.col("_length")) & (F.col("part") == F.col("_part")))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-    placed = ranked.select(*columns, _placer(places)("length", F.col("_base") + F.col("place")).alias("_at"))
-    return placed.select(*columns, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
+    ranked = ranked.select(*columns, (F.col("_base") + F.col("place")).alias("_rank"))
+    if keep_ids:
+        placed = ranked.select(*columns, _placer(places)("length", "_rank").alias("_at"))
+        return placed.select(*columns, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
+
+    def run(batches):
+        for batch in batches:
+            sequence, offset = _at_ranks(places, batch.column(3).to_numpy(), batch.column(5).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return map_arrow(ranked, run, schema)
+
+
+def _at_ranks(places: dict, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of the pieces with these lengths and ranks."""
+    sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+    for size in np.unique(length):
+        own = length == size
+        first_ranks, firsts, offsets = places[int(size)]
+        at = np.searchsorted(first_ranks, rank[own], "right") - 1
+        sequence[own] = firsts[at] + rank[own] - first_ranks[at]
+        offset[own] = offsets[at]
+    return sequence, offset
 
 
 def _placer(places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
@@ -319,14 +341,7 @@ def _placer(places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
 
     @arrow_udf(StructType([StructField("sequence_id", LongType()), StructField("offset", LongType())]))
     def place(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
-        length, rank = lengths.to_numpy(zero_copy_only=False), ranks.to_numpy(zero_copy_only=False)
-        sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-        for size in np.unique(length):
-            own = length == size
-            first_ranks, firsts, offsets = places[int(size)]
-            at = np.searchsorted(first_ranks, rank[own], "right") - 1
-            sequence[own] = firsts[at] + rank[own] - first_ranks[at]
-            offset[own] = offsets[at]
+        sequence, offset = _at_ranks(places, lengths.to_numpy(zero_copy_only=False), ranks.to_numpy(zero_copy_only=False))
         return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], ["sequence_id", "offset"])
 
     return place
