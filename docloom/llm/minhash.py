@@ -9,11 +9,12 @@ bucket the classes meet the one with the smallest id, and each class the centre
 with the most company among its buckets' (the likely original of the others), so
 a bucket yields pairs in proportion to its members. Estimates from
 the signatures drop hopeless pairs; the others are confirmed on the full sets,
-first each class's best pair. Rounds follow in which buckets that still hold
-several components are dealt by random bytes of the sketches into small blocks,
-whose neighbours of different components are compared, together with the centres' pairs left over:
-two similar texts share many buckets and so meet in some block. The rounds end
-when one finds no new link. Components come from alternating star steps.
+first each class's best pair. Then, in every bucket that still holds several
+components, all members of different components are compared by their sketches,
+cell by cell; a class puts forward its REACH most alike, and passes with a wider
+reach follow until one leaves no pair out. So each pair of different components
+that shares a bucket and has similar enough sketches is confirmed or refuted on
+the full sets. Components come from alternating star steps.
 
 Defined cases: a text without words (or null) has an empty set and links with
 nothing; fewer words than a shingle make one shingle of them all; null ids take
@@ -27,21 +28,20 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.arrowtext import Words, column, grams, mix, parts, raw
 from docloom.llm.common import checkpoint, components, map_arrow, scratch, sized
 
 BROADCAST_IDS = 1_000_000
-BLOCK, REACH, LARGEST = 16, 8, 2048
-AGREE, MOST_BYTES = 0.35, 16  # a byte agrees in exp(-0.35), about 0.7, of the pairs that crowd a bucket
+REACH, WIDER = 8, 8  # pairs a class puts forward in a cell, and how many times as many in the next pass
+PART = 1024  # members of a side of a cell
+FIRST, LEAST_FIRST = 32, 16  # sketch bytes compared first: a pair at similarity 0.8 falls below in two of a hundred thousand cases
 BROADCAST_TEXT = 32 << 20
-LEAST_BYTES = 7  # of 16: pairs at similarity 0.8 fall below in two of ten thousand blocks
 
 
 @dataclass(frozen=True)
@@ -128,9 +128,8 @@ def _sign(s: Settings):
                 keys.append(memo[digest][0])
                 sketches.append(memo[digest][1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
-                 *(pa.array([None if x is None else int.from_bytes(x[8 * k : 8 * k + 8], "little", signed=True) for x in sketches], pa.int64()) for k in (0, 1))],
-                ["doc_id", "n_shingles", "node", "subs", "sketch", "h1", "h2"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "n_shingles", "node", "subs", "sketch"],
             )
 
     return run
@@ -200,40 +199,82 @@ def _centre_pairs(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shared.select("node", "key"), every.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
 
-def _same_bytes(a: str, b: str) -> Column:
-    """How many of the eight bytes of two longs agree."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    return reduce(lambda n, k: n + (F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) == 0).cast("int"), range(8), F.lit(0))
+def _slices(counts: np.ndarray, most: int):
+    """Runs of neighbouring lists with at most `most` members together, or of one list."""
+    lo, held = 0, 0
+    for k, n in enumerate(counts):
+        if held and held + n > most:
+            yield lo, k
+            lo, held = k, 0
+        held += n
+    if held:
+        yield lo, len(counts)
+
+
+def _meet(s: Settings, reach: int):
+    """The pairs of each cell that are of different components and alike, the `reach` most alike of each member; `cut` marks that others were left out."""
+
+    def alike(counts, root, n, side, sketch):
+        end = np.repeat(np.cumsum(counts), counts)
+        live, out = np.arange(len(root)), []
+        for d in range(1, int(counts.max())):
+            live = live[live + d < end[live]]
+            i, j = live, live + d
+            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            i = i[(root[i] != root[j]) & ((side[i] < 0) | (side[i] != side[j])) & (100 * small >= s.percent * large)]
+            i = i[(sketch[i, :FIRST] == sketch[i + d, :FIRST]).sum(axis=1) >= LEAST_FIRST]
+            same = (sketch[i] == sketch[i + d]).mean(axis=1)
+            keep = same >= s.percent / 100 - s.slack
+            out.append((i[keep], i[keep] + d, same[keep]))
+        return (np.concatenate(x) for x in zip(*out, strict=True))
 
+    def run(batches):
+        for batch in batches:
+            cells = batch.column(0)
+            for lo, hi in _slices(cells.value_lengths().to_numpy(), 4 * PART):
+                node, root, n, side, sketch = cells[lo:hi].flatten().flatten()
+                sketches = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(len(node), s.sketch)
+                i, j, same = alike(cells[lo:hi].value_lengths().to_numpy(), *(x.to_numpy() for x in (root, n, side)), sketches)
+                order = np.lexsort((-same, i))
+                i, j = i[order], j[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j, left = i[place < reach], j[place < reach], bool((place >= reach).any())
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j)), pa.array([left] * len(i), pa.bool_())], ["a", "b", "cut"])
+
+    return run
 
-def _block_pairs(posts: DataFrame, classes: DataFrame, roots: DataFrame, s: Settings, seed: int) -> DataFrame:
-    """Distinct pairs of neighbours of different components in the blocks of buckets that hold several.
 
-    A block holds the classes that also agree in some bytes of their sketches,
-    drawn anew each round: the more, the larger the bucket, so that about BLOCK
-    classes meet and the more similar rather meet. A class meets the REACH that
-    follow it. Pairs whose sizes, or first 16 sketch bytes, are too unlike are
-    left out at once, then those whose whole sketches are.
+def _mixed_pairs(posts: DataFrame, members: DataFrame, roots: DataFrame, s: Settings, reach: int) -> DataFrame:
+    """The distinct pairs (a, b, cut) of different components that share a bucket and have similar sketches.
+
+    Of buckets with the same members one is looked at. A bucket of more than PART
+    members is dealt into parts: those of its largest component, which needn't
+    meet each other, and those of the others, which meet all; a cell holds two parts.
     """
-    places = np.random.default_rng(seed).permutation(np.arange(17, s.sketch + 1))[:MOST_BYTES]
-    picked = F.concat(*[F.expr(f"substring(sketch, {p}, 1)") for p in places])
-    own = classes.select(F.col("node").alias("_node"), "n_shingles", "h1", "h2", "sketch", picked.alias("picked")).join(
-        roots.select(F.col("node").alias("_node"), "root"), "_node", "left"
+    own = posts.join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
+    rooted, _ = sized(own.select("key", "node", F.xxhash64(F.coalesce("root", "node")).alias("root")))
+    prints = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in (0, 1)]
+    each = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), *prints)
+    keys = each.groupBy(F.col("key").alias("_key")).agg(
+        F.sum("n").alias("n"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most"), *[F.bit_xor(f"p{k}").alias(f"p{k}") for k in (0, 1)]
+    )
+    mixed, _ = sized(keys.where("roots > 1").dropDuplicates(["n", "p0", "p1"]).select("_key", "n", F.col("most.n").alias("n_most"), F.col("most.root").alias("most")))
+    parts_of = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(float(PART)))).cast("int")
+    others, inner = parts_of(F.col("n") - F.col("n_most")), parts_of(F.col("n_most"))
+    place = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
+    inside = F.col("root") == F.col("most")
+    part = F.when(inside, others + place(inner)).otherwise(place(others))
+    met = F.sequence(F.lit(0), F.when(inside, others).otherwise(others + inner) - 1)
+    cell = F.when(F.col("n") <= PART, F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(
+        F.transform(met, lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
     )
-    member = F.struct(F.xxhash64("node", F.lit(seed)).alias("o"), "node", F.coalesce("root", "node").alias("root"), "n_shingles", "h1", "h2", "sketch")
-    rooted, _ = sized(posts.join(own, F.col("node") == F.col("_node")).select("key", "picked", member.alias("m")))
-    mixed = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("m.root").alias("r0"), F.max("m.root").alias("r1")).where("r0 <> r1")
-    mixed, _ = sized(mixed.select(F.col("key").alias("_key"), "n"))
-    n_bytes = F.least(F.lit(MOST_BYTES), F.greatest(F.lit(0), F.ceil(F.ln(F.col("n") / F.lit(float(BLOCK))) / F.lit(AGREE)))).cast("int")
-    block = F.struct(F.substring("picked", F.lit(1), n_bytes), F.pmod(F.xxhash64("m.node", F.lit(seed)), F.ceil(F.col("n") / F.lit(float(LARGEST))).cast("long")))
-    blocks = rooted.join(mixed, F.col("key") == F.col("_key")).groupBy("key", block.alias("block")).agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    near = blocks.select(F.posexplode("ms").alias("k", "x"), "ms").select("x", F.slice("ms", F.col("k") + 2, F.lit(REACH)).alias("ys"))
-    fit = F.filter("ys", lambda y: (y["root"] != F.col("x.root")) & (100 * F.least(y["n_shingles"], F.col("x.n_shingles")) >= s.percent * F.greatest(y["n_shingles"], F.col("x.n_shingles"))))
-    pairs = near.select("x", F.explode(fit).alias("y"))
-    alike = _same_bytes("x.h1", "y.h1") + _same_bytes("x.h2", "y.h2") >= LEAST_BYTES
-    ordered = F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
-    near = map_arrow(pairs.where(alike).select(*ordered, F.col("x.sketch").alias("sa"), F.col("y.sketch").alias("sb")), _near(s), "a binary, b binary, likeness double")
-    return near.where(F.col("likeness") >= s.percent / 100 - s.slack).select("a", "b").distinct()
+    dealt = rooted.join(mixed, F.col("key") == F.col("_key")).withColumn("part", part).select("key", "node", "root", "part", F.explode(cell).alias("cell"))
+    side = F.when(F.col("cell.i") == F.col("cell.j"), -1).otherwise(F.col("part"))
+    known = members.select(F.col("node").alias("_node"), "n_shingles", "sketch")
+    full = dealt.join(known, F.col("node") == F.col("_node"))
+    cells = full.groupBy("key", "cell").agg(F.collect_list(F.struct("node", "root", "n_shingles", side.alias("side"), "sketch")).alias("ms")).select("ms")
+    found = map_arrow(cells.where("size(ms) > 1"), _meet(s, reach), "a binary, b binary, cut boolean")
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cut").alias("cut"))
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
@@ -245,13 +286,6 @@ def _likely(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     return map_arrow(held, _near(s), "a binary, b binary, likeness double").where(F.col("likeness") >= s.percent / 100 - s.slack)
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs that would join two components."""
-    ra, rb = (roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
-    both = pairs.join(ra, "a", "left").join(rb, "b", "left")
-    return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     """The pairs whose full sets are similar enough, checkpointed.
 
@@ -278,10 +312,9 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, s: Settings) -
 
 def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row per document: doc_id, n_shingles, node (its set's class; null if empty), component_id, kept."""
-    signed = checkpoint(map_arrow(docs.select("doc_id", "text"), _sign(s), "doc_id long, n_shingles long, node binary, subs array<long>, sketch binary, h1 long, h2 long"))
+    signed = checkpoint(map_arrow(docs.select("doc_id", "text"), _sign(s), "doc_id long, n_shingles long, node binary, subs array<long>, sketch binary"))
     classes = signed.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("subs").alias("subs"), F.first("sketch").alias("sketch"),
-        F.first("h1").alias("h1"), F.first("h2").alias("h2"),
     )
     classes, _ = sized(classes)
     posts, _ = sized(_bucket_keys(classes, s))
@@ -292,16 +325,14 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     tested, _ = sized(best.groupBy("x").agg(F.max(F.struct("likeness", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
     links = _links(docs, classes, tested, s)
     roots, _ = sized(components(links))
-    waiting, seed = _apart(pairs, roots), 1
-    while True:
-        blocks = _block_pairs(posts, members, roots, s, seed)
-        fresh, _ = sized(waiting.union(blocks).distinct().join(tested, ["a", "b"], "left_anti"))
-        more = _links(docs, classes, fresh, s)
-        if not more.count():
-            break
-        links, tested = links.union(more), tested.union(fresh)
+    reach, cut = REACH, True
+    while cut:
+        found, _ = sized(_mixed_pairs(posts, members, roots, s, reach))
+        cut = bool(found.agg(F.max("cut")).first()[0])
+        fresh, _ = sized(found.select("a", "b").join(tested, ["a", "b"], "left_anti"))
+        links, tested = links.union(_links(docs, classes, fresh, s)), tested.union(fresh)
         roots, _ = sized(components(links))
-        waiting, seed = _apart(pairs, roots), seed + 2
+        reach *= WIDER
     own = classes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = own.groupBy("root").agg(F.min("low").alias("component_id"))
     found = own.join(lowest, "root").select(F.col("node").alias("_node"), F.col("component_id").alias("_component"))

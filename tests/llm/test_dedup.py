@@ -137,3 +137,40 @@ def test_components_in_one_task_and_in_rounds(spark):
     assert one == {tuple(r) for r in components(frame, task_edges=0).collect()}
     assert {r for n, r in one if n <= 60} == {0} and {r for n, r in one if n >= 500} == {500}
     assert components(frame.limit(0)).collect() == [] and components(frame.limit(0), task_edges=-1).collect() == []
+
+
+def crowded(spark, n, twins, shared, own_words, changed):
+    """n unlike texts that share a passage, some with one near copy; the rows and the groups of near copies."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    passage, texts, pairs = [word() for _ in range(shared)], {}, []
+    for k in range(n):
+        own = [word() for _ in range(own_words)]
+        texts[(k * 7919) % 1_000_003] = " ".join(passage + own)
+        if k % (n // twins) == n // twins // 2:
+            for at in changed:
+                own[at] = word()
+            texts[((n + k) * 7919) % 1_000_003] = " ".join(passage + own)
+            pairs.append(sorted((i * 7919) % 1_000_003 for i in (k, n + k)))
+    assert len(pairs) == twins
+    return spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7), sorted(pairs)
+
+
+def linked(docs):
+    groups = collections.defaultdict(list)
+    for r in minhash.near_groups(docs, minhash.Settings(3, 85, 7)).collect():
+        groups[r["component_id"]].append(r["doc_id"])
+    return sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+
+def test_few_links_inside_crowded_buckets(spark):
+    """Near copies at 0.86 among texts at 0.80: some of them share only keys that nearly all texts have."""
+    docs, pairs = crowded(spark, 400, 20, 222, 28, range(9, 28))
+    assert linked(docs) == pairs
+
+
+def test_links_across_the_parts_of_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART", 50)
+    monkeypatch.setattr(minhash, "REACH", 1)
+    docs, pairs = crowded(spark, 600, 60, 170, 80, range(5, 75, 12))
+    assert linked(docs) == pairs
