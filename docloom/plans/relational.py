@@ -113,7 +113,7 @@ def f3_parent_and_next(spark, d):
 def g7_newest_versions(spark, d):
     stamp = F.date_format(F.timestamp_seconds(F.lit(NOW).cast("long") - F.col("age_days") * 86400), "yyyyMMddHHmmss")
     ids = view(spark, d, "fx_versions").select(F.concat(stamp, F.lit("_"), F.col("file_id").cast("string"), F.col("version").cast("string")).alias("version_id"))
-    return ids.orderBy(F.desc("version_id")).limit(50)
+    return ids.orderBy(F.desc("version_id"))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) || '_' || o_orderstatus AS id FROM orders ORDER BY o_orderkey, o_orderstatus LIMIT 100")
