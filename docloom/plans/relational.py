@@ -120,7 +120,7 @@ def g7_newest_versions(spark, d):
 def g8_numeric_version_order(spark, d):
     """Ids compare by their number first, then as text."""
     ids = view(spark, d, "orders").select(F.concat_ws("_", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("id"))
-    return ids.orderBy(F.split("id", "_")[0].cast("long"), "id").limit(100)
+    return ids.orderBy(F.split("id", "_")[0].cast("long"), "id")
 
 
 @query(cte("fx_files") + "SELECT file_id, path FROM fx_files ORDER BY modified_time DESC, file_id LIMIT 6")

@@ -25,3 +25,7 @@ def rows_in_order(spark, data, db, name, limit):
 
 def test_g7_returns_every_version(spark, data, db):
     rows_in_order(spark, data, db, "g7_newest_versions", " LIMIT 50")
+
+
+def test_g8_returns_every_id(spark, data, db):
+    rows_in_order(spark, data, db, "g8_numeric_version_order", " LIMIT 100")
