@@ -23,7 +23,7 @@ def _items(spark, d):
 
 @query(cte("fx_files") + "," + _ITEMS + " SELECT path, type FROM items ORDER BY CASE WHEN type = 'folder' THEN 0 ELSE 1 END, coalesce(created, modified) DESC, path LIMIT 100")
 def g9_explorer_sort(spark, d):
-    return X.sort_items(_items(spark, d), "date", True).limit(100).select("path", "type")
+    return X.sort_items(_items(spark, d), "date", True).select("path", "type")
 
 
 @query(cte("fx_files") + "," + _ITEMS + " SELECT CASE WHEN type = 'folder' THEN 'Folders' WHEN ext <> '' THEN ext ELSE 'Other' END AS key, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM items GROUP BY 1")

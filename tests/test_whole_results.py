@@ -29,3 +29,7 @@ def test_g7_returns_every_version(spark, data, db):
 
 def test_g8_returns_every_id(spark, data, db):
     rows_in_order(spark, data, db, "g8_numeric_version_order", " LIMIT 100")
+
+
+def test_g9_returns_every_item(spark, data, db):
+    rows_in_order(spark, data, db, "g9_explorer_sort", " LIMIT 100")
