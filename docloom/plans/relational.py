@@ -192,7 +192,7 @@ def i41_cosine(spark, d):
 
 @query("SELECT doc_id, lower(hex(encode(substring(text, 1, 8)))) AS hexed, substring(text, 1, 8) AS back FROM documents")
 def i56_hex(spark, d):
-    hexed = F.lower(F.hex(F.encode(F.substring("text", 1, 8), "UTF-8")))
+    hexed = F.lower(F.hex(F.encode("text", "UTF-8")))
     return view(spark, d, "documents").select("doc_id", hexed.alias("hexed"), F.decode(F.unhex(hexed), "UTF-8").alias("back"))
 
 

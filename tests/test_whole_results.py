@@ -33,3 +33,9 @@ def test_g8_returns_every_id(spark, data, db):
 
 def test_g9_returns_every_item(spark, data, db):
     rows_in_order(spark, data, db, "g9_explorer_sort", " LIMIT 100")
+
+
+def test_i56_encodes_whole_texts(spark, data, db):
+    texts = dict(db.sql("SELECT doc_id, text FROM documents").fetchall())
+    got = {r["doc_id"]: (r["hexed"], r["back"]) for r in QUERIES["i56_hex"](spark, data).collect()}
+    assert got == {k: (t and t.encode().hex(), t) for k, t in texts.items()}
