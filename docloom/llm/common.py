@@ -15,28 +15,50 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Rows of an Arrow batch at most: texts may be long, and a batch is held several times over.
-BATCH_ROWS = 256
+#: Rows and bytes of the pieces in which a task works through its Arrow batches: texts may be long, and a piece is held several times over.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in `spark.checkpoint.dir`.
 
-    Where `spark.checkpoint.dir` is unset (tests on one machine), a temporary
-    folder stands in and is removed at exit.
+    Where it is unset, a temporary folder stands in on a single machine (tests)
+    and is removed at exit; on a cluster that is an error, as executors would
+    write to disks of their own.
     """
-    sc = df.sparkSession.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
         if not named:
+            if not (sc.master or "").split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="docloom-checkpoint-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir().rstrip("/")
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    """While the block runs a job, Arrow batches hold BATCH_ROWS rows at most."""
+    before = spark.conf.get(_ROWS_KEY)
+    spark.conf.set(_ROWS_KEY, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS_KEY, before)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    with _small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def with_rank(df: DataFrame, column: str, name: str, parts: int = 32) -> DataFrame:
@@ -59,15 +81,8 @@ def with_rank(df: DataFrame, column: str, name: str, parts: int = 32) -> DataFra
     return ranged.withColumn(name, (start[F.col("_part")] + F.row_number().over(window) - 1).cast("long")).drop("_part")
 
 
-#: Rows that a part of a table between two steps has at least, and edges that one task joins up.
-PART_ROWS, TASK_EDGES = 20_000, 300_000
-
-
-def sized(df: DataFrame) -> tuple[DataFrame, int]:
-    """A checkpoint of df in no more parts than its rows call for, and their number."""
-    held = checkpoint(df)
-    n = held.count()
-    return held.coalesce(max(1, -(-n // PART_ROWS))), n
+#: Edges that one task joins up.
+TASK_EDGES = 300_000
 
 
 def components(edges: DataFrame, rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
@@ -136,34 +151,49 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _shared_path(spark: SparkSession, name: str) -> str:
-    if spark.sparkContext.getCheckpointDir() is None:
-        checkpoint(spark.range(1))  # sets the folder where none is named
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-@contextlib.contextmanager
-def scratch(df: DataFrame, name: str):
-    """df as a Parquet table in the shared folder while the block runs."""
-    spark = df.sparkSession
-    path = _shared_path(spark, name)
-    df.write.parquet(path)
-    try:
-        yield spark.read.schema(df.schema).parquet(path)
-    finally:
-        _delete(spark, path)
+class Tables:
+    """The tables between the steps of a job, as Parquet in the shared folder.
+
+    `put` writes a step's rows and gives them back as a plain scan, so that a lost
+    executor costs the tasks it held and no earlier step; `drop` removes a table
+    that later steps don't need, leaving the block removes the rest.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.at: dict[int, tuple[DataFrame, str]] = {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        with _small_batches(self.spark):
+            df.write.parquet(path)
+        held = self.spark.read.schema(df.schema).parquet(path)
+        self.at[id(held)] = held, path
+        return held
+
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            _delete(self.spark, self.at.pop(id(df))[1])
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        _delete(self.spark, self.path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again; removed when Python ends, if the session still runs."""
     spark = df.sparkSession
-    path = _shared_path(spark, name)
-    df.write.parquet(path)
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with _small_batches(spark):
+        df.write.parquet(path)
 
     def remove() -> None:
         if spark.sparkContext._jsc is not None:
@@ -173,15 +203,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces(batch: pa.RecordBatch):
+    """A batch in slices of at most BATCH_ROWS rows and about BATCH_BYTES bytes, or of one row."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(BATCH_ROWS, batch.num_rows - at)
+        while n > 1 and batch.slice(at, n).nbytes > BATCH_BYTES:
+            n //= 2
+        yield batch.slice(at, n)
+        at += n
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow in batches of at most BATCH_ROWS rows; a task's Python memory goes back to the system at its end."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """mapInArrow over bounded slices of Spark's batches; a task's Python memory goes back to the system at its end."""
 
     def bounded(batches):
         try:
-            yield from run(batches)
+            yield from run(part for batch in batches for part in pieces(batch))
         finally:
             _give_back()
 

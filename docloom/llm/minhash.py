@@ -4,24 +4,33 @@ Each set of word shingles gets two small collections of t sub-keys, each made of
 `width` minhashes; every pair of a sub-key of the first and one of the second
 collection is a table key, so t * t tables cost 2 * t * width minhashes. Equal
 sets are one class from the start. Sub-keys that no other class has can't make
-a shared key, so only keys of two shared sub-keys are formed. In each table
-bucket the classes meet the one with the smallest id, and each class the centre
-with the most company among its buckets' (the likely original of the others), so
-a bucket yields pairs in proportion to its members. Estimates from
-the signatures drop hopeless pairs; the others are confirmed on the full sets,
-first each class's best pair. Then, in every bucket that still holds several
-components, all members of different components are compared by their sketches,
-cell by cell; a class puts forward its REACH most alike, and passes with a wider
-reach follow until one leaves no pair out. So each pair of different components
-that shares a bucket and has similar enough sketches is confirmed or refuted on
-the full sets. Components come from alternating star steps.
+a shared key, so only keys of two shared sub-keys are formed.
+
+1. In each table bucket the classes meet the one with the smallest id, and each
+   class the centre with most company among its buckets' (the likely original of
+   the others), so a bucket yields pairs in proportion to its members. Estimates
+   from the signatures drop hopeless pairs; each class's best is confirmed on the
+   full sets. A group of copies is one component after this.
+2. Buckets whose members are of one component are settled. The others are taken
+   together by their sub-key of the first collection. Where up to SMALL classes
+   have it, the pairs of different components are estimated and confirmed.
+3. Where more have it, a task gets the full sets of all of them (or of two parts
+   of them, see `_cells`) and finds every pair of different components that is
+   similar enough, exactly: a pair must share one of the shingles that are rarest
+   among those sets, as many as could be missing from the other set and one more,
+   so texts that share a frequent passage only are never counted against each
+   other. A link that joins two components is emitted, the others are implied.
+
+So of two texts that share a bucket, none is left out. Components come from a
+union-find over the links, or from alternating star steps.
 
 Defined cases: a text without words (or null) has an empty set and links with
-nothing; fewer words than a shingle make one shingle of them all; null ids take
-part and count as absent when the smallest id is sought; a component of null ids
-alone has component_id null; repeated rows are in one class; an empty table
-gives an empty result; other columns are ignored by `near_groups` and kept by
-`drop_near_copies`.
+nothing; fewer words than a shingle make one shingle of them all; texts of any
+length are read whole, in blocks; null ids take part and count as absent when the
+smallest id is sought; a component of null ids alone has component_id null;
+repeated rows are in one class; ties between centres go to the smaller id, then
+the class's digest; an empty table gives an empty result; other columns, whatever
+their names, are ignored by `near_groups` and kept by `drop_near_copies`.
 """
 
 from __future__ import annotations
@@ -35,13 +44,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.arrowtext import Words, column, grams, mix, parts, raw
-from docloom.llm.common import checkpoint, components, map_arrow, scratch, sized
+from docloom.llm.common import Tables, components, map_arrow, written
 
 BROADCAST_IDS = 1_000_000
-REACH, WIDER = 8, 8  # pairs a class puts forward in a cell, and how many times as many in the next pass
-PART = 1024  # members of a side of a cell
-FIRST, LEAST_FIRST = 32, 16  # sketch bytes compared first: a pair at similarity 0.8 falls below in two of a hundred thousand cases
-BROADCAST_TEXT = 32 << 20
+BROADCAST_SETS = 32 << 20  # bytes
+SMALL = 16  # classes with a sub-key whose pairs are formed one by one
+PART, PART_SHINGLES = 2048, 1 << 21  # classes and shingles of one side of a cell
 
 
 @dataclass(frozen=True)
@@ -146,22 +154,28 @@ def _near(s: Settings):
     return run
 
 
-def _nodes(s: Settings):
+def _fingerprints(s: Settings):
     def run(batches):
         for batch in batches:
-            texts = column(batch, "text", lower=True)
-            nodes = [_digest(codes) if len(codes) else None for codes in shingle_sets(texts, s.shingle)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), texts.cast(pa.string())], ["node", "text"])
+            nodes, sets = [], []
+            for codes in shingle_sets(column(batch, "text", lower=True), s.shingle):
+                nodes.append(_digest(codes) if len(codes) else None)
+                sets.append(codes.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "codes"])
 
     return run
 
 
+def _set(x: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), np.uint64)
+
+
 def _confirm(s: Settings):
     def run(batches):
         for batch in batches:
             ok = []
-            sides = (shingle_sets(batch.column(c), s.shingle) for c in (2, 3))
-            for one, two in zip(*sides, strict=True):
+            for one, two in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = _set(one), _set(two)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 ok.append(100 * both >= s.percent * (len(one) + len(two) - both))
             keep = pa.array(ok, pa.bool_())
@@ -170,177 +184,231 @@ def _confirm(s: Settings):
     return run
 
 
-def _bucket_keys(classes: DataFrame, s: Settings) -> DataFrame:
-    """(node, low, key) for the pairs of sub-keys that each have at least two classes."""
-    posts = classes.select("node", "low", F.posexplode("subs").alias("slot", "sub"))
-    shared, _ = sized(posts.groupBy("sub").count().where("count > 1").select(F.col("sub").alias("_sub")))
-    held = posts.join(shared, F.col("sub") == F.col("_sub"), "left_semi").groupBy("node").agg(
+class _Cell:
+    """The sets of a cell, their shingles numbered from the rarest of the cell on."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.size = np.array([len(x) for x in sets])
+        self.first = np.concatenate(([0], np.cumsum(self.size)))
+        _, ids, found = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        order = np.argsort(found, kind="stable")
+        number = np.empty(len(found), np.int64)
+        number[order] = np.arange(len(found))
+        row = np.repeat(np.arange(len(sets)), self.size)
+        ids = number[ids]
+        self.ids = ids[np.lexsort((ids, row))]
+        # A set that is similar enough has `percent` of these at least, so it has one of so many:
+        lead = self.size - -(-percent * self.size // 100) + 1
+        within = np.arange(len(self.ids)) - np.repeat(self.first[:-1], self.size)
+        leads = (within < np.repeat(lead, self.size)) & (found[order][self.ids] > 1)
+        self.lead_ids, self.lead_rows = self.ids[leads], row[leads]
+        self.lead_first = np.searchsorted(self.lead_rows, np.arange(len(sets) + 1))
+        by_id = np.argsort(self.lead_ids, kind="stable")  # rows stay in order within an id
+        self.posted, self.posted_ids = self.lead_rows[by_id], self.lead_ids[by_id]
+        self.seen = np.zeros(len(found), bool)
+
+    def later(self, i: int) -> np.ndarray:
+        """Marks the rows with one of the leading shingles of row i."""
+        own = self.lead_ids[self.lead_first[i] : self.lead_first[i + 1]]
+        lo, hi = np.searchsorted(self.posted_ids, own, "left"), np.searchsorted(self.posted_ids, own, "right")
+        out = np.zeros(len(self.size), bool)
+        for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+            out[self.posted[a:b]] = True
+        return out
+
+    def both(self, i: int, rows: np.ndarray) -> np.ndarray:
+        """How many shingles row i has in common with each of the rows (in ascending order)."""
+        own = self.ids[self.first[i] : self.first[i + 1]]
+        self.seen[own] = True
+        if 3 * self.size[rows].sum() > self.first[-1] - self.first[rows[0]]:
+            hit = np.concatenate(([0], np.cumsum(self.seen[self.ids[self.first[rows[0]] :]])))
+            at = self.first[rows] - self.first[rows[0]]
+        else:
+            ends = np.cumsum(self.size[rows])
+            place = np.arange(ends[-1]) + np.repeat(self.first[rows] - ends + self.size[rows], self.size[rows])
+            hit = np.concatenate(([0], np.cumsum(self.seen[self.ids[place]])))
+            at = ends - self.size[rows]
+        self.seen[own] = False
+        return hit[at + self.size[rows]] - hit[at]
+
+
+def _forest(s: Settings):
+    """Links between the components of a cell: each joins two that no earlier one has joined."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks().sort_by("node")
+        node, out = cell.column("node"), []
+        sets = _Cell([_set(x) for x in cell.column("codes")], s.percent)
+        root, side, size = np.unique(cell.column("root").to_numpy(), return_inverse=True)[1], cell.column("side").to_numpy(), sets.size
+        for i in range(len(size) - 1):
+            fit = (root != root[i]) & ((side < 0) | (side != side[i])) & (100 * np.minimum(size, size[i]) >= s.percent * np.maximum(size, size[i]))
+            fit[: i + 1] = False
+            rows = np.flatnonzero(fit & sets.later(i)) if fit.any() else []
+            if not len(rows):
+                continue
+            both = sets.both(i, rows)
+            for j in rows[100 * both >= s.percent * (size[i] + size[rows] - both)]:
+                if root[i] != root[j]:
+                    out.append((i, j))
+                    root[root == root[j]] = root[i]
+        a, b = (pa.array([x[k] for x in out], pa.int64()) for k in (0, 1))
+        return pa.table({"a": node.take(a), "b": node.take(b)})
+
+    return run
+
+
+def _ids(frame: DataFrame, count: int) -> DataFrame:
+    """A table of ids, broadcast up to BROADCAST_IDS of them."""
+    return F.broadcast(frame) if count <= BROADCAST_IDS else frame
+
+
+def _shared_keys(classes: DataFrame, s: Settings, held: Tables) -> DataFrame:
+    """(node, low, n_shingles, first, key, n): the table keys that n > 1 classes have; first is the key's sub-key of the first collection."""
+    posts = classes.select("node", "low", "n_shingles", F.posexplode("subs").alias("slot", "sub"))
+    shared = held.put(posts.groupBy("sub").count().where("count > 1").select(F.col("sub").alias("_sub")))
+    own = posts.join(_ids(shared, shared.count()), F.col("sub") == F.col("_sub"), "left_semi").groupBy("node").agg(
         F.first("low").alias("low"),
-        F.collect_list(F.when(F.col("slot") < s.tables, F.col("sub"))).alias("first"),
-        F.collect_list(F.when(F.col("slot") >= s.tables, F.col("sub"))).alias("second"),
+        F.first("n_shingles").alias("n_shingles"),
+        F.collect_list(F.when(F.col("slot") < s.tables, F.col("sub"))).alias("one"),
+        F.collect_list(F.when(F.col("slot") >= s.tables, F.col("sub"))).alias("two"),
     )
-    one = held.select("node", "low", F.explode("first").alias("f"), "second")
-    return one.select("node", "low", "f", F.explode("second").alias("s")).select("node", "low", F.xxhash64("f", "s").alias("key"))
+    subs = held.put(own.where("size(one) > 0 and size(two) > 0"))
+    each = subs.select("node", "low", "n_shingles", F.explode("one").alias("first"), "two")
+    keys = each.select("node", "low", "n_shingles", "first", F.explode("two").alias("_second"))
+    keys = keys.select("node", "low", "n_shingles", "first", F.xxhash64("first", "_second").alias("key"))
+    sizes = keys.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1")
+    out = held.put(keys.join(sizes, F.col("key") == F.col("_key")).drop("_key"))
+    held.drop(shared, subs)
+    return out
 
 
-def _centre_pairs(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows (node, key) of keys that several classes have, and distinct pairs (a, b): a class with the lowest centre of each of its buckets, and with the fullest of all of them."""
-    size = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    size, _ = sized(size.select(F.col("key").alias("_key"), "n"))
-    shared, _ = sized(posts.join(size, F.col("key") == F.col("_key")).select("node", "low", "key", "n"))
-    company, _ = sized(shared.groupBy(F.col("node").alias("_node")).agg(F.sum("n").alias("company")))
+def _centre_pairs(shared: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b): a class with the lowest centre of each of its buckets, and with the fullest of all of them."""
+    company = shared.groupBy(F.col("node").alias("_node")).agg(F.sum("n").alias("company"))
     known = shared.join(company, F.col("node") == F.col("_node"))
     lowest = F.min(F.struct(F.col("low").isNull(), "low", "node"))["node"]
     fullest = F.max(F.struct("company", "node"))
-    centres, _ = sized(known.groupBy(F.col("key").alias("_key")).agg(lowest.alias("first"), fullest.alias("full")))
-    met = shared.join(centres, F.col("key") == F.col("_key")).select("node", "first", "full")
-    top = met.groupBy("node").agg(F.max("full").alias("full")).select("node", F.col("full.node").alias("c"))
-    every = met.select("node", F.col("first").alias("c")).union(top).where("node <> c")
-    return shared.select("node", "key"), every.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-
-
-def _slices(counts: np.ndarray, most: int):
-    """Runs of neighbouring lists with at most `most` members together, or of one list."""
-    lo, held = 0, 0
-    for k, n in enumerate(counts):
-        if held and held + n > most:
-            yield lo, k
-            lo, held = k, 0
-        held += n
-    if held:
-        yield lo, len(counts)
-
-
-def _meet(s: Settings, reach: int):
-    """The pairs of each cell that are of different components and alike, the `reach` most alike of each member; `cut` marks that others were left out."""
-
-    def alike(counts, root, n, side, sketch):
-        end = np.repeat(np.cumsum(counts), counts)
-        live, out = np.arange(len(root)), []
-        for d in range(1, int(counts.max())):
-            live = live[live + d < end[live]]
-            i, j = live, live + d
-            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            i = i[(root[i] != root[j]) & ((side[i] < 0) | (side[i] != side[j])) & (100 * small >= s.percent * large)]
-            i = i[(sketch[i, :FIRST] == sketch[i + d, :FIRST]).sum(axis=1) >= LEAST_FIRST]
-            same = (sketch[i] == sketch[i + d]).mean(axis=1)
-            keep = same >= s.percent / 100 - s.slack
-            out.append((i[keep], i[keep] + d, same[keep]))
-        return (np.concatenate(x) for x in zip(*out, strict=True))
+    centres = known.groupBy(F.col("key").alias("_key")).agg(lowest.alias("lowest"), fullest.alias("full"))
+    met = shared.join(centres, F.col("key") == F.col("_key")).groupBy("node").agg(F.collect_set("lowest").alias("lowest"), F.max("full").alias("full"))
+    every = met.select("node", F.explode(F.array_union("lowest", F.array("full.node"))).alias("c")).where("node <> c")
+    return every.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
-    def run(batches):
-        for batch in batches:
-            cells = batch.column(0)
-            for lo, hi in _slices(cells.value_lengths().to_numpy(), 4 * PART):
-                node, root, n, side, sketch = cells[lo:hi].flatten().flatten()
-                sketches = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(len(node), s.sketch)
-                i, j, same = alike(cells[lo:hi].value_lengths().to_numpy(), *(x.to_numpy() for x in (root, n, side)), sketches)
-                order = np.lexsort((-same, i))
-                i, j = i[order], j[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j, left = i[place < reach], j[place < reach], bool((place >= reach).any())
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j)), pa.array([left] * len(i), pa.bool_())], ["a", "b", "cut"])
 
-    return run
+def _likely(pairs: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
+    """Pairs whose sizes and sketches allow the similarity, with the likeness of their sketches."""
+    one = members.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
+    two = members.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
+    fit = 100 * F.least("na", "nb") >= s.percent * F.greatest("na", "nb")
+    known = pairs.join(one, "a").join(two, "b").where(fit).select("a", "b", "sa", "sb")
+    return map_arrow(known, _near(s), "a binary, b binary, likeness double").where(F.col("likeness") >= s.percent / 100 - s.slack)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+
+
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, s: Settings, held: Tables) -> DataFrame:
+    """(node, codes): the full sets of the classes named by nodes, read from their documents with the lowest id."""
+    needed = held.put(nodes.distinct())
+    count = needed.count()
+    low = classes.join(_ids(needed, count), "node", "left_semi").select(F.col("low").alias("_id")).distinct()
+    texts = docs.select("doc_id", "text").join(_ids(low, count), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = map_arrow(texts, _fingerprints(s), "node binary, codes binary")
+    return held.put(sets.join(_ids(needed, count), "node", "left_semi").dropDuplicates(["node"]))
 
 
-def _mixed_pairs(posts: DataFrame, members: DataFrame, roots: DataFrame, s: Settings, reach: int) -> DataFrame:
-    """The distinct pairs (a, b, cut) of different components that share a bucket and have similar sketches.
+def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. Sets of up to BROADCAST_SETS bytes are broadcast, others shuffled."""
+    size = sets.agg(F.count("*").alias("n"), F.sum(F.octet_length("codes")).alias("bytes")).first()
+    small = (size["bytes"] or 0) <= BROADCAST_SETS and size["n"] <= BROADCAST_IDS
+    one, two = (sets.select(F.col("node").alias(n), F.col("codes").alias(f"c{n}")) for n in "ab")
+    if small:
+        one, two = F.broadcast(one), F.broadcast(two)
+    return map_arrow(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ca", "cb"), _confirm(s), "a binary, b binary")
 
-    Of buckets with the same members one is looked at. A bucket of more than PART
-    members is dealt into parts: those of its largest component, which needn't
-    meet each other, and those of the others, which meet all; a cell holds two parts.
+
+def _open_groups(shared: DataFrame, roots: DataFrame, held: Tables) -> tuple[DataFrame, DataFrame]:
+    """(first, node, root, n_shingles) of the classes in buckets that hold several components, and what is known of each `first`.
+
+    Of groups with the same members one is looked at.
     """
-    own = posts.join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
-    rooted, _ = sized(own.select("key", "node", F.xxhash64(F.coalesce("root", "node")).alias("root")))
+    own = shared.join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
+    own = own.withColumn("root", F.xxhash64(F.coalesce("root", "node")))
+    mixed = own.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q")
+    members = held.put(own.join(mixed, F.col("key") == F.col("_key"), "left_semi").select("first", "node", "root", "n_shingles").distinct())
     prints = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in (0, 1)]
-    each = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), *prints)
-    keys = each.groupBy(F.col("key").alias("_key")).agg(
-        F.sum("n").alias("n"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most"), *[F.bit_xor(f"p{k}").alias(f"p{k}") for k in (0, 1)]
+    each = members.groupBy("first", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"), *prints)
+    groups = each.groupBy(F.col("first").alias("_first")).agg(
+        F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "root")).alias("most"), *[F.bit_xor(f"p{k}").alias(f"p{k}") for k in (0, 1)]
     )
-    mixed, _ = sized(keys.where("roots > 1").dropDuplicates(["n", "p0", "p1"]).select("_key", "n", F.col("most.n").alias("n_most"), F.col("most.root").alias("most")))
-    parts_of = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(float(PART)))).cast("int")
-    others, inner = parts_of(F.col("n") - F.col("n_most")), parts_of(F.col("n_most"))
+    return members, held.put(groups.dropDuplicates(["n", "p0", "p1"]).drop("p0", "p1"))
+
+
+def _small_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components in groups of up to SMALL classes."""
+    small = members.join(groups.where(F.col("n") <= SMALL).select("_first"), F.col("first") == F.col("_first"), "left_semi")
+    one = small.select("first", F.col("node").alias("a"), F.col("root").alias("ra"))
+    two = small.select(F.col("first").alias("_f"), F.col("node").alias("b"), F.col("root").alias("rb"))
+    return one.join(two, (F.col("first") == F.col("_f")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b").distinct()
+
+
+def _cells(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(cell, node, root, side): the members of each larger group, in cells of at most two parts.
+
+    A group of more than a part (PART classes, PART_SHINGLES shingles) is dealt into
+    parts: those of its largest component, which needn't meet each other, and
+    those of the others, which meet all. Members of one part in a cell of two have
+    met in a cell of their own, which `side` tells.
+    """
+    most = {"n": F.col("most.n"), "w": F.col("most.w")}
+    large = groups.where(F.col("n") > SMALL).select("_first", "n", "w", *[x.alias(f"most_{k}") for k, x in most.items()], F.col("most.root").alias("most"))
+    parts_of = lambda n, w: F.greatest(F.lit(1), F.ceil(n / F.lit(float(PART))), F.ceil(w / F.lit(float(PART_SHINGLES)))).cast("int")
+    one = (F.col("n") <= PART) & (F.col("w") <= PART_SHINGLES)
+    others, inner = parts_of(F.col("n") - F.col("most_n"), F.col("w") - F.col("most_w")), parts_of(F.col("most_n"), F.col("most_w"))
     place = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
     inside = F.col("root") == F.col("most")
     part = F.when(inside, others + place(inner)).otherwise(place(others))
     met = F.sequence(F.lit(0), F.when(inside, others).otherwise(others + inner) - 1)
-    cell = F.when(F.col("n") <= PART, F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(
+    cell = F.when(one, F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(
         F.transform(met, lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
     )
-    dealt = rooted.join(mixed, F.col("key") == F.col("_key")).withColumn("part", part).select("key", "node", "root", "part", F.explode(cell).alias("cell"))
+    dealt = members.join(large, F.col("first") == F.col("_first")).withColumn("part", part).select("first", "node", "root", "part", F.explode(cell).alias("cell"))
     side = F.when(F.col("cell.i") == F.col("cell.j"), -1).otherwise(F.col("part"))
-    known = members.select(F.col("node").alias("_node"), "n_shingles", "sketch")
-    full = dealt.join(known, F.col("node") == F.col("_node"))
-    cells = full.groupBy("key", "cell").agg(F.collect_list(F.struct("node", "root", "n_shingles", side.alias("side"), "sketch")).alias("ms")).select("ms")
-    found = map_arrow(cells.where("size(ms) > 1"), _meet(s, reach), "a binary, b binary, cut boolean")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cut").alias("cut"))
-
-
-def _likely(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """Pairs whose sizes and sketches allow the similarity, with the likeness of their sketches."""
-    one = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    two = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
-    fit = 100 * F.least("na", "nb") >= s.percent * F.greatest("na", "nb")
-    held = pairs.join(one, "a").join(two, "b").where(fit).select("a", "b", "sa", "sb")
-    return map_arrow(held, _near(s), "a binary, b binary, likeness double").where(F.col("likeness") >= s.percent / 100 - s.slack)
-
-
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
-    """The pairs whose full sets are similar enough, checkpointed.
-
-    The texts of the classes in question are written once, so that both joins
-    read plain tables and Spark can split a centre with very many pairs. Their
-    ids are broadcast up to BROADCAST_IDS of them and the texts up to
-    BROADCAST_TEXT bytes, beyond that both are shuffled.
-    """
-    needed, count = sized(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-    if not count:
-        return needed.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    ids = classes.join(needed, "node", "left_semi").select(F.col("low").alias("_id")).distinct()
-    ids = F.broadcast(ids) if count <= BROADCAST_IDS else ids
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    texts = map_arrow(texts, _nodes(s), "node binary, text string").join(needed, "node", "left_semi").dropDuplicates(["node"])
-    with scratch(texts, "near-texts") as held:
-        small = (held.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_TEXT and count <= BROADCAST_IDS
-        one, two = (held.select(F.col("node").alias(n), F.col("text").alias(f"t{n}")) for n in "ab")
-        if small:
-            one, two = F.broadcast(one), F.broadcast(two)
-        joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-        return sized(map_arrow(joined, _confirm(s), "a binary, b binary"))[0]
+    return dealt.select(F.struct("first", "cell.i", "cell.j").alias("cell"), "node", "root", side.alias("side"))
 
 
 def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row per document: doc_id, n_shingles, node (its set's class; null if empty), component_id, kept."""
-    signed = checkpoint(map_arrow(docs.select("doc_id", "text"), _sign(s), "doc_id long, n_shingles long, node binary, subs array<long>, sketch binary"))
-    classes = signed.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("subs").alias("subs"), F.first("sketch").alias("sketch"),
-    )
-    classes, _ = sized(classes)
-    posts, _ = sized(_bucket_keys(classes, s))
-    posts, pairs = _centre_pairs(posts)
-    pairs, _ = sized(_likely(pairs, classes, s))
-    members, _ = sized(classes.drop("subs", "low").join(posts.select("node").distinct(), "node", "left_semi"))
-    best = pairs.select(F.col("a").alias("x"), "a", "b", "likeness").union(pairs.select(F.col("b").alias("x"), "a", "b", "likeness"))
-    tested, _ = sized(best.groupBy("x").agg(F.max(F.struct("likeness", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
-    links = _links(docs, classes, tested, s)
-    roots, _ = sized(components(links))
-    reach, cut = REACH, True
-    while cut:
-        found, _ = sized(_mixed_pairs(posts, members, roots, s, reach))
-        cut = bool(found.agg(F.max("cut")).first()[0])
-        fresh, _ = sized(found.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        links, tested = links.union(_links(docs, classes, fresh, s)), tested.union(fresh)
-        roots, _ = sized(components(links))
-        reach *= WIDER
-    own = classes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = own.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = own.join(lowest, "root").select(F.col("node").alias("_node"), F.col("component_id").alias("_component"))
-    rows = signed.select("doc_id", "n_shingles", "node").join(found, F.col("node") == F.col("_node"), "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
-    return rows.select("doc_id", "n_shingles", "node", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    with Tables(docs.sparkSession, "near") as held:
+        signed = held.put(map_arrow(docs.select("doc_id", "text"), _sign(s), "doc_id long, n_shingles long, node binary, subs array<long>, sketch binary"))
+        classes = held.put(signed.where("node is not null").groupBy("node").agg(
+            F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("subs").alias("subs"), F.first("sketch").alias("sketch"),
+        ))
+        shared = _shared_keys(classes, s, held)
+        members = held.put(classes.select("node", "n_shingles", "sketch").join(shared.select("node").distinct(), "node", "left_semi"))
+
+        pairs = held.put(_likely(_centre_pairs(shared), members, s))
+        best = pairs.select(F.col("a").alias("x"), "a", "b", "likeness").union(pairs.select(F.col("b").alias("x"), "a", "b", "likeness"))
+        tested = held.put(best.groupBy("x").agg(F.max(F.struct("likeness", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+        links = held.put(_confirmed(tested, _sets(docs, classes, _ends(tested), s, held), s))
+        roots = held.put(components(links))
+
+        of_open, groups = _open_groups(shared, roots, held)
+        fresh = held.put(_likely(_small_pairs(of_open, groups).join(tested, ["a", "b"], "left_anti"), members, s))
+        cells = held.put(_cells(of_open, groups))
+        sets = _sets(docs, classes, _ends(fresh).union(cells.select("node")), s, held)
+        few = _confirmed(fresh, sets, s)
+        many = cells.join(sets, "node").groupBy("cell").applyInArrow(_forest(s), "a binary, b binary")
+        links = held.put(links.union(few).union(many))
+        roots = held.put(components(links))
+
+        own = classes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        lowest = own.groupBy("root").agg(F.min("low").alias("component_id"))
+        found = own.join(lowest, "root").select(F.col("node").alias("_node"), F.col("component_id").alias("_component"))
+        rows = signed.select("doc_id", "n_shingles", "node").join(found, F.col("node") == F.col("_node"), "left")
+        component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
+        rows = rows.select("doc_id", "n_shingles", "node", component.alias("component_id"))
+        return written(rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-groups")
 
 
 def drop_near_copies(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

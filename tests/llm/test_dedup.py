@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -169,8 +170,54 @@ def test_few_links_inside_crowded_buckets(spark):
     assert linked(docs) == pairs
 
 
-def test_links_across_the_parts_of_a_bucket(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "PART", 50)
-    monkeypatch.setattr(minhash, "REACH", 1)
+@pytest.mark.parametrize("limit", [{"PART": 50}, {"PART_SHINGLES": 9000}, {"SMALL": 0}, {"SMALL": 10**6}])
+def test_links_across_the_parts_of_a_bucket(spark, monkeypatch, limit):
+    for name, value in limit.items():
+        monkeypatch.setattr(minhash, name, value)
     docs, pairs = crowded(spark, 600, 60, 170, 80, range(5, 75, 12))
     assert linked(docs) == pairs
+
+
+def test_many_pairs_under_one_passage(spark):
+    """800 pairs at 0.851, 1600 texts at 0.74 of each other: every pair is found, in less than a minute."""
+    docs, pairs = crowded(spark, 800, 800, 255, 45, range(1, 42, 5)[:8])
+    began = time.monotonic()
+    assert linked(docs) == pairs
+    assert time.monotonic() - began < 60
+
+
+@pytest.mark.parametrize("percent", [1, 80, 85, 100])
+def test_cells_against_all_pairs(percent):
+    """The links of a cell join what all its pairs at the threshold join, and only those."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(percent)
+    for n, words in ((1, 3), (2, 1), (40, 12), (120, 60), (90, 400)):
+        bases = [[rng.randrange(10**6) for _ in range(words)] for _ in range(4)]
+        sets = []
+        for _ in range(n):
+            base = list(rng.choice(bases))
+            for _ in range(rng.randrange(1 + words // 6)):
+                base[rng.randrange(words)] = rng.randrange(10**6)
+            sets.append(np.unique(np.array(base[: rng.choice([words, words, max(1, words - 3)])], np.uint64)))
+        side, root = [rng.choice([-1, 0, 1]) for _ in sets], [rng.randrange(n) for _ in sets]
+        cell = pa.table({"node": pa.array([k.to_bytes(4) for k in range(n)]), "root": root, "side": side, "codes": [x.tobytes() for x in sets]})
+        links = minhash._forest(minhash.Settings(3, percent))(cell)
+        links = [(int.from_bytes(a), int.from_bytes(b)) for a, b in zip(*(links.column(c).to_pylist() for c in "ab"), strict=True)]
+        alike = {
+            (i, j)
+            for i, j in itertools.combinations(range(n), 2)
+            if root[i] != root[j] and (side[i] < 0 or side[i] != side[j])
+            and 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= percent * (len(sets[i]) + len(sets[j]) - both)
+        }
+        assert set(links) <= alike
+
+        def joined(edges, root=root):
+            label = list(root)
+            for i, j in edges:
+                label = [label[i] if x == label[j] else x for x in label]
+            return [label.index(x) for x in label]
+
+        assert joined(links) == joined(alike)
+        assert len(links) == len(set(root)) - len(set(joined(links)))
