@@ -3,34 +3,49 @@
 First pass: every page scores its containers and votes for the generalised
 tag-class path of the best one. The votes are summed per host (combined before
 the shuffle), and the leading paths of each host go back to its pages. Second
-pass: a page is read again under the first of those paths that it has, and
-under its own best container where it has none of them.
+pass: a page is read again under the first of those paths that holds a fair
+share (`FAIR`) of what its own best container has, and under that container
+where there is none.
+
+A path is the chain of all elements around a container, each with its sorted
+classes, runs of digits as `#`; it travels as a digest and the last element.
+
+What is left out: elements that are noise by their tag or role or are hidden, and
+elements one of whose whole classes (or the id) is made of noise words and
+neutral ones only, so `site-footer` but neither `has-sidebar` nor
+`social-studies`. An element of the latter kind (comments excepted), or a form,
+stays if it holds the page's only `main` or `article`, or (unless it is marked as
+advert, consent or the like) another container with most of the page's text.
 
 Defined cases: null or empty html gives an empty text; a null url has the host
 ""; text without any tags is its own main text; a page cut off inside a tag
-loses that tag only; repeated rows are read each; an empty table gives an empty
-result; other columns are ignored.
+loses that tag only; pages of any length and nesting are read whole, in time
+proportional to their length; of containers with equal scores the first counts,
+of paths with equal votes the one with more text, then the smaller; repeated
+rows are read each; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.arrowtext import column
-from docloom.llm.common import checkpoint, map_arrow
+from docloom.llm.common import LOWER, UPPER, checkpoint, map_arrow
 
 BROADCAST_PATHS = 20_000
+LOWER_CASE = str.maketrans(UPPER, LOWER)
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _DIGITS = re.compile(r"\d+")
 
 # Kinds of HTML elements.
@@ -40,58 +55,79 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 CONTAINERS = frozenset("body article main section div td center content".split())
-NOISE_TAGS = frozenset("nav header footer aside form script style noscript template iframe svg button select textarea dialog menu head title object canvas audio video".split())
-NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist disqus cookie cookies "
-    "consent disclaimer footer foot header masthead menu menubar modal nav navbar navigation newsletter notice notices notification notifications pager pagination "
-    "paywall popup promo promoted promotion recommended related replies respond share sharing sidebar sidebars skip social sponsor "
-    "sponsored subscribe subscription tags toolbar topbar widget widgets".split()
+NOISE_TAGS = frozenset("nav header footer aside script style noscript template iframe svg button select textarea dialog menu head title object canvas audio video".split())
+LAYOUT_WORDS = frozenset(
+    "banner breadcrumb breadcrumbs footer foot header masthead menu menubar modal nav navbar navigation notice notices pager pagination "
+    "sharing share sidebar sidebars skip social tags toolbar topbar widget widgets disclaimer".split()
+)
+FOREIGN_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense cookie cookies consent newsletter "
+    "notification notifications paywall popup promo promoted promotion recommended related sponsor sponsored subscribe subscription".split()
+)
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+NEUTRAL_WORDS = frozenset(
+    "area bar block body bottom box col column container form global group holder inner item items left links list main outer page panel "
+    "primary right row secondary section site slot text top unit wrap wrapper".split()
 )
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert toolbar".split())
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert toolbar".split())
 CLOSES = {
     **{t: frozenset(["p"]) for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()},
     "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]),
     "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]),
     "option": frozenset(["option"]),
 }
+LISTS = frozenset("table ul ol dl".split())
 BARRIER = {"li": frozenset(["ul", "ol"]), "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"])}
-_PATH_DEPTH = 6
 
+STOPS = {t: (BARRIER.get(t, CONTAINERS) | LISTS) - closed for t, closed in CLOSES.items()}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-@dataclass
-class Node:
-    tag: str
-    path: str
-    parent: int
-    noise: bool
-    container: bool
-    link: bool
+#: The share of a page's best score that its host's path must have on it, and of a host's votes that a path must have.
+FAIR, LEADING = 0.1, 0.1
 
+PLAIN, LAYOUT, FOREIGN, HARD = range(4)  # how sure an element is noise
 
-def _noise(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in NOISE_TAGS:
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return "comment" in attributes.get("class", "").lower().split() or "hidden" in attributes
-    if "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
-    if attributes.get("role", "").lower() in NOISE_ROLES:
-        return True
-    names = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower())
-    return any(n in NOISE_WORDS for n in names)
+
+def _noise(tag: str, attributes: dict[str, str]) -> int:
+    if tag in NOISE_TAGS or "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower():
+        return HARD
+    if attributes.get("role", "").lower() in NOISE_ROLES and tag not in ("html", "body", "main"):
+        return HARD
+    kind = LAYOUT if tag == "form" else PLAIN
+    if tag in ("html", "body", "main"):
+        return kind
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w}
+        rest = words - NEUTRAL_WORDS
+        if not rest or not rest <= LAYOUT_WORDS | FOREIGN_WORDS | COMMENT_WORDS:
+            continue
+        if rest & COMMENT_WORDS:
+            return HARD
+        if rest & FOREIGN_WORDS:
+            kind = FOREIGN
+        elif tag != "article" and tag not in HEADINGS:
+            kind = max(kind, LAYOUT)
+    return kind
 
 
 class Page:
     """Elements, and pieces of text with the element each lies in; None as text marks the border of a block."""
 
     def __init__(self, source: str):
-        self.nodes = [Node("", "", -1, False, True, False)]
+        # of each element, in page order: tag, parent, nearest container (itself included), path, kind of noise, inside a link
+        self.tag, self.parent, self.holder, self.path, self.kind, self.link = [""], [-1], [0], [":"], [PLAIN], [False]
         self.pieces: list[tuple[int, str | None]] = []
         self._read(source)
+        self.noise = self._judged()
 
     def _read(self, source: str) -> None:
-        stack, at, end = [0], 0, len(source)
-        nodes, pieces = self.nodes, self.pieces
+        stack, places, at, end = [0], {}, 0, len(source)  # places: of each open tag, where it stands in the stack
+        pieces = self.pieces
+
+        def cut(depth: int) -> None:
+            while len(stack) > depth:
+                places[self.tag[stack.pop()]].pop()
+
         while at < end:
             begin = source.find("<", at)
             if begin < 0:
@@ -109,13 +145,12 @@ class Page:
             at = m.end()
             if m[2] is None:
                 continue
-            tag, top = m[2].lower(), nodes[stack[-1]]
+            tag = m[2].lower()
             if not source.endswith(">", begin, at):
                 return  # cut off inside a tag
             if m[1]:
-                if any(nodes[k].tag == tag for k in stack[1:]):
-                    while nodes[stack.pop()].tag != tag:
-                        pass
+                if places.get(tag):
+                    cut(places[tag][-1])
                 if tag not in INLINE:
                     pieces.append((stack[-1], None))
                 continue
@@ -129,72 +164,104 @@ class Page:
                 if close:
                     at = (source.find(">", at) + 1) or end
                 continue
-            closes = CLOSES.get(tag)
-            if closes:
-                self._close(stack, closes, BARRIER.get(tag, CONTAINERS))
-                top = nodes[stack[-1]]
+            if closes := CLOSES.get(tag):
+                last = max((places[t][-1] for t in closes if places.get(t)), default=0)
+                if last > max((places[t][-1] for t in STOPS[tag] if places.get(t)), default=0):
+                    cut(last)
             if tag not in INLINE:
                 pieces.append((stack[-1], None))
-            attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[3])} if m[3] else {}
-            container = tag in CONTAINERS
+            self._add(tag, m[3], stack[-1])
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(len(self.tag) - 1)
+
+    def _add(self, tag: str, attributes: str, parent: int) -> None:
+        found = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(attributes)} if attributes else {}
+        path = self.path[parent]
+        if tag not in INLINE:
             name = tag
-            if container and attributes.get("class"):
-                name += "." + _DIGITS.sub("#", ".".join(sorted(attributes["class"].lower().split())[:3]))
-            path = "/".join([*top.path.split("/")[1 - _PATH_DEPTH :], name]) if tag not in INLINE else top.path
-            nodes.append(Node(tag, path, stack[-1], top.noise or _noise(tag, attributes), container, top.link or tag == "a"))
-            stack.append(len(nodes) - 1)
-
-    def _close(self, stack: list[int], closes: frozenset, barrier: frozenset) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.nodes[stack[k]].tag
-            if tag in closes:
-                del stack[k:]
-                return
-            if tag in barrier or tag in ("table", "ul", "ol", "dl"):
-                return
+            if tag in CONTAINERS and found.get("class"):
+                name += "." + _DIGITS.sub("#", ".".join(sorted(found["class"].lower().split())))
+            path = f"{hashlib.blake2b(f'{path}/{name}'.encode('utf-8', 'replace'), digest_size=8).hexdigest()}:{name}"
+        self.holder.append(len(self.tag) if tag in CONTAINERS else self.holder[parent])
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.path.append(path)
+        self.kind.append(_noise(tag, found))
+        self.link.append(self.link[parent] or tag == "a")
+
+    def _judged(self) -> list[bool]:
+        """Which elements are noise or lie in noise."""
+        n = len(self.tag)
+        most_sure = list(self.kind)  # of an element and those around it
+        for k in range(1, n):
+            most_sure[k] = max(most_sure[k], most_sure[self.parent[k]])
+        stories = [k for k in range(n) if self.tag[k] in ("article", "main") and self.kind[k] == PLAIN]
+        free = any(most_sure[k] == PLAIN for k in stories)
+        size, largest, story = [0] * n, [0] * n, [False] * n  # of each element: its text; that of the largest plain container in it; an article or main in it
+        for k in stories:
+            story[k] = True
+        for k, text in self.pieces:
+            if text is not None and most_sure[k] < FOREIGN:
+                size[k] += len(text.strip())
+        for k in range(n - 1, 0, -1):
+            up = self.parent[k]
+            size[up] += size[k]
+            largest[up] = max(largest[up], largest[k], size[k] if self.kind[k] == PLAIN and self.holder[k] == k else 0)
+            story[up] = story[up] or (story[k] and self.kind[k] != HARD)
+        noise = [False] * n
+        for k in range(1, n):
+            spared = (story[k] and not free) or (self.kind[k] == LAYOUT and 2 * largest[k] > size[0])
+            noise[k] = noise[self.parent[k]] or self.kind[k] == HARD or (self.kind[k] != PLAIN and not spared)
+        return noise
 
     def scores(self) -> dict[int, float]:
         """Containers by the text of their blocks: whole for the nearest, half for the next one, links against it."""
         out: dict[int, float] = {}
         for k, text in self.pieces:
-            node = self.nodes[k]
-            if text is None or node.noise or not (size := len(text.strip())):
+            if text is None or self.noise[k] or not (size := len(text.strip())):
                 continue
-            worth = -size if node.link else size
+            worth = -size if self.link[k] else size
             for share in (1.0, 0.5, 0.25):
-                while k > 0 and not self.nodes[k].container:
-                    k = self.nodes[k].parent
+                k = self.holder[k]
                 out[k] = out.get(k, 0.0) + share * worth
-                if k <= 0 or self.nodes[k].tag in ("article", "main"):
+                if k <= 0 or self.tag[k] in ("article", "main"):
                     break
-                k = self.nodes[k].parent
-        return {k: v * (1.5 if self.nodes[k].tag in ("article", "main") else 1.0) for k, v in out.items()}
+                k = self.parent[k]
+        return {k: v * (1.5 if self.tag[k] in ("article", "main") else 1.0) for k, v in out.items()}
 
     def best(self) -> tuple[str, float]:
         scores = self.scores()
         if not scores:
             return "", 0.0
         k = max(scores, key=lambda k: (scores[k], -k))
-        return self.nodes[k].path, scores[k]
+        return self.path[k], scores[k]
+
+    def chosen(self, paths: list[str]) -> str:
+        """The first of the paths that has a fair share of the page's best score, or the path of its best container."""
+        own, most = self.best()
+        of: dict[str, float] = {}
+        for k, score in self.scores().items():
+            of[self.path[k]] = of.get(self.path[k], 0.0) + score
+        return next((p for p in paths if of.get(p, 0.0) > 0 and of[p] >= FAIR * most), own)
 
     def text(self, path: str) -> str:
         """The text under the outermost elements with that path, without noise."""
-        inside = [False] * len(self.nodes)
-        for k, node in enumerate(self.nodes):
-            inside[k] = (node.container and node.path == path) or (k > 0 and inside[node.parent])
+        inside = [self.path[0] == path] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            inside[k] = inside[self.parent[k]] or (self.holder[k] == k and self.path[k] == path)
         blocks: list[list[str]] = [[]]
         for k, text in self.pieces:
             if text is None:
                 if blocks[-1]:
                     blocks.append([])
-            elif inside[k] and not self.nodes[k].noise:
+            elif inside[k] and not self.noise[k]:
                 blocks[-1].append(html.unescape(text))
         return " ".join(b for b in (" ".join("".join(block).split()) for block in blocks) if b)
 
 
 def host_of(url: str | None) -> str:
     m = re.search(r"://([^/?#]*)", url or "")
-    return m[1].lower() if m else ""
+    return m[1].translate(LOWER_CASE) if m else ""
 
 
 def _vote(batches):
@@ -210,28 +277,22 @@ def _vote(batches):
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], ["host", "path", "score"])
 
 
-def host_paths(pages: DataFrame, most: int = 3, share: float = 0.1) -> DataFrame:
-    """host, paths: up to `most` leading paths that at least `share` of a host's voting pages chose."""
+def host_paths(pages: DataFrame, share: float = LEADING) -> DataFrame:
+    """host, paths: those that at least `share` of a host's voting pages chose, the leading ones first."""
     votes = map_arrow(pages.select("url", F.col("html").alias("_html")), _vote, "host string, path string, score double")
-    counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.log1p("score")).alias("weight"))
-    order = Window.partitionBy("host").orderBy(F.desc("n"), F.desc("weight"), "path")
-    total = Window.partitionBy("host")
-    led = counted.withColumns({"place": F.row_number().over(order), "all": F.sum("n").over(total)})
-    led = led.where((F.col("place") <= most) & (F.col("n") >= F.lit(share) * F.col("all")))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"])
-    return led.groupBy("host").agg(ordered.alias("paths"))
+    counted = checkpoint(votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.log1p("score")).alias("weight")))
+    all_of = counted.groupBy(F.col("host").alias("_host")).agg(F.sum("n").alias("all"))
+    led = counted.join(all_of, F.col("host") == F.col("_host")).where(F.col("n") >= F.lit(share) * F.col("all"))
+    leading = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), (-F.col("weight")).alias("w"), "path")))
+    return led.groupBy("host").agg(F.transform(leading, lambda x: x["path"]).alias("paths"))
 
 
 def _extract(batches):
     for batch in batches:
         texts = []
         for source, paths in zip(column(batch, "_html").to_pylist(), batch.column(3).to_pylist(), strict=True):
-            page, text = Page(source), ""
-            for path in paths or []:
-                text = page.text(path)
-                if text:
-                    break
-            texts.append(text or page.text(page.best()[0]))
+            page = Page(source)
+            texts.append(page.text(page.chosen(paths or [])))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             ["page_id", "url", "text", "n_chars"],
@@ -244,7 +305,7 @@ def extract(pages: DataFrame) -> DataFrame:
     side = paths.select(F.col("host").alias("_host"), "paths")
     if paths.count() <= BROADCAST_PATHS:
         side = F.broadcast(side)
-    host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1), UPPER, LOWER)
     rows = pages.select("page_id", "url", F.col("html").alias("_html"), host.alias("_own"))
     joined = rows.join(side, F.col("_own") == F.col("_host"), "left").select("page_id", "url", "_html", "paths")
     return map_arrow(joined, _extract, "page_id long, url string, text string, n_chars long")

@@ -1,5 +1,10 @@
 import html as H
+import random
 import re
+import time
+from html.parser import HTMLParser
+
+import pytest
 
 from docloom.llm import html
 from docloom.llm.queries import op4_html_extraction
@@ -41,9 +46,121 @@ def test_broken_markup():
     assert page("<ARTICLE><SCRIPT>x</SCRIPT>Up</ARTICLE>") == "Up"
 
 
-def test_deep_nesting_is_linear():
-    source = "<div>" * 3000 + "deep" + "</div>" * 3000
-    assert html.Page(source).text(html.Page(source).best()[0]) == "deep"
+STORY = "A story of some length, told in a sentence or two. " * 8
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='layout has-sidebar'><article><p>{}</p></article></div>",
+        "<div class='content-sidebar-wrap'><main><p>{}</p></main></div>",
+        "<div id='page-header-wrap'><div class='post'><p>{}</p></div></div>",
+        "<div class='post social-studies'><p>{}</p></div>",
+        "<form id='aspnetForm'><div class='page'><p>{}</p></div><div class='footer'>no</div></form>",
+        "<div class='top-banner'><article><p>{}</p></article></div>",
+        "<div class='story' aria-hidden='false' data-x='hidden'><p>{}</p></div>",
+        "<table><tr><td class='sidebar'>a menu<td class='text'><p>{}</p></table>",
+        "<div class='post'><p>{}</p></div><div id='comments'><article><p>A reader says a lot. " + "And more. " * 60 + "</p></article></div>",
+        "<article><p>{}</p></article><div class='related-posts'><article><p>no</p></article></div><div class='widget'><article>no</article></div>",
+        "<section><p>{}</p></section><div class='cookieConsent'>no</div><div class='social_links'>no</div><p hidden>no</p><p style='display: none'>no</p><div role='navigation'>no</div>",
+    ],
+)
+def test_wrappers_keep_the_text(page):
+    read = html.Page(f"<html><body><nav>menu</nav>{page.replace('{}', STORY)}<footer>no</footer></body></html>")
+    assert read.text(read.best()[0]) == STORY.strip()
+
+
+def test_noise_alone_is_no_text():
+    read = html.Page("<body><nav>menu</nav><div class='ad'><div>Buy this now, it is cheap.</div></div><div class='comments'><div class='text'>Nice!</div></div></body>")
+    assert read.text(read.best()[0]) == ""
+
+
+def test_a_leading_path_with_little_text_does_not_win(spark):
+    """The host voted for div.content; one page has its story elsewhere and a mere date there."""
+    usual = [(k, "https://h.test/", f"<body><div class='content'><p>{STORY}</p></div></body>") for k in range(9)]
+    odd = (9, "https://H.TEST/x", f"<body><div class='content'>Updated</div><div class='longread'><p>{STORY}{STORY}</p></div></body>")
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame([*usual, odd], "page_id long, url string, html string")).collect()}
+    assert got == {k: STORY.strip() for k in range(9)} | {9: (STORY + STORY).strip()}
+
+
+def test_paths_tell_containers_apart():
+    """Containers that differ far above, or in the last of many classes, are not taken together."""
+    page = "<div class='{a}'>" + "<div>" * 9 + "<div class='x'><p>{b}</p></div>" + "</div>" * 10
+    read = html.Page(page.format(a="left", b="short") + page.format(a="a b c d main", b=STORY) + page.format(a="a b c d other", b="short"))
+    assert read.text(read.best()[0]) == STORY.strip()
+    assert html.Page("<div class='b p7 a'>x</div>").best()[0] == html.Page("<div class='p99 a b'>x</div>").best()[0]
+
+
+@pytest.mark.parametrize(
+    "part, end",
+    [("<div>", "</div>"), ("<b>x", ""), ("<div>", ""), ("<div></p>", ""), ("<div></span>", ""), ("<b><p>", ""), ("<h1>x", ""), ("<p><b>", "<h2>"), ("<x-y>", ""), ("<a b='", ""), ("<td><b>", "</tr>"), ("<", ""), ("&#", ""), ("<div class='sidebar'>", "")],
+)
+def test_nesting_takes_linear_time(part, end):
+    """100,000 elements within seconds, closed or not."""
+    began = time.monotonic()
+    read = html.Page(part * 100_000 + "deep" + end * 100_000)
+    read.text(read.best()[0])
+    assert time.monotonic() - began < 15
+
+
+class Plain(HTMLParser):
+    """A reader of well-formed pages by the standard library: the text of one element, its blocks joined by spaces."""
+
+    def __init__(self, wanted: str, left_out: set[str]):
+        super().__init__()
+        self.wanted, self.left_out, self.stack, self.blocks = wanted, left_out, [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in html.VOID:
+            self.stack.append((tag, dict(attrs).get("class", "")))
+        if tag not in html.INLINE:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+        if tag not in html.INLINE:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if any(c == self.wanted for _, c in self.stack) and not any(t in html.NOISE_TAGS or c in self.left_out for t, c in self.stack):
+            self.blocks[-1] += data
+
+    def read(self, source):
+        self.feed(source)
+        self.close()
+        return " ".join(" ".join(b.split()) for b in self.blocks if b.split())
+
+
+def test_random_pages_against_the_standard_parser():
+    """Nested containers, tables, lists, inline elements and noise in any place, without <article>."""
+    rng = random.Random(4)
+    words = lambda: " ".join(rng.choice(["one", "two &amp; three", "f&uuml;r", "x &lt; y", "Wort", "mot"]) for _ in range(rng.randrange(3, 30)))
+
+    def block(depth):
+        kind = rng.randrange(8)
+        if kind == 0 and depth:
+            return f"<div class='part'>{''.join(block(depth - 1) for _ in range(3))}</div>"
+        if kind == 1:
+            return f"<ul>{''.join(f'<li>{words()}</li>' for _ in range(3))}</ul>"
+        if kind == 2:
+            return f"<table><tr><td>{words()}</td><td>{words()}</td></tr></table>"
+        if kind == 3:
+            return f"<div class='social-share'>{words()}</div><aside><p>{words()}</p></aside><script>var x = '<p>no</p>';</script>"
+        if kind == 4:
+            return f"<h2>{words()}</h2>"
+        return f"<p>{words()} <b>{words()}</b><i>{words()}</i><br>{words()}</p>\n"
+
+    for _ in range(200):
+        story = "".join(block(2) for _ in range(12)) + f"<p>{words() * 30}</p>"
+        source = f"<html><body><header><p>{words()}</p></header><div class='story'>{story}</div><div class='comments'><p>{words()}</p></div></body></html>"
+        page = html.Page(source)
+        path = page.path[next(k for k, p in enumerate(page.path) if p.endswith(":div.story"))]
+        assert page.text(path) == Plain("story", {"social-share"}).read(source)
+
+
+def test_repeated_rows_are_read_each(spark):
+    row = (1, "https://h.test/", f"<div class='c'><p>{STORY}</p></div>")
+    assert [r["text"] for r in html.extract(spark.createDataFrame([row] * 3, "page_id long, url string, html string")).collect()] == [STORY.strip()] * 3
 
 
 def test_query_against_the_markup(spark, data):
