@@ -20,7 +20,7 @@ def db(data):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, data, db, name):
-    same(QUERIES[name](spark, data).toPandas(), db.sql(SQL[name]).df())
+    same(QUERIES[name](spark, data), db.sql(SQL[name]))
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
