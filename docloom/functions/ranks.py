@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.session import reliable
+
 
 def with_place(rows: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
-    """Adds each row's place (from 1) in the order: a range partitioning sorts, counts of the parts give the offsets."""
+    """Adds each row's place (from 1) in the order: a range partitioning sorts, counts of the parts give the offsets.
+
+    Bounds are sampled, so the parts are held in a checkpoint before they are counted.
+    """
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = reliable(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     counts = sorted((r[0], r[1]) for r in ranged.groupBy("_part").count().collect())
     before, offsets = 0, []
     for part, n in counts:
