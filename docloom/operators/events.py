@@ -132,5 +132,31 @@ def ring(rows: DataFrame, group: str | None, order: str, n: int) -> DataFrame:
 
 
 def cached_listing(requests: DataFrame, key: str, ttl_seconds: float = 5.0) -> DataFrame:
-    """Requests that read anew: the first one, or one later than the time to live after the last read of its run."""
-    return sessions(requests, key, ttl_seconds).groupBy(key, "session").agg(F.min("ts").alias("read_ts"), F.count("*").alias("served")).drop("session")
+    """key, read_ts, served: the reads of a cached listing and the requests each answers, its own included.
+
+    A request reads anew unless the key's last read is younger than the time to
+    live; requests in between don't prolong it. Each verdict depends on the reads
+    before, so a key's requests are run through in order and only the last read is
+    held.
+    """
+
+    def run(batches):
+        now, read, served = None, None, 0
+        for b in batches:
+            out = []
+            for k, at in zip(b["k"], b["_m"], strict=True):
+                if read is not None and k == now and at - read < ttl_seconds * 1e6:
+                    served += 1
+                    continue
+                if read is not None:
+                    out.append((now, read, served))
+                now, read, served = k, at, 1
+            yield pd.DataFrame(out, columns=["k", "_m", "served"])
+        if read is not None:
+            yield pd.DataFrame([(now, read, served)], columns=["k", "_m", "served"])
+
+    rows = requests.select(F.col(key).alias("k"), "event_id", _micros().alias("_m"))
+    ordered = rows.repartition("k").sortWithinPartitions("k", "_m", "event_id")
+    kind = rows.schema["k"].dataType.simpleString()
+    found = ordered.mapInPandas(run, f"k {kind}, _m long, served long")
+    return found.select(F.col("k").alias(key), F.timestamp_micros("_m").cast(requests.schema["ts"].dataType).alias("read_ts"), "served")

@@ -91,7 +91,12 @@ def n12_event_dedup(spark, d):
     return E.dedupe(_changes(spark, d), "filepath", "checksum").select("filepath", "checksum", "event_id")
 
 
-@query("WITH " + _sessions(5 * 3600, "user_id", "events") + " SELECT user_id, min(ts) AS read_ts, count(*) AS served FROM s GROUP BY user_id, session")
+@query(
+    """WITH RECURSIVE follows AS (SELECT user_id, ts, min(ts) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 5 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM events),
+    reads AS (SELECT user_id, min(ts) AS read_ts FROM events GROUP BY user_id
+              UNION SELECT f.user_id, f.after FROM reads r JOIN follows f ON f.user_id = r.user_id AND f.ts = r.read_ts WHERE f.after IS NOT NULL)
+    SELECT e.user_id, r.read_ts, count(*) AS served FROM events e ASOF JOIN reads r ON e.user_id = r.user_id AND e.ts >= r.read_ts GROUP BY e.user_id, r.read_ts"""
+)
 def n16_cached_listing(spark, d):
     return E.cached_listing(view(spark, d, "events"), "user_id", 5 * 3600)
 

@@ -35,10 +35,26 @@ def scan(spark: SparkSession, roots: list[str]) -> DataFrame:
     return indexable(listing(spark, roots), roots)
 
 
-def explorer(files: DataFrame, show_hidden: bool = False) -> DataFrame:
-    """name, path, type, ext, size, modified of a listing; hidden and system files left out."""
-    rows = files if show_hidden else files.where(~hidden(F.col("filename")))
-    return rows.select(F.col("filename").alias("name"), "path", F.lit("file").alias("type"), suffix(F.col("path")).alias("ext"), "size", F.col("modified_time").alias("modified"))
+def explorer(files: DataFrame, show_hidden: bool = False, folder: str | None = None) -> DataFrame:
+    """name, path, type, ext, size, modified of a listing; hidden and system items left out.
+
+    folder: what lies right in it, its files and the folders that lead to further
+    files (size 0, the time of the latest change below); without it all files.
+    Paths have / between their parts.
+    """
+    item = lambda name, path, kind, ext, size, modified: [name.alias("name"), path.alias("path"), F.lit(kind).alias("type"), ext.alias("ext"), size.alias("size"), modified.alias("modified")]
+    own = item(F.col("filename"), F.col("path"), "file", suffix(F.col("path")), F.col("size"), F.col("modified_time"))
+    if folder is None:
+        rows = files.select(*own)
+    else:
+        base = folder.rstrip("/") + "/"
+        below = F.substr("path", F.lit(len(base) + 1))
+        inside = files.where(F.col("path").startswith(base)).withColumn("_first", F.split(below, "/", 2)[0])
+        here = F.col("path") == F.concat(F.lit(base), F.col("_first"))
+        led = inside.where(~here).groupBy("_first").agg(F.max("modified_time").alias("m"))
+        folders = led.select(*item(F.col("_first"), F.concat(F.lit(base), F.col("_first")), "folder", suffix(F.col("_first")), F.lit(0).cast("long"), F.col("m")))
+        rows = inside.where(here).select(*own).unionByName(folders)
+    return rows if show_hidden else rows.where(~hidden(F.col("name")))
 
 
 _TEXT = StructType([StructField("text", StringType()), StructField("reason", StringType())])
@@ -83,6 +99,8 @@ def preview(name: Column, content: Column) -> Column:
 
 
 def read_metadata(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Rows of the JSON files of a folder; structure files and broken ones are passed over."""
-    rows = spark.read.schema(f"{schema}, _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").option("multiLine", "true").json(folder, pathGlobFilter="*[!e].json")
-    return rows.cache().where("_broken is null").drop("_broken")
+    """One row for each JSON file of a folder; `*.structure.json` and broken files are passed over."""
+    found = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json")
+    named = found.where(~F.col("_metadata.file_name").endswith(".structure.json"))
+    parsed = named.select(F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("x"))
+    return parsed.select("x.*").where("_broken is null").drop("_broken")

@@ -1,3 +1,4 @@
+import datetime
 import io
 import json
 import zipfile
@@ -5,6 +6,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.operators.events import cached_listing
+from docloom.operators.explorer import sort_items
 from docloom.sources import files, office, sinks
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -101,6 +104,30 @@ def test_metadata_of_versions(spark, tmp_path):
     (tmp_path / "v1.structure.json").write_text('{"version_id": "9"}')
     rows = files.read_metadata(spark, str(tmp_path), "version_id string, summary string").collect()
     assert [tuple(r) for r in rows] == [("1", "ok")]
+    for name in ("profile", "2024_abce", "2024_abcd", "structure"):
+        (tmp_path / f"{name}.json").write_text(f'{{\n "version_id": "{name}"\n}}')
+    found = files.read_metadata(spark, str(tmp_path), "version_id string, summary string")
+    assert {r["version_id"] for r in found.collect()} == {"1", "profile", "2024_abce", "2024_abcd", "structure"}
+    assert found.count() == 5
+
+
+def test_explorer_of_a_folder(spark):
+    rows = [("/r/a.txt", "a.txt", 5, 1), ("/r/sub/b.txt", "b.txt", 9, 2), ("/r/sub/deep/c.txt", "c.txt", 7, 4), ("/r/.git/x", "x", 1, 1), ("/rest/d.txt", "d.txt", 1, 1)]
+    listed = spark.createDataFrame(rows, "path string, filename string, modified_time long, size long")
+    found = files.explorer(listed, folder="/r/")
+    assert sorted(tuple(r) for r in found.collect()) == [("a.txt", "/r/a.txt", "file", ".txt", 1, 5), ("sub", "/r/sub", "folder", "", 0, 9)]
+    assert {r["name"] for r in files.explorer(listed, True, "/r").collect()} == {"a.txt", "sub", ".git"}
+    ordered = sort_items(found.withColumn("created", F.lit(None).cast("long")), "name").collect()
+    assert [r["type"] for r in ordered] == ["folder", "file"]
+
+
+def test_cached_listing_counts_from_the_last_read(spark):
+    """Requests every 4 s against 5 s to live: read at 0, 8, 16 s; another key has reads of its own."""
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rows = [(k, "/a", at(4 * k)) for k in range(6)] + [(9, "/b", at(1)), (10, "/b", at(6)), (11, "/b", at(10.9))]
+    requests = spark.createDataFrame(rows, "event_id long, path string, ts timestamp_ntz")
+    found = {(r["path"], r["read_ts"]): r["served"] for r in cached_listing(requests, "path").collect()}
+    assert found == {("/a", at(0)): 2, ("/a", at(8)): 2, ("/a", at(16)): 2, ("/b", at(1)): 1, ("/b", at(6)): 2}
 
 
 def test_sinks_round_trip(spark, tmp_path):
