@@ -21,7 +21,7 @@ def _items(spark, d):
     return f.select(F.col("filename").alias("name"), "path", suffix(F.col("path")).alias("ext"), F.col("size_chars").alias("size"), F.col("modified_time").alias("modified"), F.col("created_time").alias("created"), kind.alias("type"))
 
 
-@query(cte("fx_files") + "," + _ITEMS + " SELECT path, type FROM items ORDER BY CASE WHEN type = 'folder' THEN 0 ELSE 1 END, coalesce(created, modified) DESC, path LIMIT 100")
+@query(cte("fx_files") + "," + _ITEMS + " SELECT path, type FROM items ORDER BY CASE WHEN type = 'folder' THEN 0 ELSE 1 END, coalesce(created, modified) DESC, path")
 def g9_explorer_sort(spark, d):
     return X.sort_items(_items(spark, d), "date", True).select("path", "type")
 

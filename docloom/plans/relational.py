@@ -109,14 +109,14 @@ def f3_parent_and_next(spark, d):
     return view(spark, d, "fx_versions").select("file_id", "version", F.lag("version").over(w).alias("parent"), (F.row_number().over(w) + 1).alias("next_number"))
 
 
-@query(cte("fx_versions") + f"SELECT strftime(make_timestamp(({NOW} - age_days * 86400) * 1000000), '%Y%m%d%H%M%S') || '_' || CAST(file_id AS VARCHAR) || CAST(version AS VARCHAR) AS version_id FROM fx_versions ORDER BY 1 DESC LIMIT 50")
+@query(cte("fx_versions") + f"SELECT strftime(make_timestamp(({NOW} - age_days * 86400) * 1000000), '%Y%m%d%H%M%S') || '_' || CAST(file_id AS VARCHAR) || CAST(version AS VARCHAR) AS version_id FROM fx_versions ORDER BY 1 DESC")
 def g7_newest_versions(spark, d):
     stamp = F.date_format(F.timestamp_seconds(F.lit(NOW).cast("long") - F.col("age_days") * 86400), "yyyyMMddHHmmss")
     ids = view(spark, d, "fx_versions").select(F.concat(stamp, F.lit("_"), F.col("file_id").cast("string"), F.col("version").cast("string")).alias("version_id"))
     return ids.orderBy(F.desc("version_id"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) || '_' || o_orderstatus AS id FROM orders ORDER BY o_orderkey, o_orderstatus LIMIT 100")
+@query("SELECT CAST(o_orderkey AS VARCHAR) || '_' || o_orderstatus AS id FROM orders ORDER BY o_orderkey, o_orderstatus")
 def g8_numeric_version_order(spark, d):
     """Ids compare by their number first, then as text."""
     ids = view(spark, d, "orders").select(F.concat_ws("_", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("id"))
@@ -190,7 +190,7 @@ def i41_cosine(spark, d):
     return e.join(after, "vec_id").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("other")), 4).alias("cosine"))
 
 
-@query("SELECT doc_id, lower(hex(encode(substring(text, 1, 8)))) AS hexed, substring(text, 1, 8) AS back FROM documents")
+@query("SELECT doc_id, lower(hex(encode(text))) AS hexed, text AS back FROM documents")
 def i56_hex(spark, d):
     hexed = F.lower(F.hex(F.encode("text", "UTF-8")))
     return view(spark, d, "documents").select("doc_id", hexed.alias("hexed"), F.decode(F.unhex(hexed), "UTF-8").alias("back"))
