@@ -13,6 +13,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType
 
 WINDOW, STEP, MOST_CHUNKS = 200, 170, 40
+CHUNK_IDS = 1_000_000  # chunk ids of a file; a text of more windows is an error
 
 
 def filename(path: Column) -> Column:
@@ -65,19 +66,24 @@ def tokens(text: Column) -> Column:
 
 def windows(text: Column, size: int = WINDOW, step: int = STEP) -> Column:
     """Overlapping word windows; the last one reaches the end."""
-    w = words(text)
-    last = F.greatest(F.ceil((F.size(w) - F.lit(size)) / F.lit(float(step))), F.lit(0)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda p: F.array_join(F.slice(w, p * step + 1, F.lit(size)), " "))
-    return F.when(F.size(w) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    def cut(w: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(w) - F.lit(size)) / F.lit(float(step))), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda p: F.array_join(F.slice(w, p * step + 1, F.lit(size)), " "))
+
+    made = F.transform(F.filter(F.array(words(text)), lambda w: F.size(w) > 0), cut)  # an array of one: the words are split once, not for each window
+    return F.coalesce(F.get(made, 0), F.array().cast("array<string>"))
 
 
 def index_chunks(files: DataFrame, documents: DataFrame) -> DataFrame:
-    """chunk_id, file_id, chunk_index, text: the meta chunk of each file, then its word windows."""
+    """chunk_id, file_id, chunk_index, text: the meta chunk of each file, then its word windows; at most CHUNK_IDS of a file."""
     meta = files.select(
-        (F.col("file_id") * 10000).alias("chunk_id"), "file_id", F.lit(0).alias("chunk_index"), meta_text(F.col("filename"), F.col("path")).alias("text")
+        (F.col("file_id") * CHUNK_IDS).alias("chunk_id"), "file_id", F.lit(0).alias("chunk_index"), meta_text(F.col("filename"), F.col("path")).alias("text")
     )
     cut = documents.select(F.col("doc_id").alias("file_id"), F.posexplode(windows(F.col("text"))).alias("p", "text"))
-    return meta.union(cut.select(F.col("file_id") * 10000 + F.col("p") + 1, "file_id", (F.col("p") + 1).cast("int"), "text"))
+    fits = F.when(F.col("p") + 1 < CHUNK_IDS, F.col("file_id") * CHUNK_IDS + F.col("p") + 1)
+    chunk = F.coalesce(fits, F.raise_error(F.concat(F.lit("too many chunks in file "), F.col("file_id").cast("string"))).cast("long"))
+    return meta.union(cut.select(chunk, "file_id", (F.col("p") + 1).cast("int"), "text"))
 
 
 def spread(rows: DataFrame, group: str, order: str, most: int = MOST_CHUNKS) -> DataFrame:

@@ -59,11 +59,14 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float | None
                 continue
             matrix, own = _matrix(batch.column(1)), batch.column(0).to_numpy()
             for lo in range(0, len(own), 4096):
-                scores = np.round(asked @ matrix[lo : lo + 4096].T, digits)
-                s = np.hstack([held_s, scores])
-                v = np.hstack([held_v, np.broadcast_to(own[lo : lo + 4096], scores.shape)])
-                order = np.lexsort((v, -s))[:, :k]
-                held_s, held_v = np.take_along_axis(s, order, 1), np.take_along_axis(v, order, 1)
+                kept = []
+                for q in range(0, len(ids), 512):  # so that scores of 512 queries by 4096 vectors are held at a time
+                    scores = np.round(asked[q : q + 512] @ matrix[lo : lo + 4096].T, digits)
+                    s = np.hstack([held_s[q : q + 512], scores])
+                    v = np.hstack([held_v[q : q + 512], np.broadcast_to(own[lo : lo + 4096], scores.shape)])
+                    order = np.lexsort((v, -s))[:, :k]
+                    kept.append((np.take_along_axis(s, order, 1), np.take_along_axis(v, order, 1)))
+                held_s, held_v = (np.concatenate(x) for x in zip(*kept, strict=True))
         n = held_s.shape[1]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(ids, n)), pa.array(held_v.ravel()), pa.array(held_s.ravel())], ["query_id", "vec_id", "score"]

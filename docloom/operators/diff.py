@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,9 +87,14 @@ def word_diff(old: pa.Array, new: pa.Array) -> pa.Array:
     return pa.array([paragraph_changes(list(a or []), list(b or [])) for a, b in rows], _PARAGRAPHS_ARROW)
 
 
-def missing_from(one: Column, other: Column) -> Column:
+@arrow_udf(ArrayType(StringType()))
+def missing_from(one: pa.Array, other: pa.Array) -> pa.Array:
     """Items of one array that the other lacks, with repeats, in order."""
-    return F.filter(one, lambda x: ~F.array_contains(other, x))
+    out = []
+    for a, b in zip(one.to_pylist(), other.to_pylist(), strict=True):
+        there = set(b or [])
+        out.append(None if a is None else [x for x in a if x not in there])
+    return pa.array(out, pa.list_(pa.string()))
 
 
 def text_lines(text: Column) -> Column:
@@ -98,25 +104,24 @@ def text_lines(text: Column) -> Column:
     return F.when(value == "", F.array().cast("array<string>")).otherwise(cut)
 
 
-def entropy(text: Column) -> Column:
-    """Bits per character, counted on the text's distinct characters."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    ordered = F.array_sort(chars)
-    runs = F.aggregate(
-        ordered,
-        F.struct(F.lit("").alias("c"), F.lit(0.0).alias("n"), F.lit(0.0).alias("s")),
-        lambda a, c: F.when(a["c"] == c, F.struct(c.alias("c"), (a["n"] + 1).alias("n"), a["s"].alias("s"))).otherwise(
-            F.struct(c.alias("c"), F.lit(1.0).alias("n"), (a["s"] + F.when(a["n"] > 0, a["n"] * F.log2(F.greatest(a["n"], F.lit(1.0)))).otherwise(0.0)).alias("s"))
-        ),
-        lambda a: a["s"] + F.when(a["n"] > 0, a["n"] * F.log2(F.greatest(a["n"], F.lit(1.0)))).otherwise(0.0),
-    )
-    return F.when(n > 0, F.log2(n) - runs / n).otherwise(F.lit(0.0))
-
-
-def importance(line: Column, mean_length: Column) -> Column:
-    """What a line weighs: entropy, words, symbols and relative length; encoded blobs little, formulas five times."""
-    h = entropy(line)
+@arrow_udf(DoubleType())
+def entropy(text: pa.Array) -> pa.Array:
+    """Bits per character, counted on the text's distinct characters; 0 for null or empty text."""
+    texts = text.fill_null("").to_pylist()
+    length = np.array([len(t) for t in texts], np.int64)
+    out = np.zeros(len(texts))
+    if length.sum():
+        code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), length)
+        pair, n = np.unique((row << 21) | code, return_counts=True)
+        spent = np.bincount(pair >> 21, n * np.log2(n), minlength=len(texts))
+        some = length > 0
+        out[some] = np.log2(length[some]) - spent[some] / length[some]
+    return pa.array(out, pa.float64())
+
+
+def importance(line: Column, mean_length: Column, h: Column) -> Column:
+    """What a line weighs: entropy (h), words, symbols and relative length; encoded blobs little, formulas five times."""
     blob = (F.length(line) > 120) & line.rlike("^[A-Za-z0-9+/=]+$")
     n_words = F.size(F.filter(F.split(line, r"\s+"), lambda w: w != ""))
     symbols = F.length(F.regexp_replace(line, r"[a-zA-Z0-9\s]", ""))
@@ -188,8 +193,9 @@ def _scores(base: DataFrame) -> DataFrame:
     kept = ["key", "total_lines", "n_added", "n_removed", "block_score", "size_score"]
     paired = sized.select(*kept, "mean", F.posexplode_outer(F.arrays_zip("added", "removed")).alias("pos", "z"))
     new, old = F.col("z.added"), F.col("z.removed")
-    ni, oi = importance(new, F.col("mean")), importance(old, F.col("mean"))
-    h = entropy(old)
+    paired = paired.withColumns({"_h_new": entropy(new), "_h_old": entropy(old)})
+    ni, oi = importance(new, F.col("mean"), F.col("_h_new")), importance(old, F.col("mean"), F.col("_h_old"))
+    h = F.col("_h_old")
     factor = F.when(sensitive(old), 10.0).when(h > 3.5, 3.0).when(h > 2.0, 2.5).otherwise(2.0)
     alone = new.isNull() & old.isNotNull()
     rows = paired.withColumns(

@@ -19,15 +19,13 @@ def lines_with_ends(text: Column) -> Column:
 
 def auto_merge(base: Column, ours: Column, theirs: Column) -> Column:
     """Line by line: equal lines; else the side that differs from the base; else ours if it has one."""
-    b, o, t = (lines_with_ends(x) for x in (base, ours, theirs))
-    most = F.greatest(F.size(b), F.size(o), F.size(t))
-    line = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+    together = F.arrays_zip(*(lines_with_ends(x) for x in (base, ours, theirs)))  # as long as the longest, nulls behind the others
 
-    def pick(i: Column) -> Column:
-        x, y, z = line(b, i), line(o, i), line(t, i)
+    def pick(lines: Column) -> Column:
+        x, y, z = (F.coalesce(lines[k], F.lit("")) for k in "012")
         return F.when(y == z, y).when(y == x, z).otherwise(y)
 
-    return F.when(most == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(most - 1, F.lit(0))), pick), ""))
+    return F.array_join(F.transform(together, pick), "")
 
 
 def changes(rows: DataFrame, new: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens
-from docloom.functions.vector import nearest
+from docloom.functions.vector import MAX_QUERIES, nearest
 
 # Fixed values that define the ranking.
 RRF_K, OVER_FETCH, MIN_SIMILARITY, CHAT_SIMILARITY = 60, 5, 0.15, 0.18
@@ -21,6 +21,13 @@ def _ranked(rows: DataFrame, group: str, *order, most: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= most)
 
 
+def stated(queries: DataFrame) -> DataFrame:
+    """The queries, if they are few enough to go to every task."""
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries: search in several calls")
+    return queries
+
+
 def postings(chunks: DataFrame, terms: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(term, chunk_id, tf) and (chunk_id, dl); terms: an array column of chunks, plain tokens by default."""
     cut = chunks.select("chunk_id", (tokens(F.col("text")) if terms is None else terms).alias("_terms"))
@@ -39,18 +46,19 @@ def bm25(chunks: DataFrame, queries: DataFrame, most: int, terms: Column | None
     """query_id, chunk_id, score (4 digits), place: any of the query's words, best `most` chunks.
 
     Chunks are scanned once; postings of other words never leave the scan, as
-    the words asked for (a small, stated set) are joined before the shuffle.
+    the words asked for (of at most MAX_QUERIES queries) are joined before the shuffle.
     """
-    wanted = query_terms(queries, asked)
+    wanted = F.broadcast(query_terms(stated(queries), asked))
     cut = chunks.select("chunk_id", (tokens(F.col("text")) if terms is None else terms).alias("_terms"))
-    stats = cut.agg(F.count("*").alias("n_all"), F.avg(F.size("_terms")).alias("avgdl"))
+    n_words = F.size("_terms") if terms is not None else F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"))
+    stats = (cut if terms is not None else chunks).agg(F.count("*").alias("n_all"), F.avg(n_words).alias("avgdl"))
     hits = (
         cut.select("chunk_id", F.size("_terms").alias("dl"), F.explode("_terms").alias("term"))
-        .join(wanted.select("term").distinct(), "term", "left_semi")
+        .join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
         .groupBy("term", "chunk_id")
         .agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     )
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each word that was asked for
     n, d = F.col("n_all"), F.col("df")
     raw = F.ln((n - d + 0.5) / (d + 0.5))
     idf = F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw)
@@ -66,10 +74,10 @@ def bm25(chunks: DataFrame, queries: DataFrame, most: int, terms: Column | None
 def path_matches(files: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     """query_id, file_id, path, place: names or paths that contain the query, newest first; an empty query takes all files.
 
-    The queries are a small, stated set: they are compared with every file.
+    The queries, at most MAX_QUERIES, are compared with every file.
     """
     hit = F.expr(f"path ILIKE concat('%', query_text, '%') ESCAPE '{NO_ESCAPE}' OR filename ILIKE concat('%', query_text, '%') ESCAPE '{NO_ESCAPE}'")
-    joined = files.join(F.broadcast(queries.select("query_id", "query_text")), hit)
+    joined = files.join(F.broadcast(stated(queries).select("query_id", "query_text")), hit)
     order = (F.col("created_time").desc_nulls_last(), F.desc("modified_time"), F.col("file_id"))
     return _ranked(joined, "query_id", *order, most=most).select("query_id", "file_id", "path", "place")
 

@@ -52,7 +52,7 @@ VIEWS = {
                md5(CAST(CAST(floor(value / 50) AS BIGINT) AS STRING)) AS checksum
         FROM {events}""",
     "fx_query_vectors": "SELECT vec_id AS query_id, embedding AS query_embedding FROM {embeddings} WHERE vec_id % 50 = 0",
-    "fx_queries": "SELECT item_id AS query_id, substring(text, 1, 40) AS query_text FROM {benchmark}",
+    "fx_queries": "SELECT item_id AS query_id, text AS query_text FROM {benchmark}",
     "fx_cells_old": """
         SELECT l_returnflag AS sheet, concat('R', CAST(l_orderkey AS STRING), 'C', CAST(l_linenumber AS STRING)) AS cell,
                CAST(max(l_partkey) AS STRING) AS value,
@@ -77,10 +77,10 @@ VIEWS = {
 
 #: Word windows of 200 words, 170 apart; chunk 0 holds the name and the path.
 CHUNKS_SQL = r"""
-    SELECT file_id * 10000 AS chunk_id, file_id, 0 AS chunk_index,
+    SELECT file_id * 1000000 AS chunk_id, file_id, 0 AS chunk_index,
            concat_ws(' ', translate(regexp_replace(filename, '\.[^.]*$', ''), '_-', '  '), filename, path) AS text FROM fx_files
     UNION ALL
-    SELECT file_id * 10000 + p + 1, file_id, CAST(p + 1 AS INT), array_to_string(words[p * 170 + 1 : p * 170 + 200], ' ')
+    SELECT file_id * 1000000 + p + 1, file_id, CAST(p + 1 AS INT), array_to_string(words[p * 170 + 1 : p * 170 + 200], ' ')
     FROM (SELECT file_id, words, unnest(generate_series(0, greatest(CAST(ceil((len(words) - 200) / 170.0) AS BIGINT), 0))) AS p
           FROM (SELECT doc_id AS file_id, list_filter(regexp_split_to_array(text, '[\s]+'), lambda w: w <> '') AS words FROM documents) WHERE len(words) > 0)"""
 

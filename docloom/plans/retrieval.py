@@ -44,12 +44,12 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     """Query texts with a vector each: the row of the embeddings with the query's number."""
     vectors = view(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    return _queries(spark, d).join(F.broadcast(vectors), "query_id")
+    return vectors.join(F.broadcast(S.stated(_queries(spark, d))), "query_id").select("query_id", "query_text", "query_embedding")
 
 
 def _chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The embeddings stand for the meta chunks of the files with their numbers."""
-    return view(spark, d, "embeddings").select((F.col("vec_id") * 10000).alias("vec_id"), "embedding")
+    return view(spark, d, "embeddings").select((F.col("vec_id") * T.CHUNK_IDS).alias("vec_id"), "embedding")
 
 
 _ASKED_SQL = "asked AS (SELECT query_id, query_text, embedding AS query_embedding FROM fx_queries JOIN embeddings ON vec_id = query_id)"
@@ -125,7 +125,7 @@ def j5_date_range_search(spark, d):
 
 _HYBRID = (
     cte("fx_chunks", "fx_queries") + "," + _ASKED_SQL + "," + _bm25_sql(100) + ","
-    + _near_sql("semantic", "asked", 100, 0.15, "(SELECT vec_id * 10000 AS chunk, embedding FROM embeddings)", "chunk")
+    + _near_sql("semantic", "asked", 100, 0.15, "(SELECT vec_id * 1000000 AS chunk, embedding FROM embeddings)", "chunk")
     + f""",
     signals AS (SELECT query_id, vec_id AS chunk_id, 'semantic' AS signal, place FROM semantic UNION ALL SELECT k.query_id, chunk_id, 'keyword', place FROM keyword k JOIN asked USING (query_id)),
     fused AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + place)) AS rrf, list(signal) AS s FROM signals GROUP BY query_id, chunk_id),
@@ -168,7 +168,7 @@ def e5_rrf_fusion(spark, d):
     )
 
 
-_CHAT = cte("fx_chunks", "fx_query_vectors") + "," + _near_sql("near", "fx_query_vectors", 10, 0.18, "(SELECT vec_id * 10000 AS chunk, embedding FROM embeddings)", "chunk") + """,
+_CHAT = cte("fx_chunks", "fx_query_vectors") + "," + _near_sql("near", "fx_query_vectors", 10, 0.18, "(SELECT vec_id * 1000000 AS chunk, embedding FROM embeddings)", "chunk") + """,
     hits AS (SELECT * FROM (SELECT query_id, chunk_id, text, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place
              FROM near JOIN fx_chunks ON chunk_id = vec_id WHERE trim(text) <> '') WHERE place <= 5)"""
 
