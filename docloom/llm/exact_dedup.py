@@ -14,8 +14,10 @@ whatever the input) are broadcast, the others are shuffled.
 Defined cases: a null text counts as empty; rows with a null doc_id take part,
 null is below every id; if several rows with equal text share the largest
 doc_id, `exact_groups` marks each of them as kept and `drop_exact_copies` keeps
-one of them; an empty table gives an empty result; other columns are ignored by
-`exact_groups` and kept by `drop_exact_copies`.
+one of them; texts of any length are compared whole, one longer than the budget
+in a table of its own; an empty table gives an empty result; other columns,
+whatever their names, are ignored by `exact_groups` and kept by
+`drop_exact_copies`.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from docloom.llm.common import checkpoint, map_arrow
 _LOCAL = "sha string, content binary, n long, top long, n_top long"
 _GROUP = "sha string, keep_id long, group_size long, n_top long"
 _FAN_BITS, _MAX_LEVEL = 4, 12
+BROADCAST_GROUPS = 500_000
 
 
 class ContentTable:
@@ -230,19 +233,25 @@ def exact_groups(docs: DataFrame, budget: int = 48 << 20) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, budget: int = 48 << 20) -> DataFrame:
     """The documents that stay, one of each group of equal texts, with all their columns.
 
-    A row is recognised by its id and digest; where several rows of a group have
-    the largest id, they are reduced to one.
+    Texts that occur once stay where they lie; the digests of the others are joined
+    to them, broadcast up to BROADCAST_GROUPS. A row is recognised by its id and
+    digest; where several rows of a group have the largest id, they are reduced to
+    one.
     """
     from docloom.llm.textudf import lower_sha256
 
     names = [f"_c{k}" for k in range(len(docs.columns))]
     plain = docs.toDF(*names)
     text, doc_id = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
-    tops = exact_groups(docs, budget).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key"), F.col("n_top").alias("_n")
-    ).distinct()
-    rows = plain.withColumn("_sha", lower_sha256(F.col(text)))
-    out = rows.join(tops, (F.col("_sha") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id")))
-    single = out.where("_n = 1").select(*names)
-    several = out.where("_n > 1").dropDuplicates(["_key"]).select(*names)
+    groups = checkpoint(content_groups(docs, budget))
+    tops = groups.where("group_size > 1").select(F.col("sha").alias("_key"), F.col("keep_id").alias("_id"), F.col("n_top").alias("_n"))
+    n, most = tops.agg(F.count("*"), F.max("_n")).first()
+    if n <= BROADCAST_GROUPS:
+        tops = F.broadcast(tops)
+    out = plain.withColumn("_sha", lower_sha256(F.col(text))).join(tops, F.col("_sha") == F.col("_key"), "left")
+    top = F.col(doc_id).eqNullSafe(F.col("_id"))
+    single = out.where(F.col("_key").isNull() | (top & (F.col("_n") == 1))).select(*names)
+    if (most or 0) <= 1:
+        return single.toDF(*docs.columns)
+    several = out.where(F.col("_key").isNotNull() & top & (F.col("_n") > 1)).dropDuplicates(["_key"]).select(*names)
     return single.union(several).toDF(*docs.columns)
