@@ -40,14 +40,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import BinaryType
 
 from docloom.llm.arrowtext import Words, column, grams, mix, parts, raw
 from docloom.llm.common import Tables, components, map_arrow, written
 
 BROADCAST_IDS = 1_000_000
-BROADCAST_SETS = 32 << 20  # bytes
+BROADCAST_SETS = 8 << 20  # bytes
 SMALL = 16  # classes with a sub-key whose pairs are formed one by one
 PART, PART_SHINGLES = 2048, 1 << 21  # classes and shingles of one side of a cell
 
@@ -308,13 +311,18 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, s: Settings, held: Tables) -> DataFrame:
-    """(node, codes): the full sets of the classes named by nodes, read from their documents with the lowest id."""
+    """(node, codes): the full sets of the classes named by nodes, read from their documents with the lowest id.
+
+    Several documents of a class are read only where they share that id; then the
+    table is reduced to one row for each class.
+    """
     needed = held.put(nodes.distinct())
     count = needed.count()
     low = classes.join(_ids(needed, count), "node", "left_semi").select(F.col("low").alias("_id")).distinct()
     texts = docs.select("doc_id", "text").join(_ids(low, count), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = map_arrow(texts, _fingerprints(s), "node binary, codes binary")
-    return held.put(sets.join(_ids(needed, count), "node", "left_semi").dropDuplicates(["node"]))
+    sets = held.put(sets.join(_ids(needed, count), "node", "left_semi"))
+    return sets if sets.count() == count else held.put(sets.dropDuplicates(["node"]))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -378,7 +386,7 @@ def _cells(members: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, node (its set's class; null if empty), component_id, kept."""
+    """One row per document: doc_id, n_shingles, node (its set's class; null if empty), root (its component's), component_id, kept."""
     with Tables(docs.sparkSession, "near") as held:
         signed = held.put(map_arrow(docs.select("doc_id", "text"), _sign(s), "doc_id long, n_shingles long, node binary, subs array<long>, sketch binary"))
         classes = held.put(signed.where("node is not null").groupBy("node").agg(
@@ -404,25 +412,39 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
         own = classes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         lowest = own.groupBy("root").agg(F.min("low").alias("component_id"))
-        found = own.join(lowest, "root").select(F.col("node").alias("_node"), F.col("component_id").alias("_component"))
+        found = own.join(lowest, "root").select(F.col("node").alias("_node"), "root", F.col("component_id").alias("_component"))
         rows = signed.select("doc_id", "n_shingles", "node").join(found, F.col("node") == F.col("_node"), "left")
         component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
-        rows = rows.select("doc_id", "n_shingles", "node", component.alias("component_id"))
+        rows = rows.select("doc_id", "n_shingles", "node", "root", component.alias("component_id"))
         return written(rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-groups")
 
 
 def drop_near_copies(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One document of each group with all its columns (the one with the smallest id).
 
-    Rows that share that id are told apart by their digests of the text; one of them stays.
+    Documents stay where they lie: the ids of those that go are joined to them,
+    broadcast up to BROADCAST_IDS. Rows that share an id are told apart by the
+    digests of their sets; of those that could stand for a group one stays.
     """
-    from docloom.llm.textudf import lower_sha256
+
+    @arrow_udf(BinaryType())
+    def node_of(text: pa.Array) -> pa.Array:
+        lowered = pc.ascii_lower(pc.fill_null(text, ""))
+        return pa.array([_digest(codes) if len(codes) else None for codes in shingle_sets(lowered, s.shingle)], pa.binary())
 
     names = [f"_c{k}" for k in range(len(docs.columns))]
     plain = docs.toDF(*names)
-    text, doc_id = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
-    kept = near_groups(docs, s).where("kept").groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_id")
-    rows = plain.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")))
-    single = rows.where("_n = 1").select(*names)
-    several = rows.where("_n > 1").withColumn("_sha", lower_sha256(F.col(text))).dropDuplicates([doc_id, "_sha"]).select(*names)
-    return single.union(several).toDF(*docs.columns)
+    text, doc_id = (F.col(names[docs.columns.index(c)]) for c in ("text", "doc_id"))
+    groups = near_groups(docs, s)
+    per_id = groups.groupBy(F.col("doc_id").alias("_id")).agg((F.count("*") > 1).alias("_shared"), F.count_if("kept").alias("_kept"))
+    marks = written(per_id.where("_shared or _kept = 0").select("_id", "_shared"), "near-marks")
+    marked = plain.join(_ids(marks, marks.count()), doc_id.eqNullSafe(F.col("_id")), "left")
+    single = marked.where("_shared is null").select(*names)
+    shared = marks.where("_shared").select("_id")
+    if not shared.limit(1).count():
+        return single.toDF(*docs.columns)
+    tops = groups.where("kept").join(_ids(shared, shared.count()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    tops = tops.select(F.col("doc_id").alias("_top"), F.col("node").alias("_node"), F.col("root").alias("_root")).distinct()
+    several = marked.where("_shared").withColumn("_own", node_of(text)).join(tops, doc_id.eqNullSafe(F.col("_top")) & F.col("_own").eqNullSafe(F.col("_node")))
+    empty, full = several.where("_root is null"), several.where("_root is not null").dropDuplicates(["_root"])
+    return single.union(empty.select(*names)).union(full.select(*names)).toDF(*docs.columns)

@@ -63,7 +63,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = minhash.Settings(shingle=3, percent=85, tables=7)
-    return minhash.near_groups(table(spark, sf_dir, "documents"), settings).drop("node")
+    return minhash.near_groups(table(spark, sf_dir, "documents"), settings).drop("node", "root")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,10 +71,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     own = [
         op1_best_fit_packing, op2_license_scan, op3_url_filter, op4_html_extraction, op5_exact_dedup,
         op6_quality_rules, op7_mixing, op8_token_counts, op9_minhash_near_dedup, op10_quality_classifier,
     ]
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own}
