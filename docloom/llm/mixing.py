@@ -3,12 +3,16 @@
 Sizes are summed per source before anything is shuffled; the targets come from
 pouring the wanted total over the sources in proportion to their weights, each
 source taking at most `cap` times its size and the excess going to the others.
-A document is emitted floor(rate) times plus once more if a hash of its id and
-the seed falls below the fraction of the rate, so reruns agree.
-
-Defined cases: a null text has size 0; null is a source of its own, last in the
-order; a source of size 0 has target 0 and rate 0; repeated rows get the same
-number of copies each; an empty table gives an empty result.
+A document is emitted floor(rate) times plus once more if a hash of its id, its
+text and the seed falls below the fraction of the rate, so reruns agree and rows
+without an id of their own are drawn one by one.
+
+Defined cases: a null text has size 0, texts of any length are counted whole; null
+is a source of its own, last in the order; a source of size 0 has target 0 and
+rate 0; a null id is an id like others; rows equal in id and text are one draw, so
+all of them get the same number of copies; ties between sources don't arise, as
+each is one row; an empty table gives an empty result; other columns, whatever
+their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -69,7 +73,7 @@ def copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     if targets.count() <= BROADCAST_SOURCES:
         side = F.broadcast(side)
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")))
+    key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit(""))))
     draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     joined = plain.join(side, source.eqNullSafe(F.col("_source")))
     whole = F.floor(rate)

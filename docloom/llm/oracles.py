@@ -31,7 +31,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, p"""
 
 OP7 = rf"""
-WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size, md5(coalesce(text, '')) AS digest FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
 o AS (SELECT *, sum(cap) OVER a AS caps, sum(weight) OVER a AS weights, row_number() OVER a AS k FROM w WINDOW a AS (ORDER BY cap / weight, encode(source) ROWS UNBOUNDED PRECEDING)),
@@ -42,7 +42,7 @@ levels AS (SELECT l.k, CASE WHEN t.weights > l.used THEN (t.total - l.caps) / (t
 level AS (SELECT level FROM levels WHERE next IS NULL OR next > level ORDER BY k LIMIT 1),
 m AS (SELECT source, source_size, least(cap, level * weight) AS target FROM w, level),
 r AS (SELECT d.doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-             ('0x' || substring(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
+             ('0x' || substring(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || digest), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
       FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source)
 SELECT doc_id, size, source_size, target, CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) * size AS taken FROM r"""
 
@@ -68,23 +68,23 @@ def _rule(value: str) -> str:
 
 
 def _op3() -> str:
-    seg = ", ".join(f"CASE WHEN len(g) > {DEPTH} THEN '{{tail}}' ELSE g[{DEPTH}] END AS s{k}" if k == DEPTH - 1 else f"g[{k + 1}] AS s{k}" for k in range(DEPTH))
+    seg = ", ".join(f"CASE WHEN len(g) >= {DEPTH} THEN array_to_string(g[{DEPTH}:], '/') END AS s{k}" if k == DEPTH - 1 else f"g[{k + 1}] AS s{k}" for k in range(DEPTH))
     names = ", ".join(f"s{k}" for k in range(DEPTH))
     same = " AND ".join(f"r.s{k} IS NOT DISTINCT FROM x.s{k}" for k in range(DEPTH))
     parts = [
         f"""u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
         FROM (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages))""",
         f"""r AS (SELECT *, {seg} FROM (SELECT page_id, host, path, {_rule("rule")} AS rule, {_rule("verdict")} AS v,
-        list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN '{{n}}'
-            WHEN regexp_full_match(x, '[0-9]+[.][A-Za-z]+') THEN '{{n}}.' || regexp_extract(x, '[.]([A-Za-z]+)$', 1) WHEN regexp_matches(x, '[0-9]') THEN '{{x}}' ELSE x END) AS g FROM u))""",
+        list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN '/n'
+            WHEN regexp_full_match(x, '[0-9]+[.][A-Za-z]+') THEN '/n.' || regexp_extract(x, '[.]([A-Za-z]+)$', 1) WHEN regexp_matches(x, '[0-9]') THEN '/x' ELSE x END) AS g FROM u))""",
         f"l0 AS (SELECT host, {names}, '' AS t, count(*) AS n, count(v) AS lab, count(*) FILTER (v = 'block') AS bad FROM r GROUP BY ALL)",
     ]
     for k in range(DEPTH):
         parts += [
             f"c{k} AS (SELECT host, t, s{k} AS s, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM l{k} WHERE s{k} IS NOT NULL GROUP BY ALL)",
             f"p{k} AS (SELECT host, t, count(*) AS kids, sum(n) AS pn, sum(lab) AS plab, sum(bad) AS pbad FROM c{k} GROUP BY ALL)",
-            f"""n{k} AS (SELECT host, t, s, CASE WHEN kids > {CHILDREN} AND pn < {PER_CHILD} * kids THEN '*'
-            WHEN lab > 0 AND plab - lab > 0 AND power(bad / lab - (pbad - bad) / (plab - lab), 2) <= {CHI_SQUARE} * (pbad / plab * (1 - pbad / plab) * (1 / lab + 1 / (plab - lab))) THEN '~' ELSE s END AS name
+            f"""n{k} AS (SELECT host, t, s, CASE WHEN kids > {CHILDREN} AND pn < {PER_CHILD} * kids THEN '/*'
+            WHEN lab > 0 AND plab - lab > 0 AND power(bad / lab - (pbad - bad) / (plab - lab), 2) <= {CHI_SQUARE} * (pbad / plab * (1 - pbad / plab) * (1 / lab + 1 / (plab - lab))) THEN '/~' ELSE s END AS name
             FROM (SELECT host, t, s, kids, CAST(c.n AS DOUBLE) AS n, CAST(lab AS DOUBLE) AS lab, CAST(bad AS DOUBLE) AS bad, CAST(pn AS DOUBLE) AS pn, CAST(plab AS DOUBLE) AS plab, CAST(pbad AS DOUBLE) AS pbad
                   FROM c{k} c JOIN p{k} USING (host, t)))""",
             f"l{k + 1} AS (SELECT l.* REPLACE (CASE WHEN name IS NULL THEN l.t ELSE l.t || '/' || name END AS t) FROM l{k} l LEFT JOIN n{k} x ON l.host = x.host AND l.t = x.t AND l.s{k} = x.s)",

@@ -1,17 +1,25 @@
 """URL filters: rules of hosts and paths, then path-template trees judged by labelled purity.
 
 The path of a URL is cut into segments whose numbers, codes and extensions are
-generalised; segments past `DEPTH` form one tail. Per host these templates form
-a tree. Level by level a variable segment (many children, few pages each)
-becomes a wildcard, and labelled branches whose rates the two-proportion test
-can't tell apart are merged. A template is rejected when its smoothed share of
-bad labels reaches the limit. All steps are DataFrame expressions on counts that
-are combined before each shuffle.
-
-Defined cases: a null URL, or one without "://", has empty host and path;
-unlabelled templates get the prior alone and are allowed; null labels count as
-none; repeated rows count each; an empty table gives an empty result; other
-columns are ignored.
+generalised; all segments from the `DEPTH`-th on form the last one together. Per
+host these templates form a tree. Level by level a variable segment (many
+children, few pages each) becomes a wildcard, and labelled branches whose rates
+the two-proportion test can't tell from that of all their siblings together are
+merged into one (so each is like the whole, two of them needn't be like each
+other). A template is rejected when its smoothed share of bad labels reaches the
+limit. All steps are DataFrame expressions on counts that are combined before
+each shuffle. Names made here begin with "/", which no segment holds: "/n" a
+number, "/x" a code, "/*" a wildcard, "/~" merged branches.
+
+Up to BROADCAST_TEMPLATES templates are broadcast to the pages; beyond that the
+join shuffles, and adaptive execution splits a template with very many pages.
+
+Defined cases: a null URL, or one without "://", has empty host and path; URLs of
+any length and depth are read whole; unlabelled templates get the prior alone and
+are allowed; null labels count as none; of rules that fit, the longest wins (the
+rules differ in length where several can fit); repeated rows count each and are
+all returned; an empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -55,16 +63,16 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def segments(path: Column) -> list[Column]:
-    """DEPTH generalised segments; null past the end, the last one stands for all that follow."""
+    """DEPTH generalised segments; null past the end, the last one holds all that follow."""
     cut = F.filter(F.split(path, "/"), lambda s: s != "")
     general = F.transform(
         cut,
-        lambda s: F.when(s.rlike("^[0-9]+$"), F.lit("{n}"))
-        .when(s.rlike("^[0-9]+[.][A-Za-z]+$"), F.concat(F.lit("{n}."), F.regexp_extract(s, "[.]([A-Za-z]+)$", 1)))
-        .when(s.rlike("[0-9]"), F.lit("{x}"))
+        lambda s: F.when(s.rlike("^[0-9]+$"), F.lit("/n"))
+        .when(s.rlike("^[0-9]+[.][A-Za-z]+$"), F.concat(F.lit("/n."), F.regexp_extract(s, "[.]([A-Za-z]+)$", 1)))
+        .when(s.rlike("[0-9]"), F.lit("/x"))
         .otherwise(s),
     )
-    last = F.when(F.size(general) > DEPTH, F.lit("{tail}")).otherwise(F.get(general, F.lit(DEPTH - 1)))
+    last = F.when(F.size(general) >= DEPTH, F.array_join(F.slice(general, DEPTH, F.size(general)), "/"))
     return [*(F.get(general, F.lit(k)) for k in range(DEPTH - 1)), last]
 
 
@@ -84,7 +92,7 @@ def _level(leaves: DataFrame, k: int) -> DataFrame:
     variance = p * (1 - p) * (1 / F.col("lab") + 1 / rest)
     alike = (F.col("lab") > 0) & (rest > 0) & F.when((F.col("lab") > 0) & (rest > 0), difference * difference <= F.lit(CHI_SQUARE) * variance)
     variable = (F.col(kids) > CHILDREN) & (F.col(pages) < PER_CHILD * F.col(kids))
-    name = F.when(variable, F.lit("*")).when(alike, F.lit("~")).otherwise(F.col(seg))
+    name = F.when(variable, F.lit("/*")).when(alike, F.lit("/~")).otherwise(F.col(seg))
     named = both.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col(seg).alias("_s"), name.alias("_name"))
     joined = leaves.join(named, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col(seg) == F.col("_s")), "left")
     extended = F.when(F.col("_name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "_name"))

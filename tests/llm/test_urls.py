@@ -38,8 +38,8 @@ def test_variable_segments_become_wildcards_and_bad_templates_go(spark):
     rows += [(100 + k, f"https://h.test/news/{k}", 0) for k in range(30)] + [(200 + k, f"https://h.test/user/{'q' * (k + 1)}/buy", None) for k in range(5)]
     rows += [(300, "https://h.test/other", None)]
     judged = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, bad int"), F.col("bad")).collect()}
-    assert judged[200]["template"] == "/user/*/buy" and judged[200]["verdict"] == "block"
-    assert judged[100]["template"] == "/news/{n}" and judged[100]["verdict"] == "allow"
+    assert judged[200]["template"] == "/user//*/buy" and judged[200]["verdict"] == "block"
+    assert judged[100]["template"] == "/news//n" and judged[100]["verdict"] == "allow"
     assert judged[300]["verdict"] == "allow"
 
 
@@ -48,3 +48,19 @@ def test_similar_branches_are_merged(spark):
     judged = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), F.col("bad").cast("int")).collect()}
     assert judged[500]["template"] == "/spam/x" and judged[500]["verdict"] == "block"
     assert judged[1]["verdict"] == "allow"
+
+
+def test_real_segments_are_no_generated_names(spark):
+    """Segments that look like marks, and branches below the fourth segment, keep their own templates."""
+    rows = [(k, f"https://h.test/{s}/p", b) for k, (s, b) in enumerate([("*", 1), ("~", 0), ("{n}", 1), ("{x}", 0), ("7", 0), ("a7", 1)] * 30)]
+    rows += [(1000 + k, f"https://h.test/a/b/c/d/{'spam' if k % 2 else 'fine'}/page", k % 2) for k in range(60)]
+    judged = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, bad int"), F.col("bad")).collect()}
+    assert all(judged[i]["verdict"] == ("block" if b else "allow") for i, _, b in rows)
+    assert {judged[1000 + k]["template"].removeprefix("//~").removeprefix("/a") for k in range(60)} == {"/b/c/d/spam/page", "/b/c/d/fine/page"}
+
+
+def test_repeated_rows_are_all_returned(spark):
+    rows = [(1, "https://example.com/en/7/x")] * 3 + [(2, None)] * 2
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    got = sorted(((r["page_id"], r["host"], r["rule"], r["verdict"]) for r in out), key=str)
+    assert got == [(1, "example.com", "example.com/en/7", "allow")] * 3 + [(2, "", None, "allow")] * 2
