@@ -5,13 +5,19 @@ the raw corpus give each document a log ratio; with Gumbel noise from a hash of
 its id added, the k documents with the largest keys are a sample drawn without
 replacement in proportion to their importance. The raw model counts all
 documents; the target model is fitted on at most SAMPLE labelled rows, chosen
-by a hash of the id, of which every fourth is held out. k is not a fixed number:
-it is how many keys reach the level that `recall` of the held-out target rows
-reach, so it follows the corpus and is not flattered by rows the model has seen.
-
-Defined cases: a null or empty text has log ratio 0; a null doc_id gets the
-noise of the text "null"; rows with equal keys at the boundary are all kept;
-with fewer than two target rows everything is kept; an empty table gives an empty result.
+by a hash of the id, of which every fourth is held out. k is given, or it is how
+many keys reach the level that `recall` of the held-out target rows reach, so it
+follows the corpus and is not flattered by rows the model has seen. Log ratios are
+sums over whole texts, so the noise (a standard deviation of 1.3) decides between
+documents of about equal weight only.
+
+Defined cases: a null or empty text has log ratio 0; texts of any length are read
+whole, in blocks; a null doc_id gets the noise of the text "null"; rows with equal
+keys at the boundary are all kept, also with k given; repeated rows count in the
+raw model each and stay or go together; with fewer than two target rows everything
+is kept; null labels are no target rows; an empty table gives an empty result;
+other columns, whatever their names, are ignored by `classify` and kept by
+`keep_sampled`.
 """
 
 from __future__ import annotations
@@ -23,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import map_arrow
 from docloom.llm.arrowtext import WORD_OR_SIGN, Words, column, grams, parts, raw
+from docloom.llm.common import checkpoint, map_arrow
 
 BUCKETS = 10_000
 SAMPLE = 20_000
@@ -109,8 +115,36 @@ def _scored(docs: DataFrame, ratio: np.ndarray | None, seed: int) -> DataFrame:
     return map_arrow(plain, _score(ratio, seed, docs.columns.index("doc_id"), docs.columns.index("text")), schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, recall: float, seed: int, sample: int) -> tuple[np.ndarray | None, float]:
-    """The log ratios, and the key that `recall` of the held-out target rows reach.
+def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096) -> float:
+    """The k-th largest of a column of numbers, by histograms of ever narrower ranges; -inf if there are fewer."""
+    n, low, high = keys.agg(F.count(column), F.min(column), F.max(column)).first()
+    if k > n or k < 1:
+        return float("-inf") if k > n else float("inf")
+    value, left = F.col(column), k  # the answer is the left-th largest of the values in [low, high]
+    while low < high:
+        width = (high - low) / bins
+        if low + width == low or high - width == high:
+            break
+        place = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
+        inside = keys.where((value >= F.lit(low)) & (value <= F.lit(high)))
+        counted = inside.groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
+        for r in sorted(counted.collect(), key=lambda r: -r["b"]):  # at most `bins` rows
+            if left <= r["n"]:
+                low, high = r["lo"], r["hi"]
+                break
+            left -= r["n"]
+    if low == high:
+        return low
+    few = keys.where((value >= F.lit(low)) & (value <= F.lit(high))).groupBy(column).agg(F.count("*").alias("n"))
+    for r in sorted(few.collect(), key=lambda r: -r[0]):  # neighbouring doubles
+        left -= r["n"]
+        if left <= 0:
+            return r[0]
+    return low
+
+
+def fit(docs: DataFrame, labels: DataFrame, recall: float, seed: int, sample: int, k: int | None = None) -> tuple[np.ndarray | None, float]:
+    """The log ratios, and the k-th largest key, or the key that `recall` of the held-out target rows reach.
 
     One key per held-out row comes to the driver: at most a quarter of `sample`.
     """
@@ -120,15 +154,17 @@ def fit(docs: DataFrame, labels: DataFrame, recall: float, seed: int, sample: in
         return None, float("-inf")
     pairs = docs.select("doc_id", "text")
     ratio = log_ratio(pairs, set(target) - set(held))
+    if k is not None:
+        return ratio, kth_largest(checkpoint(_scored(pairs, ratio, seed).select("_key")), "_key", k)
     ids = docs.sparkSession.createDataFrame([(x,) for x in held], "_target long")
     own = pairs.join(F.broadcast(ids), F.col("doc_id") == F.col("_target")).drop("_target")
     keys = sorted(r[0] for r in _scored(own, ratio, seed).groupBy("_c0").agg(F.min("_key").alias("k")).select("k").collect())
     return ratio, keys[int((1 - recall) * len(keys))] if keys else float("-inf")
 
 
-def classify(docs: DataFrame, labels: DataFrame, recall: float = 0.999, seed: int = 17, sample: int = SAMPLE) -> DataFrame:
-    """One row per document: doc_id, log_weight, sample_key, kept."""
-    ratio, least = fit(docs, labels, recall, seed, sample)
+def classify(docs: DataFrame, labels: DataFrame, recall: float = 0.999, seed: int = 17, sample: int = SAMPLE, k: int | None = None) -> DataFrame:
+    """One row per document: doc_id, log_weight, sample_key, kept. k: how many to keep, in place of the recall."""
+    ratio, least = fit(docs, labels, recall, seed, sample, k)
     scored = _scored(docs.select("doc_id", "text"), ratio, seed)
     return scored.select(
         F.col("_c0").alias("doc_id"),
@@ -138,8 +174,8 @@ def classify(docs: DataFrame, labels: DataFrame, recall: float = 0.999, seed: in
     )
 
 
-def keep_sampled(docs: DataFrame, labels: DataFrame, recall: float = 0.999, seed: int = 17, sample: int = SAMPLE) -> DataFrame:
+def keep_sampled(docs: DataFrame, labels: DataFrame, recall: float = 0.999, seed: int = 17, sample: int = SAMPLE, k: int | None = None) -> DataFrame:
     """The documents that stay, with all their columns."""
-    ratio, least = fit(docs, labels, recall, seed, sample)
+    ratio, least = fit(docs, labels, recall, seed, sample, k)
     scored = _scored(docs, ratio, seed)
     return scored.where(F.col("_key") >= F.lit(least)).select(*scored.columns[:-2]).toDF(*docs.columns)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import shutil
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.session import shared_folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -24,25 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in `spark.checkpoint.dir`.
-
-    Where it is unset, a temporary folder stands in on a single machine (tests)
-    and is removed at exit; on a cluster that is an error, as executors would
-    write to disks of their own.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named:
-            if not (sc.master or "").split("[")[0] == "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            named = tempfile.mkdtemp(prefix="docloom-checkpoint-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir().rstrip("/")
-
-
 @contextlib.contextmanager
 def _small_batches(spark: SparkSession):
     """While the block runs a job, Arrow batches hold BATCH_ROWS rows at most."""

@@ -8,8 +8,10 @@ covers is its score. The base phrases are templates too: a phrase stands where
 the running match is at least as long and its state lies below the phrase's.
 
 Defined cases: a null or empty text has no words, labels or spans and score 0;
-rows with a null id and repeated rows are scanned like any other; an empty table
-gives an empty result; only the id and the text are read.
+texts of any length are scanned whole; of pieces that could follow one chain or
+another the last begun takes them; rows with a null id and repeated rows are
+scanned like any other; an empty table gives an empty result; only the id and the
+text are read, whatever other columns are called.
 """
 
 from __future__ import annotations

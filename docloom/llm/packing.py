@@ -8,9 +8,11 @@ combinations as the counts allow; what is left is packed best-fit into the gaps.
 The plan says which ranks of each length go to which sequences and offsets, and
 the pieces find their place by their rank among the pieces of their length.
 
-Defined cases: a null or empty text is the single end token; rows with null ids
-and repeated rows are packed like any other; an empty table gives an empty
-result; only the id and the text are read.
+Defined cases: a null or empty text is the single end token; texts of any length
+are tokenised whole and cut into pieces; rows with null ids and repeated rows are
+packed like any other; pieces of one length are told apart by their place in the
+table alone, so ties don't matter; an empty table gives an empty result; only the
+id and the text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from docloom.llm.common import checkpoint, map_arrow
 
 CAPACITY, END = 4096, 1
 BROADCAST_COUNTS = 500_000  # rows of piece counts by length and part
-CACHE_WORDS = 200_000
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64  # words that are remembered, of how many characters at most
 LATIN_END = 0x300  # below it nothing composes, so NFC changes nothing
 
 
@@ -105,10 +107,14 @@ class WordEncoder:
             words = set().union(*(c for c in cut if c))
             if len(self._young) > self.cache:
                 self._old, self._young = self._young, {}
-            self._learn(list(words.difference(self._young)))
+            fresh = list(words.difference(self._young))
+            self._learn(fresh)
             get = self._young.__getitem__
             for text, c in zip(own, cut, strict=True):
                 yield b"".join(map(get, c)) if c is not None else array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            for w in fresh:
+                if len(w) > CACHE_LENGTH:
+                    del self._young[w]
 
 
 @lru_cache(maxsize=2)

@@ -8,7 +8,9 @@ when its host is suspect, one that fails none goes only when its host is
 rejected.
 
 Defined cases: a null text has no words and fails; null is a host of its own;
-repeated rows count each; an empty table gives an empty result.
+texts of any length are measured whole; rates equal to a limit don't exceed it;
+repeated rows count each; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -11,14 +11,17 @@ No piece of the vocabulary has a word mark after another character, so the best
 path of a text is the sum of the best paths of its words, and each distinct word
 is worked out once per task; scores are whole numbers, so the sums are exact.
 
-Defined cases: a null or empty text has 0 tokens and score 0; rows with null ids
-and repeated rows are counted like any other; an empty table gives an empty
-result; only the id and the text are read.
+Defined cases: a null or empty text has 0 tokens and score 0; texts of any
+length are counted whole, and words of more than CACHE_LENGTH characters are not
+remembered; rows with null ids and repeated rows are counted like any other; an
+empty table gives an empty result; only the id and the text are read, whatever
+other columns are called.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -29,7 +32,7 @@ from docloom.llm.common import map_arrow
 from docloom.llm.arrowtext import column
 
 MARK = "▁"
-CACHE_WORDS = 150_000
+CACHE_WORDS, CACHE_LENGTH = 150_000, 64  # words that are remembered, of how many characters at most
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -48,16 +51,33 @@ class Unigram:
         self._young: dict[str, tuple[float, int]] = {}
         self._old: dict[str, tuple[float, int]] = {}
 
+    def _matches(self, word: str) -> Iterable[list[tuple[int, float]]]:
+        """For each place the pieces that end there; those of long words are not held together."""
+        found = self.automaton.iter(word)
+        if len(word) <= CACHE_LENGTH:
+            ends: list[list[tuple[int, float]]] = [[] for _ in word]
+            for end, match in found:
+                ends[end].append(match)
+            return ends
+        return self._one_by_one(found, len(word))
+
+    @staticmethod
+    def _one_by_one(found, n: int) -> Iterator[list[tuple[int, float]]]:
+        end, match = next(found, (n, None))
+        for at in range(n):
+            here = []
+            while end == at:
+                here.append(match)
+                end, match = next(found, (n, None))
+            yield here
+
     def word(self, word: str) -> tuple[float, int]:
         """Best score and number of tokens of a text, without looking anything up."""
         n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, (size, score) in self.automaton.iter(word):
-            ends[end].append((size, score))
         best, count = [0.0] * (n + 1), [0] * (n + 1)
-        for end in range(n):
+        for end, here in enumerate(self._matches(word)):
             top, pieces, single = None, 0, False
-            for size, score in sorted(ends[end], reverse=True):
+            for size, score in sorted(here, reverse=True):
                 single = single or size == 1
                 value = best[end + 1 - size] + score
                 if top is None or value > top:
@@ -70,6 +90,8 @@ class Unigram:
         return best[n], count[n]
 
     def cached(self, word: str) -> tuple[float, int]:
+        if len(word) > CACHE_LENGTH:
+            return self.word(word)
         found = self._young.get(word)
         if found is None:
             found = self._old.get(word) or self.word(word)

@@ -121,3 +121,22 @@ def test_gumbel_top_k_follows_importance():
         keys = {k: w + classifier.gumbel(k, seed) for k, w in enumerate((0.0, 1.0))}
         wins[max(keys, key=keys.get)] += 1
     assert abs(wins[1] / 4000 - 2.718281828 / 3.718281828) < 0.03
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    rows = [(None, f"text number {k} of this source", "s") for k in range(600)] + [(7, f"the same id {k}", "t") for k in range(600)]
+    out = mixing.copies(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=1.5)
+    for source in "st":
+        own = [r for r in out.collect() if r["_c2"] == source]
+        assert abs(sum(r["_copies"] * r["_size"] for r in own) - own[0]["_target"]) < 0.1 * own[0]["_target"]
+        assert len({r["_copies"] for r in own}) == (1 if own[0]["_target"] == 2 * own[0]["_source_size"] else 2)
+
+
+def test_long_words_are_counted_but_not_kept():
+    model = unigram.Unigram([("a", -3.0), ("ab", -5.0), ("b", -3.5), ("▁", -1.0)])
+    word = "▁" + "ab" * 2000 + "c"
+    plain = unigram.Unigram([("a", -3.0), ("ab", -5.0), ("b", -3.5), ("▁", -1.0)])
+    plain._matches = lambda w: [[m for e, m in plain.automaton.iter(w) if e == end] for end in range(len(w))] if len(w) < 300 else None
+    assert model.word("▁" + "ab" * 60) == plain.word("▁" + "ab" * 60)
+    assert model.count(word.replace("▁", "")) == (model.word(word)[1], model.word(word)[0])
+    assert word not in model._young and word not in model._old
