@@ -2,7 +2,24 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs; all but the last return the
-columns of documents.
+columns of documents, in their order.
+
+Defined cases, by stage; all stages read texts whole, of any length, treat an
+empty table as an empty result and keep columns beside those of documents,
+whatever their names:
+
+* quality_classifier: a null or empty text has log ratio 0; a null id gets the
+  noise of the text "null"; documents with the key of the cut stay; repeated rows
+  stay or go together; without two labelled good documents all stay.
+* exact_dedup: null counts as empty; of equal texts one row stays, the one with the
+  largest id, null ids last; of repeated rows one stays.
+* minhash_near_dedup: texts without words stay, each by itself; of a group the
+  smallest id stays, of null ids alone one row of each text.
+* source_mixing: a null source is one of its own; rows equal in id and text get
+  the same number of copies; a text without words has no size and takes the
+  rate of its source.
+* best_fit_packing: a null or empty text is the single end token; a document
+  taken several times is packed as often; texts longer than a sequence are cut.
 """
 
 from __future__ import annotations
