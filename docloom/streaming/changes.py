@@ -1,8 +1,10 @@
 """Streaming forms of the change-event operators.
 
 Input streams have the columns event_id, ts (timestamp), filepath, event_type and
-checksum. Every stateful step has a watermark (WATERMARK behind the latest
-event), so its state is bounded by the open keys, not by the history.
+checksum. Steps in event time have a watermark (WATERMARK behind the latest
+event); states that hold a key's last value have a time to live, counted from
+their last change (KEPT or a parameter). So state is bounded by the keys in use,
+not by the history. A file that comes back after that time counts as new.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampType
 
 WATERMARK = "10 minutes"
+KEPT = 30 * 24 * 3600 * 1000  # milliseconds
 
 EVENTS = StructType(
     [
@@ -57,8 +60,11 @@ def event_counts(events: DataFrame, width: str = "1 day", watermark: str = WATER
 class _Checksums(StatefulProcessor):
     """Holds each file's last checksum and its clock; passes events that change the checksum."""
 
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("checksum", StringType()), StructField("tick", LongType())]))
+        self.last = handle.getValueState("last", StructType([StructField("checksum", StringType()), StructField("tick", LongType())]), self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
@@ -78,9 +84,9 @@ class _Checksums(StatefulProcessor):
 _TICKED = StructType([StructField("event_id", LongType()), StructField("filepath", StringType()), StructField("event_type", StringType()), StructField("tick", LongType())])
 
 
-def real_changes(events: DataFrame) -> DataFrame:
+def real_changes(events: DataFrame, ttl_ms: int = KEPT) -> DataFrame:
     """event_id, filepath, event_type, tick of events that change a file's checksum."""
-    return events.groupBy("filepath").transformWithStateInPandas(_Checksums(), _TICKED, "Update", "None")
+    return events.groupBy("filepath").transformWithStateInPandas(_Checksums(ttl_ms), _TICKED, "Update", "ProcessingTime")
 
 
 class _Pending(StatefulProcessor):
@@ -134,11 +140,11 @@ def pending(events: DataFrame, ttl_ms: int = 30_000, watermark: str = WATERMARK)
 class _Limiter(StatefulProcessor):
     """The times of the accepted attempts in the last window; at most `most` are held."""
 
-    def __init__(self, window_us: int, most: int):
-        self.window_us, self.most = window_us, most
+    def __init__(self, window_us: int, most: int, ttl_ms: int):
+        self.window_us, self.most, self.ttl_ms = window_us, most, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", StructType([StructField("at", LongType())]))
+        self.times = handle.getListState("times", StructType([StructField("at", LongType())]), self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
@@ -161,22 +167,27 @@ class _Limiter(StatefulProcessor):
         pass
 
 
-def limited(events: DataFrame, key: str, window_seconds: int = 60, most: int = 10) -> DataFrame:
-    """key, event_id, allowed: a sliding-window limit that only accepted attempts count against."""
+def limited(events: DataFrame, key: str, window_seconds: int = 60, most: int = 10, ttl_ms: int | None = None) -> DataFrame:
+    """key, event_id, allowed: a sliding-window limit that only accepted attempts count against.
+
+    ttl_ms: how long a key's attempts are held after the last one, an hour more
+    than the window if not given, as events may arrive late.
+    """
+    ttl_ms = ttl_ms or window_seconds * 1000 + 3_600_000
     kind = StructType([StructField("key", StringType()), StructField("event_id", LongType()), StructField("allowed", BooleanType())])
     rows = events.withColumn("_k", F.col(key).cast("string"))
-    return rows.groupBy("_k").transformWithStateInPandas(_Limiter(window_seconds * 1_000_000, most), kind, "Append", "None")
+    return rows.groupBy("_k").transformWithStateInPandas(_Limiter(window_seconds * 1_000_000, most, ttl_ms), kind, "Append", "ProcessingTime")
 
 
 class _Members(StatefulProcessor):
     """A session's members: joins are refused when it is full, and a place is kept for a while after leaving."""
 
-    def __init__(self, most: int, ttl_ms: int):
-        self.most, self.ttl_ms = most, ttl_ms
+    def __init__(self, most: int, ttl_ms: int, kept_ms: int):
+        self.most, self.ttl_ms, self.kept_ms = most, ttl_ms, kept_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         kind = StructType([StructField("left_at", LongType())])
-        self.places = handle.getMapState("places", StructType([StructField("member", StringType())]), kind)
+        self.places = handle.getMapState("places", StructType([StructField("member", StringType())]), kind, self.kept_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
@@ -203,25 +214,36 @@ class _Members(StatefulProcessor):
         pass
 
 
-def memberships(events: DataFrame, most: int = 10, ttl_ms: int = 300_000) -> DataFrame:
-    """session, member, event_id, action for join and leave events (session, member, event_type, ts, event_id)."""
+def memberships(events: DataFrame, most: int = 10, ttl_ms: int = 300_000, kept_ms: int = 24 * 3600 * 1000) -> DataFrame:
+    """session, member, event_id, action for join and leave events (session, member, event_type, ts, event_id).
+
+    ttl_ms: how long a place is kept after leaving; kept_ms: how long a session is
+    held after its last event.
+    """
     kind = StructType([StructField("session", StringType()), StructField("member", StringType()), StructField("event_id", LongType()), StructField("action", StringType())])
-    return events.groupBy("session").transformWithStateInPandas(_Members(most, ttl_ms), kind, "Append", "None")
+    return events.groupBy("session").transformWithStateInPandas(_Members(most, ttl_ms, kept_ms), kind, "Append", "ProcessingTime")
 
 
 def snapshot_changes(scans: DataFrame, state_path: str, sink) -> object:
     """Compares each batch of scans (filepath, checksum) with the one before and hands the differences to sink(df, batch).
 
-    The last snapshot is a table of its own per batch, so a repeated batch reads the same state.
+    The snapshots are a table of their own per batch, so a repeated batch reads the
+    same state; those before the last one are removed. The state belongs to the
+    stream's checkpoint: batch 0 has none before it.
     """
     from docloom.operators.sync import tree_diff
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        now = batch.select("filepath", "checksum")
-        now.write.mode("overwrite").parquet(f"{state_path}/{number}")
+        where = spark._jvm.org.apache.hadoop.fs.Path
+        system = where(state_path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        batch.select("filepath", "checksum").write.mode("overwrite").parquet(f"{state_path}/{number}")
         now = spark.read.parquet(f"{state_path}/{number}")
-        before = spark.read.parquet(f"{state_path}/{number - 1}") if number else now.limit(0)
-        sink(tree_diff(now, before), number)
+        held = [int(s.getPath().getName()) for s in system.listStatus(where(state_path)) if s.getPath().getName().isdigit()]
+        before = max((n for n in held if n < number), default=None)
+        sink(tree_diff(now, now.limit(0) if before is None else spark.read.parquet(f"{state_path}/{before}")), number)
+        for n in held:
+            if n > number or (before is not None and n < before):
+                system.delete(where(f"{state_path}/{n}"), True)
 
     return scans.writeStream.foreachBatch(each)
