@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from docloom.functions.classify import hidden, ignored_dir, supported_file, valid_size
 from docloom.functions.text import filename, suffix
@@ -24,6 +24,36 @@ def listing(spark: SparkSession, roots: list[str]) -> DataFrame:
     return found.select(path.alias("path"), filename(path).alias("filename"), F.unix_timestamp("modificationTime").alias("modified_time"), F.col("length").alias("size"))
 
 
+@arrow_udf(LongType())
+def _created(path):
+    import os
+
+    import pyarrow as pa
+
+    def stamp(p):
+        try:
+            found = os.stat(p)
+        except (OSError, TypeError, ValueError):
+            return None
+        return int(getattr(found, "st_birthtime", found.st_ctime))
+
+    return pa.array([stamp(p) for p in path.to_pylist()], pa.int64())
+
+
+def with_created(files: DataFrame) -> DataFrame:
+    """Adds created_time in seconds where the path can be reached as a file (a mounted folder), null elsewhere: object stores keep none."""
+    return files.withColumn("created_time", _created("path"))
+
+
+def default_roots(home: str, override: str | None = None) -> list[str]:
+    """Where a scan begins: the folders of an override (parted by the system's path separator), else the usual ones of a home."""
+    import os
+
+    if override:
+        return list(dict.fromkeys(p.strip().rstrip("/") for p in override.split(os.pathsep) if p.strip()))
+    return [f"{home.rstrip('/')}/{name}" for name in ("Desktop", "Documents", "Downloads")]
+
+
 def indexable(files: DataFrame, roots: list[str]) -> DataFrame:
     """Documents of a supported kind and size; below the roots no folder may be hidden or ignored."""
     longest = sorted((r.rstrip("/") for r in roots), key=len, reverse=True)
@@ -71,17 +101,38 @@ def _extracted(name, content):
 
 
 def extracted(name: Column, content: Column) -> Column:
-    """struct(text, reason): reason is null, password_protected, unsupported or extract_error."""
+    """struct(text, reason): reason is null, password_protected or extract_error."""
     return _extracted(name, content)
 
 
-def read_texts(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(path, text) of the documents below the roots, and (path, reason) of those that can't be read."""
+@arrow_udf(_TEXT)
+def _opened(path):
+    import pyarrow as pa
+
+    from docloom.sources.office import access_reason, extract
+
+    rows = []
+    for p in path.to_pylist():
+        try:
+            with open(p, "rb") as f:
+                rows.append(extract(p, f.read(), MOST_CHARS))
+        except OSError as e:
+            rows.append(("", access_reason(e)))
+    return pa.array([{"text": t, "reason": r} for t, r in rows], pa.struct([("text", pa.string()), ("reason", pa.string())]))
+
+
+def opened(path: Column) -> Column:
+    """struct(text, reason) of files in a mounted folder, opened by the tasks: what can't be opened gets permission_denied,
+    not_found, file_locked or access_error and doesn't fail the job."""
+    return _opened(path)
+
+
+def read_documents(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """path, text, reason of the documents below the roots; reason is null where the text could be read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
     path = F.regexp_replace("path", "^file:/+", "/")
     rows = found.select(path.alias("path"), "content", F.col("length").alias("size")).withColumn("filename", filename(F.col("path")))
-    read = indexable(rows, roots).select("path", extracted(F.col("filename"), F.col("content")).alias("x")).select("path", "x.text", "x.reason")
-    return read.where("reason is null").select("path", "text"), read.where("reason is not null").select("path", "reason")
+    return indexable(rows, roots).select("path", extracted(F.col("filename"), F.col("content")).alias("x")).select("path", "x.text", "x.reason")
 
 
 @arrow_udf(StringType())

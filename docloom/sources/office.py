@@ -154,6 +154,15 @@ def _in_table(root: ET.Element, text: str, tables: list) -> bool:
     return any(text == cell for t in tables for r in t for cell in r)
 
 
+def access_reason(error: OSError) -> str:
+    """Why a file can't be opened."""
+    if isinstance(error, PermissionError) or getattr(error, "winerror", None) == 5:
+        return "permission_denied"
+    if isinstance(error, FileNotFoundError):
+        return "not_found"
+    return "file_locked" if getattr(error, "winerror", None) == 32 else "access_error"
+
+
 def extract(name: str, content: bytes, most: int) -> tuple[str, str | None]:
     """(text, reason): the text to index, at most `most` characters; reason is null if it could be read."""
     ext = "." + (name or "").lower().rpartition(".")[2]

@@ -91,7 +91,8 @@ def test_scan_and_extract(spark, tmp_path):
     (tmp_path / "docs" / "node_modules" / "f.txt").write_text("ignored")
     found = {r["filename"] for r in files.scan(spark, [str(tmp_path)]).collect()}
     assert found == {"a.txt", "b.docx", "c.xlsx", "d.pptx", "bad.docx", "locked.docx"}
-    texts, dead = files.read_texts(spark, [str(tmp_path)])
+    read = files.read_documents(spark, [str(tmp_path)])
+    texts, dead = read.where("reason is null"), read.where("reason is not null")
     assert {r["path"].rpartition("/")[2]: r["text"] for r in texts.collect()} == {"a.txt": "plain é text", "b.docx": "One Two", "c.xlsx": "x y\nz", "d.pptx": "Title\nx y"}
     assert {r["path"].rpartition("/")[2]: r["reason"] for r in dead.collect()} == {"bad.docx": "extract_error", "locked.docx": "password_protected"}
     listed = files.explorer(files.listing(spark, [str(tmp_path)])).select("name").collect()
@@ -142,3 +143,37 @@ def test_sinks_round_trip(spark, tmp_path):
     sinks.write_versions(versions, "content", root)
     sinks.write_versions(versions.withColumn("version", F.col("version") + 10), "content", root)
     assert spark.read.parquet(f"{root}/blocks").count() == 2 and spark.read.parquet(f"{root}/recipes").count() == 6
+
+
+def test_created_time_roots_and_reasons(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_text("text")
+    (tmp_path / "paper.pdf").write_bytes(b"%PDF words of a page")
+    (tmp_path / "folder.txt").mkdir()
+    stamped = files.with_created(files.listing(spark, [str(tmp_path)])).collect()
+    assert all(abs(r["created_time"] - r["modified_time"]) < 60 for r in stamped) and len(stamped) == 2
+    paths = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in ("a.txt", "none.txt", "folder.txt", "paper.pdf")], "path string")
+    found = {r["path"].rpartition("/")[2]: (r["text"], r["reason"]) for r in paths.select("path", files.opened(F.col("path")).alias("x")).select("path", "x.*").collect()}
+    assert found == {"a.txt": ("text", None), "none.txt": ("", "not_found"), "folder.txt": ("", "access_error"), "paper.pdf": ("", "extract_error")}
+    assert office.access_reason(PermissionError()) == "permission_denied"
+    locked = OSError("in use")
+    locked.winerror = 32
+    assert office.access_reason(locked) == "file_locked"
+    assert files.default_roots("/home/x/") == ["/home/x/Desktop", "/home/x/Documents", "/home/x/Downloads"]
+    assert files.default_roots("/home/x", "/a/:/b:/a") == ["/a", "/b"]
+    monkeypatch.setitem(office.READERS, ".pdf", lambda content: content.decode()[5:])  # stands for a PDF library
+    assert office.extract("paper.pdf", b"%PDF words of a page", 5) == ("words", None)
+    assert json.loads(office.preview("paper.pdf", b"%PDF words"))["text"] == "words"
+
+
+def test_version_store_is_listed_loaded_and_repeatable(spark, tmp_path):
+    root = str(tmp_path / "store")
+    versions = spark.createDataFrame([(1, 1, b"one", "x"), (1, 2, b"two" * 300_000, "y"), (2, 1, b"one", "z")], "file_id long, version int, content binary, note string")
+    sinks.write_versions(versions, "content", root)
+    sinks.write_versions(versions, "content", root)
+    assert sorted((r["file_id"], r["version"], r["note"]) for r in sinks.list_versions(spark, root).collect()) == [(1, 1, "x"), (1, 2, "y"), (2, 1, "z")]
+    assert {(r["file_id"], r["version"]): bytes(r["content"]) for r in sinks.load_versions(spark, root).collect()} == {(1, 1): b"one", (1, 2): b"two" * 300_000, (2, 1): b"one"}
+    assert sinks.load_versions(spark, root, versions.where("version = 2")).count() == 1
+    table = str(tmp_path / "table")
+    for rows in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]):
+        sinks.replace_keys(spark.createDataFrame(rows, "id int, x string"), table, "id")
+    assert sorted(tuple(r) for r in spark.read.parquet(table).collect()) == [(1, "a"), (2, "c"), (3, "d")]
