@@ -8,6 +8,7 @@ column expression on exploded rows.
 from __future__ import annotations
 
 import difflib
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,19 @@ def word_diff(old: pa.Array, new: pa.Array) -> pa.Array:
     return pa.array([paragraph_changes(list(a or []), list(b or [])) for a, b in rows], _PARAGRAPHS_ARROW)
 
 
+@arrow_udf(StringType())
+def structure_text(structure: pa.Array) -> pa.Array:
+    """A structure (JSON) with two spaces of indent, one value a line; other text stays as it is."""
+
+    def shown(x: str | None) -> str:
+        try:
+            return json.dumps(json.loads(x or ""), indent=2)
+        except ValueError:
+            return x or ""
+
+    return pa.array([shown(x) for x in structure.to_pylist()], pa.string())
+
+
 @arrow_udf(ArrayType(StringType()))
 def missing_from(one: pa.Array, other: pa.Array) -> pa.Array:
     """Items of one array that the other lacks, with repeats, in order."""

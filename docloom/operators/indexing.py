@@ -106,3 +106,65 @@ def unique_targets(moves: DataFrame) -> DataFrame:
 def content_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     """content_hash, n_files, kept_id: uploads are named and reused by the hash of their content."""
     return docs.groupBy(F.sha2(F.col(text), 256).alias("content_hash")).agg(F.count("*").alias("n_files"), F.min("doc_id").alias("kept_id"))
+
+
+UNREADABLE = ("permission_denied", "file_locked", "password_protected", "not_found", "access_error")
+
+
+def ingest_files(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """path, status, reason, new_chunks of files that are ingested one by one.
+
+    found: path, supported, modified_time, reason (why it can't be read, else null)
+    and n_chunks. The checks come in order: an unsupported kind, an unchanged
+    file, an unreadable one; what is left is indexed.
+    """
+    old = stored.select("path", F.col("modified_time").alias("_old"))
+    joined = found.join(old, "path", "left")
+    reason = (
+        F.when(~F.col("supported"), "unsupported_file_type")
+        .when(F.col("_old") == F.col("modified_time"), "unchanged")
+        .when(F.col("reason").isin(*UNREADABLE), F.col("reason"))
+    )
+    rows = joined.withColumn("_why", reason)
+    skipped = F.col("_why").isNotNull()
+    return rows.select(
+        "path", F.when(skipped, "skipped").otherwise("indexed").alias("status"), F.col("_why").alias("reason"),
+        F.when(skipped, 0).otherwise(F.col("n_chunks")).cast("long").alias("new_chunks"),
+    )
+
+
+def remove_files(files: DataFrame, chunks: DataFrame, vectors: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, chunks and vectors (vec_id is a chunk_id) without the files at those paths."""
+    gone = files.join(paths.select("path").distinct(), "path", "left_semi").select("file_id")
+    ids = chunks.join(gone, "file_id", "left_semi").select(F.col("chunk_id").alias("vec_id"))
+    return files.join(gone, "file_id", "left_anti"), chunks.join(gone, "file_id", "left_anti"), vectors.join(ids, "vec_id", "left_anti")
+
+
+def reset(*tables: DataFrame) -> tuple[DataFrame, ...]:
+    """The same tables without rows."""
+    return tuple(t.limit(0) for t in tables)
+
+
+def chat_ingest(stored: DataFrame, uploads: DataFrame) -> DataFrame:
+    """store, path, status, reason: an upload is skipped if it is the one file of its chat store, unchanged and with chunks.
+
+    stored: store, path, modified_time, n_chunks; uploads: store, path, modified_time.
+    """
+    held = stored.groupBy(F.col("store").alias("_store")).agg(F.count("*").alias("_files"))
+    old = stored.select(F.col("store").alias("_s"), F.col("path").alias("_p"), F.col("modified_time").alias("_m"), "n_chunks")
+    joined = uploads.join(held, F.col("store") == F.col("_store"), "left").join(old, (F.col("store") == F.col("_s")) & (F.col("path") == F.col("_p")), "left")
+    same = F.coalesce((F.col("_files") == 1) & (F.col("_m") == F.col("modified_time")) & (F.col("n_chunks") > 0), F.lit(False))
+    return joined.select("store", "path", F.when(same, "skipped").otherwise("indexed").alias("status"), F.when(same, "unchanged").otherwise("chat_isolated").alias("reason"))
+
+
+def undo_sorts(log: DataFrame, asked: DataFrame, existing: DataFrame) -> DataFrame:
+    """sort_id, undone, from_path, to_path: a sort can be undone once, if its new place is there and its old one free.
+
+    log: sort_id, original_path, new_path, undone (0 or 1); existing: path.
+    """
+    there = existing.select(F.col("path").alias("_e")).distinct()
+    wanted = log.join(asked.select("sort_id").distinct(), "sort_id", "left_semi")
+    here = wanted.join(there.select(F.col("_e").alias("new_path"), F.lit(True).alias("_here")), "new_path", "left")
+    both = here.join(there.select(F.col("_e").alias("original_path"), F.lit(True).alias("_taken")), "original_path", "left")
+    done = (F.coalesce("undone", F.lit(0)) != 1) & F.col("_here").isNotNull() & F.col("_taken").isNull()
+    return both.select("sort_id", done.alias("undone"), F.when(done, F.col("new_path")).alias("from_path"), F.when(done, F.col("original_path")).alias("to_path"))

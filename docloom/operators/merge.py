@@ -89,3 +89,24 @@ def summary(change_rows: DataFrame) -> DataFrame:
     counted = change_rows.groupBy("key", "op").agg(F.count("*").alias("n"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("op", "n"))), lambda x: F.concat_ws(" ", x["n"].cast("string"), x["op"]))
     return counted.groupBy("key").agg(F.concat(F.lit("Total changes: "), F.array_join(parts, ", ")).alias("summary"))
+
+
+def assist(rows: DataFrame) -> DataFrame:
+    """key, n_ours, n_theirs, n_conflicts, ours_summary, theirs_summary, suggestions of rows (key, base, ours, theirs).
+
+    What a merge view shows at once: the line changes of both sides, the lines
+    that both change with different operations, and the three suggestions ranked
+    with that number of conflicts.
+    """
+    one, two = changes(rows, "ours"), changes(rows, "theirs")
+    counted = lambda c, n: c.groupBy("key").agg(F.count("*").alias(n))
+    none = "No changes detected"
+    held = (
+        rows.join(counted(one, "n_ours"), "key", "left").join(counted(two, "n_theirs"), "key", "left")
+        .join(counted(conflicts(one, two), "n_conflicts"), "key", "left")
+        .join(summary(one).withColumnRenamed("summary", "ours_summary"), "key", "left")
+        .join(summary(two).withColumnRenamed("summary", "theirs_summary"), "key", "left")
+        .na.fill(0, ["n_ours", "n_theirs", "n_conflicts"]).na.fill(none, ["ours_summary", "theirs_summary"])
+    )
+    listed = suggestions(held).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "strategy", "source", "base_score", "relevance_score", "merged"))).alias("suggestions"))
+    return held.select("key", "n_ours", "n_theirs", "n_conflicts", "ours_summary", "theirs_summary").join(listed, "key")

@@ -100,3 +100,23 @@ def stale(cache: DataFrame, current: DataFrame) -> DataFrame:
 def backoff(attempt: Column) -> Column:
     """Milliseconds before a reconnect."""
     return F.least(F.lit(500) * F.pow(F.lit(2.0), attempt - 1), F.lit(30000.0)).cast("long")
+
+
+def answer_all(pending: DataFrame, approve: bool) -> tuple[DataFrame, DataFrame]:
+    """The messages (type, filepath) that answer every pending change alike, and the queue after it."""
+    kind = "sync_approved" if approve else "sync_rejected"
+    return pending.select(F.lit(kind).alias("type"), "filepath"), pending.limit(0)
+
+
+def answer(pending: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The messages (type, filepath) for answered changes (filepath, approved), and the queue without them."""
+    given = answers.groupBy("filepath").agg(F.max_by("approved", "answered_at").alias("approved"))
+    kind = F.when(F.col("approved"), "sync_approved").otherwise("sync_rejected")
+    return given.select(kind.alias("type"), "filepath"), pending.join(given, "filepath", "left_anti")
+
+
+def status(pending: DataFrame, connections: DataFrame) -> DataFrame:
+    """One row: pending_changes, and connected_devices, those whose last event (device, event_type, ts, event_id) is not a disconnect."""
+    last = connections.groupBy("device").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
+    connected = last.agg(F.count_if(F.col("last") != "disconnect").alias("connected_devices"))
+    return pending.agg(F.count("*").alias("pending_changes")).join(F.broadcast(connected))

@@ -61,7 +61,13 @@ def f12_attempts(spark, d):
     return E.attempts(view(spark, d, "events"), "user_id", 86400).select("event_id", "user_id", "n_recent")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS moment, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    r AS (SELECT user_id, event_id, k, [moment] AS held, true AS allowed FROM e WHERE k = 1
+          UNION ALL SELECT user_id, event_id, k, CASE WHEN len(f) < 3 THEN list_append(f, moment) ELSE f END, len(f) < 3
+          FROM (SELECT e.*, list_filter(r.held, lambda x: x > e.moment - 86400000000) AS f FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+    SELECT user_id, event_id, allowed FROM r"""
+)
 def n7_accepted_joins(spark, d):
     return E.accepted_joins(view(spark, d, "events"), "user_id", 86400, 3)
 

@@ -205,3 +205,63 @@ def b6_insert_missing(spark, d):
     stored = view(spark, d, "customer").select(F.col("c_mktsegment").alias("key"), F.lit("set").alias("value")).distinct()
     defaults = view(spark, d, "orders").select(F.col("o_orderpriority").alias("key"), F.lit("default").alias("value")).distinct()
     return I.insert_missing(stored, defaults, "key")
+
+
+_FOUND = """SELECT path, NOT path LIKE '%.md' AS supported, modified_time, CASE WHEN path LIKE '%/de/%' THEN 'file_locked' WHEN path LIKE '%/es/%' THEN 'extract_error' END AS reason,
+    size_chars % 7 + 1 AS n_chunks FROM {fx_scan}"""
+
+
+@query(
+    cte("fx_files", "fx_scan") + ", found AS (" + _FOUND.replace("{fx_scan}", "fx_scan") + """)
+    SELECT path, CASE WHEN why IS NULL THEN 'indexed' ELSE 'skipped' END AS status, why AS reason, CASE WHEN why IS NULL THEN n_chunks ELSE 0 END AS new_chunks FROM (
+        SELECT f.path, f.n_chunks, CASE WHEN NOT supported THEN 'unsupported_file_type' WHEN o.modified_time = f.modified_time THEN 'unchanged' WHEN f.reason = 'file_locked' THEN f.reason END AS why
+        FROM found f LEFT JOIN fx_files o ON o.path = f.path)"""
+)
+def k5_ingest_files(spark, d):
+    """Markdown is no supported kind, German files are locked, Spanish ones give no text and are indexed by name."""
+    return I.ingest_files(view(spark, d, "fx_files"), spark.sql(_FOUND, fx_scan=view(spark, d, "fx_scan")))
+
+
+@query(
+    cte("fx_files", "fx_chunks") + """, gone AS (SELECT file_id FROM fx_files WHERE path LIKE '/vault/src11/%')
+    SELECT 'files' AS kind, count(*) AS n FROM fx_files WHERE file_id NOT IN (SELECT file_id FROM gone)
+    UNION ALL SELECT 'chunks', count(*) FROM fx_chunks WHERE file_id NOT IN (SELECT file_id FROM gone)
+    UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT file_id FROM gone)
+    UNION ALL SELECT 'after a reset', 0"""
+)
+def k6_remove_files(spark, d):
+    files, chunks = view(spark, d, "fx_files"), view(spark, d, "fx_chunks").select("chunk_id", "file_id")
+    vectors = view(spark, d, "embeddings").select((F.col("vec_id") * T.CHUNK_IDS).alias("vec_id"))
+    left = I.remove_files(files, chunks, vectors, files.where("path LIKE '/vault/src11/%'"))
+    counted = [x.agg(F.lit(n).alias("kind"), F.count("*").alias("n")) for n, x in zip(("files", "chunks", "vectors", "after a reset"), (*left, *I.reset(files)), strict=True)]
+    return counted[0].union(counted[1]).union(counted[2]).union(counted[3])
+
+
+_STORES = "SELECT concat(split_part(path, '/', 3), '/', CAST(file_id % 50 AS STRING)) AS store, path, modified_time, size_chars % 3 AS n_chunks FROM {fx_files} WHERE path NOT LIKE '/vault/src7/%'"
+_UPLOADS = "SELECT concat(split_part(path, '/', 3), '/', CAST(file_id % 50 AS STRING)) AS store, path, modified_time + CASE WHEN path LIKE '%/fr/%' THEN 60 ELSE 0 END AS modified_time FROM {fx_files}"
+
+
+@query(
+    cte("fx_files") + ", s AS (" + _STORES.replace("{fx_files}", "fx_files") + "), u AS (" + _UPLOADS.replace("{fx_files}", "fx_files") + """),
+    t AS (SELECT store, count(*) AS n FROM s GROUP BY store)
+    SELECT store, path, CASE WHEN same THEN 'skipped' ELSE 'indexed' END AS status, CASE WHEN same THEN 'unchanged' ELSE 'chat_isolated' END AS reason FROM (
+        SELECT u.store, u.path, coalesce(t.n = 1 AND s.modified_time = u.modified_time AND s.n_chunks > 0, false) AS same
+        FROM u LEFT JOIN t ON t.store = u.store LEFT JOIN s ON s.store = u.store AND s.path = u.path)"""
+)
+def k8_chat_ingest(spark, d):
+    """Stores of one or more files; French files have changed, some stores have no chunks."""
+    files = view(spark, d, "fx_files")
+    return I.chat_ingest(spark.sql(_STORES, fx_files=files), spark.sql(_UPLOADS, fx_files=files))
+
+
+_EXISTING = "SELECT new_path AS path FROM {fx_sorts} WHERE category <> '2-HIGH' AND day(sorted_at) > 3 UNION ALL SELECT original_path FROM {fx_sorts} WHERE day(sorted_at) > 25"
+
+
+@query(
+    cte("fx_sorts") + ", e AS (" + _EXISTING.replace("{fx_sorts}", "fx_sorts") + """)
+    SELECT sort_id, ok AS undone, CASE WHEN ok THEN new_path END AS from_path, CASE WHEN ok THEN original_path END AS to_path FROM (
+        SELECT *, undone <> 1 AND new_path IN (SELECT path FROM e) AND original_path NOT IN (SELECT path FROM e) AS ok FROM fx_sorts WHERE category <> '5-LOW')"""
+)
+def q_undo_sorts(spark, d):
+    log = view(spark, d, "fx_sorts")
+    return I.undo_sorts(log, log.where("category <> '5-LOW'"), spark.sql(_EXISTING, fx_sorts=log))

@@ -100,3 +100,11 @@ def e25_preferences(spark, d):
 def i48_adjusted_scores(spark, d):
     score = lambda s: F.round(M.adjusted(F.lit(0.8), F.lit(s), F.lit(0)), 4).alias(s)
     return _preferences(spark, d).select("user_id", score("ours"), score("theirs"))
+
+
+@query()
+def m9_merge_report(spark, d):
+    """Everything a merge view shows, suggestions ranked with the conflicts that were found."""
+    shown = M.assist(_rows(spark, d))
+    best = F.transform("suggestions", lambda s: F.struct(s["strategy"].alias("strategy"), s["base_score"].alias("base_score"), F.md5(s["merged"]).alias("merged_md5")))
+    return shown.withColumn("suggestions", best)

@@ -223,7 +223,10 @@ def j10_summary_intent(spark, d):
     return view(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", S.wants_summary(F.col("text")).alias("summary"))
 
 
-@query()
+@query(
+    """SELECT conv_id, CAST(to_json(list_concat([{'role': 'system', 'content': 'Answer from the passages of the document.'}], list({'role': role, 'content': text} ORDER BY turn))) AS VARCHAR) AS messages
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role <> 'system') WHERE back <= 6 GROUP BY conv_id"""
+)
 def j12_prompt_messages(spark, d):
     return S.prompt_messages(view(spark, d, "conversations"), "Answer from the passages of the document.")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.operators import events as E
 from docloom.operators import sync as S
 from docloom.operators import versions as V
 from docloom.operators.registry import query
@@ -122,7 +123,7 @@ def i49_backoff(spark, d):
     return view(spark, d, "orders").select("o_orderkey", S.backoff(F.col("o_orderkey") % 9 + 1).alias("wait_ms"))
 
 
-@query()
+@query("SELECT doc_id, md5(text) AS opened_md5, CAST(28 AS INT) AS overhead FROM documents")
 def b10_encrypted_vault(spark, d):
     """AES-GCM with a key derived from a password, and back again."""
     from docloom.sources.sinks import vault_key
@@ -131,3 +132,35 @@ def b10_encrypted_vault(spark, d):
     docs = view(spark, d, "documents").select("doc_id", "text")
     locked = docs.withColumn("locked", F.aes_encrypt(F.encode("text", "UTF-8"), key, F.lit("GCM")))
     return locked.select("doc_id", F.md5(F.aes_decrypt("locked", key, F.lit("GCM"))).alias("opened_md5"), (F.octet_length("locked") - F.octet_length("text")).alias("overhead"))
+
+
+_ANSWERS = "SELECT concat('/vault/u', CAST(user_id AS STRING)) AS filepath, event_type = 'click' AS approved, ts, event_id FROM {events} WHERE value > 99 AND event_type IN ('click', 'view')"
+
+
+@query(
+    cte("fx_changes") + ", a AS (" + _ANSWERS.replace("{events}", "events") + """), g AS (SELECT filepath, arg_max(approved, (ts, event_id)) AS approved FROM a GROUP BY filepath)
+    SELECT CASE WHEN approved THEN 'sync_approved' ELSE 'sync_rejected' END AS type, filepath FROM g
+    UNION ALL SELECT DISTINCT 'pending', filepath FROM fx_changes WHERE filepath NOT IN (SELECT filepath FROM g)"""
+)
+def n6_answers(spark, d):
+    """Some changes are approved or rejected one by one, the others stay in the queue."""
+    answers = spark.sql(_ANSWERS, events=view(spark, d, "events")).withColumn("answered_at", F.struct("ts", "event_id"))
+    said, left = S.answer(E.pending(view(spark, d, "fx_changes")), answers)
+    return said.union(left.select(F.lit("pending").alias("type"), "filepath"))
+
+
+@query(cte("fx_changes") + "SELECT DISTINCT 'sync_rejected' AS type, filepath FROM fx_changes")
+def n6_answer_all(spark, d):
+    said, left = S.answer_all(E.pending(view(spark, d, "fx_changes")), approve=False)
+    return said.union(left.select(F.lit("pending").alias("type"), "filepath"))
+
+
+@query(
+    cte("fx_changes") + """SELECT (SELECT count(DISTINCT filepath) FROM fx_changes) AS pending_changes,
+    (SELECT count(*) FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY user_id) WHERE last <> 'error') AS connected_devices"""
+)
+def e26_status(spark, d):
+    """An error ends a device's connection."""
+    kind = F.when(F.col("event_type") == "error", "disconnect").otherwise("connect")
+    connections = view(spark, d, "events").select(F.col("user_id").alias("device"), kind.alias("event_type"), "ts", "event_id")
+    return S.status(E.pending(view(spark, d, "fx_changes")), connections)

@@ -268,3 +268,22 @@ _QUESTIONS = [
 def i33_date_questions(spark, d):
     rows = spark.createDataFrame([(q,) for q in _QUESTIONS], "question string")
     return rows.withColumn("p", D.date_parser(NOW)("question")).select("question", "p.*", D.has_date(F.col("question")).alias("badge"))
+
+
+_SHOWN = "list_transform(range(1, len({0}) + 1), lambda i: CAST(to_json({0}[i]) AS VARCHAR) || CASE WHEN i < len({0}) THEN ',' ELSE '' END)"
+
+
+@query(
+    cte("fx_versions")
+    + f""", p AS (SELECT a.file_id AS key, list_filter(string_split(a.content, chr(10)), lambda x: trim(x) <> '') AS a, list_filter(string_split(b.content, chr(10)), lambda x: trim(x) <> '') AS b
+        FROM fx_versions a JOIN fx_versions b ON a.file_id = b.file_id AND a.version = 1 AND b.version = 2),
+    l AS (SELECT key, {_SHOWN.format("a")} AS a, {_SHOWN.format("b")} AS b FROM p WHERE len(a) > 0 AND len(b) > 0)
+    SELECT key, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS added, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS removed FROM l"""
+)
+def i60_structure_lines(spark, d):
+    """Structures of paragraphs as indented text: the lines that only one of two versions has."""
+    v = view(spark, d, "fx_versions")
+    side = lambda n, c: v.where(f"version = {n}").select(F.col("file_id").alias("key"), X.paragraphs(F.col("content")).alias(c))
+    rows = side(1, "a").join(side(2, "b"), "key").where("size(a) > 0 AND size(b) > 0")
+    lines = rows.select("key", *[F.split(X.structure_text(F.to_json(F.struct(F.col(c).alias("paragraphs")))), "\n").alias(c) for c in "ab"])
+    return lines.select("key", F.size(X.missing_from("b", "a")).cast("long").alias("added"), F.size(X.missing_from("a", "b")).cast("long").alias("removed"))
