@@ -95,12 +95,15 @@ CONTENT_RULES = (
     (r"\breport\b|\bsummary\b|\banalysis\b|\bfindings\b", "Documents/Reports"),
     (r"\bscreenshot\b|\bui\b|\berror\b|\bcapture\b", "Media/Screenshots"),
 )
+# What decides when no other rule does.
 LATE_WORDS = (("invoice|amount due|bill to", "Documents/Invoices"), ("resume|curriculum vitae|work experience", "Documents/Resumes"))
 SNIPPET = 1500
 
+# What counts as sensitive.
 SENSITIVE_WORDS = ("password", "confidential", "secret", "api_key", "token", "auth", "private", "salary", "credentials")
 SENSITIVE_PATTERNS = (r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b", r"\b[\w\.-]+@[\w\.-]+\.\w+\b", r"\b\d{3}-\d{2}-\d{4}\b")
 
+# Kinds of a changed line, in their order.
 CHANGE_TYPES = (
     ("function", r"\bdef\b|\bfunction\b"), ("class", r"\bclass\b"), ("variable", r"\b\w+\s*="), ("loop", r"\bfor\b|\bwhile\b"),
     ("conditional", r"\bif\b|\belse\b|\belif\b"), ("return", r"\breturn\b"), ("import", r"\bimport\b|\bfrom\b"),
@@ -122,15 +125,18 @@ IGNORED_DIRS = (
     "temp", "tmp", "game", "games", "gamecache", "game cache", "shadercache", "cache",
     "caches", "code", "codes", "flutter", "android", "sdk", "system", "system32",
 )
+# Names of files that come and go.
 TRANSIENT = (
     r"\.crdownload$", r"\.tmp$", r"\.partial$", r"^~\$", r"^~.*", r"^desktop\.ini$", r"^thumbs\.db$", r"^\._", r"\.ds_store$",
     r"\.download$", r"\.aria2$", r":Zone\.Identifier$", r"\.lnk$",
 )
 TEMP_SUFFIXES = (".tmp", ".part", ".crdownload", ".download")
+# Paths that are never written.
 PROTECTED = (
     r"^[A-Z]:\\Windows", r"^[A-Z]:\\Program Files", r"^[A-Z]:\\Program Files \(x86\)", r"^[A-Z]:\\ProgramData",
     r"^[A-Z]:\\System Volume Information", r"^[A-Z]:\\Recovery", r"^[A-Z]:\\Config\.Msi",
 )
+# What a listing leaves out, and the dot files it shows.
 HIDDEN_FILES = (
     "config.msi", "dumpstack.log", "dumpstack.log.tmp", "hiberfil.sys", "pagefile.sys", "swapfile.sys",
     "bootmgr", "bootsect.bak", "boot.ini", "ntldr", "ntdetect.com", "io.sys",

@@ -6,8 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 MAX_QUERIES = 100_000
+MAX_CHOICES = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,6 +38,35 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def best_choices(vectors: DataFrame, choices: DataFrame, k: int, least: float, digits: int = 4) -> DataFrame:
+    """vec_id, tag, score: for each vector (vec_id, embedding) its k best choices (tag, embedding) of more than `least`; ties go to the smaller tag.
+
+    The choices, at most MAX_CHOICES, come to the driver and go to every task; the
+    vectors stay where they lie.
+    """
+    rows = choices.select("tag", "embedding").where("embedding is not null").orderBy("tag").limit(MAX_CHOICES + 1).collect()
+    if len(rows) > MAX_CHOICES:
+        raise ValueError(f"more than {MAX_CHOICES} choices")
+    kind = choices.schema["tag"].dataType.simpleString()
+    tags, table = pa.array([r[0] for r in rows], to_arrow_type(choices.schema["tag"].dataType)), np.array([r[1] for r in rows], np.float64)
+
+    def best(batches):
+        for batch in batches:
+            batch = batch.filter(pa.compute.is_valid(batch.column(1)))
+            if not batch.num_rows or not len(tags):
+                continue
+            matrix, own = _matrix(batch.column(1)), batch.column(0).to_numpy()
+            for lo in range(0, len(own), 1024):
+                scores = np.round(matrix[lo : lo + 1024] @ table.T, digits)
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                kept = np.take_along_axis(scores, order, 1)
+                good = kept > least
+                row = np.broadcast_to(np.arange(len(kept))[:, None], kept.shape)[good]
+                yield pa.RecordBatch.from_arrays([pa.array(own[lo : lo + 1024][row]), tags.take(pa.array(order[good])), pa.array(kept[good])], ["vec_id", "tag", "score"])
+
+    return vectors.select("vec_id", "embedding").mapInArrow(best, f"vec_id long, tag {kind}, score double")
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, digits: int = 4) -> DataFrame:
     """query_id, vec_id, score, place: the k largest inner products of each query, exactly.
 

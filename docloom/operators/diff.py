@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import difflib
 import json
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,13 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 
 from docloom.functions.classify import sensitive
 
+# What lines, deletions and changes weigh.
+BLOB_LENGTH, BLOB_SHARE, FORMULA = 120, 0.1, 5.0
+LOST, BLOCK_WEIGHT, BLOCK_LINES = 2.0, 0.2, 5
+SENSITIVE_DELETION, DELETIONS, OTHER_DELETION = 10.0, ((3.5, 3.0), (2.0, 2.5)), 2.0  # (more entropy than, factor)
+HEAVY, MODERATE = 0.5, 0.2  # shares of deleted lines
+MAJOR, MIDDLING = 20, 10  # change score per line
+
 
 @arrow_udf(StringType())
 def unified_diff(old: pa.Array, new: pa.Array) -> pa.Array:
@@ -136,12 +144,12 @@ def entropy(text: pa.Array) -> pa.Array:
 
 def importance(line: Column, mean_length: Column, h: Column) -> Column:
     """What a line weighs: entropy (h), words, symbols and relative length; encoded blobs little, formulas five times."""
-    blob = (F.length(line) > 120) & line.rlike("^[A-Za-z0-9+/=]+$")
+    blob = (F.length(line) > BLOB_LENGTH) & line.rlike("^[A-Za-z0-9+/=]+$")
     n_words = F.size(F.filter(F.split(line, r"\s+"), lambda w: w != ""))
     symbols = F.length(F.regexp_replace(line, r"[a-zA-Z0-9\s]", ""))
     value = h + n_words + symbols + F.length(line) / F.greatest(mean_length, F.lit(1.0))
-    formula = F.when(line.contains('"formula": "='), 5.0).otherwise(1.0)
-    return F.when(line == "", F.lit(0.0)).when(blob, h * 0.1).otherwise(value * formula)
+    formula = F.when(line.contains('"formula": "='), FORMULA).otherwise(1.0)
+    return F.when(line == "", F.lit(0.0)).when(blob, h * BLOB_SHARE).otherwise(value * formula)
 
 
 def weigh_lines(pairs: DataFrame) -> DataFrame:
@@ -187,7 +195,7 @@ def weigh_diff(pairs: DataFrame) -> DataFrame:
     return _scores(base)
 
 
-def line_blocks(lines: Column, size: int = 5) -> Column:
+def line_blocks(lines: Column, size: int = BLOCK_LINES) -> Column:
     last = F.floor((F.size(lines) - 1) / F.lit(size)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(lines, i * size + 1, F.lit(size)), "\n"))
     return F.when(F.size(lines) > 0, cut).otherwise(F.array().cast("array<string>"))
@@ -200,7 +208,7 @@ def _scores(base: DataFrame) -> DataFrame:
         {
             "n_added": F.size("added"),
             "n_removed": F.size("removed"),
-            "block_score": blocks * (F.col("mean") * 0.2),
+            "block_score": blocks * (F.col("mean") * BLOCK_WEIGHT),
             "size_score": F.abs(F.length("new") - F.length("old")) / F.greatest(F.length("old").cast("double"), F.lit(1.0)),
         }
     )
@@ -210,11 +218,11 @@ def _scores(base: DataFrame) -> DataFrame:
     paired = paired.withColumns({"_h_new": entropy(new), "_h_old": entropy(old)})
     ni, oi = importance(new, F.col("mean"), F.col("_h_new")), importance(old, F.col("mean"), F.col("_h_old"))
     h = F.col("_h_old")
-    factor = F.when(sensitive(old), 10.0).when(h > 3.5, 3.0).when(h > 2.0, 2.5).otherwise(2.0)
+    factor = reduce(lambda f, d: f.when(h > d[0], d[1]), DELETIONS, F.when(sensitive(old), SENSITIVE_DELETION)).otherwise(OTHER_DELETION)
     alone = new.isNull() & old.isNotNull()
     rows = paired.withColumns(
         {
-            "_modify": F.when(new.isNotNull() & old.isNotNull(), ni + F.when(oi > ni, (oi - ni) * 2.0).otherwise(0.0)),
+            "_modify": F.when(new.isNotNull() & old.isNotNull(), ni + F.when(oi > ni, (oi - ni) * LOST).otherwise(0.0)),
             "_add": F.when(new.isNotNull() & old.isNull(), ni),
             "_delete": F.when(alone, oi * factor),
             "_sensitive": F.coalesce(alone & sensitive(old), F.lit(False)),
@@ -237,11 +245,11 @@ def risk(weighed: DataFrame, ratio: Column | None = None) -> DataFrame:
     intent = (
         F.when(F.col("sensitive"), "Sensitive Data Deletion")
         .when(out <= into, "Addition/Modification")
-        .when(out > lines * 0.5, "Heavy Deletion")
-        .when(out > lines * 0.2, "Moderate Deletion")
+        .when(out > lines * HEAVY, "Heavy Deletion")
+        .when(out > lines * MODERATE, "Moderate Deletion")
         .otherwise("Light Deletion")
     )
-    severity = F.when(F.col("sensitive") | (F.col("change_score") > lines * 20), "Major").when(F.col("change_score") > lines * 10, "Moderate").otherwise("Minor")
+    severity = F.when(F.col("sensitive") | (F.col("change_score") > lines * MAJOR), "Major").when(F.col("change_score") > lines * MIDDLING, "Moderate").otherwise("Minor")
     scored = weighed.withColumn("similarity_score", alike).withColumn("change_score", change)
     share = F.col("delete_score") / F.greatest("change_score", F.lit(1.0))
     return scored.withColumns({"risk_score": F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)), "intent": intent, "severity": severity})

@@ -40,9 +40,11 @@ def recent_folders(visits: DataFrame, n: int = 2) -> DataFrame:
 
 
 def longest_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """path, root: the longest of the roots (a small, stated set) that holds the path."""
-    inside = (F.lower("path") == F.lower("root")) | F.lower("path").startswith(F.concat(F.lower("root"), F.lit("/")))
-    return paths.join(F.broadcast(roots), inside).groupBy("path").agg(F.max_by("root", F.struct(F.length("root"), "root")).alias("root"))
+    """path, root: the longest of the roots that holds the path; an equi-join on the path's own leading parts."""
+    parts = F.split(F.lower("path"), "/")
+    leads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    led = paths.select("path", F.explode(leads).alias("_lead")).join(roots.select("root", F.lower("root").alias("_root")), F.col("_lead") == F.col("_root"))
+    return led.groupBy("path").agg(F.max_by("root", F.struct(F.length("root"), "root")).alias("root"))
 
 
 def first_by_extension(files: DataFrame, priority: list[str]) -> DataFrame:

@@ -100,14 +100,10 @@ def i9_base_tags(spark, d):
     SELECT vec_id, tag, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, tag) AS place FROM scored WHERE score > 0.2) WHERE place <= 6"""
 )
 def i27_tag_similarity(spark, d):
-    """The first vector of each label stands for a tag of the taxonomy (a small, stated set)."""
+    """The first vector of each label stands for a tag of the taxonomy."""
     e = view(spark, d, "embeddings")
-    tags = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("query_embedding")).withColumnRenamed("label", "tag")
-    scored = e.join(F.broadcast(tags)).select("vec_id", "tag", F.round(V.dot(F.col("embedding"), F.col("query_embedding")), 4).alias("score")).where("score > 0.2")
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "tag"))
-    return scored.withColumn("place", place).where("place <= 6").drop("place")
+    tags = e.groupBy(F.col("label").alias("tag")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    return V.best_choices(e, tags, 6, 0.2)
 
 
 _SENSITIVE = "(regexp_matches(lower(text), '" + "|".join(C.SENSITIVE_WORDS) + "') OR " + " OR ".join(f"regexp_matches(text, '{p}')" for p in C.SENSITIVE_PATTERNS) + ")"
