@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.functions.text import tokens
 from docloom.functions.vector import MAX_QUERIES, nearest
@@ -45,30 +49,74 @@ def query_terms(queries: DataFrame, terms: Column | None = None) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame, most: int, terms: Column | None = None, asked: Column | None = None) -> DataFrame:
     """query_id, chunk_id, score (4 digits), place: any of the query's words, best `most` chunks.
 
-    Chunks are scanned once; postings of other words never leave the scan, as
-    the words asked for (of at most MAX_QUERIES queries) are joined before the shuffle.
+    The words of the queries (at most MAX_QUERIES of them) come to the driver and
+    go to every task; chunks (chunk_id a whole number) stay where they lie. A first
+    pass counts the chunks that have each word; in a second one a task scores its
+    chunks for all queries and keeps its own best, so no posting is shuffled,
+    however frequent its word. Ties go to the smaller id.
     """
-    wanted = F.broadcast(query_terms(stated(queries), asked))
+    pairs = query_terms(stated(queries), asked).select("query_id", "term").collect()
+    ids, words = sorted({r[0] for r in pairs}), sorted({r[1] for r in pairs})
+    kinds = [to_arrow_type(x.schema[c].dataType) for x, c in ((queries, "query_id"), (chunks, "chunk_id"))]
+    names = pa.array(ids, kinds[0])
+    place_of, id_of = {w: k for k, w in enumerate(words)}, {q: k for k, q in enumerate(ids)}
+    by_word = sorted((place_of[w], id_of[q]) for q, w in pairs)
+    owner = np.array([q for _, q in by_word], np.int64)
+    first = np.searchsorted(np.array([w for w, _ in by_word], np.int64), np.arange(len(words) + 1))
+    asking = np.diff(first)
+    vocabulary = pa.array(words, pa.string())
     cut = chunks.select("chunk_id", (tokens(F.col("text")) if terms is None else terms).alias("_terms"))
-    n_words = F.size("_terms") if terms is not None else F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"))
-    stats = (cut if terms is not None else chunks).agg(F.count("*").alias("n_all"), F.avg(n_words).alias("avgdl"))
-    hits = (
-        cut.select("chunk_id", F.size("_terms").alias("dl"), F.explode("_terms").alias("term"))
-        .join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
-        .groupBy("term", "chunk_id")
-        .agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    )
-    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each word that was asked for
-    n, d = F.col("n_all"), F.col("df")
-    raw = F.ln((n - d + 0.5) / (d + 0.5))
-    idf = F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw)
-    tf = F.col("tf")
-    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = (
-        hits.join(df, "term").join(F.broadcast(stats)).select("term", "chunk_id", part.alias("part"))
-        .join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 4).alias("score"))
-    )
-    return _ranked(scored, "query_id", F.desc("score"), "chunk_id", most=most)
+
+    def known(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, word and count of the words asked for, each once for a row."""
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+        word = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy().astype(np.int64)
+        both, tf = np.unique((row * len(words) + word)[word >= 0], return_counts=True)
+        return both // max(1, len(words)), both % max(1, len(words)), tf
+
+    def count(batches):
+        df = np.zeros(len(words) + 3, np.int64)  # and chunks, chunks with text, words
+        for batch in batches:
+            lists = batch.column(0)
+            df[:-3] += np.bincount(known(lists)[1], minlength=len(words))
+            df[-3:] += len(lists), len(lists) - lists.null_count, len(lists.flatten())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], ["at", "n"])
+
+    df = np.zeros(len(words) + 3)
+    for at, n in cut.select("_terms").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n")).collect():  # a row for each word asked for
+        df[at] = n
+    n, held, length = df[-3:]
+    mean = length / held if held and length else 1.0
+    raw = np.log((n - df[:-3] + 0.5) / (df[:-3] + 0.5))
+    idf = np.where(raw <= 0, LEAST_IDF, raw)
+    rows_at_once = max(1, min(512, 30_000 // max(1, len(ids))))
+
+    def best(batches):
+        top = np.full((len(ids), 0), -np.inf)
+        who = np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows_at_once):
+                own, lists = batch.column(0)[lo : lo + rows_at_once].to_numpy(), batch.column(1)[lo : lo + rows_at_once]
+                row, word, tf = known(lists)
+                if not len(row):
+                    continue
+                dl = lists.value_lengths().fill_null(0).to_numpy()[row]
+                part = idf[word] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+                many = asking[word]
+                ends = np.cumsum(many)
+                query = owner[np.arange(ends[-1]) + np.repeat(first[word] - ends + many, many)]
+                sums = np.bincount(query * len(own) + np.repeat(row, many), np.repeat(part, many), len(ids) * len(own)).reshape(len(ids), -1)
+                s = np.hstack([top, np.where(sums > 0, np.round(sums, 4), -np.inf)])
+                v = np.hstack([who, np.broadcast_to(own, sums.shape)])
+                order = np.lexsort((v, -s))[:, :most]
+                top, who = np.take_along_axis(s, order, 1), np.take_along_axis(v, order, 1)
+        there = top > -np.inf
+        at = np.broadcast_to(np.arange(len(ids))[:, None], top.shape)[there]
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array(who[there]).cast(kinds[1]), pa.array(top[there])], ["query_id", "chunk_id", "score"])
+
+    kind = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for x, c in ((queries, "query_id"), (chunks, "chunk_id")))
+    found = cut.mapInArrow(best, f"{kind}, score double")
+    return _ranked(found, "query_id", F.desc("score"), "chunk_id", most=most)
 
 
 def path_matches(files: DataFrame, queries: DataFrame, most: int) -> DataFrame:
