@@ -124,8 +124,12 @@ def path_matches(files: DataFrame, queries: DataFrame, most: int) -> DataFrame:
 
     The queries, at most MAX_QUERIES, are compared with every file.
     """
-    hit = F.expr(f"path ILIKE concat('%', query_text, '%') ESCAPE '{NO_ESCAPE}' OR filename ILIKE concat('%', query_text, '%') ESCAPE '{NO_ESCAPE}'")
-    joined = files.join(F.broadcast(stated(queries).select("query_id", "query_text")), hit)
+    named = files.withColumns({"_path": F.lower("path"), "_name": F.lower("filename")})
+    asked = stated(queries).select("query_id", F.lower("query_text").alias("_text"), F.col("query_text").rlike("[%_]").alias("_wild"))
+    like = lambda c: f"{c} LIKE concat('%', _text, '%') ESCAPE '{NO_ESCAPE}'"
+    within = F.col("_path").contains(F.col("_text")) | F.col("_name").contains(F.col("_text"))
+    hit = (~F.col("_wild") & within) | (F.col("_wild") & F.expr(f"({like('_path')}) OR ({like('_name')})"))  # patterns only where there are any
+    joined = named.join(F.broadcast(asked), hit)
     order = (F.col("created_time").desc_nulls_last(), F.desc("modified_time"), F.col("file_id"))
     return _ranked(joined, "query_id", *order, most=most).select("query_id", "file_id", "path", "place")
 
