@@ -161,7 +161,7 @@ def i5_path_parts(spark, d):
     return view(spark, d, "fx_files").select("file_id", T.filename(p).alias("name"), T.stem(T.filename(p)).alias("stem"), T.suffix(p).alias("ext"))
 
 
-@query(r"SELECT query_id, term FROM (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(substring(text, 1, 40)), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM benchmark WHERE substring(text, 1, 40) NOT LIKE '%" + '"' + "%')")
+@query(r"SELECT query_id, term FROM (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM benchmark WHERE text NOT LIKE '%" + '"' + "%')")
 def i11_query_terms(spark, d):
     return S.query_terms(view(spark, d, "fx_queries"))
 
