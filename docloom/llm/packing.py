@@ -76,12 +76,17 @@ class WordEncoder:
         """The pretokens of a text of Latin script; None for others."""
         if "<|" in text:
             return None
-        if text.isascii():
-            return self._ascii.findall(text.lower())
-        return None if self._other.search(text) else self._pretoken.findall(text.lower())
+        low = text.lower()
+        if low.isascii():
+            return self._ascii.findall(low)
+        # Some letters of the range have their small form beyond it, so the small forms are looked at.
+        return None if self._other.search(low) else self._pretoken.findall(low)
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Encodes new pretokens side by side; each one's last id carries the mark of a word's end."""
+    def _learn(self, fresh: list[str]) -> bool:
+        """Encodes new pretokens side by side; each one's last id carries the mark of a word's end.
+
+        False, and nothing learnt, if the tokenizer sees other words than these.
+        """
         new = []
         for w in fresh:
             if w in self._old:
@@ -89,15 +94,19 @@ class WordEncoder:
             else:
                 new.append(w)
         if not new:
-            return
+            return True
         ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
         ends = np.flatnonzero(self._last[ids]) + 1
         if len(ends) != len(new):
-            raise ValueError("the tokenizer joins or splits words")
+            return False
         data, at = ids.tobytes(), 0
         for w, end in zip(new, (4 * ends).tolist(), strict=True):
             self._young[w] = data[at:end]
             at = end
+        return True
+
+    def _plain(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str], group: int = 64) -> Iterator[bytes]:
         """Unsigned 32-bit ids of each text, in the machine's byte order; `group` texts are looked up at once."""
@@ -108,10 +117,12 @@ class WordEncoder:
             if len(self._young) > self.cache:
                 self._old, self._young = self._young, {}
             fresh = list(words.difference(self._young))
-            self._learn(fresh)
+            if not self._learn(fresh):
+                yield from map(self._plain, own)
+                continue
             get = self._young.__getitem__
             for text, c in zip(own, cut, strict=True):
-                yield b"".join(map(get, c)) if c is not None else array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+                yield b"".join(map(get, c)) if c is not None else self._plain(text)
             for w in fresh:
                 if len(w) > CACHE_LENGTH:
                     del self._young[w]
@@ -165,11 +176,11 @@ class Plan:
     """Runs of equal sequences: how many, and the lengths in each.
 
     least: shortest length whose gap is looked up among the sums; shorter ones
-    only fill gaps.
+    only fill gaps. most: how many lengths an exact complement may have, 1 to 3.
     """
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, least: int = 1):
-        self.capacity, self.least, self.left = capacity, least, np.zeros(capacity + 1, np.int64)
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, least: int = 1, most: int = 3):
+        self.capacity, self.least, self.most, self.left = capacity, least, most, np.zeros(capacity + 1, np.int64)
         for size, n in counts.items():
             self.left[size] += n
         self.runs: list[tuple[int, tuple[int, ...]]] = []
@@ -212,12 +223,12 @@ class Plan:
                 self._take((size,))
                 continue
             self._take((size, gap)) if self.left[gap] else 0
-            if self.left[size] and gap > 1:
+            if self.left[size] and gap > 1 and self.most > 1:
                 for pair in self._pairs(gap, self.left > 0):
                     self._take((size, *pair))
                     if not self.left[size]:
                         break
-            if self.left[size] and gap > 2:
+            if self.left[size] and gap > 2 and self.most > 2:
                 self._triples(size, gap)
 
     def _triples(self, size: int, gap: int) -> None:
@@ -292,8 +303,11 @@ class Plan:
 
 
 def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """The plan with the fewest sequences: short lengths used up among themselves can leave long ones alone."""
-    plans = [Plan(counts, capacity, least) for least in (1, capacity // 3, capacity // 2, capacity + 1)]
+    """The plan with the fewest sequences: short lengths used up among themselves can leave long ones alone.
+
+    Every plan consumes exact complements; they differ in how short the lengths and how large the complements may be.
+    """
+    plans = [Plan(counts, capacity, least) for least in (1, capacity // 3, capacity // 2)] + [Plan(counts, capacity, 1, 1)]
     return min(plans, key=lambda p: sum(n for n, _ in p.runs))
 
 

@@ -71,8 +71,11 @@ ODD = [
 ]
 
 
+LATIN = st.text(st.characters(max_codepoint=0x2FF, exclude_categories=["Cs"]))
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(), max_size=8))
+@given(st.lists(st.one_of(st.text(), LATIN), max_size=8))
 def test_encoder_equals_the_tokenizer(texts):
     path = vocabulary("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
@@ -80,6 +83,24 @@ def test_encoder_equals_the_tokenizer(texts):
         assert np.frombuffer(ids, np.uint32).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_on_every_latin_code_point():
+    path = vocabulary("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    for c in map(chr, range(0x300)):
+        texts = [c, c + c, f"a{c}b", f"({c})", f"{c}, -{c}-", f"x {c} 1{c}2"]
+        for text, ids in zip(texts, packing.encoder(path).encode(texts), strict=True):
+            assert np.frombuffer(ids, np.uint32).tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_letters_that_grow_beyond_the_range_dont_stop_the_job(spark):
+    texts = ["(\u023a)", "S\u023aN\u0106O\u0166EN", "\u023a\u023e,", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = vocabulary("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r["ids"] for r in packing.pack(docs, path, keep_ids=True).collect()}
+    assert got == {k: [*plain.encode(t, add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+
+
 def test_query_against_brute_force(spark, data):
     got = op1_best_fit_packing(spark, data).collect()
     plain = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
