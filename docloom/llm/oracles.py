@@ -95,6 +95,20 @@ def _op3() -> str:
     return "WITH " + ",\n".join(parts) + f"\nSELECT page_id, r.host, path, rule, coalesce(v, CASE WHEN purity >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN x ON r.host = x.host AND {same}"
 
 
+_TERMS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, t, len(t) AS n FROM (SELECT doc_id, {_TERMS} AS t FROM documents) WHERE len(t) > 0),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) SEMI JOIN q USING (term) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, docs),
+m AS (SELECT r, doc_id, 50 + (50 * n * docs) // total AS m FROM d, s),
+x AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id),
+y AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM y WHERE rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filter": _op3(),
@@ -102,4 +116,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": OP6,
         "op7_mixing": OP7,
         "op9_minhash_near_dedup": OP9,
+        "op12_lexical_search": OP12,
     }

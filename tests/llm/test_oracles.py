@@ -4,7 +4,7 @@ import pytest
 from docloom.llm import oracles, queries
 from tests.compare import same
 
-TABLES = ("documents", "pages", "labels")
+TABLES = ("documents", "pages", "labels", "benchmark")
 
 
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
