@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import classifier, exact_dedup, html, lexical, licenses, minhash, mixing, packing, quality_rules, unigram, urls, vector_packing
+from docloom.llm import classifier, exact_dedup, html, lexical, licenses, minhash, mixing, packing, quality_rules, spelling, unigram, urls, vector_packing
 from docloom.llm.common import table
 
 
@@ -78,10 +78,14 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), slips=199)
+
+
 def queries() -> dict:
     own = [
         op1_best_fit_packing, op2_license_scan, op3_url_filter, op4_html_extraction, op5_exact_dedup,
         op6_quality_rules, op7_mixing, op8_token_counts, op9_minhash_near_dedup, op10_quality_classifier,
-        op11_vector_packing, op12_lexical_search,
+        op11_vector_packing, op12_lexical_search, op13_spelling_variants,
     ]
     return {f.__name__: f for f in own}
