@@ -86,6 +86,11 @@ def index_chunks(files: DataFrame, documents: DataFrame) -> DataFrame:
     return meta.union(cut.select(chunk, "file_id", (F.col("p") + 1).cast("int"), "text"))
 
 
+def file_of(chunk_id: Column) -> Column:
+    """The file of a chunk of `index_chunks`."""
+    return F.floor(chunk_id / CHUNK_IDS).cast("long")
+
+
 def spread(rows: DataFrame, group: str, order: str, most: int = MOST_CHUNKS) -> DataFrame:
     """At most `most` rows of each group, evenly spaced in their order.
 

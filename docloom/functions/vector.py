@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-MAX_QUERIES = 100_000
+from docloom.functions.slices import each_slice
+
 MAX_CHOICES = 10_000
+NEAR = 9  # digits of a product that decide its place
+FOUND = "query_id long, vec_id long, score double"
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -68,42 +71,58 @@ def best_choices(vectors: DataFrame, choices: DataFrame, k: int, least: float, d
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, digits: int = 4) -> DataFrame:
-    """query_id, vec_id, score, place: the k largest inner products of each query, exactly.
+    """query_id, vec_id, score (`digits` digits), place: the k largest inner products of each query, exactly.
 
-    queries (query_id, query_embedding) come to the driver, at most MAX_QUERIES of
-    them, and go to every task; vectors (vec_id, embedding) stay where they lie.
-    A task multiplies its batches with all queries and keeps its own k best, so
-    the shuffle carries k rows per query and task. Ties go to the smaller id.
+    queries (query_id, query_embedding) go to every task, slice by slice; vectors
+    (vec_id, embedding) stay where they lie. A task multiplies its batches with the
+    queries of the slice and keeps its own k best, so the shuffle carries k rows per
+    query and task. The first NEAR digits of a product decide its place, ties go to
+    the smaller id.
     """
-    rows = queries.select("query_id", "query_embedding").where("query_embedding is not null").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: search in several calls")
-    ids = np.array([r[0] for r in rows], np.int64)
-    asked = np.array([r[1] for r in rows], np.float64)
+    asked = queries.select("query_id", "query_embedding").where("query_embedding is not null")
+    top = each_slice(asked, lambda rows: best_of_all(vectors.select("vec_id", "embedding").mapInArrow(_nearest(rows, k), FOUND), k))
+    top = top.withColumn("score", F.round("score", digits))
+    return top if least is None else top.where(F.col("score") >= least)
+
+
+def best_of_all(found: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def _nearest(rows: list, k: int):
+    """For mapInArrow over (vec_id, embedding): the k best of a task for each query row."""
+    ids, asked = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
 
     def best(batches):
-        held_s = np.full((len(ids), 0), 0.0)
-        held_v = np.zeros((len(ids), 0), np.int64)
+        top = Nearest(ids, asked, k)
         for batch in batches:
             batch = batch.filter(pa.compute.is_valid(batch.column(1)))
-            if not batch.num_rows or not len(ids):
-                continue
-            matrix, own = _matrix(batch.column(1)), batch.column(0).to_numpy()
-            for lo in range(0, len(own), 4096):
-                kept = []
-                for q in range(0, len(ids), 512):  # so that scores of 512 queries by 4096 vectors are held at a time
-                    scores = np.round(asked[q : q + 512] @ matrix[lo : lo + 4096].T, digits)
-                    s = np.hstack([held_s[q : q + 512], scores])
-                    v = np.hstack([held_v[q : q + 512], np.broadcast_to(own[lo : lo + 4096], scores.shape)])
-                    order = np.lexsort((v, -s))[:, :k]
-                    kept.append((np.take_along_axis(s, order, 1), np.take_along_axis(v, order, 1)))
-                held_s, held_v = (np.concatenate(x) for x in zip(*kept, strict=True))
-        n = held_s.shape[1]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(ids, n)), pa.array(held_v.ravel()), pa.array(held_s.ravel())], ["query_id", "vec_id", "score"]
-        )
-
-    found = vectors.select("vec_id", "embedding").mapInArrow(best, "query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    top = found.withColumn("place", place).where(F.col("place") <= k)
-    return top if least is None else top.where(F.col("score") >= least)
+            if batch.num_rows and len(ids):
+                top.add(batch.column(0).to_numpy(), _matrix(batch.column(1)))
+        yield top.batch()
+
+    return best
+
+
+class Nearest:
+    """The k largest products of each query so far, in the order of score, then id."""
+
+    def __init__(self, ids: np.ndarray, asked: np.ndarray, k: int):
+        self.ids, self.asked, self.k = ids, asked, k
+        self.score, self.vec = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
+
+    def add(self, own: np.ndarray, matrix: np.ndarray) -> None:
+        for lo in range(0, len(own), 4096):
+            kept = []
+            for q in range(0, len(self.ids), 512):  # so that scores of 512 queries by 4096 vectors are held at a time
+                scores = np.round(self.asked[q : q + 512] @ matrix[lo : lo + 4096].T, NEAR)
+                s = np.hstack([self.score[q : q + 512], scores])
+                v = np.hstack([self.vec[q : q + 512], np.broadcast_to(own[lo : lo + 4096], scores.shape)])
+                order = np.lexsort((v, -s))[:, : self.k]
+                kept.append((np.take_along_axis(s, order, 1), np.take_along_axis(v, order, 1)))
+            self.score, self.vec = (np.concatenate(x) for x in zip(*kept, strict=True))
+
+    def batch(self) -> pa.RecordBatch:
+        n = self.score.shape[1]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n)), pa.array(self.vec.ravel()), pa.array(self.score.ravel())], ["query_id", "vec_id", "score"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -11,13 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from docloom.functions.text import tokens
-from docloom.functions.vector import MAX_QUERIES, nearest
+from docloom.functions.slices import each_slice
+from docloom.functions.text import file_of, tokens
+from docloom.functions.vector import nearest
+from docloom.session import reliable
 
 # Fixed values that define the ranking.
 RRF_K, OVER_FETCH, MIN_SIMILARITY, CHAT_SIMILARITY = 60, 5, 0.15, 0.18
 FLOOR, CEILING, TWO_SIGNALS, THREE_SIGNALS, CAP = 0.40, 0.92, 0.05, 0.08, 0.99
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+WORD_GAP = r"[\s\x1c-\x1f\x85\p{Z}]+"  # between the words of a query
+DIGITS = 9  # of a score decide its place
 NO_ESCAPE = "\u0001"  # LIKE without an escape character: wildcards stay live, backslashes literal
 
 
@@ -25,13 +30,6 @@ def _ranked(rows: DataFrame, group: str, *order, most: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= most)
 
 
-def stated(queries: DataFrame) -> DataFrame:
-    """The queries, if they are few enough to go to every task."""
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: search in several calls")
-    return queries
-
-
 def postings(chunks: DataFrame, terms: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(term, chunk_id, tf) and (chunk_id, dl); terms: an array column of chunks, plain tokens by default."""
     cut = chunks.select("chunk_id", (tokens(F.col("text")) if terms is None else terms).alias("_terms"))
@@ -40,98 +38,209 @@ def postings(chunks: DataFrame, terms: Column | None = None) -> tuple[DataFrame,
     return counted, lengths
 
 
-def query_terms(queries: DataFrame, terms: Column | None = None) -> DataFrame:
-    """(query_id, term), each once; a query with a double quote in it finds nothing."""
-    cut = F.array_distinct(tokens(F.col("query_text")) if terms is None else terms)
-    return queries.where(~F.col("query_text").contains('"')).select("query_id", F.explode(cut).alias("term"))
-
+def query_phrases(queries: DataFrame, tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
+    """(query_id, phrase, times): a word between white space is the phrase of its tokens, which must stand side by side.
 
-def bm25(chunks: DataFrame, queries: DataFrame, most: int, terms: Column | None = None, asked: Column | None = None) -> DataFrame:
-    """query_id, chunk_id, score (4 digits), place: any of the query's words, best `most` chunks.
-
-    The words of the queries (at most MAX_QUERIES of them) come to the driver and
-    go to every task; chunks (chunk_id a whole number) stay where they lie. A first
-    pass counts the chunks that have each word; in a second one a task scores its
-    chunks for all queries and keeps its own best, so no posting is shuffled,
-    however frequent its word. Ties go to the smaller id.
+    A word asked for twice counts twice, one without tokens not at all; a query
+    with a double quote in it finds nothing.
+    """
+    words = F.filter(F.split("query_text", WORD_GAP), lambda w: w != "")
+    cut = queries.where(~F.col("query_text").contains('"')).select("query_id", F.explode(words).alias("_word"))
+    phrases = cut.select("query_id", tokenize(F.col("_word")).alias("phrase")).where(F.size("phrase") > 0)
+    return phrases.groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
+
+
+def asked_phrases(queries: DataFrame, tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
+    """(query_id, asked): all phrases of a query with their times."""
+    return query_phrases(queries, tokenize).groupBy("query_id").agg(F.collect_list(F.struct("phrase", "times")).alias("asked"))
+
+
+class Phrases:
+    """Distinct phrases as paths of words from a common root; all their places are found in a few passes over a batch."""
+
+    def __init__(self, phrases: list[tuple[str, ...]]):
+        words = sorted({w for p in phrases for w in p})
+        self.vocabulary, number = pa.array(words, pa.string()), {w: k for k, w in enumerate(words)}
+        self.size = max(1, len(words))
+        steps: dict[int, int] = {}
+        ends = {}
+        for k, phrase in enumerate(phrases):
+            node = 0
+            for w in phrase:
+                node = steps.setdefault(node * self.size + number[w], len(steps) + 1)
+            ends[node] = k
+        codes = np.array(sorted(steps), np.int64)
+        self.codes, self.targets = codes, np.array([steps[c] for c in codes.tolist()], np.int64)
+        self.phrase = np.array([ends.get(k, -1) for k in range(len(steps) + 1)], np.int64)
+        self.words = len(words)
+
+    def places(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Row and phrase of every place, in lists of tokens."""
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+        word = pc.fill_null(pc.index_in(lists.flatten(), value_set=self.vocabulary), -1).to_numpy().astype(np.int64)
+        at = np.flatnonzero(word >= 0)
+        node = np.zeros(len(at), np.int64)
+        found, depth = [(row[:0], row[:0])], 0
+        while len(at):
+            code = node * self.size + word[at + depth]
+            k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            ok = self.codes[k] == code
+            at, node = at[ok], self.targets[k[ok]]
+            phrase = self.phrase[node]
+            found.append((row[at[phrase >= 0]], phrase[phrase >= 0]))
+            depth += 1
+            ok = at + depth < len(word)
+            at, node = at[ok], node[ok]
+            ok = (row[at + depth] == row[at]) & (word[at + depth] >= 0)
+            at, node = at[ok], node[ok]
+        rows, phrases = (np.concatenate(x) for x in zip(*found, strict=True))
+        return rows, phrases
+
+    def counted(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, phrase and number of places, each pair once, by row."""
+        row, phrase = self.places(lists)
+        n = max(1, len(self.phrase))
+        both, tf = np.unique(row * n + phrase, return_counts=True)
+        return both // n, both % n, tf
+
+
+class Asked:
+    """The phrases of a slice of queries, and who asks for each how often."""
+
+    def __init__(self, rows: list, kind: pa.DataType):
+        wanted = [(r["query_id"], tuple(a["phrase"]), a["times"]) for r in rows for a in r["asked"]]
+        self.phrases = sorted({p for _, p, _ in wanted})
+        ids = sorted({q for q, _, _ in wanted})
+        self.names, self.queries = pa.array(ids, kind), len(ids)
+        place_of, id_of = {p: k for k, p in enumerate(self.phrases)}, {q: k for k, q in enumerate(ids)}
+        by_phrase = sorted((place_of[p], id_of[q], t) for q, p, t in wanted)
+        self.owner, self.times = np.array([q for _, q, _ in by_phrase], np.int64), np.array([t for _, _, t in by_phrase], np.float64)
+        self.first = np.searchsorted(np.array([p for p, _, _ in by_phrase], np.int64), np.arange(len(self.phrases) + 1))
+
+    def idf(self, n: float, df: np.ndarray) -> np.ndarray:
+        raw = np.log((n - df + 0.5) / (df + 0.5))
+        return np.where(raw <= 0, LEAST_IDF, raw)
+
+
+class Top:
+    """The best chunks of each query so far, in the order of their scores' first DIGITS digits, then by id."""
+
+    def __init__(self, asked: Asked, most: int):
+        self.asked, self.most = asked, most
+        self.query, self.chunk, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(asked.queries, 0.0)
+
+    def add(self, chunks: np.ndarray, row: np.ndarray, phrase: np.ndarray, part: np.ndarray) -> None:
+        """part: what a phrase adds to the score of chunks[row], once asked for; rows in order."""
+        asked, width = self.asked, max(1, 2_000_000 // max(1, self.asked.queries))
+        for lo in range(0, len(chunks), width):
+            a, b = np.searchsorted(row, (lo, lo + width))
+            own = phrase[a:b]
+            many = np.diff(asked.first)[own]
+            ends = np.cumsum(many)
+            if not len(ends) or not ends[-1]:
+                continue
+            at = np.arange(ends[-1]) + np.repeat(asked.first[own] - ends + many, many)
+            sums = np.bincount(asked.owner[at] * width + np.repeat(row[a:b] - lo, many), np.repeat(part[a:b], many) * asked.times[at])
+            found = np.flatnonzero(sums)
+            query, score = found // width, np.round(sums[found], DIGITS)
+            good = score >= self.least[query]
+            self._merge(query[good], chunks[lo + found[good] % width], score[good])
+
+    def _merge(self, query: np.ndarray, chunk: np.ndarray, score: np.ndarray) -> None:
+        query, chunk, score = np.append(self.query, query), np.append(self.chunk, chunk), np.append(self.score, score)
+        order = np.lexsort((chunk, -score, query))
+        query, chunk, score = query[order], chunk[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        self.least[query[place == self.most - 1]] = score[place == self.most - 1]
+        kept = place < self.most
+        self.query, self.chunk, self.score = query[kept], chunk[kept], score[kept]
+
+    def batch(self, kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([self.asked.names.take(pa.array(self.query)), pa.array(self.chunk).cast(kind), pa.array(self.score)], ["query_id", "chunk_id", "score"])
+
+
+def _bm25_part(tf: np.ndarray, dl: np.ndarray, mean: float) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+
+
+def best_of_all(found: DataFrame, most: int) -> DataFrame:
+    """The best chunks of each query of all tasks; place from 1, the score with 4 digits."""
+    return _ranked(found, "query_id", F.desc("score"), "chunk_id", most=most).withColumn("score", F.round("score", 4))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, most: int, tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
+    """query_id, chunk_id, score (4 digits), place: any of the query's phrases, best `most` chunks.
+
+    The queries go to every task, slice by slice; chunks (chunk_id a whole number)
+    are tokenised once, where they lie. What is found of the phrases asked for, a row
+    for each chunk that has any, is a table in the shared folder; its counts give the
+    weights, and over it a task scores its chunks for all queries and keeps its own
+    best, so no posting is shuffled, however frequent its word. Ties go to the
+    smaller id.
     """
-    pairs = query_terms(stated(queries), asked).select("query_id", "term").collect()
-    ids, words = sorted({r[0] for r in pairs}), sorted({r[1] for r in pairs})
     kinds = [to_arrow_type(x.schema[c].dataType) for x, c in ((queries, "query_id"), (chunks, "chunk_id"))]
-    names = pa.array(ids, kinds[0])
-    place_of, id_of = {w: k for k, w in enumerate(words)}, {q: k for k, q in enumerate(ids)}
-    by_word = sorted((place_of[w], id_of[q]) for q, w in pairs)
-    owner = np.array([q for _, q in by_word], np.int64)
-    first = np.searchsorted(np.array([w for w, _ in by_word], np.int64), np.arange(len(words) + 1))
-    asking = np.diff(first)
-    vocabulary = pa.array(words, pa.string())
-    cut = chunks.select("chunk_id", (tokens(F.col("text")) if terms is None else terms).alias("_terms"))
+    schema = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for x, c in ((queries, "query_id"), (chunks, "chunk_id"))) + ", score double"
+    cut = chunks.select("chunk_id", tokenize(F.col("text")).alias("_terms"))
+    return each_slice(asked_phrases(queries, tokenize), lambda rows: _bm25(cut, Asked(rows, kinds[0]), most, kinds[1], schema))
 
-    def known(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, word and count of the words asked for, each once for a row."""
-        row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
-        word = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy().astype(np.int64)
-        both, tf = np.unique((row * len(words) + word)[word >= 0], return_counts=True)
-        return both // max(1, len(words)), both % max(1, len(words)), tf
 
-    def count(batches):
-        df = np.zeros(len(words) + 3, np.int64)  # and chunks, chunks with text, words
+def _bm25(cut: DataFrame, asked: Asked, most: int, kind: pa.DataType, schema: str) -> DataFrame:
+    phrases = asked.phrases
+
+    def find(batches):
+        index, all_chunks, length = Phrases(phrases), 0, 0
         for batch in batches:
-            lists = batch.column(0)
-            df[:-3] += np.bincount(known(lists)[1], minlength=len(words))
-            df[-3:] += len(lists), len(lists) - lists.null_count, len(lists.flatten())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], ["at", "n"])
-
-    df = np.zeros(len(words) + 3)
-    for at, n in cut.select("_terms").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n")).collect():  # a row for each word asked for
-        df[at] = n
-    n, held, length = df[-3:]
-    mean = length / held if held and length else 1.0
-    raw = np.log((n - df[:-3] + 0.5) / (df[:-3] + 0.5))
-    idf = np.where(raw <= 0, LEAST_IDF, raw)
-    rows_at_once = max(1, min(512, 30_000 // max(1, len(ids))))
-
-    def best(batches):
-        top = np.full((len(ids), 0), -np.inf)
-        who = np.zeros((len(ids), 0), np.int64)
+            lists = batch.column(1)
+            size = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            all_chunks, length = all_chunks + len(lists), length + int(size.sum())
+            row, phrase, tf = index.counted(lists)
+            own, count = np.unique(row, return_counts=True)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
+            lists_of = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64()))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)).cast(pa.int64()), pa.array(size[own]), lists_of(phrase), lists_of(tf)], ["chunk", "dl", "phrases", "tfs"])
+        total = pa.array([[all_chunks, length]], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), total, total], ["chunk", "dl", "phrases", "tfs"])
+
+    found = reliable(cut.mapInArrow(find, "chunk long, dl long, phrases array<long>, tfs array<long>"))
+    n, length = found.where("dl IS NULL").agg(*[F.coalesce(F.sum(F.col("tfs")[k]), F.lit(0)) for k in range(2)]).first()
+    df = np.zeros(len(phrases))
+    for at, count in found.where("dl IS NOT NULL").select(F.explode("phrases").alias("at")).groupBy("at").count().collect():  # a row for each phrase asked for
+        df[at] = count
+    mean = length / n if length else 1.0
+    idf = asked.idf(n, df)
+
+    def score(batches):
+        top = Top(asked, most)
         for batch in batches:
-            for lo in range(0, batch.num_rows, rows_at_once):
-                own, lists = batch.column(0)[lo : lo + rows_at_once].to_numpy(), batch.column(1)[lo : lo + rows_at_once]
-                row, word, tf = known(lists)
-                if not len(row):
-                    continue
-                dl = lists.value_lengths().fill_null(0).to_numpy()[row]
-                part = idf[word] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
-                many = asking[word]
-                ends = np.cumsum(many)
-                query = owner[np.arange(ends[-1]) + np.repeat(first[word] - ends + many, many)]
-                sums = np.bincount(query * len(own) + np.repeat(row, many), np.repeat(part, many), len(ids) * len(own)).reshape(len(ids), -1)
-                s = np.hstack([top, np.where(sums > 0, np.round(sums, 4), -np.inf)])
-                v = np.hstack([who, np.broadcast_to(own, sums.shape)])
-                order = np.lexsort((v, -s))[:, :most]
-                top, who = np.take_along_axis(s, order, 1), np.take_along_axis(v, order, 1)
-        there = top > -np.inf
-        at = np.broadcast_to(np.arange(len(ids))[:, None], top.shape)[there]
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array(who[there]).cast(kinds[1]), pa.array(top[there])], ["query_id", "chunk_id", "score"])
-
-    kind = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for x, c in ((queries, "query_id"), (chunks, "chunk_id")))
-    found = cut.mapInArrow(best, f"{kind}, score double")
-    return _ranked(found, "query_id", F.desc("score"), "chunk_id", most=most)
+            lists = batch.column(2)
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            phrase, tf = lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+            dl = batch.column(1).to_numpy()[row]
+            top.add(batch.column(0).to_numpy(), row, phrase, idf[phrase] * _bm25_part(tf, dl, mean))
+        yield top.batch(kind)
+
+    return best_of_all(found.where("dl IS NOT NULL").mapInArrow(score, schema), most)
 
 
 def path_matches(files: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     """query_id, file_id, path, place: names or paths that contain the query, newest first; an empty query takes all files.
 
-    The queries, at most MAX_QUERIES, are compared with every file.
+    Every query is compared with every file, slice by slice of the queries.
     """
+    spark = files.sparkSession
     named = files.withColumns({"_path": F.lower("path"), "_name": F.lower("filename")})
-    asked = stated(queries).select("query_id", F.lower("query_text").alias("_text"), F.col("query_text").rlike("[%_]").alias("_wild"))
     like = lambda c: f"{c} LIKE concat('%', _text, '%') ESCAPE '{NO_ESCAPE}'"
     within = F.col("_path").contains(F.col("_text")) | F.col("_name").contains(F.col("_text"))
     hit = (~F.col("_wild") & within) | (F.col("_wild") & F.expr(f"({like('_path')}) OR ({like('_name')})"))  # patterns only where there are any
-    joined = named.join(F.broadcast(asked), hit)
     order = (F.col("created_time").desc_nulls_last(), F.desc("modified_time"), F.col("file_id"))
-    return _ranked(joined, "query_id", *order, most=most).select("query_id", "file_id", "path", "place")
+    texts = queries.select("query_id", F.lower("query_text").alias("_text"), F.col("query_text").rlike("[%_]").alias("_wild"))
+
+    def run(rows: list) -> DataFrame:
+        asked = F.broadcast(spark.createDataFrame(rows, texts.schema))
+        return _ranked(named.join(asked, hit), "query_id", *order, most=most).select("query_id", "file_id", "path", "place")
+
+    return each_slice(texts, run)
 
 
 def in_root(path: Column, root: str) -> Column:
@@ -174,18 +283,16 @@ def hybrid(
     """query_id, file_id, path, rrf (6 digits), n_signals, score, place.
 
     queries: query_id, query_text, query_embedding; vectors: vec_id is a
-    chunk_id. A file has the best of its chunks' fused scores plus the reciprocal
+    chunk_id, which names its file. A file has the best of its chunks' fused scores plus the reciprocal
     rank of its path match. The date filter keeps files of unknown time and comes
     before the cut to top_k.
     """
     fetch = OVER_FETCH * top_k
     semantic = nearest(queries, vectors, fetch, MIN_SIMILARITY).select("query_id", F.col("vec_id").alias("chunk_id"), F.lit("semantic").alias("signal"), "place")
     keyword = bm25(chunks, queries, fetch).select("query_id", "chunk_id", F.lit("keyword").alias("signal"), "place")
-    owner = chunks.select("chunk_id", "file_id")
+    fused = fuse([semantic, keyword]).withColumn("file_id", file_of(F.col("chunk_id")))
     if root is not None:
-        own = files.where(in_root(F.col("path"), root)).select("file_id")
-        owner = owner.join(own, "file_id", "left_semi")
-    fused = fuse([semantic, keyword]).join(owner, "chunk_id")
+        fused = fused.join(files.where(in_root(F.col("path"), root)).select("file_id"), "file_id", "left_semi")
     by_chunk = fused.groupBy("query_id", "file_id").agg(F.max("rrf").alias("rrf"), F.flatten(F.collect_list("signals")).alias("signals"))
     scope = files if root is None else files.where(in_root(F.col("path"), root))
     by_name = path_matches(scope, queries, fetch).select(

@@ -16,6 +16,7 @@ from docloom.operators import search as S
 from docloom.operators import versions as G
 from docloom.operators.registry import query
 from docloom.plans.fixtures import NOW, cte, view
+from docloom.plans.retrieval import phrases_sql
 
 
 @query(cte("fx_files") + "SELECT file_id, path FROM fx_files WHERE lower(path) LIKE '/vault/src1%'")
@@ -161,9 +162,9 @@ def i5_path_parts(spark, d):
     return view(spark, d, "fx_files").select("file_id", T.filename(p).alias("name"), T.stem(T.filename(p)).alias("stem"), T.suffix(p).alias("ext"))
 
 
-@query(r"SELECT query_id, term FROM (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM benchmark WHERE text NOT LIKE '%" + '"' + "%')")
+@query(f"WITH q AS (SELECT item_id AS query_id, text AS query_text FROM benchmark) SELECT query_id, array_to_string(phrase, ' ') AS phrase, times FROM ({phrases_sql('q')})")
 def i11_query_terms(spark, d):
-    return S.query_terms(view(spark, d, "fx_queries"))
+    return S.query_phrases(view(spark, d, "fx_queries")).select("query_id", F.array_join("phrase", " ").alias("phrase"), "times")
 
 
 @query("SELECT o_orderkey, CAST(epoch(date_trunc('month', o_orderdate)) AS BIGINT) AS low, CAST(epoch(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH) AS BIGINT) - 1 AS high FROM orders")

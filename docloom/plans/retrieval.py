@@ -14,26 +14,40 @@ from docloom.plans.fixtures import cte, view
 _TERMS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 
 
-def _bm25_sql(most: int) -> str:
+_GAP = r"[\s\x1c-\x1f\x85\p{Z}]+"
+
+
+def phrases_sql(queries: str) -> str:
+    """query_id, phrase, times: the words of each query between white space as lists of tokens."""
+    words = f"unnest(list_filter(regexp_split_to_array(query_text, '{_GAP}'), lambda w: w <> ''))"
+    return f"""SELECT query_id, phrase, count(*) AS times FROM (SELECT query_id, {_TERMS.format("word")} AS phrase FROM (SELECT query_id, {words} AS word FROM {queries} WHERE query_text NOT LIKE '%"%'))
+             WHERE len(phrase) > 0 GROUP BY query_id, phrase"""
+
+
+def _bm25_sql(most: int, queries: str = "fx_queries", chunks: str = "fx_chunks") -> str:
     return f"""
-    terms AS (SELECT chunk_id, {_TERMS.format("text")} AS t FROM fx_chunks),
-    stats AS (SELECT count(*) AS n_all, avg(len(t)) AS avgdl FROM terms),
-    wanted AS (SELECT DISTINCT query_id, unnest({_TERMS.format("query_text")}) AS term FROM fx_queries WHERE query_text NOT LIKE '%"%'),
-    hits AS (SELECT term, chunk_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM terms)
-             WHERE term IN (SELECT term FROM wanted) GROUP BY term, chunk_id),
-    freq AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
-    bm AS (SELECT query_id, chunk_id, round(sum(CASE WHEN ln((n_all - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_all - df + 0.5) / (df + 0.5)) END
-                  * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) AS score
-           FROM hits JOIN freq USING (term) JOIN wanted USING (term), stats GROUP BY query_id, chunk_id),
-    keyword AS (SELECT query_id, chunk_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM bm) WHERE place <= {most})"""
+    terms AS (SELECT chunk_id, {_TERMS.format("text")} AS t FROM {chunks}),
+    stats AS (SELECT count(*) AS n_all, avg(coalesce(len(t), 0)) AS avgdl FROM terms),
+    wanted AS ({phrases_sql(queries)}),
+    phrases AS (SELECT DISTINCT phrase, phrase[1] AS term FROM wanted),
+    places AS (SELECT chunk_id, len(t) AS dl, unnest(t) AS term, unnest(generate_series(1, len(t))) AS pos FROM terms),
+    hits AS (SELECT phrase, chunk_id, count(*) AS tf, any_value(dl) AS dl FROM (
+               SELECT phrase, chunk_id, dl FROM places JOIN phrases USING (term) WHERE len(phrase) = 1
+               UNION ALL SELECT phrase, chunk_id, dl FROM places JOIN phrases USING (term) JOIN terms USING (chunk_id) WHERE len(phrase) > 1 AND t[pos : pos + len(phrase) - 1] = phrase)
+             GROUP BY phrase, chunk_id),
+    freq AS (SELECT phrase, count(*) AS df FROM hits GROUP BY phrase),
+    full_bm AS (SELECT query_id, chunk_id, round(sum(times * CASE WHEN ln((n_all - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_all - df + 0.5) / (df + 0.5)) END
+                  * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS full_score
+           FROM hits JOIN freq USING (phrase) JOIN wanted USING (phrase), stats GROUP BY query_id, chunk_id),
+    keyword AS (SELECT query_id, chunk_id, round(full_score, 4) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY full_score DESC, chunk_id) AS place FROM full_bm) WHERE place <= {most})"""
 
 
 def _near_sql(name: str, queries: str, most: int, least: float | None, vectors: str = "embeddings", key: str = "vec_id") -> str:
     kept = "" if least is None else f" AND score >= {least}"
     return f"""
     {name} AS (SELECT query_id, vec_id, score, place FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM (
-            SELECT query_id, {key} AS vec_id, round(list_dot_product(CAST(query_embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 4) AS score
+        SELECT query_id, vec_id, round(full_score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY full_score DESC, vec_id) AS place FROM (
+            SELECT query_id, {key} AS vec_id, round(list_dot_product(CAST(query_embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS full_score
             FROM {queries}, {vectors})) WHERE place <= {most}{kept})"""
 
 
@@ -44,7 +58,7 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     """Query texts with a vector each: the row of the embeddings with the query's number."""
     vectors = view(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    return vectors.join(F.broadcast(S.stated(_queries(spark, d))), "query_id").select("query_id", "query_text", "query_embedding")
+    return vectors.join(_queries(spark, d), "query_id").select("query_id", "query_text", "query_embedding")
 
 
 def _chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -80,9 +94,18 @@ def j2_bm25_topk(spark, d):
 @query()
 def i10_bm25_porter_topk(spark, d):
     """The same with folded, stemmed terms."""
-    chunks = view(spark, d, "fx_chunks").withColumn("terms", T.keyword_terms("text"))
-    asked = _queries(spark, d).withColumn("terms", T.keyword_terms("query_text"))
-    return S.bm25(chunks, asked, 20, F.col("terms"), F.col("terms"))
+    return S.bm25(view(spark, d, "fx_chunks"), _queries(spark, d), 20, T.keyword_terms)
+
+
+#: Addresses, dates, numbers with points and hyphenated words of a document, twice each, and its first word.
+_PHRASE_QUERIES = """SELECT doc_id AS query_id, concat_ws(' ', p, p, regexp_extract(text, '[A-Za-z]+', 0)) AS query_text
+    FROM (SELECT doc_id, text, regexp_extract(text, '[A-Za-z0-9]+[@.:_-][A-Za-z0-9@.:_-]*[A-Za-z0-9]', 0) AS p FROM documents WHERE doc_id % 50 = 0)"""
+
+
+@query(cte("fx_chunks") + f", asked_phrases AS ({_PHRASE_QUERIES})," + _bm25_sql(20, "asked_phrases") + " SELECT query_id, chunk_id, score, place FROM keyword")
+def j3_phrase_search(spark, d):
+    asked = spark.sql(_PHRASE_QUERIES.replace("FROM documents", "FROM {documents}"), documents=view(spark, d, "documents"))
+    return S.bm25(view(spark, d, "fx_chunks"), asked, 20)
 
 
 @query(

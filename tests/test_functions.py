@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import classify as C
 from docloom.functions import dates as D
+from docloom.functions import slices
 from docloom.functions import text as T
 from docloom.functions import vector as V
 from docloom.operators import diff as X
@@ -82,11 +83,56 @@ def test_bm25_equals_the_keyword_index(spark):
     expected = {r[0]: round(-r[1], 4) for r in db.execute("SELECT rowid, rank FROM t WHERE t MATCH '\"cats\" OR \"mat\"'")}
     chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
     asked = spark.createDataFrame([(1, "cats mat"), (2, 'broken "quote'), (3, "")], "query_id long, query_text string")
-    found = S.bm25(chunks.withColumn("t", T.keyword_terms("text")), asked.withColumn("t", T.keyword_terms("query_text")), 10, F.col("t"), F.col("t")).collect()
+    found = S.bm25(chunks, asked, 10, T.keyword_terms).collect()
     assert {r["chunk_id"]: r["score"] for r in found if r["query_id"] == 1} == pytest.approx(expected, abs=2e-4)
     assert {r["query_id"] for r in found} == {1}
 
 
+def fts5(texts, query, tokenize="unicode61"):
+    """Scores of the rows that the keyword index finds for the words of a query."""
+    db = sqlite3.connect(":memory:")
+    db.execute(f"CREATE VIRTUAL TABLE t USING fts5(x, tokenize='{tokenize}')")
+    db.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", list(enumerate(texts)))
+    match = " OR ".join(f'"{w}"' for w in query.split())
+    return {r[0]: -r[1] for r in db.execute("SELECT rowid, rank FROM t WHERE t MATCH ?", (match,))}
+
+
+PHRASE_TEXTS = [
+    "foo-bar baz", "foo and bar, foo bar foo bar", "bar foo", "write to ann.lee@mail.example.org today", "ann lee mail", "version 1.2.3 of 2024-05-06", "1 2 3", "1.2 and 3",
+    "a a a a", "a b a", "well-known well known", "", None, "the quick brown fox", "O'Neil's state-of-the-art", "state of the art", "foo", "x" * 50, "foo-bar foo-bar-foo",
+]
+
+
+@pytest.mark.parametrize("tokenize", ["unicode61", "porter unicode61"])
+def test_phrases_and_repeats_equal_the_keyword_index(spark, tokenize):
+    """Hyphens, addresses, numbers with points, overlapping places, repeated words, words without tokens."""
+    asked = ["foo-bar", "foo bar", "foo foo", "foo foo-bar foo-bar", "ann.lee@mail.example.org", "1.2.3 2024-05-06", "a-a", "a-a a", "well-known known", "state-of-the-art o'neil's", "- foo", "--", "foo-bar-foo fox", "a\u2003b", "bar-foo\x1cfoo"]
+    chunks = spark.createDataFrame(list(enumerate(PHRASE_TEXTS)), "chunk_id long, text string").repartition(3)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query_text string")
+    found = S.bm25(chunks, queries, 30, T.keyword_terms if "porter" in tokenize else T.tokens).collect()
+    for k, text in enumerate(asked):
+        got = {r["chunk_id"]: r["score"] for r in found if r["query_id"] == k}
+        assert got == pytest.approx(fts5(PHRASE_TEXTS, text, tokenize), abs=6e-5), text
+
+
+def test_slices_of_queries_give_the_same_rows(spark, monkeypatch):
+    chunks = spark.createDataFrame([(k, f"w{k % 7} w{k % 5} v-{k % 3}") for k in range(200)], "chunk_id long, text string")
+    files = spark.createDataFrame([(k, f"/w{k % 7}/v{k % 3}.txt", f"v{k % 3}.txt", k, k) for k in range(200)], "file_id long, path string, filename string, created_time long, modified_time long")
+    vectors = spark.createDataFrame([(k, [float(k % 7), float(k % 5)]) for k in range(200)], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(k, f"w{k % 7} v-{k % 4}", [1.0, k / 7]) for k in range(30)], "query_id long, query_text string, query_embedding array<double>")
+
+    def rows():
+        names = queries.withColumn("query_text", F.concat(F.lit("w"), (F.col("query_id") % 7).cast("string")))
+        return [sorted(x.collect()) for x in (S.bm25(chunks, queries, 9), S.path_matches(files, names, 5), V.nearest(queries, vectors, 4))]
+
+    whole = rows()
+    assert [len(x) for x in whole] == [270, 150, 120]
+    monkeypatch.setattr(slices, "SLICE_ROWS", 7)
+    assert rows() == whole
+    monkeypatch.setattr(slices, "SLICE_BYTES", 40)
+    assert rows() == whole
+
+
 def test_sentence_chunks_carry_their_overlap():
     text = ". ".join(" ".join(f"w{s}_{k}" for k in range(30)) for s in range(60))
     chunks = T.sentence_chunks(text, 100, 20)
