@@ -1,14 +1,12 @@
-"""Where results go: tables, version stores, encrypted files."""
+"""Where results go: tables and encrypted files."""
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.versions import blocks, rebuild, recipe
-
 
 def vault_key(password: str, salt: bytes, rounds: int = 100_000) -> bytes:
     """A 256-bit key from a password (PBKDF2 with SHA-512)."""
@@ -41,60 +39,6 @@ def replace_table(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
-def write_versions(versions: DataFrame, content: str, root: str) -> None:
-    """Adds versions (file_id, version, content and more) to a store: new blocks, recipes and metadata.
-
-    Blocks and versions that the store has already are not written again, and the
-    metadata come last, so a run that broke off can be repeated: a version is in
-    the store once its metadata are.
-    """
-    spark = versions.sparkSession
-    if _there(spark, f"{root}/metadata"):
-        versions = versions.join(list_versions(spark, root).select("file_id", "version"), ["file_id", "version"], "left_anti")
-    cut = blocks(versions.select("file_id", "version", content), content)
-    new = cut.select("block_hash", "data").dropDuplicates(["block_hash"])
-    if _there(spark, f"{root}/blocks"):
-        new = new.join(spark.read.parquet(f"{root}/blocks").select("block_hash"), "block_hash", "left_anti")
-    new.write.mode("append").parquet(f"{root}/blocks")
-    made = recipe(cut, "file_id", "version")
-    if _there(spark, f"{root}/recipes"):
-        made = made.join(spark.read.parquet(f"{root}/recipes").select("file_id", "version"), ["file_id", "version"], "left_anti")
-    made.write.mode("append").parquet(f"{root}/recipes")
-    versions.drop(content).write.mode("append").json(f"{root}/metadata")
-
-
-def list_versions(spark: SparkSession, root: str) -> DataFrame:
-    """The metadata of a store's versions: file_id, version and what was stored with them."""
-    return spark.read.json(f"{root}/metadata").withColumns({"file_id": F.col("file_id").cast("long"), "version": F.col("version").cast("int")})
-
-
-def load_versions(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
-    """file_id, version, content of a store, of the wanted (file_id, version) if they are given."""
-    recipes = spark.read.parquet(f"{root}/recipes")
-    if wanted is not None:
-        recipes = recipes.join(wanted.select("file_id", "version"), ["file_id", "version"], "left_semi")
-    return rebuild(recipes, spark.read.parquet(f"{root}/blocks"), "file_id", "version")
-
-
-def replace_keys(rows: DataFrame, path: str, key: str) -> None:
-    """Puts rows in the place of a table's rows with their keys; the others stay. The new table takes over when it is whole."""
-    spark = rows.sparkSession
-    if not _there(spark, path):
-        rows.write.parquet(path)
-        return
-    kept = spark.read.parquet(path).join(rows.select(key).distinct(), key, "left_anti")
-    kept.unionByName(rows).write.mode("overwrite").parquet(f"{path}.next")
-    where = spark._jvm.org.apache.hadoop.fs.Path
-    system = where(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    system.delete(where(path), True)
-    system.rename(where(f"{path}.next"), where(path))
-
-
-def _there(spark, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
-
-
 def write_lines(lines: DataFrame, path: str) -> None:
     """A one-column export as text files."""
     lines.write.mode("overwrite").text(path)

@@ -138,11 +138,6 @@ def test_sinks_round_trip(spark, tmp_path):
     assert sinks.decrypt_text(sinks.encrypt_text(rows, "x", key), "x", key).first()["x"] == "secret text é"
     with pytest.raises(Exception, match="AES|tag|crypt"):
         sinks.unlock(sinks.lock(rows, "x", key), "x", sinks.vault_key("other", b"salt")).collect()
-    root = str(tmp_path / "store")
-    versions = spark.createDataFrame([(1, 1, b"same"), (1, 2, b"same"), (2, 1, b"other")], "file_id long, version int, content binary")
-    sinks.write_versions(versions, "content", root)
-    sinks.write_versions(versions.withColumn("version", F.col("version") + 10), "content", root)
-    assert spark.read.parquet(f"{root}/blocks").count() == 2 and spark.read.parquet(f"{root}/recipes").count() == 6
 
 
 def test_created_time_roots_and_reasons(spark, tmp_path, monkeypatch):
@@ -163,17 +158,3 @@ def test_created_time_roots_and_reasons(spark, tmp_path, monkeypatch):
     monkeypatch.setitem(office.READERS, ".pdf", lambda content: content.decode()[5:])  # stands for a PDF library
     assert office.extract("paper.pdf", b"%PDF words of a page", 5) == ("words", None)
     assert json.loads(office.preview("paper.pdf", b"%PDF words"))["text"] == "words"
-
-
-def test_version_store_is_listed_loaded_and_repeatable(spark, tmp_path):
-    root = str(tmp_path / "store")
-    versions = spark.createDataFrame([(1, 1, b"one", "x"), (1, 2, b"two" * 300_000, "y"), (2, 1, b"one", "z")], "file_id long, version int, content binary, note string")
-    sinks.write_versions(versions, "content", root)
-    sinks.write_versions(versions, "content", root)
-    assert sorted((r["file_id"], r["version"], r["note"]) for r in sinks.list_versions(spark, root).collect()) == [(1, 1, "x"), (1, 2, "y"), (2, 1, "z")]
-    assert {(r["file_id"], r["version"]): bytes(r["content"]) for r in sinks.load_versions(spark, root).collect()} == {(1, 1): b"one", (1, 2): b"two" * 300_000, (2, 1): b"one"}
-    assert sinks.load_versions(spark, root, versions.where("version = 2")).count() == 1
-    table = str(tmp_path / "table")
-    for rows in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]):
-        sinks.replace_keys(spark.createDataFrame(rows, "id int, x string"), table, "id")
-    assert sorted(tuple(r) for r in spark.read.parquet(table).collect()) == [(1, "a"), (2, "c"), (3, "d")]
