@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-_MODULES = ("retrieval", "ingest", "classification", "versioning", "merging", "syncing", "events", "explorer", "relational")
+_MODULES = ("retrieval", "ingest", "classification", "versioning", "merging", "syncing", "events", "explorer", "relational", "stored")
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 

@@ -223,6 +223,13 @@ def _bm25(cut: DataFrame, asked: Asked, most: int, kind: pa.DataType, schema: st
     return best_of_all(found.where("dl IS NOT NULL").mapInArrow(score, schema), most)
 
 
+def bm25_in_root(files: DataFrame, chunks: DataFrame, queries: DataFrame, most: int, root: str) -> DataFrame:
+    """As `bm25`, of the files under a root: the filter comes after OVER_FETCH times `most` hits, so there can be fewer."""
+    found = bm25(chunks, queries, OVER_FETCH * most).withColumn("file_id", file_of(F.col("chunk_id")))
+    own = found.join(files.where(in_root(F.col("path"), root)).select("file_id"), "file_id", "left_semi")
+    return _ranked(own, "query_id", "place", most=most).select("query_id", "chunk_id", "score", "place")
+
+
 def path_matches(files: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     """query_id, file_id, path, place: names or paths that contain the query, newest first; an empty query takes all files.
 

@@ -24,7 +24,7 @@ def phrases_sql(queries: str) -> str:
              WHERE len(phrase) > 0 GROUP BY query_id, phrase"""
 
 
-def _bm25_sql(most: int, queries: str = "fx_queries", chunks: str = "fx_chunks") -> str:
+def bm25_sql(most: int, queries: str = "fx_queries", chunks: str = "fx_chunks") -> str:
     return f"""
     terms AS (SELECT chunk_id, {_TERMS.format("text")} AS t FROM {chunks}),
     stats AS (SELECT count(*) AS n_all, avg(coalesce(len(t), 0)) AS avgdl FROM terms),
@@ -42,7 +42,7 @@ def _bm25_sql(most: int, queries: str = "fx_queries", chunks: str = "fx_chunks")
     keyword AS (SELECT query_id, chunk_id, round(full_score, 4) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY full_score DESC, chunk_id) AS place FROM full_bm) WHERE place <= {most})"""
 
 
-def _near_sql(name: str, queries: str, most: int, least: float | None, vectors: str = "embeddings", key: str = "vec_id") -> str:
+def near_sql(name: str, queries: str, most: int, least: float | None, vectors: str = "embeddings", key: str = "vec_id") -> str:
     kept = "" if least is None else f" AND score >= {least}"
     return f"""
     {name} AS (SELECT query_id, vec_id, score, place FROM (
@@ -69,14 +69,14 @@ def _chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
 _ASKED_SQL = "asked AS (SELECT query_id, query_text, embedding AS query_embedding FROM fx_queries JOIN embeddings ON vec_id = query_id)"
 
 
-@query("WITH " + "q AS (SELECT vec_id AS query_id, embedding AS query_embedding FROM embeddings WHERE vec_id % 50 = 0)," + _near_sql("top", "q", 10, None) + " SELECT query_id, vec_id, score, place FROM top")
+@query("WITH " + "q AS (SELECT vec_id AS query_id, embedding AS query_embedding FROM embeddings WHERE vec_id % 50 = 0)," + near_sql("top", "q", 10, None) + " SELECT query_id, vec_id, score, place FROM top")
 def j1_vector_topk(spark, d):
     return V.nearest(view(spark, d, "fx_query_vectors"), view(spark, d, "embeddings"), 10)
 
 
 @query(
     cte("fx_files", "fx_query_vectors")
-    + "," + _near_sql("top", "fx_query_vectors", 100, 0.15)
+    + "," + near_sql("top", "fx_query_vectors", 100, 0.15)
     + " SELECT query_id, vec_id, path, score FROM top JOIN fx_files ON file_id = vec_id WHERE lower(path) = '/vault/src2' OR starts_with(lower(path), '/vault/src2/')"
 )
 def j1_vector_search_in_root(spark, d):
@@ -86,7 +86,7 @@ def j1_vector_search_in_root(spark, d):
     return near.join(files, "vec_id").select("query_id", "vec_id", "path", "score")
 
 
-@query(cte("fx_chunks", "fx_queries") + "," + _bm25_sql(20) + " SELECT query_id, chunk_id, score, place FROM keyword")
+@query(cte("fx_chunks", "fx_queries") + "," + bm25_sql(20) + " SELECT query_id, chunk_id, score, place FROM keyword")
 def j2_bm25_topk(spark, d):
     return S.bm25(view(spark, d, "fx_chunks"), _queries(spark, d), 20)
 
@@ -102,7 +102,7 @@ _PHRASE_QUERIES = """SELECT doc_id AS query_id, concat_ws(' ', p, p, regexp_extr
     FROM (SELECT doc_id, text, regexp_extract(text, '[A-Za-z0-9]+[@.:_-][A-Za-z0-9@.:_-]*[A-Za-z0-9]', 0) AS p FROM documents WHERE doc_id % 50 = 0)"""
 
 
-@query(cte("fx_chunks") + f", asked_phrases AS ({_PHRASE_QUERIES})," + _bm25_sql(20, "asked_phrases") + " SELECT query_id, chunk_id, score, place FROM keyword")
+@query(cte("fx_chunks") + f", asked_phrases AS ({_PHRASE_QUERIES})," + bm25_sql(20, "asked_phrases") + " SELECT query_id, chunk_id, score, place FROM keyword")
 def j3_phrase_search(spark, d):
     asked = spark.sql(_PHRASE_QUERIES.replace("FROM documents", "FROM {documents}"), documents=view(spark, d, "documents"))
     return S.bm25(view(spark, d, "fx_chunks"), asked, 20)
@@ -147,8 +147,8 @@ def j5_date_range_search(spark, d):
 
 
 _HYBRID = (
-    cte("fx_chunks", "fx_queries") + "," + _ASKED_SQL + "," + _bm25_sql(100) + ","
-    + _near_sql("semantic", "asked", 100, 0.15, "(SELECT vec_id * 1000000 AS chunk, embedding FROM embeddings)", "chunk")
+    cte("fx_chunks", "fx_queries") + "," + _ASKED_SQL + "," + bm25_sql(100) + ","
+    + near_sql("semantic", "asked", 100, 0.15, "(SELECT vec_id * 1000000 AS chunk, embedding FROM embeddings)", "chunk")
     + f""",
     signals AS (SELECT query_id, vec_id AS chunk_id, 'semantic' AS signal, place FROM semantic UNION ALL SELECT k.query_id, chunk_id, 'keyword', place FROM keyword k JOIN asked USING (query_id)),
     fused AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + place)) AS rrf, list(signal) AS s FROM signals GROUP BY query_id, chunk_id),
@@ -191,7 +191,7 @@ def e5_rrf_fusion(spark, d):
     )
 
 
-_CHAT = cte("fx_chunks", "fx_query_vectors") + "," + _near_sql("near", "fx_query_vectors", 10, 0.18, "(SELECT vec_id * 1000000 AS chunk, embedding FROM embeddings)", "chunk") + """,
+_CHAT = cte("fx_chunks", "fx_query_vectors") + "," + near_sql("near", "fx_query_vectors", 10, 0.18, "(SELECT vec_id * 1000000 AS chunk, embedding FROM embeddings)", "chunk") + """,
     hits AS (SELECT * FROM (SELECT query_id, chunk_id, text, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place
              FROM near JOIN fx_chunks ON chunk_id = vec_id WHERE trim(text) <> '') WHERE place <= 5)"""
 
