@@ -12,17 +12,25 @@ classes, runs of digits as `#`; it travels as a digest and the last element.
 
 What is left out: elements that are noise by their tag or role or are hidden, and
 elements one of whose whole classes (or the id) is made of noise words and
-neutral ones only, so `site-footer` but neither `has-sidebar` nor
-`social-studies`. An element of the latter kind (comments excepted), or a form,
-stays if it holds the page's only `main` or `article`, or (unless it is marked as
-advert, consent or the like) another container with most of the page's text.
+neutral ones only, so `site-footer` and `post-comments` but neither `has-sidebar`
+nor `social-studies`; the header of a post or article is its own. An element of the
+latter kind (comments excepted), or a form, stays if it holds the page's only `main`
+or `article`, or (unless it is marked as advert, consent or the like) another
+container with most of the page's text. What no name tells, repetition does: a block
+that stands in the main text of at least half of a host's different pages (MANY of
+them at least) is dropped, unless it is all that a page has.
+
+What is taken in besides the winning containers: the prose beside them, which is
+their parent's own text and their sibling containers, if it has the title, or a
+sentence and LEAST characters, and few links (LINKS); beside an `article` or a `main` only what stands
+before it. So a lead, an introduction or the smaller of several parts is not lost.
 
 Defined cases: null or empty html gives an empty text; a null url has the host
 ""; text without any tags is its own main text; a page cut off inside a tag
 loses that tag only; pages of any length and nesting are read whole, in time
 proportional to their length; of containers with equal scores the first counts,
 of paths with equal votes the one with more text, then the smaller; repeated
-rows are read each; an empty table gives an empty result; other columns,
+rows are read each; of siblings of any size the prose counts, whichever has won; an empty table gives an empty result; other columns,
 whatever their names, are ignored.
 """
 
@@ -58,17 +66,21 @@ CONTAINERS = frozenset("body article main section div td center content".split()
 NOISE_TAGS = frozenset("nav header footer aside script style noscript template iframe svg button select textarea dialog menu head title object canvas audio video".split())
 LAYOUT_WORDS = frozenset(
     "banner breadcrumb breadcrumbs footer foot header masthead menu menubar modal nav navbar navigation notice notices pager pagination "
-    "sharing share sidebar sidebars skip social tags toolbar topbar widget widgets disclaimer".split()
+    "gdpr sharing share sidebar sidebars skip social tags toolbar topbar widget widgets disclaimer".split()
 )
 FOREIGN_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense cookie cookies consent newsletter "
     "notification notifications paywall popup promo promoted promotion recommended related sponsor sponsored subscribe subscription".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+TALK_WORDS = frozenset("discussion discussions forum".split())
 NEUTRAL_WORDS = frozenset(
     "area bar block body bottom box col column container form global group holder inner item items left links list main outer page panel "
-    "primary right row secondary section site slot text top unit wrap wrapper".split()
+    "primary right row secondary section site slot text top unit wrap wrapper "
+    "article articles button buttons entry facebook fb gdpr google message messages news post posts reader readers signup story thread threads user users".split()
 )
+OWN_WORDS = frozenset("article entry post story".split())
+TOP_WORDS = frozenset("header masthead banner".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert toolbar".split())
 CLOSES = {
     **{t: frozenset(["p"]) for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()},
@@ -84,6 +96,11 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: The share of a page's best score that its host's path must have on it, and of a host's votes that a path must have.
 FAIR, LEADING = 0.1, 0.1
+#: Prose: characters at least, share of them in links at most, an end of a sentence.
+LEAST, LINKS = 40, 0.3
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\u061f](?:\W|\Z)")
+#: Different pages of a host from which repeated blocks are looked for, and the share of them that makes a block repeated.
+MANY, REPEATED = 8, 0.5
 
 PLAIN, LAYOUT, FOREIGN, HARD = range(4)  # how sure an element is noise
 
@@ -98,8 +115,10 @@ def _noise(tag: str, attributes: dict[str, str]) -> int:
         return kind
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         words = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w}
-        rest = words - NEUTRAL_WORDS
-        if not rest or not rest <= LAYOUT_WORDS | FOREIGN_WORDS | COMMENT_WORDS:
+        rest = words - (NEUTRAL_WORDS - LAYOUT_WORDS)
+        if not rest or not rest <= LAYOUT_WORDS | FOREIGN_WORDS | COMMENT_WORDS | TALK_WORDS:
+            continue
+        if words & OWN_WORDS and rest <= TOP_WORDS:
             continue
         if rest & COMMENT_WORDS:
             return HARD
@@ -119,6 +138,7 @@ class Page:
         self.pieces: list[tuple[int, str | None]] = []
         self._read(source)
         self.noise = self._judged()
+        self.scores = self._scored()
 
     def _read(self, source: str) -> None:
         stack, places, at, end = [0], {}, 0, len(source)  # places: of each open tag, where it stands in the stack
@@ -214,7 +234,7 @@ class Page:
             noise[k] = noise[self.parent[k]] or self.kind[k] == HARD or (self.kind[k] != PLAIN and not spared)
         return noise
 
-    def scores(self) -> dict[int, float]:
+    def _scored(self) -> dict[int, float]:
         """Containers by the text of their blocks: whole for the nearest, half for the next one, links against it."""
         out: dict[int, float] = {}
         for k, text in self.pieces:
@@ -230,7 +250,7 @@ class Page:
         return {k: v * (1.5 if self.tag[k] in ("article", "main") else 1.0) for k, v in out.items()}
 
     def best(self) -> tuple[str, float]:
-        scores = self.scores()
+        scores = self.scores
         if not scores:
             return "", 0.0
         k = max(scores, key=lambda k: (scores[k], -k))
@@ -240,23 +260,78 @@ class Page:
         """The first of the paths that has a fair share of the page's best score, or the path of its best container."""
         own, most = self.best()
         of: dict[str, float] = {}
-        for k, score in self.scores().items():
+        for k, score in self.scores.items():
             of[self.path[k]] = of.get(self.path[k], 0.0) + score
         return next((p for p in paths if of.get(p, 0.0) > 0 and of[p] >= FAIR * most), own)
 
-    def text(self, path: str) -> str:
-        """The text under the outermost elements with that path, without noise."""
-        inside = [self.path[0] == path] * len(self.tag)
+    def _beside(self, tops: list[int]) -> list[bool]:
+        """Which containers hold prose beside the winning ones: their parents' own text, and their siblings with all that is in them."""
+        n = len(self.tag)
+        up = [self.holder[self.parent[k]] if k and self.holder[k] == k else self.holder[k] for k in range(n)]  # the container around a container
+        first: dict[int, int] = {}  # of each parent container the last place up to which text counts
+        for k in tops:
+            if k:
+                early = self.tag[k] in ("article", "main")
+                first[up[k]] = max(first.get(up[k], 0), k if early else n)
+        out = [False] * n
+        if not first:
+            return out
+        group = [-1] * n  # the sibling (or parent) whose prose an element's text belongs to
+        for k in range(n):
+            if k in first:
+                group[k] = k
+            elif self.holder[k] == k:
+                around = up[k]
+                group[k] = k if around in first else group[around] if group[around] != around or around not in first else -1
+            else:
+                group[k] = group[self.holder[k]]
+        title = [t == "h1" for t in self.tag]
+        for k in range(1, n):
+            title[k] = title[k] or title[self.parent[k]]
+        size, linked, prose = [0] * n, [0] * n, [False] * n
+        for k, text in self.pieces:
+            g = group[k]
+            if g < 0 or text is None or self.noise[k] or not (length := len(text.strip())):
+                continue
+            if g in first and k > first[g] or g not in first and g > first.get(up[g], n):
+                continue
+            size[g] += length
+            linked[g] += length if self.link[k] else 0
+            prose[g] = prose[g] or title[k] or bool(_SENTENCE.search(text))
+            size[g] += LEAST if title[k] else 0
+        for k in range(n):
+            g = group[k]
+            late = g in first and k > first[g] or g >= 0 and g not in first and g > first.get(up[g], n)
+            out[k] = g >= 0 and not late and prose[g] and size[g] >= LEAST and linked[g] <= LINKS * size[g]
+        return out
+
+    def blocks(self, path: str) -> list[str]:
+        """The blocks under the outermost elements with that path and of the prose beside them, without noise."""
+        inside, tops = [self.path[0] == path] * len(self.tag), []
         for k in range(1, len(self.tag)):
-            inside[k] = inside[self.parent[k]] or (self.holder[k] == k and self.path[k] == path)
+            above = inside[self.parent[k]]
+            inside[k] = above or (self.holder[k] == k and self.path[k] == path)
+            if inside[k] and not above and not self.noise[k]:
+                tops.append(k)
+        beside = self._beside(tops)
         blocks: list[list[str]] = [[]]
         for k, text in self.pieces:
             if text is None:
                 if blocks[-1]:
                     blocks.append([])
-            elif inside[k] and not self.noise[k]:
+            elif (inside[k] or beside[k]) and not self.noise[k]:
                 blocks[-1].append(html.unescape(text))
-        return " ".join(b for b in (" ".join("".join(block).split()) for block in blocks) if b)
+        return [b for b in (" ".join("".join(block).split()) for block in blocks) if b]
+
+    def text(self, path: str, repeated: frozenset[int] = frozenset()) -> str:
+        """The blocks joined, without those that the host repeats (unless nothing else is there)."""
+        blocks = self.blocks(path)
+        own = [b for b in blocks if digest(b) not in repeated] if repeated else blocks
+        return " ".join(own or blocks)
+
+
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def host_of(url: str | None) -> str:
@@ -264,22 +339,31 @@ def host_of(url: str | None) -> str:
     return m[1].translate(LOWER_CASE) if m else ""
 
 
+_VOTE = "host string, path string, score double, page long, blocks array<long>"
+_VOTE_KINDS = [pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
+
+
 def _vote(batches):
     for batch in batches:
-        hosts, paths, scores = [], [], []
+        rows = []
         urls = batch.column(0).to_pylist()
         for url, source in zip(urls, column(batch, "_html").to_pylist(), strict=True):
-            path, score = Page(source).best()
+            page = Page(source)
+            path, score = page.best()
             if score > 0:
-                hosts.append(host_of(url))
-                paths.append(path)
-                scores.append(score)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], ["host", "path", "score"])
+                blocks = page.blocks(path)
+                rows.append((host_of(url), path, score, digest("\n".join(blocks)), list({digest(b) for b in blocks})))
+        cells = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, _VOTE_KINDS, strict=True)], [x.split()[0] for x in _VOTE.split(", ")])
+
 
+def votes_of(pages: DataFrame) -> DataFrame:
+    """host, path, score, page (digest of its text), blocks (digests) of the pages (url, html) that have a best container."""
+    return checkpoint(map_arrow(pages.select("url", F.col("html").alias("_html")), _vote, _VOTE))
 
-def host_paths(pages: DataFrame, share: float = LEADING) -> DataFrame:
+
+def host_paths(votes: DataFrame, share: float = LEADING) -> DataFrame:
     """host, paths: those that at least `share` of a host's voting pages chose, the leading ones first."""
-    votes = map_arrow(pages.select("url", F.col("html").alias("_html")), _vote, "host string, path string, score double")
     counted = checkpoint(votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.log1p("score")).alias("weight")))
     all_of = counted.groupBy(F.col("host").alias("_host")).agg(F.sum("n").alias("all"))
     led = counted.join(all_of, F.col("host") == F.col("_host")).where(F.col("n") >= F.lit(share) * F.col("all"))
@@ -287,12 +371,23 @@ def host_paths(pages: DataFrame, share: float = LEADING) -> DataFrame:
     return led.groupBy("host").agg(F.transform(leading, lambda x: x["path"]).alias("paths"))
 
 
+def host_repeats(votes: DataFrame) -> DataFrame:
+    """host, repeated: the blocks of at least REPEATED of a host's different pages, if it has MANY; at most 1 / REPEATED times the blocks of a page.
+
+    Pages of equal text are one page, so that copies don't make their own text repeated.
+    """
+    pages = votes.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= MANY)
+    once = votes.dropDuplicates(["host", "page"]).join(pages, "host").select("host", "pages", F.explode("blocks").alias("block"))
+    often = once.groupBy("host", "block").agg(F.count("*").alias("n"), F.first("pages").alias("pages")).where(F.col("n") >= REPEATED * F.col("pages"))
+    return often.groupBy("host").agg(F.collect_list("block").alias("repeated"))
+
+
 def _extract(batches):
     for batch in batches:
         texts = []
-        for source, paths in zip(column(batch, "_html").to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for source, paths, repeated in zip(column(batch, "_html").to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
             page = Page(source)
-            texts.append(page.text(page.chosen(paths or [])))
+            texts.append(page.text(page.chosen(paths or []), frozenset(repeated or [])))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             ["page_id", "url", "text", "n_chars"],
@@ -301,11 +396,12 @@ def _extract(batches):
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points)."""
-    paths = checkpoint(host_paths(pages))
-    side = paths.select(F.col("host").alias("_host"), "paths")
+    votes = votes_of(pages)
+    paths = checkpoint(host_paths(votes).join(host_repeats(votes), "host", "left"))
+    side = paths.select(F.col("host").alias("_host"), "paths", "repeated")
     if paths.count() <= BROADCAST_PATHS:
         side = F.broadcast(side)
     host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1), UPPER, LOWER)
     rows = pages.select("page_id", "url", F.col("html").alias("_html"), host.alias("_own"))
-    joined = rows.join(side, F.col("_own") == F.col("_host"), "left").select("page_id", "url", "_html", "paths")
+    joined = rows.join(side, F.col("_own") == F.col("_host"), "left").select("page_id", "url", "_html", "paths", "repeated")
     return map_arrow(joined, _extract, "page_id long, url string, text string, n_chars long")

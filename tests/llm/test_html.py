@@ -70,6 +70,54 @@ def test_wrappers_keep_the_text(page):
     assert read.text(read.best()[0]) == STORY.strip()
 
 
+def sentences(name, n):
+    return "".join(f"<p>The {name} has sentence number {k} of some length in it.</p>" for k in range(n))
+
+
+def words_of(markup):
+    return " ".join(re.sub("<[^>]*>", " ", markup).split())
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='lead'>{sentences('lead', 3)}</div><div class='body'>{sentences('body', 8)}</div>",
+        f"<div class='a1'>{sentences('first', 2)}</div><div class='b'>{sentences('second', 9)}</div><div class='c'>{sentences('third', 2)}</div>",
+        f"<main>{sentences('teaser', 2)}<article>{sentences('story', 9)}</article></main>",
+        f"<div class='intro'>{sentences('intro', 2)}</div><article>{sentences('story', 9)}</article>",
+        f"<main><div class='summary'>{sentences('summary', 1)}</div><div class='text'>{sentences('text', 5)}</div></main>",
+        f"<div class='post'><div class='post-header'><h1>Title here</h1></div><div class='x'>{sentences('text', 5)}</div></div>",
+    ],
+)
+def test_prose_beside_the_winner_stays(page):
+    read = html.Page(f"<html><body><nav>menu</nav><div class='box'><a href='/'>A link. And more of it, as long as prose.</a></div>{page}<footer>no</footer></body></html>")
+    assert read.text(read.best()[0]) == words_of(page)
+
+
+LEAKING = "user-comments post-comments article-comments reader-comments fb-comments comment-thread related-posts related-articles share-buttons google-ads newsletter-signup cookie-consent-message gdpr-banner post-navigation entry-footer comments-area comment-list sharing-buttons social-links sponsored-post cookie-notice"
+
+
+@pytest.mark.parametrize("name", LEAKING.split())
+def test_noise_inside_the_article_goes(name):
+    read = html.Page(f"<body><article>{sentences('story', 5)}<div class='{name}'><p>This is no part of it at all. It goes.</p></div></article></body>")
+    assert read.text(read.best()[0]) == words_of(sentences("story", 5))
+
+
+def test_a_discussion_longer_than_the_story_goes():
+    talk = "".join(f"<div class='entry'>{sentences(f'reader {k}', 3)}</div>" for k in range(9))
+    read = html.Page(f"<body><div class='story'>{sentences('story', 4)}</div><div class='discussion'>{talk}</div></body>")
+    assert read.text(read.best()[0]) == words_of(sentences("story", 4))
+
+
+def test_blocks_that_a_host_repeats_go(spark):
+    """No name tells that the box is none of the story; copies of one page don't make its text repeated."""
+    page = lambda k: f"<body><article>{sentences(f'story {k}', 4)}<div class='q7'>Read our magazine every week. It is free.</div></article></body>"
+    rows = [(k, "https://h.test/", page(k)) for k in range(10)] + [(k, "https://g.test/", page(77)) for k in range(10, 30)] + [(30, "https://h.test/", "<body><p>Read our magazine every week. It is free.</p></body>")]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert all(got[k] == words_of(sentences(f"story {k}", 4)) for k in range(10))
+    assert all(got[k] == words_of(page(77)) for k in range(10, 30)) and got[30] == "Read our magazine every week. It is free."
+
+
 def test_noise_alone_is_no_text():
     read = html.Page("<body><nav>menu</nav><div class='ad'><div>Buy this now, it is cheap.</div></div><div class='comments'><div class='text'>Nice!</div></div></body>")
     assert read.text(read.best()[0]) == ""
