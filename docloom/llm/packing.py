@@ -17,6 +17,7 @@ id and the text are read, whatever other columns are called.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -24,6 +25,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from docloom.llm.common import checkpoint, map_arrow
 
 CAPACITY, END = 4096, 1
 BROADCAST_COUNTS = 500_000  # rows of piece counts by length and part
-CACHE_WORDS, CACHE_LENGTH = 200_000, 64  # words that are remembered, of how many characters at most
+CACHE_WORDS, CACHE_LENGTH = 300_000, 64  # words that are remembered, of how many characters at most
 LATIN_END = 0x300  # below it nothing composes, so NFC changes nothing
 
 
@@ -47,21 +49,40 @@ def _class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(LATIN_END) if unicodedata.category(chr(c))[0] == kind)
 
 
+#: How the vocabulary file says that texts are split.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _plain_steps(spec: dict):
+    """The tokenizer of a vocabulary file (its JSON) for pretokens between spaces, or None if it doesn't split texts by SPLIT."""
+    from tokenizers import Tokenizer
+
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+    if kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"] or steps[0]["pattern"].get("Regex") != SPLIT:
+        return None
+    spec = spec | {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, steps[1]]}}
+    return Tokenizer.from_str(json.dumps(spec))
+
+
 class WordEncoder:
     """Token ids of texts; each distinct word is encoded once and remembered.
 
     The tokenizer lower-cases, drops white space and encodes each pretoken by
     itself, so a text's ids are those of its pretokens, one after the other. For
     texts of Latin script, which normalisation leaves alone, the pretokens are
-    cut here; other texts, and those where a special token may stand, go to the
-    tokenizer whole. Two generations of words are held, so memory is bounded and
-    frequent words stay.
+    cut here, and new ones are encoded by the same merges without the steps that are
+    done already; other texts, those where a special token may stand, and all texts
+    if the file splits in another way, go to the tokenizer whole. Two generations of
+    words are held, so memory is bounded and frequent words stay.
     """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        with open(path, encoding="utf-8") as f:
+            self._words = _plain_steps(json.load(f))
         vocabulary = self.tokenizer.get_vocab()
         self._last = np.zeros(max(vocabulary.values()) + 1, bool)
         self._last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -74,7 +95,7 @@ class WordEncoder:
 
     def _whole(self, text: str) -> list[str] | None:
         """The pretokens of a text of Latin script; None for others."""
-        if "<|" in text:
+        if "<|" in text or self._words is None:
             return None
         low = text.lower()
         if low.isascii():
@@ -95,7 +116,7 @@ class WordEncoder:
                 new.append(w)
         if not new:
             return True
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self._words.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self._last[ids]) + 1
         if len(ends) != len(new):
             return False
@@ -120,9 +141,11 @@ class WordEncoder:
             if not self._learn(fresh):
                 yield from map(self._plain, own)
                 continue
-            get = self._young.__getitem__
             for text, c in zip(own, cut, strict=True):
-                yield b"".join(map(get, c)) if c is not None else self._plain(text)
+                if c is None:
+                    yield self._plain(text)
+                else:
+                    yield b"".join(itemgetter(*c)(self._young)) if len(c) > 1 else b"".join(map(self._young.get, c))
             for w in fresh:
                 if len(w) > CACHE_LENGTH:
                     del self._young[w]

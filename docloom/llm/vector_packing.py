@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.arrowtext import column
 from docloom.llm.common import checkpoint, map_arrow
-from docloom.llm.packing import CACHE_WORDS, END, encoder
+from docloom.llm.packing import END, encoder
 
 TOKENS, SEGMENTS = 2048, 256
 LEAST_PIECE = 16  # tokens of a piece that is cut off and doesn't fill its sequence
@@ -313,7 +313,7 @@ def pack_documents(docs: DataFrame, path: str, tokens: int = TOKENS, segments: i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        own = encoder(path, CACHE_WORDS // 2)
+        own = encoder(path)
         for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(column(batch, "text").to_pylist()), strict=True):
             data = np.frombuffer(ids + tail, np.uint32)
             yield Example(doc_id, 0, len(data), data, None)
@@ -335,7 +335,7 @@ def pack_conversations(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        own = encoder(path, CACHE_WORDS // 2)
+        own = encoder(path)
         for conv_id, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids = [x + tail for x in own.encode([t["text"] or "" for t in said])]
             mask = np.repeat(np.array([t["role"] == answering for t in said], np.uint8), [len(x) // 4 for x in ids])
