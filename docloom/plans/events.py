@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docloom.operators import events as E
 from docloom.operators.registry import query
 from docloom.plans.fixtures import cte, view
+from docloom.streaming import sessions as P
 
 _W = "PARTITION BY filepath ORDER BY ts, event_id"
 
@@ -120,3 +121,47 @@ def e1_event_counts(spark, d):
 @query("SELECT event_id, event_type, ts FROM events ORDER BY event_id DESC LIMIT 20")
 def g5_recent_events(spark, d):
     return view(spark, d, "events").orderBy(F.desc("event_id")).limit(20).select("event_id", "event_type", "ts")
+
+
+_ANSWERS = "('local_change', 'sync_approved', 'sync_rejected')"
+
+
+@query(
+    cte("fx_messages")
+    + f""", m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS n FROM fx_messages) WHERE n = seq),
+    a AS (SELECT *, lag(type) OVER w = 'local_change' AS waits, lag(change) OVER w AS asked FROM m WHERE type IN {_ANSWERS} WINDOW w AS (PARTITION BY session, filepath ORDER BY seq)),
+    b AS (SELECT m.*, coalesce(waits, false) AS waits, asked,
+                 coalesce(last_value(CASE m.type WHEN 'delta' THEN true WHEN 'delete' THEN false WHEN 'local_change' THEN m.change <> 'deleted' END IGNORE NULLS) OVER w, false) AS present,
+                 last_value(CASE WHEN m.type IN ('delta', 'delete') THEN {{'c': CASE WHEN m.type = 'delta' THEN m.checksum END}} END IGNORE NULLS) OVER w AS c,
+                 last_value(CASE WHEN m.type IN {_ANSWERS} THEN {{'p': CASE WHEN m.type = 'local_change' THEN m.change END}} END IGNORE NULLS) OVER w AS p,
+                 coalesce(max(CASE WHEN m.type IN ('delta', 'delete') THEN m.mobile END) OVER w, 0) AS clock_mobile
+          FROM m LEFT JOIN a USING (session, seq) WINDOW w AS (PARTITION BY m.session, m.filepath ORDER BY m.seq ROWS UNBOUNDED PRECEDING)),
+    t AS (SELECT *, type = 'sync_approved' AND waits AND asked <> 'deleted' AND present AS ticks FROM b),
+    u AS (SELECT *, sum(ticks::INT) OVER w AS n_ticks FROM t WINDOW w AS (PARTITION BY session, filepath ORDER BY seq ROWS UNBOUNDED PRECEDING))
+    SELECT session, seq, filepath, type, CASE WHEN type IN ('delta', 'delete') THEN 'ack' WHEN type = 'local_change' THEN 'change_pending' WHEN type = 'change_pending' THEN 'sync_approved'
+                WHEN type = 'sync_approved' AND waits THEN CASE WHEN ticks THEN 'delta' ELSE 'delete' END END AS reply,
+           CAST(n_ticks + greatest(0, coalesce(max(CASE WHEN type IN ('delta', 'delete') THEN pc - n_ticks END) OVER w, 0)) AS BIGINT) AS clock_pc, clock_mobile, c.c AS checksum, present, p.p AS pending
+    FROM u WINDOW w AS (PARTITION BY session, filepath ORDER BY seq ROWS UNBOUNDED PRECEDING)"""
+)
+def n11_session_effects(spark, d):
+    """What each message of a sync session does to its file, in order; some sessions wait for a message that is missing."""
+    m = view(spark, d, "fx_messages").withColumn("clock", F.create_map(F.lit("pc"), "pc", F.lit("mobile"), "mobile"))
+    counter = lambda device: F.coalesce(F.try_element_at("clock", F.lit(device)), F.lit(0).cast("long")).alias(f"clock_{device}")
+    return P.effects(m).select("session", "seq", "filepath", "type", "reply", counter("pc"), counter("mobile"), "checksum", "present", "pending")
+
+
+@query(
+    cte("fx_visits")
+    + """, r AS (SELECT *, epoch_us(ts) AS t FROM (SELECT *, lag(event_type) OVER (PARTITION BY session, member ORDER BY ts, event_id) AS before FROM fx_visits)
+                 WHERE event_type = 'join' AND before IS DISTINCT FROM 'join' OR event_type = 'leave' AND before = 'join'),
+    e AS (SELECT *, CASE WHEN event_type = 'leave' THEN CAST(ceil((t + 21600000000) / 3600000000.0) * 3600000000 AS BIGINT) END AS ends FROM r),
+    n AS (SELECT *, lead(t) OVER w AS next, lag(ends) OVER w AS held FROM e WINDOW w AS (PARTITION BY session, member ORDER BY t, event_id)),
+    gone AS (SELECT * FROM n WHERE event_type = 'leave' AND (next IS NULL OR next >= ends)),
+    moves AS (SELECT session, t, 1 AS d FROM n WHERE event_type = 'join' AND (held IS NULL OR t >= held) UNION ALL SELECT session, ends, -1 FROM gone),
+    l AS (SELECT *, sum(d) OVER (PARTITION BY session ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS level FROM moves)
+    SELECT session, member, make_timestamp(ends) AS at, 'expired' AS action FROM gone UNION ALL SELECT session, NULL, make_timestamp(t), 'session_expired' FROM l WHERE level = 0 AND d = -1"""
+)
+def n9_expiries(spark, d):
+    """Places that are kept for six hours and swept every hour, and sessions that a sweep leaves empty."""
+    found = P.expiries(view(spark, d, "fx_visits"), 6 * 3600, 3600)
+    return found.withColumn("at", F.col("at").cast("timestamp_ntz"))

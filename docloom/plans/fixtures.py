@@ -51,6 +51,18 @@ VIEWS = {
                CASE event_type WHEN 'error' THEN 'deleted' WHEN 'signup' THEN 'added' WHEN 'purchase' THEN 'added' ELSE 'modified' END AS event_type,
                md5(CAST(CAST(floor(value / 50) AS BIGINT) AS STRING)) AS checksum
         FROM {events}""",
+    "fx_messages": """
+        SELECT * FROM (
+            SELECT CAST(user_id AS STRING) AS session, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq,
+                   CASE event_type WHEN 'view' THEN 'delta' WHEN 'error' THEN 'delete' WHEN 'click' THEN 'local_change' WHEN 'purchase' THEN 'sync_approved'
+                        ELSE CASE WHEN value > 100 THEN 'sync_rejected' ELSE 'change_pending' END END AS type,
+                   concat('/f', CAST(event_id % 3 AS STRING)) AS filepath, event_id % 5 AS pc, event_id % 7 AS mobile, md5(CAST(event_id AS STRING)) AS checksum,
+                   CASE WHEN event_id % 4 = 0 THEN 'deleted' ELSE 'modified' END AS change
+            FROM {events}) m
+        WHERE NOT (session LIKE '%3' AND seq = 30)""",
+    "fx_visits": """
+        SELECT CAST(user_id % 12 AS STRING) AS session, CAST(user_id AS STRING) AS member, CASE WHEN event_type IN ('view', 'signup') THEN 'join' ELSE 'leave' END AS event_type,
+               ts, event_id FROM {events}""",
     "fx_query_vectors": "SELECT vec_id AS query_id, embedding AS query_embedding FROM {embeddings} WHERE vec_id % 50 = 0",
     "fx_queries": "SELECT item_id AS query_id, text AS query_text FROM {benchmark}",
     "fx_cells_old": """

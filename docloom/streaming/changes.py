@@ -4,7 +4,8 @@ Input streams have the columns event_id, ts (timestamp), filepath, event_type an
 checksum. Steps in event time have a watermark (WATERMARK behind the latest
 event); states that hold a key's last value have a time to live, counted from
 their last change (KEPT or a parameter). So state is bounded by the keys in use,
-not by the history. A file that comes back after that time counts as new.
+not by the history. A file that comes back after that time counts as changed; its
+clock, a number a file, goes on where it was, as other devices compare it.
 """
 
 from __future__ import annotations
@@ -58,23 +59,24 @@ def event_counts(events: DataFrame, width: str = "1 day", watermark: str = WATER
 
 
 class _Checksums(StatefulProcessor):
-    """Holds each file's last checksum and its clock; passes events that change the checksum."""
+    """Holds each file's last checksum, which counts for the time to live, and its clock, which never starts again; passes events that change the checksum."""
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("checksum", StringType()), StructField("tick", LongType())]), self.ttl_ms)
+        self.last = handle.getValueState("last", StructType([StructField("checksum", StringType()), StructField("tick", LongType()), StructField("at", LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        checksum, tick = self.last.get() if self.last.exists() else (None, 0)
-        out = []
+        now = timerValues.getCurrentProcessingTimeInMs()
+        checksum, tick, at = self.last.get() if self.last.exists() else (None, 0, 0)
+        known, out = tick > 0 and now - at <= self.ttl_ms, []
         for e in events.itertuples(index=False):
-            if tick == 0 or e.checksum != checksum:
-                checksum, tick = e.checksum, tick + 1
+            if not known or e.checksum != checksum:
+                known, checksum, tick = True, e.checksum, tick + 1
                 out.append((e.event_id, key[0], e.event_type, tick))
-        self.last.update((checksum, tick))
+        self.last.update((checksum, tick, now))
         yield pd.DataFrame(out, columns=["event_id", "filepath", "event_type", "tick"])
 
     def close(self) -> None:
