@@ -142,6 +142,15 @@ def entropy(text: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
+#: A heading of plain text: a line of at most 80 characters that begins with # or with a capital and a further letter, and has no end of a sentence, comma, colon or semicolon.
+HEADING = "^(#{1,6} .{1,80}|[A-ZÀ-Þ][^.!?,:;]{1,79})$"
+
+
+def headings(text: Column) -> Column:
+    """The headings among all lines of a text."""
+    return F.filter(text_lines(text), lambda x: x.rlike(HEADING))
+
+
 def importance(line: Column, mean_length: Column, h: Column) -> Column:
     """What a line weighs: entropy (h), words, symbols and relative length; encoded blobs little, formulas five times."""
     blob = (F.length(line) > BLOB_LENGTH) & line.rlike("^[A-Za-z0-9+/=]+$")

@@ -43,13 +43,18 @@ def i22_classify_extension(spark, d):
 _MIMES = sorted({t for e in C.EXTENSIONS if (t := mimetypes.guess_type("x" + e)[0])})
 
 
+_KIND_OF = {m: next((c for p, c in C.MIME_RULES if m.startswith(p)), "Documents/General" if m in C.GENERAL_MIMES else None) for m in _MIMES}
+
+
 @query(
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"('{m}', {repr(c) if (c := next((c for p, c in C.MIME_RULES if m.startswith(p)), 'Documents/General' if m in C.GENERAL_MIMES else None)) else 'NULL'})" for m in _MIMES)
-    + ") t(mime, category)"
+    "SELECT p_partkey, mime, category FROM (SELECT p_partkey, [" + ", ".join(f"'{m}'" for m in _MIMES) + f"][p_partkey % {len(_MIMES)} + 1] AS mime FROM part) JOIN (VALUES "
+    + ", ".join(f"('{m}', {repr(c) if c else 'NULL'})" for m, c in _KIND_OF.items())
+    + ") t(mime, category) USING (mime)"
 )
 def i23_classify_mime(spark, d):
-    return spark.createDataFrame([(m,) for m in _MIMES], "mime string").select("mime", C.by_mime(F.col("mime")).alias("category"))
+    """Each part stands for a file of one of the known types."""
+    mime = F.element_at(F.array(*map(F.lit, _MIMES)), (F.col("p_partkey") % len(_MIMES) + 1).cast("int"))
+    return view(spark, d, "part").select("p_partkey", mime.alias("mime")).withColumn("category", C.by_mime(F.col("mime")))
 
 
 _CONTENT = f"coalesce({_rules('substring(text, 1, 1500)', C.CONTENT_RULES)}, {_rules('lower(substring(text, 1, 1500))', C.LATE_WORDS, '')})"
@@ -70,12 +75,21 @@ def i25_classify_cascade(spark, d):
     return rows.select("file_id", C.category(F.col("name"), None, F.col("text")).alias("category"))
 
 
-_ANSWERS = [("Documents/Invoices", 1), ('"archives"', 2), ("I think it is Media/Images.", 3), ("no idea", 4), ("`code`", 5)]
+#: What a model may answer about a turn: a label, a quoted one, a sentence with one in it, the turn itself.
+_LABEL = "['" + "', '".join(C.CATEGORIES) + f"'][CAST((conv_id + turn) % {len(C.CATEGORIES)} AS INT) + 1]"
+_FIRST = "CASE " + " ".join(f"WHEN contains(low, '{c.lower()}') THEN '{c}'" for c in C.CATEGORIES) + " END"
 
 
-@query("SELECT * FROM (VALUES (1, 'Documents/Invoices'), (2, 'Archives'), (3, 'Media/Images'), (4, NULL), (5, 'Code')) t(id, category)")
+@query(
+    f"""SELECT conv_id, turn, coalesce(CASE {" ".join(f"WHEN low = '{c.lower()}' THEN '{c}'" for c in C.CATEGORIES)} END, {_FIRST}) AS category FROM (
+    SELECT conv_id, turn, lower(regexp_replace(trim(answer), '^["''`]+|["''`]+$', '', 'g')) AS low FROM (
+    SELECT conv_id, turn, CASE (conv_id * 3 + turn) % 4 WHEN 0 THEN {_LABEL} WHEN 1 THEN '"' || lower({_LABEL}) || '"' WHEN 2 THEN 'I think that it is ' || {_LABEL} || ', mostly.' ELSE text END AS answer FROM conversations))"""
+)
 def i26_clean_label(spark, d):
-    return spark.createDataFrame(_ANSWERS, "answer string, id int").select("id", C.clean_label(F.col("answer")).alias("category"))
+    label = F.element_at(F.array(*map(F.lit, C.CATEGORIES)), ((F.col("conv_id") + F.col("turn")) % len(C.CATEGORIES) + 1).cast("int"))
+    form = (F.col("conv_id") * 3 + F.col("turn")) % 4
+    answer = F.when(form == 0, label).when(form == 1, F.concat(F.lit('"'), F.lower(label), F.lit('"'))).when(form == 2, F.concat(F.lit("I think that it is "), label, F.lit(", mostly."))).otherwise(F.col("text"))
+    return view(spark, d, "conversations").select("conv_id", "turn", C.clean_label(answer).alias("category"))
 
 
 @query(

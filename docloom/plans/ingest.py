@@ -90,12 +90,16 @@ def k2_refresh_files(spark, d):
 @query(
     _DIFF.replace("WITH fx_files", "WITH fx_files", 1)
     + ", ch AS (" + cte("fx_chunks").split("fx_chunks AS (", 1)[1].rstrip()[:-1] + ")"
-    + " SELECT DISTINCT chunk_id FROM ch JOIN fx_files USING (file_id) JOIN diff USING (path) WHERE status IN ('modified', 'deleted')"
+    + """, hit AS (SELECT chunk_id, file_id, status FROM ch JOIN fx_files USING (file_id) JOIN diff USING (path) WHERE status IN ('modified', 'deleted'))
+    SELECT chunk_id FROM hit UNION SELECT max(chunk_id) + 1 FROM hit WHERE status = 'modified' GROUP BY file_id"""
 )
 def k4_affected_chunks(spark, d):
+    """Modified files have grown by a chunk, deleted ones have none any more."""
     changed = _diff(spark, d).where("status IN ('modified', 'deleted')").join(view(spark, d, "fx_files").select("path", "file_id"), "path")
-    chunks = view(spark, d, "fx_chunks")
-    return I.affected_chunks(chunks, chunks, changed)
+    old = view(spark, d, "fx_chunks").select("chunk_id", "file_id")
+    kept = old.join(changed.where("status = 'deleted'").select("file_id"), "file_id", "left_anti")
+    grown = old.join(changed.where("status = 'modified'").select("file_id"), "file_id", "left_semi").groupBy("file_id").agg((F.max("chunk_id") + 1).alias("chunk_id"))
+    return I.affected_chunks(old, kept.unionByName(grown), changed)
 
 
 @query(

@@ -77,17 +77,19 @@ def d1_hits_with_files(spark, d):
 
 
 _LINES = r"string_split(regexp_replace({0}, '\n$', ''), chr(10))"
+_HEADING = X.HEADING.replace("'", "''")
 
 
 @query(
     cte("fx_versions")
     + f""", p AS (SELECT a.file_id AS key, {_LINES.format("a.content")} AS a, {_LINES.format("b.content")} AS b FROM fx_versions a JOIN fx_versions b ON a.file_id = b.file_id AND a.version = 1 AND b.version = 2 WHERE a.content <> '')
-    SELECT key, array_to_string(list_filter(a[1:3], lambda x: NOT list_contains(b[1:3], x)), '|') AS removed, array_to_string(list_filter(b[1:3], lambda x: NOT list_contains(a[1:3], x)), '|') AS added FROM p"""
+    , h AS (SELECT key, list_filter(a, lambda x: regexp_matches(x, '{_HEADING}')) AS a, list_filter(b, lambda x: regexp_matches(x, '{_HEADING}')) AS b FROM p)
+    SELECT key, array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), '|') AS removed, array_to_string(list_filter(b, lambda x: NOT list_contains(a, x)), '|') AS added FROM h"""
 )
 def d15_heading_difference(spark, d):
-    """The first three lines stand for headings; repeated ones are kept."""
+    """Headings of either version that the other lacks, of all lines; repeated ones are kept."""
     v = view(spark, d, "fx_versions").where("content <> ''")
-    side = lambda n, c: v.where(f"version = {n}").select(F.col("file_id").alias("key"), F.slice(X.text_lines(F.col("content")), 1, 3).alias(c))
+    side = lambda n, c: v.where(f"version = {n}").select(F.col("file_id").alias("key"), X.headings(F.col("content")).alias(c))
     rows = side(1, "a").join(side(2, "b"), "key")
     return rows.select("key", F.array_join(X.missing_from(F.col("a"), F.col("b")), "|").alias("removed"), F.array_join(X.missing_from(F.col("b"), F.col("a")), "|").alias("added"))
 

@@ -258,16 +258,27 @@ def l2_word_diff(spark, d):
     return rows.groupBy("key", "c.type").agg(F.count("*").alias("n"), F.sum("c.words_added").alias("words_added"), F.sum("c.words_removed").alias("words_removed"))
 
 
-_QUESTIONS = [
-    "invoices between jan 2024 and march 2024", "report from 19th june 2025", "june 19, 2025 notes", "28 june 2026", "before march 2024", "after 5 may 2023",
-    "budget 2026-06-28", "28/06/2026 photos", "june 28", "files from june", "contracts in 2023", "yesterday", "last week report", "codec files", "last month", "", "plain words",
-]
+#: A question of each form of the grammar about the date of an order, and one without a date.
+_QUESTION = {
+    "spark": """SELECT o_orderkey, o_orderdate AS d, CASE o_orderkey % 5 WHEN 0 THEN concat('invoices from ', lower(date_format(o_orderdate, 'MMMM')), date_format(o_orderdate, ' yyyy'))
+        WHEN 1 THEN concat('report ', date_format(o_orderdate, 'yyyy-MM-dd')) WHEN 2 THEN concat('contracts in ', date_format(o_orderdate, 'yyyy'))
+        WHEN 3 THEN concat('budget ', date_format(o_orderdate, 'd MMMM yyyy')) ELSE concat('letter ', o_orderpriority) END AS question FROM {orders}""",
+    "sql": """SELECT o_orderkey, o_orderdate AS d, CASE o_orderkey % 5 WHEN 0 THEN concat('invoices from ', lower(strftime(o_orderdate, '%B')), strftime(o_orderdate, ' %Y'))
+        WHEN 1 THEN concat('report ', strftime(o_orderdate, '%Y-%m-%d')) WHEN 2 THEN concat('contracts in ', strftime(o_orderdate, '%Y'))
+        WHEN 3 THEN concat('budget ', strftime(o_orderdate, '%-d %B %Y')) ELSE concat('letter ', o_orderpriority) END AS question FROM orders""",
+}
 
 
-@query()
+@query(
+    "WITH q AS (" + _QUESTION["sql"] + """), u AS (SELECT *, CASE o_orderkey % 5 WHEN 0 THEN 'month' WHEN 2 THEN 'year' WHEN 4 THEN NULL ELSE 'day' END AS unit FROM q)
+    SELECT o_orderkey, question, CASE WHEN unit IS NULL THEN question ELSE split_part(question, ' ', 1) END AS clean_query, unit IS NOT NULL AS badge,
+           CAST(epoch(CASE unit WHEN 'month' THEN date_trunc('month', d) WHEN 'year' THEN date_trunc('year', d) WHEN 'day' THEN d END) AS BIGINT) AS date_from,
+           CAST(epoch(CASE unit WHEN 'month' THEN date_trunc('month', d) + INTERVAL 1 MONTH WHEN 'year' THEN date_trunc('year', d) + INTERVAL 1 YEAR WHEN 'day' THEN d + INTERVAL 1 DAY END) AS BIGINT) - 1 AS date_to
+    FROM u"""
+)
 def i33_date_questions(spark, d):
-    rows = spark.createDataFrame([(q,) for q in _QUESTIONS], "question string")
-    return rows.withColumn("p", D.date_parser(NOW)("question")).select("question", "p.*", D.has_date(F.col("question")).alias("badge"))
+    asked = spark.sql(_QUESTION["spark"], orders=view(spark, d, "orders"))
+    return asked.withColumn("p", D.date_parser(NOW)("question")).select("o_orderkey", "question", "p.*", D.has_date(F.col("question")).alias("badge"))
 
 
 _SHOWN = "list_transform(range(1, len({0}) + 1), lambda i: CAST(to_json({0}[i]) AS VARCHAR) || CASE WHEN i < len({0}) THEN ',' ELSE '' END)"
