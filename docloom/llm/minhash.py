@@ -14,12 +14,19 @@ a shared key, so only keys of two shared sub-keys are formed.
 2. Buckets whose members are of one component are settled. The others are taken
    together by their sub-key of the first collection. Where up to SMALL classes
    have it, the pairs of different components are estimated and confirmed.
-3. Where more have it, a task gets the full sets of all of them (or of two parts
-   of them, see `_cells`) and finds every pair of different components that is
-   similar enough, exactly: a pair must share one of the shingles that are rarest
-   among those sets, as many as could be missing from the other set and one more,
-   so texts that share a frequent passage only are never counted against each
-   other. A link that joins two components is emitted, the others are implied.
+3. Where up to PART have it, a task gets the full sets of all of them and finds every
+   pair of different components that is similar enough, exactly: a pair must share
+   one of the shingles that are rarest among those sets, as many as could be missing
+   from the other set and one more, so texts that share a frequent passage only are
+   never counted against each other. A link that joins two components is emitted,
+   the others are implied.
+4. All larger groups are one pool, filtered by the same rule: shingles are counted
+   over the pool, each class sends its id to its rarest ones, and classes of
+   different components that meet there are estimated and confirmed. A set is read
+   once for the counts and once for the rare shingles and travels with its
+   links only, so all rows between the steps are in proportion to the pool, unless
+   sets are made of frequent shingles throughout: where more than MEET classes have
+   such a one among their rarest, sketches are compared in tasks, in parts of BLOCK.
 
 So of two texts that share a bucket, none is left out. Components come from a
 union-find over the links, or from alternating star steps.
@@ -47,12 +54,15 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType
 
 from docloom.llm.arrowtext import Words, column, grams, mix, parts, raw
-from docloom.llm.common import Tables, components, map_arrow, written
+from docloom.llm.common import Tables, checkpoint, components, map_arrow, written
 
 BROADCAST_IDS = 1_000_000
 BROADCAST_SETS = 8 << 20  # bytes
 SMALL = 16  # classes with a sub-key whose pairs are formed one by one
-PART, PART_SHINGLES = 2048, 1 << 21  # classes and shingles of one side of a cell
+PART, PART_SHINGLES = 2048, 1 << 21  # classes and shingles that one task compares
+COMMON = 16  # classes with a shingle that is counted as frequent
+MOST_COMMON = 1_000_000  # frequent shingles that go to every task
+MEET, BLOCK = 64, 8192  # classes at a rare shingle whose pairs are formed one by one; sketches of one side of a block
 
 
 @dataclass(frozen=True)
@@ -242,9 +252,9 @@ def _forest(s: Settings):
         cell = cell.combine_chunks().sort_by("node")
         node, out = cell.column("node"), []
         sets = _Cell([_set(x) for x in cell.column("codes")], s.percent)
-        root, side, size = np.unique(cell.column("root").to_numpy(), return_inverse=True)[1], cell.column("side").to_numpy(), sets.size
+        root, size = np.unique(cell.column("root").to_numpy(), return_inverse=True)[1], sets.size
         for i in range(len(size) - 1):
-            fit = (root != root[i]) & ((side < 0) | (side != side[i])) & (100 * np.minimum(size, size[i]) >= s.percent * np.maximum(size, size[i]))
+            fit = (root != root[i]) & (100 * np.minimum(size, size[i]) >= s.percent * np.maximum(size, size[i]))
             fit[: i + 1] = False
             rows = np.flatnonzero(fit & sets.later(i)) if fit.any() else []
             if not len(rows):
@@ -326,13 +336,23 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, s: Settings, he
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Sets of up to BROADCAST_SETS bytes are broadcast, others shuffled."""
+    """The pairs (a, b) whose full sets are similar enough. Sets of up to BROADCAST_SETS bytes are broadcast.
+
+    Others are shuffled: first the set of the end with fewer pairs joins its pair,
+    then that of the end with more, so a centre's set isn't sent once for each of its members.
+    """
     size = sets.agg(F.count("*").alias("n"), F.sum(F.octet_length("codes")).alias("bytes")).first()
-    small = (size["bytes"] or 0) <= BROADCAST_SETS and size["n"] <= BROADCAST_IDS
     one, two = (sets.select(F.col("node").alias(n), F.col("codes").alias(f"c{n}")) for n in "ab")
-    if small:
+    if (size["bytes"] or 0) <= BROADCAST_SETS and size["n"] <= BROADCAST_IDS:
         one, two = F.broadcast(one), F.broadcast(two)
-    return map_arrow(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ca", "cb"), _confirm(s), "a binary, b binary")
+        pairs = pairs.select("a", "b")
+    else:
+        degree = _ends(pairs).groupBy("node").agg(F.count("*").alias("n"))
+        known = pairs.select("a", "b").join(degree.toDF("a", "na"), "a").join(degree.toDF("b", "nb"), "b")
+        swap = F.col("na") > F.col("nb")
+        pairs = known.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+    found = map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "ca", "cb"), _confirm(s), "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _open_groups(shared: DataFrame, roots: DataFrame, held: Tables) -> tuple[DataFrame, DataFrame]:
@@ -361,28 +381,100 @@ def _small_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _cells(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """(cell, node, root, side): the members of each larger group, in cells of at most two parts.
+    """(cell, node, root): the members of each group that one task can compare."""
+    own = groups.where((F.col("n") > SMALL) & (F.col("n") <= PART) & (F.col("w") <= PART_SHINGLES)).select("_first")
+    return members.join(own, F.col("first") == F.col("_first"), "left_semi").select(F.col("first").alias("cell"), "node", "root")
+
+
+def _pool(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, root, n_shingles) of the members of all larger groups, each once."""
+    own = groups.where((F.col("n") > SMALL) & ((F.col("n") > PART) | (F.col("w") > PART_SHINGLES))).select("_first")
+    return members.join(own, F.col("first") == F.col("_first"), "left_semi").select("node", "root", "n_shingles").dropDuplicates(["node"])
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that more than COMMON sets have, at most MOST_COMMON of them (the most frequent), sorted, and their counts."""
+
+    def each(batches):
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_set(x).view(np.int64))], ["code"])
+
+    counts = checkpoint(map_arrow(sets.select("codes"), each, "code long").groupBy("code").count().where(F.col("count") > COMMON))
+    least = COMMON
+    while counts.where(F.col("count") > least).count() > MOST_COMMON:
+        least *= 2
+    found = counts.where(F.col("count") > least).toArrow()
+    codes, n = found["code"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(codes)
+    return codes[order], n[order]
+
 
-    A group of more than a part (PART classes, PART_SHINGLES shingles) is dealt into
-    parts: those of its largest component, which needn't meet each other, and
-    those of the others, which meet all. Members of one part in a cell of two have
-    met in a cell of their own, which `side` tells.
+def _leads(pool: DataFrame, sets: DataFrame, common: tuple[np.ndarray, np.ndarray], s: Settings) -> DataFrame:
+    """(code, node, root, n_shingles): each class at its rarest shingles, of which a set that is similar enough has one.
+
+    All sets order shingles alike: by their count where they are frequent, others first, then by their code.
     """
-    most = {"n": F.col("most.n"), "w": F.col("most.w")}
-    large = groups.where(F.col("n") > SMALL).select("_first", "n", "w", *[x.alias(f"most_{k}") for k, x in most.items()], F.col("most.root").alias("most"))
-    parts_of = lambda n, w: F.greatest(F.lit(1), F.ceil(n / F.lit(float(PART))), F.ceil(w / F.lit(float(PART_SHINGLES)))).cast("int")
-    one = (F.col("n") <= PART) & (F.col("w") <= PART_SHINGLES)
-    others, inner = parts_of(F.col("n") - F.col("most_n"), F.col("w") - F.col("most_w")), parts_of(F.col("most_n"), F.col("most_w"))
-    place = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
-    inside = F.col("root") == F.col("most")
-    part = F.when(inside, others + place(inner)).otherwise(place(others))
-    met = F.sequence(F.lit(0), F.when(inside, others).otherwise(others + inner) - 1)
-    cell = F.when(one, F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(
-        F.transform(met, lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
-    )
-    dealt = members.join(large, F.col("first") == F.col("_first")).withColumn("part", part).select("first", "node", "root", "part", F.explode(cell).alias("cell"))
-    side = F.when(F.col("cell.i") == F.col("cell.j"), -1).otherwise(F.col("part"))
-    return dealt.select(F.struct("first", "cell.i", "cell.j").alias("cell"), "node", "root", side.alias("side"))
+    codes, n = common
+
+    def run(batches):
+        for batch in batches:
+            found, rows = [], []
+            for k, x in enumerate(batch.column(3)):
+                own = _set(x)
+                lead = len(own) - -(-s.percent * len(own) // 100) + 1
+                at = np.minimum(np.searchsorted(codes, own), max(0, len(codes) - 1))
+                count = np.where(codes[at] == own, n[at], 0) if len(codes) else np.zeros(len(own), np.int64)
+                found.append(own[np.lexsort((own, count))[:lead]].view(np.int64))
+                rows.append(np.full(lead, k))
+            row = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            arrays = [pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), *(batch.column(c).take(row) for c in range(3))]
+            yield pa.RecordBatch.from_arrays(arrays, ["code", "node", "root", "n_shingles"])
+
+    return map_arrow(pool.join(sets, "node").select("node", "root", "n_shingles", "codes"), run, "code long, node binary, root long, n_shingles long")
+
+
+def _sketched(s: Settings):
+    """Pairs of a block's rows (of one side and the other) whose components differ and whose sizes and sketches allow the similarity."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("node")
+        sketch = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table["sketch"]])
+        root, size, side = (table[c].to_numpy() for c in ("root", "n_shingles", "side"))
+        out = [np.zeros((0, 2), np.int64)]
+        for i in range(len(root) - 1):
+            fit = (root[i + 1 :] != root[i]) & ((side[i + 1 :] < 0) | (side[i + 1 :] != side[i]))
+            fit &= 100 * np.minimum(size[i + 1 :], size[i]) >= s.percent * np.maximum(size[i + 1 :], size[i])
+            rows = i + 1 + np.flatnonzero(fit)
+            rows = rows[(sketch[rows] == sketch[i]).mean(axis=1) >= s.percent / 100 - s.slack]
+            out.append(np.stack([np.full(len(rows), i), rows], 1))
+        pairs = np.concatenate(out)
+        return pa.table({"a": table["node"].take(pairs[:, 0]), "b": table["node"].take(pairs[:, 1])})
+
+    return run
+
+
+def _pool_pairs(pool: DataFrame, sets: DataFrame, members: DataFrame, s: Settings, held: Tables) -> DataFrame:
+    """Distinct pairs (a, b) of different components of the pool that share one of their rarest shingles and may be similar enough."""
+    leads = held.put(_leads(pool, sets, _frequent(pool.select("node").join(sets, "node")), s))
+    spread = [F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("q")]
+    met = leads.groupBy(F.col("code").alias("_code")).agg(*spread).where("n > 1 AND r <> q").select("_code", "n")
+    own = held.put(leads.join(met, F.col("code") == F.col("_code")).drop("_code"))
+    few = own.where(F.col("n") <= MEET)
+    one = few.select("code", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
+    two = few.select("code", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
+    fit = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= s.percent * F.greatest("na", "nb"))
+    pairs = _likely(one.join(two, "code").where(fit).select("a", "b").distinct(), members, s).select("a", "b")
+    many = own.where(F.col("n") > MEET)
+    if many.isEmpty():
+        return pairs
+    parts = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
+    part = F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.struct(F.least(part, q).alias("i"), F.greatest(part, q).alias("j")))
+    dealt = many.join(members.select("node", "sketch"), "node").select("code", "node", "root", "n_shingles", "sketch", part.alias("part"), F.explode(blocks).alias("block"))
+    side = F.when(F.col("block.i") == F.col("block.j"), -1).otherwise(F.col("part"))
+    rows = dealt.select("code", "block.i", "block.j", "node", "root", "n_shingles", "sketch", side.alias("side"))
+    return pairs.union(rows.groupBy("code", "i", "j").applyInArrow(_sketched(s), "a binary, b binary")).distinct()
 
 
 def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -403,8 +495,11 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
         of_open, groups = _open_groups(shared, roots, held)
         fresh = held.put(_likely(_small_pairs(of_open, groups).join(tested, ["a", "b"], "left_anti"), members, s))
-        cells = held.put(_cells(of_open, groups))
-        sets = _sets(docs, classes, _ends(fresh).union(cells.select("node")), s, held)
+        cells, pool = held.put(_cells(of_open, groups)), held.put(_pool(of_open, groups))
+        sets = _sets(docs, classes, _ends(fresh).union(cells.select("node")).union(pool.select("node")), s, held)
+        if not pool.isEmpty():
+            met = _pool_pairs(pool, sets, members, s, held).join(tested, ["a", "b"], "left_anti")
+            fresh = held.put(fresh.select("a", "b").union(met).distinct())
         few = _confirmed(fresh, sets, s)
         many = cells.join(sets, "node").groupBy("cell").applyInArrow(_forest(s), "a binary, b binary")
         links = held.put(links.union(few).union(many))

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docloom.llm import exact_dedup, minhash
-from docloom.llm.common import components
+from docloom.llm.common import Tables, components
 from docloom.llm.queries import op5_exact_dedup, op9_minhash_near_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -170,7 +170,7 @@ def test_few_links_inside_crowded_buckets(spark):
     assert linked(docs) == pairs
 
 
-@pytest.mark.parametrize("limit", [{"PART": 50}, {"PART_SHINGLES": 9000}, {"SMALL": 0}, {"SMALL": 10**6}])
+@pytest.mark.parametrize("limit", [{"PART": 50}, {"PART_SHINGLES": 9000}, {"SMALL": 0}, {"SMALL": 10**6}, {"PART": 50, "MEET": 2}, {"PART": 50, "MEET": 2, "BLOCK": 40}, {"PART": 50, "MOST_COMMON": 3}])
 def test_links_across_the_parts_of_a_bucket(spark, monkeypatch, limit):
     for name, value in limit.items():
         monkeypatch.setattr(minhash, name, value)
@@ -186,6 +186,24 @@ def test_many_pairs_under_one_passage(spark):
     assert time.monotonic() - began < 60
 
 
+def test_rows_between_the_steps_are_linear_in_a_group(spark, monkeypatch):
+    """Unlike texts that share a passage, all components of their own, and a few near copies among them: rows and bytes of every step."""
+    monkeypatch.setattr(minhash, "PART", 500)
+    rows = {}
+    put = Tables.put
+
+    def counted(self, df):
+        held = put(self, df)
+        rows[n] = rows.get(n, 0) + held.count()
+        return held
+
+    monkeypatch.setattr(Tables, "put", counted)
+    for n in (2_000, 8_000, 32_000):
+        docs, pairs = crowded(spark, n, 20, 30, 12, [11])
+        assert linked(docs) == pairs
+    assert rows[8_000] < 4.6 * rows[2_000] and rows[32_000] < 4.6 * rows[8_000]
+
+
 @pytest.mark.parametrize("percent", [1, 80, 85, 100])
 def test_cells_against_all_pairs(percent):
     """The links of a cell join what all its pairs at the threshold join, and only those."""
@@ -201,14 +219,14 @@ def test_cells_against_all_pairs(percent):
             for _ in range(rng.randrange(1 + words // 6)):
                 base[rng.randrange(words)] = rng.randrange(10**6)
             sets.append(np.unique(np.array(base[: rng.choice([words, words, max(1, words - 3)])], np.uint64)))
-        side, root = [rng.choice([-1, 0, 1]) for _ in sets], [rng.randrange(n) for _ in sets]
-        cell = pa.table({"node": pa.array([k.to_bytes(4) for k in range(n)]), "root": root, "side": side, "codes": [x.tobytes() for x in sets]})
+        root = [rng.randrange(n) for _ in sets]
+        cell = pa.table({"node": pa.array([k.to_bytes(4) for k in range(n)]), "root": root, "codes": [x.tobytes() for x in sets]})
         links = minhash._forest(minhash.Settings(3, percent))(cell)
         links = [(int.from_bytes(a), int.from_bytes(b)) for a, b in zip(*(links.column(c).to_pylist() for c in "ab"), strict=True)]
         alike = {
             (i, j)
             for i, j in itertools.combinations(range(n), 2)
-            if root[i] != root[j] and (side[i] < 0 or side[i] != side[j])
+            if root[i] != root[j]
             and 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= percent * (len(sets[i]) + len(sets[j]) - both)
         }
         assert set(links) <= alike
