@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import classifier, exact_dedup, minhash, mixing, packing
-from docloom.llm.common import table, written
+from docloom.llm.common import removed, table, written
 from docloom.llm.queries import vocabulary
 
 
@@ -65,7 +65,9 @@ ORACLE_SQL = None  # model scores and tokenisation can't be expressed in SQL
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, name)
+            made = written(made, name)
+            removed(docs)  # the stage before is in the table that stands now
+        docs = made
     return docs

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+import weakref
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -169,8 +171,19 @@ class Tables:
         _delete(self.spark, self.path)
 
 
+_REMOVAL: weakref.WeakKeyDictionary[DataFrame, Callable[[], None]] = weakref.WeakKeyDictionary()
+
+
+def removed(df: DataFrame) -> None:
+    """Removes the table of a frame that `written` gave; for others nothing."""
+    remove = _REMOVAL.pop(df, None)
+    if remove is not None:
+        remove()
+        atexit.unregister(remove)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again; removed when Python ends, if the session still runs."""
+    """df as a Parquet table in the shared folder, read again; removed by `removed`, or when Python ends, if the session still runs."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     with _small_batches(spark):
@@ -181,7 +194,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
             _delete(spark, path)
 
     atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    _REMOVAL[held] = remove
+    return held
 
 
 def pieces(batch: pa.RecordBatch):
