@@ -13,10 +13,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from docloom.functions.classify import sensitive
 
@@ -126,20 +127,46 @@ def text_lines(text: Column) -> Column:
     return F.when(value == "", F.array().cast("array<string>")).otherwise(cut)
 
 
-@arrow_udf(DoubleType())
-def entropy(text: pa.Array) -> pa.Array:
-    """Bits per character, counted on the text's distinct characters; 0 for null or empty text."""
-    texts = text.fill_null("").to_pylist()
-    length = np.array([len(t) for t in texts], np.int64)
-    out = np.zeros(len(texts))
-    if length.sum():
-        code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
-        row = np.repeat(np.arange(len(texts)), length)
+def _codes(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts (null: empty), the row of each, and the texts' lengths."""
+    text = text.fill_null("")
+    code = np.frombuffer("".join(text.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    length = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+    return code, np.repeat(np.arange(len(text)), length), length
+
+
+def _entropies(code: np.ndarray, row: np.ndarray, length: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(length))
+    if len(code):
         pair, n = np.unique((row << 21) | code, return_counts=True)
-        spent = np.bincount(pair >> 21, n * np.log2(n), minlength=len(texts))
+        spent = np.bincount(pair >> 21, n * np.log2(n), minlength=len(length))
         some = length > 0
         out[some] = np.log2(length[some]) - spent[some] / length[some]
-    return pa.array(out, pa.float64())
+    return out
+
+
+@arrow_udf(DoubleType())
+def entropy(text: pa.Array) -> pa.Array:
+    """Bits per character, counted on the text's distinct characters; 0 for null or empty text."""
+    return pa.array(_entropies(*_codes(text)), pa.float64())
+
+
+_SPACE, _ALNUM, _BLOB = (np.zeros(129, bool) for _ in range(3))  # of ASCII characters; the last place stands for all others
+_SPACE[[ord(c) for c in " \t\n\x0b\f\r"]] = True
+_ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
+_BLOB[[c for c in range(128) if chr(c).isalnum() or chr(c) in "+/="]] = True
+
+
+@arrow_udf(StructType([StructField("h", DoubleType()), StructField("marks", LongType()), StructField("blob", BooleanType())]))
+def line_facts(text: pa.Array) -> pa.Array:
+    """Of each line its entropy, its words and symbols together, and whether it is an encoded blob; all from one pass over the characters."""
+    code, row, length = _codes(text)
+    kind, n = np.minimum(code, 128), len(length)
+    space = _SPACE[kind]
+    starts = ~space & np.concatenate(([True], space[:-1] | (row[1:] != row[:-1]))) if len(code) else space
+    marks = np.bincount(row[starts], minlength=n) + np.bincount(row[~space & ~_ALNUM[kind]], minlength=n)
+    blob = (length > BLOB_LENGTH) & (np.bincount(row[~_BLOB[kind]], minlength=n) == 0)
+    return pa.StructArray.from_arrays([pa.array(_entropies(code, row, length)), pa.array(marks.astype(np.int64)), pa.array(blob)], ["h", "marks", "blob"])
 
 
 #: A heading of plain text: a line of at most 80 characters that begins with # or with a capital and a further letter, and has no end of a sentence, comma, colon or semicolon.
@@ -151,14 +178,11 @@ def headings(text: Column) -> Column:
     return F.filter(text_lines(text), lambda x: x.rlike(HEADING))
 
 
-def importance(line: Column, mean_length: Column, h: Column) -> Column:
-    """What a line weighs: entropy (h), words, symbols and relative length; encoded blobs little, formulas five times."""
-    blob = (F.length(line) > BLOB_LENGTH) & line.rlike("^[A-Za-z0-9+/=]+$")
-    n_words = F.size(F.filter(F.split(line, r"\s+"), lambda w: w != ""))
-    symbols = F.length(F.regexp_replace(line, r"[a-zA-Z0-9\s]", ""))
-    value = h + n_words + symbols + F.length(line) / F.greatest(mean_length, F.lit(1.0))
+def importance(line: Column, mean_length: Column, facts: Column) -> Column:
+    """What a line weighs, given its `line_facts`: entropy, words, symbols and relative length; encoded blobs little, formulas five times."""
+    value = facts["h"] + facts["marks"] + F.length(line) / F.greatest(mean_length, F.lit(1.0))
     formula = F.when(line.contains('"formula": "='), FORMULA).otherwise(1.0)
-    return F.when(line == "", F.lit(0.0)).when(blob, h * BLOB_SHARE).otherwise(value * formula)
+    return F.when(line == "", F.lit(0.0)).when(facts["blob"], facts["h"] * BLOB_SHARE).otherwise(value * formula)
 
 
 def weigh_lines(pairs: DataFrame) -> DataFrame:
@@ -224,17 +248,16 @@ def _scores(base: DataFrame) -> DataFrame:
     kept = ["key", "total_lines", "n_added", "n_removed", "block_score", "size_score"]
     paired = sized.select(*kept, "mean", F.posexplode_outer(F.arrays_zip("added", "removed")).alias("pos", "z"))
     new, old = F.col("z.added"), F.col("z.removed")
-    paired = paired.withColumns({"_h_new": entropy(new), "_h_old": entropy(old)})
-    ni, oi = importance(new, F.col("mean"), F.col("_h_new")), importance(old, F.col("mean"), F.col("_h_old"))
-    h = F.col("_h_old")
-    factor = reduce(lambda f, d: f.when(h > d[0], d[1]), DELETIONS, F.when(sensitive(old), SENSITIVE_DELETION)).otherwise(OTHER_DELETION)
     alone = new.isNull() & old.isNotNull()
+    paired = paired.withColumns({"_new": line_facts(new), "_old": line_facts(old), "_sensitive": F.coalesce(alone & sensitive(old), F.lit(False))})
+    paired = paired.withColumns({"_ni": importance(new, F.col("mean"), F.col("_new")), "_oi": importance(old, F.col("mean"), F.col("_old"))})
+    ni, oi, h = F.col("_ni"), F.col("_oi"), F.col("_old.h")
+    factor = reduce(lambda f, d: f.when(h > d[0], d[1]), DELETIONS, F.when(F.col("_sensitive"), SENSITIVE_DELETION)).otherwise(OTHER_DELETION)
     rows = paired.withColumns(
         {
             "_modify": F.when(new.isNotNull() & old.isNotNull(), ni + F.when(oi > ni, (oi - ni) * LOST).otherwise(0.0)),
             "_add": F.when(new.isNotNull() & old.isNull(), ni),
             "_delete": F.when(alone, oi * factor),
-            "_sensitive": F.coalesce(alone & sensitive(old), F.lit(False)),
         }
     )
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))

@@ -170,7 +170,7 @@ def i44_entropy(spark, d):
 )
 def i45_line_importance(spark, d):
     lines = view(spark, d, "documents").select("doc_id", F.explode(X.text_lines(F.col("text"))).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.round(F.sum(X.importance(F.col("line"), F.lit(80.0), X.entropy(F.col("line")))), 3).alias("importance"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.round(F.sum(X.importance(F.col("line"), F.lit(80.0), X.line_facts(F.col("line")))), 3).alias("importance"))
 
 
 @query()
