@@ -154,6 +154,53 @@ def _in_table(root: ET.Element, text: str, tables: list) -> bool:
     return any(text == cell for t in tables for r in t for cell in r)
 
 
+#: EXIF tags that a camera or a photo editor writes (maker, model, lens, software), and the one that leads to further tags.
+CAMERA_TAGS, FURTHER_TAGS = frozenset([0x010F, 0x0110, 0xA434, 0x0131]), 0x8769
+PHOTOS = (".jpg", ".jpeg", ".png")
+
+
+def _exif(content: bytes) -> bytes:
+    """The EXIF block of a JPEG or PNG file; empty if there is none."""
+    if content.startswith(b"\xff\xd8"):
+        at = 2
+        while at + 4 <= len(content) and content[at] == 0xFF and content[at + 1] != 0xDA:
+            size = int.from_bytes(content[at + 2 : at + 4], "big")
+            body = content[at + 4 : at + 2 + size]
+            if content[at + 1] == 0xE1 and body.startswith(b"Exif\0\0"):
+                return body[6:]
+            at += 2 + size
+    elif content.startswith(b"\x89PNG\r\n\x1a\n"):
+        at = 8
+        while at + 8 <= len(content):
+            size = int.from_bytes(content[at : at + 4], "big")
+            if content[at + 4 : at + 8] == b"eXIf":
+                return content[at + 8 : at + 8 + size]
+            at += 12 + size
+    return b""
+
+
+def taken_by_camera(content: bytes) -> bool:
+    """Whether an image's EXIF data name a camera, a lens or an editor: such photos are not read for text."""
+    block = _exif(content or b"")
+    order = {b"II": "little", b"MM": "big"}.get(block[:2])
+    if order is None:
+        return False
+    todo, seen = [int.from_bytes(block[4:8], order)], set()
+    while todo:
+        at = todo.pop()
+        if at in seen or at + 2 > len(block):
+            continue
+        seen.add(at)
+        for k in range(int.from_bytes(block[at : at + 2], order)):
+            entry = block[at + 2 + 12 * k : at + 14 + 12 * k]
+            tag = int.from_bytes(entry[:2], order)
+            if len(entry) == 12 and tag in CAMERA_TAGS:
+                return True
+            if len(entry) == 12 and tag == FURTHER_TAGS:
+                todo.append(int.from_bytes(entry[8:12], order))
+    return False
+
+
 def access_reason(error: OSError) -> str:
     """Why a file can't be opened."""
     if isinstance(error, PermissionError) or getattr(error, "winerror", None) == 5:
@@ -175,6 +222,8 @@ def extract(name: str, content: bytes, most: int) -> tuple[str, str | None]:
             text = "\n".join(" ".join(v for _, v in r) for cells in excel(content)["sheets"].values() for _, r in sheet_rows(cells))
         elif ext == ".pptx":
             text = "\n".join("\n".join([*s["shapes"], *(" ".join(r) for t in s["tables"] for r in t)]) for s in slides(content))
+        elif ext in PHOTOS and taken_by_camera(content):
+            text = ""
         elif ext in READERS:
             text = READERS[ext](content)
         else:

@@ -158,3 +158,34 @@ def test_created_time_roots_and_reasons(spark, tmp_path, monkeypatch):
     monkeypatch.setitem(office.READERS, ".pdf", lambda content: content.decode()[5:])  # stands for a PDF library
     assert office.extract("paper.pdf", b"%PDF words of a page", 5) == ("words", None)
     assert json.loads(office.preview("paper.pdf", b"%PDF words"))["text"] == "words"
+
+
+def exif(order, tags, further=()):
+    """An EXIF block with these tags, and with further ones behind the tag that leads to them."""
+    number = lambda x, n: x.to_bytes(n, order)
+    entry = lambda tag, value: number(tag, 2) + number(4, 2) + number(1, 4) + number(value, 4)
+    own = [entry(t, 7) for t in tags]
+    at = 8 + 2 + 12 * (len(own) + bool(further)) + 4
+    if further:
+        own.append(entry(0x8769, at))
+    block = (b"II" if order == "little" else b"MM") + number(42, 2) + number(8, 4) + number(len(own), 2) + b"".join(own) + number(0, 4)
+    return block + (number(len(further), 2) + b"".join(entry(t, 7) for t in further) + number(0, 4) if further else b"")
+
+
+def jpeg(block):
+    body = b"Exif\0\0" + block
+    return b"\xff\xd8\xff\xe0\x00\x04ab\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body + b"\xff\xda rest"
+
+
+def test_photos_of_a_camera_are_not_read(monkeypatch):
+    for name in (".jpg", ".jpeg", ".png"):
+        monkeypatch.setitem(office.READERS, name, lambda content: "words of a scan")  # stands for an OCR library
+    png = lambda block: b"\x89PNG\r\n\x1a\n" + len(block).to_bytes(4, "big") + b"eXIf" + block + b"crc0"
+    for order in ("little", "big"):
+        assert office.extract("a.jpg", jpeg(exif(order, [0x0100, 0x010F])), 99) == ("", None)
+        assert office.extract("a.JPEG", jpeg(exif(order, [0x0100], [0x9000, 0xA434])), 99) == ("", None)
+        assert office.extract("a.png", png(exif(order, [0x0131])), 99) == ("", None)
+        assert office.extract("a.jpg", jpeg(exif(order, [0x0100], [0x9000])), 99) == ("words of a scan", None)
+    loop = exif("little", [], [0x9000])
+    for content in (b"", b"\xff\xd8", b"\xff\xd8\xff\xe1", jpeg(b"II*\0"), jpeg(loop[:20]), b"\x89PNG\r\n\x1a\n\0\0", jpeg(loop[:18] + (8).to_bytes(4, "little") + loop[22:])):
+        assert office.extract("a.jpg", content, 99) == ("words of a scan", None)
