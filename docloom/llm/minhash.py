@@ -27,6 +27,9 @@ a shared key, so only keys of two shared sub-keys are formed.
    links only, so all rows between the steps are in proportion to the pool, unless
    sets are made of frequent shingles throughout: where more than MEET classes have
    such a one among their rarest, sketches are compared in tasks, in parts of BLOCK.
+   These give, in a first round, the likeliest pair for each two components that
+   they would join, and after those are confirmed, in a second round, all pairs of
+   components that are still apart.
 
 So of two texts that share a bucket, none is left out. Components come from a
 union-find over the links, or from alternating star steps.
@@ -62,7 +65,7 @@ SMALL = 16  # classes with a sub-key whose pairs are formed one by one
 PART, PART_SHINGLES = 2048, 1 << 21  # classes and shingles that one task compares
 COMMON = 16  # classes with a shingle that is counted as frequent
 MOST_COMMON = 1_000_000  # frequent shingles that go to every task
-MEET, BLOCK = 64, 8192  # classes at a rare shingle whose pairs are formed one by one; sketches of one side of a block
+MEET, BLOCK = 16, 8192  # classes at a rare shingle whose pairs are formed one by one; sketches of one side of a block
 
 
 @dataclass(frozen=True)
@@ -434,19 +437,27 @@ def _leads(pool: DataFrame, sets: DataFrame, common: tuple[np.ndarray, np.ndarra
     return map_arrow(pool.join(sets, "node").select("node", "root", "n_shingles", "codes"), run, "code long, node binary, root long, n_shingles long")
 
 
-def _sketched(s: Settings):
-    """Pairs of a block's rows (of one side and the other) whose components differ and whose sizes and sketches allow the similarity."""
+def _sketched(s: Settings, forest: bool):
+    """Pairs of a block's rows (of one side and the other) whose components differ and whose sizes and sketches allow the similarity.
+
+    forest: a pair that joins two components stands for all pairs of them.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("node")
         sketch = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table["sketch"]])
-        root, size, side = (table[c].to_numpy() for c in ("root", "n_shingles", "side"))
+        root, size, side = (table[c].to_numpy().copy() for c in ("root", "n_shingles", "side"))
         out = [np.zeros((0, 2), np.int64)]
         for i in range(len(root) - 1):
             fit = (root[i + 1 :] != root[i]) & ((side[i + 1 :] < 0) | (side[i + 1 :] != side[i]))
             fit &= 100 * np.minimum(size[i + 1 :], size[i]) >= s.percent * np.maximum(size[i + 1 :], size[i])
             rows = i + 1 + np.flatnonzero(fit)
-            rows = rows[(sketch[rows] == sketch[i]).mean(axis=1) >= s.percent / 100 - s.slack]
+            alike = (sketch[rows] == sketch[i]).mean(axis=1)
+            rows, alike = rows[alike >= s.percent / 100 - s.slack], alike[alike >= s.percent / 100 - s.slack]
+            if forest and len(rows):
+                rows = rows[np.argsort(-alike, kind="stable")]
+                rows = rows[np.unique(root[rows], return_index=True)[1]]
+                root[np.isin(root, root[rows])] = root[i]
             out.append(np.stack([np.full(len(rows), i), rows], 1))
         pairs = np.concatenate(out)
         return pa.table({"a": table["node"].take(pairs[:, 0]), "b": table["node"].take(pairs[:, 1])})
@@ -454,9 +465,8 @@ def _sketched(s: Settings):
     return run
 
 
-def _pool_pairs(pool: DataFrame, sets: DataFrame, members: DataFrame, s: Settings, held: Tables) -> DataFrame:
+def _pool_pairs(leads: DataFrame, members: DataFrame, s: Settings, forest: bool, held: Tables) -> DataFrame:
     """Distinct pairs (a, b) of different components of the pool that share one of their rarest shingles and may be similar enough."""
-    leads = held.put(_leads(pool, sets, _frequent(pool.select("node").join(sets, "node")), s))
     spread = [F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("q")]
     met = leads.groupBy(F.col("code").alias("_code")).agg(*spread).where("n > 1 AND r <> q").select("_code", "n")
     own = held.put(leads.join(met, F.col("code") == F.col("_code")).drop("_code"))
@@ -474,7 +484,20 @@ def _pool_pairs(pool: DataFrame, sets: DataFrame, members: DataFrame, s: Setting
     dealt = many.join(members.select("node", "sketch"), "node").select("code", "node", "root", "n_shingles", "sketch", part.alias("part"), F.explode(blocks).alias("block"))
     side = F.when(F.col("block.i") == F.col("block.j"), -1).otherwise(F.col("part"))
     rows = dealt.select("code", "block.i", "block.j", "node", "root", "n_shingles", "sketch", side.alias("side"))
-    return pairs.union(rows.groupBy("code", "i", "j").applyInArrow(_sketched(s), "a binary, b binary")).distinct()
+    return pairs.union(rows.groupBy("code", "i", "j").applyInArrow(_sketched(s, forest), "a binary, b binary")).distinct()
+
+
+def _joined_pool(pool: DataFrame, sets: DataFrame, members: DataFrame, tested: DataFrame, links: DataFrame, s: Settings, held: Tables) -> DataFrame:
+    """The links with those of the pool: a round for the likeliest pair of each two components, and one for all that are still apart."""
+    leads = held.put(_leads(pool, sets, _frequent(pool.select("node").join(sets, "node")), s))
+    for forest in (True, False):
+        roots = held.put(components(links))
+        now = leads.drop("root").join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col("node") == F.col("_node"), "left")
+        now = now.select("code", "node", F.xxhash64(F.coalesce("_root", "node")).alias("root"), "n_shingles")
+        fresh = held.put(_pool_pairs(now, members, s, forest, held).join(tested, ["a", "b"], "left_anti"))
+        links = held.put(links.union(_confirmed(fresh, sets, s)))
+        tested = tested.select("a", "b").union(fresh)
+    return links
 
 
 def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -497,12 +520,11 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         fresh = held.put(_likely(_small_pairs(of_open, groups).join(tested, ["a", "b"], "left_anti"), members, s))
         cells, pool = held.put(_cells(of_open, groups)), held.put(_pool(of_open, groups))
         sets = _sets(docs, classes, _ends(fresh).union(cells.select("node")).union(pool.select("node")), s, held)
-        if not pool.isEmpty():
-            met = _pool_pairs(pool, sets, members, s, held).join(tested, ["a", "b"], "left_anti")
-            fresh = held.put(fresh.select("a", "b").union(met).distinct())
         few = _confirmed(fresh, sets, s)
         many = cells.join(sets, "node").groupBy("cell").applyInArrow(_forest(s), "a binary, b binary")
         links = held.put(links.union(few).union(many))
+        if not pool.isEmpty():
+            links = _joined_pool(pool, sets, members, tested.union(fresh.select("a", "b")), links, s, held)
         roots = held.put(components(links))
 
         own = classes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
