@@ -24,12 +24,14 @@ a shared key, so only keys of two shared sub-keys are formed.
    over the pool, each class sends its id to its rarest ones, and classes of
    different components that meet there are estimated and confirmed. A set is read
    once for the counts and once for the rare shingles and travels with its
-   links only, so all rows between the steps are in proportion to the pool, unless
-   sets are made of frequent shingles throughout: where more than MEET classes have
-   such a one among their rarest, sketches are compared in tasks, in parts of BLOCK.
-   These give, in a first round, the likeliest pair for each two components that
-   they would join, and after those are confirmed, in a second round, all pairs of
-   components that are still apart.
+   links only. Where more than MEET classes have a shingle among their rarest (sets
+   made of frequent shingles throughout), a first round compares sketches in tasks
+   and gives the likeliest pair for each two components that they would join; for
+   components that are still apart after those are confirmed, a second round compares
+   full sets in tasks as in 3, once for all shingles that the same classes have.
+   All rows between the steps are in proportion to the pool and to the rarest
+   shingles of a class, but for shingles of more than BLOCK (or PART) classes, whose
+   rows are copied for each pair of blocks.
 
 So of two texts that share a bucket, none is left out. Components come from a
 union-find over the links, or from alternating star steps.
@@ -437,10 +439,10 @@ def _leads(pool: DataFrame, sets: DataFrame, common: tuple[np.ndarray, np.ndarra
     return map_arrow(pool.join(sets, "node").select("node", "root", "n_shingles", "codes"), run, "code long, node binary, root long, n_shingles long")
 
 
-def _sketched(s: Settings, forest: bool):
-    """Pairs of a block's rows (of one side and the other) whose components differ and whose sizes and sketches allow the similarity.
+def _sketched(s: Settings):
+    """Of a block's rows (of one side and the other) pairs whose components differ and whose sizes and sketches allow the similarity.
 
-    forest: a pair that joins two components stands for all pairs of them.
+    A pair that joins two components stands for all pairs of them.
     """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -454,50 +456,63 @@ def _sketched(s: Settings, forest: bool):
             rows = i + 1 + np.flatnonzero(fit)
             alike = (sketch[rows] == sketch[i]).mean(axis=1)
             rows, alike = rows[alike >= s.percent / 100 - s.slack], alike[alike >= s.percent / 100 - s.slack]
-            if forest and len(rows):
+            if len(rows):
                 rows = rows[np.argsort(-alike, kind="stable")]
                 rows = rows[np.unique(root[rows], return_index=True)[1]]
                 root[np.isin(root, root[rows])] = root[i]
-            out.append(np.stack([np.full(len(rows), i), rows], 1))
+                out.append(np.stack([np.full(len(rows), i), rows], 1))
         pairs = np.concatenate(out)
         return pa.table({"a": table["node"].take(pairs[:, 0]), "b": table["node"].take(pairs[:, 1])})
 
     return run
 
 
-def _pool_pairs(leads: DataFrame, members: DataFrame, s: Settings, forest: bool, held: Tables) -> DataFrame:
-    """Distinct pairs (a, b) of different components of the pool that share one of their rarest shingles and may be similar enough."""
-    spread = [F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("q")]
-    met = leads.groupBy(F.col("code").alias("_code")).agg(*spread).where("n > 1 AND r <> q").select("_code", "n")
-    own = held.put(leads.join(met, F.col("code") == F.col("_code")).drop("_code"))
-    few = own.where(F.col("n") <= MEET)
+def _met(leads: DataFrame, roots: DataFrame, held: Tables) -> DataFrame:
+    """(code, node, root, n_shingles, n) of the classes at rare shingles that n > 1 classes of several components have."""
+    known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    now = leads.drop("root").join(known, F.col("node") == F.col("_node"), "left")
+    now = now.select("code", "node", F.xxhash64(F.coalesce("_root", "node")).alias("root"), "n_shingles")
+    met = now.groupBy(F.col("code").alias("_code")).agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("q")).where("n > 1 AND r <> q")
+    return held.put(now.join(met.select("_code", "n"), F.col("code") == F.col("_code")).drop("_code"))
+
+
+def _few_pairs(met: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) of different components at shingles of up to MEET classes, as far as sizes and sketches allow."""
+    few = met.where(F.col("n") <= MEET)
     one = few.select("code", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
     two = few.select("code", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
     fit = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= s.percent * F.greatest("na", "nb"))
-    pairs = _likely(one.join(two, "code").where(fit).select("a", "b").distinct(), members, s).select("a", "b")
-    many = own.where(F.col("n") > MEET)
-    if many.isEmpty():
-        return pairs
-    parts = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
+    return _likely(one.join(two, "code").where(fit).select("a", "b").distinct(), members, s).select("a", "b")
+
+
+def _blocks(met: DataFrame, size: int) -> DataFrame:
+    """(code, i, j, node, root, n_shingles, side): the classes at shingles of more than MEET, each shingle in pairs of blocks.
+
+    Of shingles that the same classes have one is looked at.
+    """
+    many = met.where(F.col("n") > MEET)
+    prints = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in (0, 1)]
+    codes = many.groupBy(F.col("code").alias("_code")).agg(F.first("n").alias("m"), *prints).dropDuplicates(["m", "p0", "p1"]).select("_code")
+    parts = F.ceil(F.col("n") / F.lit(float(size))).cast("int")
     part = F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.struct(F.least(part, q).alias("i"), F.greatest(part, q).alias("j")))
-    dealt = many.join(members.select("node", "sketch"), "node").select("code", "node", "root", "n_shingles", "sketch", part.alias("part"), F.explode(blocks).alias("block"))
-    side = F.when(F.col("block.i") == F.col("block.j"), -1).otherwise(F.col("part"))
-    rows = dealt.select("code", "block.i", "block.j", "node", "root", "n_shingles", "sketch", side.alias("side"))
-    return pairs.union(rows.groupBy("code", "i", "j").applyInArrow(_sketched(s, forest), "a binary, b binary")).distinct()
+    dealt = many.join(codes, F.col("code") == F.col("_code"), "left_semi").select("code", "node", "root", "n_shingles", part.alias("part"), F.explode(blocks).alias("block"))
+    return dealt.select("code", "block.i", "block.j", "node", "root", "n_shingles", F.when(F.col("block.i") == F.col("block.j"), -1).otherwise(F.col("part")).alias("side"))
 
 
 def _joined_pool(pool: DataFrame, sets: DataFrame, members: DataFrame, tested: DataFrame, links: DataFrame, s: Settings, held: Tables) -> DataFrame:
-    """The links with those of the pool: a round for the likeliest pair of each two components, and one for all that are still apart."""
+    """The links with those of the pool: a round by sketches for the likeliest pairs, and one by full sets for all that are still apart."""
     leads = held.put(_leads(pool, sets, _frequent(pool.select("node").join(sets, "node")), s))
-    for forest in (True, False):
-        roots = held.put(components(links))
-        now = leads.drop("root").join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col("node") == F.col("_node"), "left")
-        now = now.select("code", "node", F.xxhash64(F.coalesce("_root", "node")).alias("root"), "n_shingles")
-        fresh = held.put(_pool_pairs(now, members, s, forest, held).join(tested, ["a", "b"], "left_anti"))
-        links = held.put(links.union(_confirmed(fresh, sets, s)))
-        tested = tested.select("a", "b").union(fresh)
-    return links
+    met = _met(leads, held.put(components(links)), held)
+    rows = _blocks(met, BLOCK).join(members.select("node", "sketch"), "node")
+    likely = rows.groupBy("code", "i", "j").applyInArrow(_sketched(s), "a binary, b binary")
+    fresh = held.put(_few_pairs(met, members, s).union(likely).distinct().join(tested, ["a", "b"], "left_anti"))
+    links = held.put(links.union(_confirmed(fresh, sets, s)))
+    met = _met(leads, held.put(components(links)), held)
+    few = _few_pairs(met, members, s).join(tested.select("a", "b").union(fresh), ["a", "b"], "left_anti")
+    cells = _blocks(met, PART).select(F.struct("code", "i", "j").alias("cell"), "node", "root")
+    many = cells.join(sets, "node").groupBy("cell").applyInArrow(_forest(s), "a binary, b binary")
+    return held.put(links.union(_confirmed(held.put(few), sets, s)).union(many))
 
 
 def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
