@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import inverted as N
@@ -89,4 +88,3 @@ def test_stemmed_terms(spark, tmp_path):
     asked = spark.createDataFrame([("a", "run cafe"), ("b", "states-of-the-arts")], "query_id string, query_text string")
     assert rows(index.search(snapshot, asked, 5)) == rows(S.bm25(frame(spark, held), asked, 5, T.keyword_terms))
     assert {r[0] for r in rows(index.search(snapshot, asked, 5))} == {"a", "b"}
-    assert F

@@ -1,7 +1,5 @@
 import threading
 
-from pyspark.sql import functions as F
-
 from docloom.sources.store import Store
 from docloom.sources.version_store import VersionStore
 
@@ -30,7 +28,6 @@ def test_numbers_and_twins(spark, tmp_path):
     blocks = versions.store.at().read("blocks")
     assert blocks.count() == blocks.select("block_hash").distinct().count()
     assert versions.store.at().read("recipes").select("file_id", "version").distinct().count() <= 6
-    assert F
 
 
 def test_two_writers_of_one_file_get_different_numbers(spark, tmp_path):
