@@ -159,7 +159,7 @@ def encoder(path: str, cache: int = CACHE_WORDS) -> WordEncoder:
 def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
     """Pieces: doc_id, piece, start, length, ids_crc32, part and place (rank among the part's pieces of that length), and ids."""
     tail = array("I", [end]).tobytes()
-    cache = CACHE_WORDS // 4 if keep_ids else CACHE_WORDS  # the ids of the batches take the room
+    cache = CACHE_WORDS // 8 if keep_ids else CACHE_WORDS  # the ids of the batches take the room
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"] + ["ids"] * keep_ids
 
     def run(batches):
