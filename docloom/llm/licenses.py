@@ -29,7 +29,7 @@ from docloom.llm.arrowtext import column
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 # The base phrases and their labels.
-PHRASES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 # The usual notices of public licences.
 TEMPLATES = {

@@ -66,3 +66,31 @@ def test_templates_are_found_with_gaps():
     for name, text in L.TEMPLATES.items():
         assert name in L.Scanner().scan(text)["labels"].split(",")
     assert L.Scanner().scan("permission is hereby given to read this")["labels"] == ""
+
+
+BASE = [
+    ("Given out under the MIT License.", 6, 1, 2, 2, "mit"),
+    ("Under (the) [MIT] {License}", 4, 1, 0, 0, "mit"),
+    ("under the under the mit license and under\nTHE-MIT-license", 11, 2, 2, 7, "mit"),
+    ("The MIT License applies to all of this", 8, 0, None, None, ""),
+    ("thunder the mit license, under the mit licensed", 8, 0, None, None, ""),
+    ("\u00fcnder the mit license under\u00a0the mit license", 7, 0, None, None, ""),
+    ("Apache License, Version 2.0; cc by cc-by-NC 4.0", 12, 2, 0, 7, "apache-2,cc-by-nc"),
+    ("apache license version 20 ccbync", 5, 0, None, None, ""),
+    ("cc by nc under the mit license apache license version 2", 11, 3, 0, 7, "apache-2,cc-by-nc,mit"),
+    ("word " * 70_000 + "under the mit license", 70_004, 1, 70_000, 70_000, "mit"),
+    ("", 0, 0, None, None, ""),
+    (None, 0, 0, None, None, ""),
+]
+
+
+def test_base_columns_as_the_contract_has_them(spark, tmp_path):
+    """Phrases and results are written out here, so that they can't change with the code."""
+    docs = spark.createDataFrame([(k, x[0]) for k, x in enumerate(BASE)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = op2_license_scan(spark, str(tmp_path)).orderBy("doc_id")
+    assert [tuple(r) for r in out.select("n_words", "n_base", "first_word", "last_word", "base_labels").collect()] == [x[1:] for x in BASE]
+    assert {n: t for n, t in out.dtypes if n != "spans"} == {
+        "doc_id": "bigint", "n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint",
+        "base_labels": "string", "labels": "string", "score": "double",
+    }
