@@ -20,6 +20,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from docloom.functions.classify import sensitive
+from docloom.functions.linediff import line_changes
 
 # What lines, deletions and changes weigh.
 BLOB_LENGTH, BLOB_SHARE, FORMULA = 120, 0.1, 5.0
@@ -48,14 +49,8 @@ _OPS_ARROW = pa.list_(pa.struct([("op", pa.string()), ("line_num", pa.int64()),
 
 def _line_ops(old: str, new: str) -> list[dict]:
     """Deleted and inserted lines with their place in the old text."""
-    out, at = [], 0
-    kinds = {"- ": "delete", "+ ": "insert"}
-    for line in difflib.Differ().compare(old.splitlines(), new.splitlines()):
-        kind = kinds.get(line[:2])
-        if kind:
-            out.append({"op": kind, "line_num": at, "content": line[2:]})
-        at += line[:2] in ("- ", "  ")
-    return out
+    kinds = {"-": "delete", "+": "insert"}
+    return [{"op": kinds[sign], "line_num": at, "content": line} for sign, at, line in line_changes(old.splitlines(), new.splitlines())]
 
 
 @arrow_udf(_OPS)

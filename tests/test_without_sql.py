@@ -3,6 +3,8 @@
 import collections
 import difflib
 import hashlib
+import random
+import time
 
 import pytest
 
@@ -90,3 +92,34 @@ def test_l11_and_l6_have_a_row_for_each_file(spark, data, contents):
         lines = list(difflib.unified_diff(v[1].splitlines(), v[3].splitlines(), lineterm=""))
         added, removed = (sum(x.startswith(s) and not x.startswith(s * 3) for x in lines) for s in "+-")
         assert summary[k] == f"{added} lines added, {removed} lines removed"
+
+
+ODD = [("", "x"), ("same\n" * 300 + "end", "same\n" * 290 + "other\nend"), ("ab cd\nab ce\nab cf", "ab ce!\nab cd!\nab cf!"), ("a\r\nb\x0bc d", "a\nb\nc\nd"), ("x", "x\n\n\n")]
+
+
+def texts(draw):
+    """Old and new lines: short and long ones, few and many characters, changed a little, moved, dropped, repeated."""
+    for _ in range(150):
+        old = ["".join(draw.choices(draw.choice(["ab", "abcdefghij .", "aäß語𝄞 \0", "0123456789,"]), k=draw.choice([0, 3, 20, 60, 250]))) for _ in range(draw.choice([1, 2, 5, 12, 30]))]
+        new = [x.replace(draw.choice("ab 0"), "!", draw.randrange(4)) for x in old * draw.choice([1, 1, 2]) if draw.random() < 0.9]
+        if draw.random() < 0.3:
+            draw.shuffle(new)
+        yield "\n".join(old), "\n".join(new)
+
+
+def test_line_changes_are_those_of_the_library():
+    for old, new in [*ODD, *texts(random.Random(7))]:
+        got = [(x["op"], x["line_num"]) for x in X._line_ops(old, new)]
+        assert got == line_changes(old, new)
+
+
+def test_replaced_lines_take_no_work_for_marks_inside_them():
+    """Forty changed lines beside each other; the library compares all their pairs again behind each one it has found."""
+    draw = random.Random(3)
+    old = [" ".join(draw.choices("of the and station committee report river.".split(), k=25)) for _ in range(40)]
+    old, new = "\n".join(old), "\n".join(x.replace(".", "!") for x in old)
+    began = time.process_time()
+    got = [(x["op"], x["line_num"]) for x in X._line_ops(old, new)]
+    took = time.process_time() - began
+    assert got == line_changes(old, new)
+    assert 3 * took < time.process_time() - began - took
