@@ -12,10 +12,10 @@ _ROWS = cte("fx_versions") + ", t AS (SELECT a.file_id AS key, a.content AS base
 
 
 def _rows(spark, d):
-    """The second version is ours, the third theirs, the first their base."""
+    """The second version is ours, the third theirs, the first their base; dealt by key, as comparing them costs more than moving them."""
     v = view(spark, d, "fx_versions")
     part = lambda n, name: v.where(f"version = {n}").select(F.col("file_id").alias("key"), F.col("content").alias(name))
-    return part(1, "base").join(part(2, "ours"), "key").join(part(3, "theirs"), "key")
+    return part(1, "base").repartition("key").join(part(2, "ours"), "key").join(part(3, "theirs"), "key")
 
 
 _LINES = "regexp_extract_all({0}, '[^\\n]*\\n|[^\\n]+')"

@@ -123,3 +123,10 @@ def test_replaced_lines_take_no_work_for_marks_inside_them():
     took = time.process_time() - began
     assert got == line_changes(old, new)
     assert 3 * took < time.process_time() - began - took
+
+
+@pytest.mark.parametrize("name", ["m2_merge_conflicts", "e15_change_counts"])
+def test_versions_are_dealt_out_before_they_are_compared(spark, data, name):
+    """Beside broadcast tables the rows would stay in the few tasks that read the file."""
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan[plan.index("ArrowEvalPython") :]
