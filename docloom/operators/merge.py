@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType, StructField, StructType
 
+from docloom.functions.linediff import line_changes
 from docloom.operators.diff import line_ops
 
 # Fixed values of the ranking.
@@ -53,8 +59,14 @@ def suggestions(rows: DataFrame) -> DataFrame:
     scope nor conflict, so the re-ranker gives each the same score and the
     order of the strategies stays.
     """
+    score = relevance(F.lit(0), F.lit("unknown"), F.lit(False))
+    return rows.select("key", F.explode(strategies()).alias("s")).select("key", "s.*", score.alias("relevance_score"))
+
+
+def strategies() -> Column:
+    """The three suggestions of a row (base, ours, theirs, n_conflicts) as an array of structs."""
     auto = F.when(F.col("n_conflicts") == 0, 0.9).otherwise(0.5)
-    made = F.array(
+    return F.array(
         F.struct(F.lit(1).alias("place"), F.lit("keep_ours").alias("strategy"), F.lit("ours").alias("source"), F.col("ours").alias("merged"), F.lit(0.3).alias("base_score")),
         F.struct(F.lit(2).alias("place"), F.lit("keep_theirs").alias("strategy"), F.lit("theirs").alias("source"), F.col("theirs").alias("merged"), F.lit(0.3).alias("base_score")),
         F.struct(
@@ -62,8 +74,6 @@ def suggestions(rows: DataFrame) -> DataFrame:
             auto_merge(F.col("base"), F.col("ours"), F.col("theirs")).alias("merged"), auto.alias("base_score"),
         ),
     )
-    score = relevance(F.lit(0), F.lit("unknown"), F.lit(False))
-    return rows.select("key", F.explode(made).alias("s")).select("key", "s.*", score.alias("relevance_score"))
 
 
 def preferences(choices: DataFrame, *keys: str) -> DataFrame:
@@ -98,15 +108,30 @@ def assist(rows: DataFrame) -> DataFrame:
     that both change with different operations, and the three suggestions ranked
     with that number of conflicts.
     """
-    one, two = changes(rows, "ours"), changes(rows, "theirs")
-    counted = lambda c, n: c.groupBy("key").agg(F.count("*").alias(n))
-    none = "No changes detected"
-    held = (
-        rows.join(counted(one, "n_ours"), "key", "left").join(counted(two, "n_theirs"), "key", "left")
-        .join(counted(conflicts(one, two), "n_conflicts"), "key", "left")
-        .join(summary(one).withColumnRenamed("summary", "ours_summary"), "key", "left")
-        .join(summary(two).withColumnRenamed("summary", "theirs_summary"), "key", "left")
-        .na.fill(0, ["n_ours", "n_theirs", "n_conflicts"]).na.fill(none, ["ours_summary", "theirs_summary"])
-    )
-    listed = suggestions(held).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "strategy", "source", "base_score", "relevance_score", "merged"))).alias("suggestions"))
-    return held.select("key", "n_ours", "n_theirs", "n_conflicts", "ours_summary", "theirs_summary").join(listed, "key")
+    n = F.col("_n")
+    ours, theirs = n["ours_delete"] + n["ours_insert"], n["theirs_delete"] + n["theirs_insert"]
+    counted = rows.where("key is not null").withColumn("_n", change_counts("base", "ours", "theirs")).withColumns({"n_ours": ours, "n_theirs": theirs, "n_conflicts": n["conflicts"]})
+    score = relevance(F.lit(0), F.lit("unknown"), F.lit(False)).alias("relevance_score")
+    ranked = F.transform(strategies(), lambda s: F.struct(s["place"].alias("place"), s["strategy"].alias("strategy"), s["source"].alias("source"), s["base_score"].alias("base_score"), score, s["merged"].alias("merged")))
+    told = lambda side: _told(n[f"{side}_delete"], n[f"{side}_insert"]).alias(f"{side}_summary")
+    return counted.select("key", "n_ours", "n_theirs", "n_conflicts", told("ours"), told("theirs"), ranked.alias("suggestions"))
+
+
+def _told(deletes: Column, inserts: Column) -> Column:
+    parts = [F.when(n > 0, F.concat_ws(" ", n.cast("string"), F.lit(op))) for n, op in ((deletes, "delete"), (inserts, "insert"))]
+    return F.when(deletes + inserts == 0, "No changes detected").otherwise(F.concat(F.lit("Total changes: "), F.concat_ws(", ", *parts)))
+
+
+_COUNTS = "ours_delete ours_insert theirs_delete theirs_insert conflicts".split()
+
+
+@arrow_udf(StructType([StructField(n, LongType()) for n in _COUNTS]))
+def change_counts(base: pa.Array, ours: pa.Array, theirs: pa.Array) -> pa.Array:
+    """How many lines both sides delete and insert, and how many pairs of changes at one line have different operations."""
+    out = []
+    for x, y, z in zip(base.to_pylist(), ours.to_pylist(), theirs.to_pylist(), strict=True):
+        sides = [Counter((sign, at) for sign, at, _ in line_changes((x or "").splitlines(), (t or "").splitlines())) if x != t else Counter() for t in (y, z)]
+        totals = [sum(n for (sign, _), n in side.items() if sign == op) for side in sides for op in "-+"]
+        other = {"-": "+", "+": "-"}
+        out.append([*totals, sum(n * sides[1][other[sign], at] for (sign, at), n in sides[0].items())])
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(_COUNTS))], _COUNTS)

@@ -130,3 +130,8 @@ def test_versions_are_dealt_out_before_they_are_compared(spark, data, name):
     """Beside broadcast tables the rows would stay in the few tasks that read the file."""
     plan = QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan[plan.index("ArrowEvalPython") :]
+
+
+def test_m9_compares_each_side_once(spark, data):
+    plan = QUERIES["m9_merge_report"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Aggregate") == 0
