@@ -70,17 +70,17 @@ def best_choices(vectors: DataFrame, choices: DataFrame, k: int, least: float, d
     return vectors.select("vec_id", "embedding").mapInArrow(best, f"vec_id long, tag {kind}, score double")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, digits: int = 4) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, digits: int = 4, near: int = NEAR) -> DataFrame:
     """query_id, vec_id, score (`digits` digits), place: the k largest inner products of each query, exactly.
 
     queries (query_id, query_embedding) go to every task, slice by slice; vectors
     (vec_id, embedding) stay where they lie. A task multiplies its batches with the
     queries of the slice and keeps its own k best, so the shuffle carries k rows per
-    query and task. The first NEAR digits of a product decide its place, ties go to
+    query and task. The first `near` digits of a product decide its place, ties go to
     the smaller id.
     """
     asked = queries.select("query_id", "query_embedding").where("query_embedding is not null")
-    top = each_slice(asked, lambda rows: best_of_all(vectors.select("vec_id", "embedding").mapInArrow(_nearest(rows, k), FOUND), k))
+    top = each_slice(asked, lambda rows: best_of_all(vectors.select("vec_id", "embedding").mapInArrow(_nearest(rows, k, near), FOUND), k))
     top = top.withColumn("score", F.round("score", digits))
     return top if least is None else top.where(F.col("score") >= least)
 
@@ -90,12 +90,12 @@ def best_of_all(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
-def _nearest(rows: list, k: int):
+def _nearest(rows: list, k: int, near: int):
     """For mapInArrow over (vec_id, embedding): the k best of a task for each query row."""
     ids, asked = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
 
     def best(batches):
-        top = Nearest(ids, asked, k)
+        top = Nearest(ids, asked, k, near)
         for batch in batches:
             batch = batch.filter(pa.compute.is_valid(batch.column(1)))
             if batch.num_rows and len(ids):
@@ -105,18 +105,26 @@ def _nearest(rows: list, k: int):
     return best
 
 
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as SQL does it: halves go away from zero."""
+    x = x * 10.0**digits
+    whole = np.trunc(x)
+    whole[np.abs(x - whole) >= 0.5] += np.sign(x[np.abs(x - whole) >= 0.5])
+    return whole / 10.0**digits
+
+
 class Nearest:
     """The k largest products of each query so far, in the order of score, then id."""
 
-    def __init__(self, ids: np.ndarray, asked: np.ndarray, k: int):
-        self.ids, self.asked, self.k = ids, asked, k
+    def __init__(self, ids: np.ndarray, asked: np.ndarray, k: int, near: int = NEAR):
+        self.ids, self.asked, self.k, self.near = ids, asked, k, near
         self.score, self.vec = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
 
     def add(self, own: np.ndarray, matrix: np.ndarray) -> None:
         for lo in range(0, len(own), 4096):
             kept = []
             for q in range(0, len(self.ids), 512):  # so that scores of 512 queries by 4096 vectors are held at a time
-                scores = np.round(self.asked[q : q + 512] @ matrix[lo : lo + 4096].T, NEAR)
+                scores = _rounded(self.asked[q : q + 512] @ matrix[lo : lo + 4096].T, self.near)
                 s = np.hstack([self.score[q : q + 512], scores])
                 v = np.hstack([self.vec[q : q + 512], np.broadcast_to(own[lo : lo + 4096], scores.shape)])
                 order = np.lexsort((v, -s))[:, : self.k]
