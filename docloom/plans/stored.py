@@ -107,7 +107,8 @@ def b7_version_store(spark, d):
             versions.save(own.select("file_id", F.col("content").cast("binary").alias("content")))
         snapshot = store.at()
         held = versions.versions(snapshot).select("file_id", "version", "reused")
-        return reliable(held.join(versions.load(snapshot=snapshot), ["file_id", "version"]).select("file_id", "version", "reused", F.md5("content").alias("content_md5")))
+        loaded = versions.load(snapshot=snapshot, of=F.md5).withColumnRenamed("content", "content_md5")
+        return reliable(held.join(loaded, ["file_id", "version"]).select("file_id", "version", "reused", "content_md5"))
 
 
 @query(

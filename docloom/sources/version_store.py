@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.versions import blocks, rebuild, recipe
+from docloom.operators.versions import BLOCK, blocks, rebuild, recipe
 from docloom.session import reliable
 from docloom.sources.store import Change, Snapshot, Store
 
 
+PACKED = {"compression": "zstd"}  # of contents and blocks
+
+
 class VersionStore:
     """The tables versions (file_id, version, hash, reused and what is saved with them), blocks and recipes.
 
@@ -26,12 +31,19 @@ class VersionStore:
         return (snapshot or self.store.at()).read("versions")
 
     def save(self, contents: DataFrame, order: str | None = None, content: str = "content") -> Snapshot:
-        """Adds a version for each row (file_id, content and more); order: the column that numbers several of one file."""
-        held = reliable(contents.withColumn("hash", F.sha2(F.col(content).cast("binary"), 256)))
-        return self.store.transact(lambda change: self._save(change, held, order or "hash", content))
+        """Adds a version for each row (file_id, content and more); order: the column that numbers several of one file.
 
-    def _save(self, change: Change, rows: DataFrame, order: str, content: str) -> None:
+        The contents are written down once, compressed, so that every part of the
+        commit and a second try see the same rows; that copy goes when the save ends.
+        """
+        hashed = contents.withColumns({"hash": F.sha2(F.col(content).cast("binary"), 256), "_row": F.monotonically_increasing_id()})
+        with self.store.draft(hashed, **PACKED) as held:
+            return self.store.transact(lambda change: self._save(change, held, order or "hash", content))
+
+    def _save(self, change: Change, held: DataFrame, order: str, content: str) -> None:
+        """Numbers come from the rows without their contents, which are shuffled once, by block."""
         old = self.versions(change.base)
+        rows = held.drop(content) if order != content else held
         number = F.row_number().over(Window.partitionBy("file_id").orderBy(order, "hash"))
         if old is None:
             rows = rows.withColumns({"version": number, "_twin": F.lit(None).cast("int")})
@@ -41,23 +53,33 @@ class VersionStore:
             rows = rows.join(last, "file_id", "left").withColumn("version", F.coalesce("_last", F.lit(0)) + number).drop("_last")
             rows = rows.join(twins, ["file_id", "hash"], "left")
         first = F.coalesce("_twin", F.min("version").over(Window.partitionBy("file_id", "hash")))
-        rows = reliable(rows.withColumn("reused", F.when(first < F.col("version"), first).cast("int")).drop("_twin").withColumn("version", F.col("version").cast("int")))
-        cut = blocks(rows.where("reused IS NULL").select("file_id", "version", content), content)
+        rows = rows.withColumn("reused", F.when(first < F.col("version"), first).cast("int")).withColumn("version", F.col("version").cast("int"))
+        rows = reliable(rows.drop("_twin", content))
+        longest = held.agg(F.max(F.octet_length(F.col(content).cast("binary")))).first()[0] or 0
+        cut = blocks(held.select("_row", content), content)
         new = cut.select("block_hash", "data").dropDuplicates(["block_hash"])
         stored = change.base.read("blocks")
         if stored is not None:
             new = new.join(stored.select("block_hash"), "block_hash", "left_anti")
-        change.append("blocks", new)
-        change.append("recipes", recipe(cut, "file_id", "version"))
-        change.append("versions", rows.drop(content))
+        change.append("blocks", new, **PACKED)
+        recipes = rows.where("reused IS NULL").select("_row", "file_id", "version").join(recipe(cut.drop("data"), "_row"), "_row").drop("_row")
+        change.append("recipes", recipes, {"whole": longest <= BLOCK})
+        change.append("versions", rows.drop("_row"))
+
+    def load(self, wanted: DataFrame | None = None, snapshot: Snapshot | None = None, of: Callable[[Column], Column] = lambda content: content) -> DataFrame:
+        """file_id, version, content; of the wanted (file_id, version) if they are given.
 
-    def load(self, wanted: DataFrame | None = None, snapshot: Snapshot | None = None) -> DataFrame:
-        """file_id, version, content; of the wanted (file_id, version) if they are given."""
+        of: what is wanted of a content, in its place. Where a content is one block it
+        is worked out beside the block, so that its value alone is shuffled.
+        """
         snapshot = snapshot or self.store.at()
         asked = self.versions(snapshot).select("file_id", "version", F.coalesce("reused", "version").alias("_from"))
         if wanted is not None:
             asked = asked.join(wanted.select("file_id", "version"), ["file_id", "version"], "left_semi")
-        sources = asked.select("file_id", F.col("_from").alias("version")).distinct()
-        recipes = snapshot.read("recipes").join(sources, ["file_id", "version"], "left_semi")
-        found = rebuild(recipes, snapshot.read("blocks"), "file_id", "version").withColumnRenamed("version", "_from")
-        return asked.join(found, ["file_id", "_from"]).drop("_from")
+        recipes = asked.join(snapshot.read("recipes").withColumnRenamed("version", "_from"), ["file_id", "_from"]).drop("_from")
+        stored, whole = snapshot.read("blocks"), F.size("recipe") == 1
+        one = recipes.where(whole).select("file_id", "version", F.col("recipe")[0].alias("block_hash"))
+        found = one.join(stored.select("block_hash", of(F.col("data")).alias("content")), "block_hash").drop("block_hash")
+        if all(p.notes.get("whole") for p in snapshot.parts("recipes")):
+            return found
+        return found.unionByName(rebuild(recipes.where(~whole), stored, "file_id", "version").select("file_id", "version", of(F.col("content")).alias("content")))

@@ -1,6 +1,8 @@
 import threading
 
-from docloom.sources.store import Store
+from pyspark.sql import functions as F
+
+from docloom.sources.store import CLEANUP, Store
 from docloom.sources.version_store import VersionStore
 
 
@@ -41,3 +43,17 @@ def test_two_writers_of_one_file_get_different_numbers(spark, tmp_path):
     assert [r[1] for r in rows] == [1, 2, 3, 4] and sorted(r[3] for r in rows) == ["0", "1", "2", "3"]
     twins = [r for r in rows if r[2] is not None]
     assert len(twins) == 1 and {twins[0][3], rows[twins[0][2] - 1][3]} == {"0", "3"}
+
+
+def test_a_save_leaves_no_copy_and_a_load_moves_values_only(spark, tmp_path):
+    """Contents lie in blocks alone when a save has ended, and the session is as it was; what is asked of a content is worked out beside its block."""
+    versions, before = VersionStore(Store(spark, f"file://{tmp_path}/v")), spark.conf.get(CLEANUP, None)
+    versions.save(saved(spark, [(k, b"text %d" % k, "a") for k in range(20)]))
+    parts = {p.path for parts in versions.store.at().tables.values() for p in parts}
+    assert {f"data/{p.name}" for p in (tmp_path / "v" / "data").iterdir()} == parts
+    assert spark.conf.get(CLEANUP, None) == before
+    short = versions.load(of=F.octet_length)
+    assert "data#" not in "".join(x for x in short._jdf.queryExecution().executedPlan().toString().splitlines(True) if "Exchange" in x or "Join" in x)
+    versions.save(saved(spark, [(1, b"two" * 300_000, "b"), (2, b"", "c"), (3, b"text 3", "d")]))
+    got = {(r["file_id"], r["version"]): r["content"] for r in versions.load(of=F.octet_length).collect()}
+    assert got == {(k, 1): len(b"text %d" % k) for k in range(20)} | {(1, 2): 900_000, (2, 2): 0, (3, 2): 6}
