@@ -305,3 +305,17 @@ def test_index_tables(spark):
 def test_confidence_of_equal_scores(spark):
     rows = spark.createDataFrame([(1, 0.5, 1), (1, 0.5, 3), (2, 0.1, 2), (2, 0.2, 1)], "query_id long, rrf double, n_signals int")
     assert sorted(r["score"] for r in S.confidence(rows).collect()) == [0.45, 0.92, 0.92, 0.99]
+
+
+def test_many_queries_with_one_common_word_take_one_pass_over_the_chunks(spark, monkeypatch):
+    """Each asks for a rare word twice and a common one; best are the chunks with both, then the common word's own best."""
+    chunks = spark.createDataFrame([(k, f"r{k % 2500} " + "the " * (k % 4) + "x " * (k % 6)) for k in range(5000)], "chunk_id long, text string")
+    queries = spark.createDataFrame([(k, f"r{k} r{k} the") for k in range(2100)], "query_id long, query_text string")
+    passes, run = [], S._bm25
+    monkeypatch.setattr(S, "_bm25", lambda *a: passes.append(1) or run(*a))
+    found = S.bm25(chunks, queries, 6).collect()
+    assert len(passes) == 1 and len(found) == 6 * 2100
+    alone = [r["chunk_id"] for r in S.bm25(chunks, spark.createDataFrame([(1, "the")], "query_id long, query_text string"), 6).orderBy("place").collect()]
+    for q in (0, 3, 1234, 2099):
+        got = [r["chunk_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["place"])]
+        assert set(got[:2]) == {q, q + 2500} and got[2:] == [c for c in alone if c not in got[:2]][:4]
